@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, prepare
-from .tokens import WordEncoder
+from .tokens import encoder_of
 
 CLOSE = "</turn>\n"
 _TURN = re.compile(r"### ([^\\\n]*(?:\\.[^\\\n]*)*)\n([^\\<]*(?:\\.[^\\<]*)*)</turn>\n", re.S)
@@ -88,7 +88,7 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
     rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             ids, convs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             made = [[turn_text(t["role"], t["text"]) for t in c] for c in convs]

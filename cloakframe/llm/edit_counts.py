@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, prepare
-from .tokens import WordEncoder
+from .tokens import encoder_of
 
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")
 _ENDS = " \t\n\v\f\r"
@@ -132,7 +132,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.transform(F.coalesce(F.col(edits_col), F.array()), lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["new"].cast("string").alias("new"))).alias("edits"))
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             ids, texts, edits = (batch.column(k).to_pylist() for k in range(3))
             for a in range(0, len(ids), 256):

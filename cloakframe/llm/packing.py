@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, prepare
-from .tokens import END_ID, WordEncoder, groups_of
+from .tokens import END_ID, encoder_of, groups_of
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(0) if loss_from is None else F.coalesce(loss_from, F.lit(0))).cast("long").alias("skip"))
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         sequence = (TaskContext.get().partitionId()) << 36
         held: list[tuple[int, int, np.ndarray, int]] = []
 

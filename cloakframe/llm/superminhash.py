@@ -152,15 +152,16 @@ def element_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
 
 
 def rare_prefixes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """class_id, n, grp, known, element: for each class its elements that are rarest over all classes given, as many as a set
+    """class_id, n, grp, rest, element: for each class its elements that are rarest over all classes given, as many as a set
     must share one of with any set of this similarity (n - ceil(n * percent / 100) + 1), without those that no other class
-    has. known: its elements that others have; no intersection is larger."""
+    has. rest: how many elements from this one on others have; if it is the first that two sets share, their intersection
+    isn't larger."""
     each = classes.join(sets, F.col("class_id") == F.col("doc_id")).select("class_id", "n", "grp", F.explode("elements").alias("element"))
     seen = each.groupBy("element").agg(F.count("*").alias("seen")).select(F.col("element").alias("e"), "seen")
     ranked = each.join(seen, F.col("element") == F.col("e")).groupBy("class_id", "n", "grp").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("by"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
     known = F.size(F.filter("by", lambda x: x["seen"] > 1)).alias("known")
-    return ranked.select("class_id", "n", "grp", known, F.explode(F.filter(F.slice("by", F.lit(1), length), lambda x: x["seen"] > 1)).alias("x")).select("class_id", "n", "grp", "known", F.col("x.element").alias("element"))
+    return ranked.select("class_id", "n", "grp", known, F.posexplode(F.filter(F.slice("by", F.lit(1), length), lambda x: x["seen"] > 1)).alias("at", "x")).select("class_id", "n", "grp", (F.col("known") - F.col("at")).alias("rest"), F.col("x.element").alias("element"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 20, rows: int = 5, small: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,11 +172,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     """
     signs = stored(signed(docs, shingle, bands, rows, id_col, text_col), "signed")
     full = signs.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    # One row per class and band, from the class's own row.
-    own = full.join(classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "class_id"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).drop("g1", "g2")
+    heads = stored(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    own = full.select("doc_id", "n", "f1", "f2").join(heads.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "class_id"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
     members = stored(own.select("doc_id", "class_id", "n"), "members")
-    heads = full.dropDuplicates(["f1", "f2"]).join(classes, ["f1", "f2"])
     entries = heads.select("class_id", "n", F.posexplode("bands").alias("band", "bucket"))
     crowds = entries.groupBy("band", "bucket").agg(F.count("*").alias("crowd")).where("crowd > 1").select(F.col("band").alias("s_band"), F.col("bucket").alias("s_bucket"), "crowd")
     placed = stored(entries.join(crowds, (F.col("band") == F.col("s_band")) & (F.col("bucket") == F.col("s_bucket"))).select("class_id", "n", "bucket", "crowd"), "placed")
@@ -207,8 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     few = left.where(F.col("crowd") <= small).join(other, (F.col("bucket") == F.col("k")) & cross).select(F.col("class_id").alias("a"), "b")
     many = left.where(F.col("crowd") > small).select("class_id", "n", "grp").distinct()
     prefixes = stored(rare_prefixes(many, sets, percent), "prefixes")
-    other = prefixes.select(F.col("element").alias("k"), F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("grp").alias("g"), F.col("known").alias("l"))
-    most = F.least("known", "l")
+    other = prefixes.select(F.col("element").alias("k"), F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("grp").alias("g"), F.col("rest").alias("l"))
+    most = F.least("rest", "l")
     second = few.union(prefixes.join(other, (F.col("element") == F.col("k")) & cross & (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("m") - most))).select(F.col("class_id").alias("a"), "b")).distinct()
     second = second.join(tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     more = stored(verified(stored(second, "pairs")), "links")

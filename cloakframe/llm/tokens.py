@@ -17,45 +17,103 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 1
 
 
+_PUNCTUATION = b".,;:!?"
+
+
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a run of letters
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.lowers = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
         self.n_ids = 0
         self.starts, self.lens, self.pool = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
 
-    def _add(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 20_000):
-            new = words[a : a + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, total = len(self.index), int(lens.sum())
-            while n + len(new) > len(self.starts):
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and their numbers. Words of letters alone share one call, as each ends with a closing id."""
+        plain = [w.isalpha() and w.lower().isalpha() for w in words]
+        lens = np.zeros(len(words), np.int64)
+        at = np.array(plain, bool)
+        letters = [w for w, p in zip(words, plain, strict=True) if p]
+        joined = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.uint32) if letters else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.closes[joined]) + 1
+        if len(ends) != len(letters) or len(ends) and ends[-1] != len(joined):
+            at[:], letters, joined, ends = False, [], joined[:0], ends[:0]
+        lens[at] = np.diff(ends, prepend=0)
+        rest = [w for w, p in zip(words, at, strict=True) if not p]
+        other = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        lens[~at] = [len(x) for x in other]
+        out = np.zeros(int(lens.sum()), np.uint32)
+        own = np.repeat(at, lens)
+        out[own] = joined
+        out[~own] = np.fromiter(chain.from_iterable(other), np.uint32, int((~own).sum()))
+        return out, lens
+
+    def _add(self) -> None:
+        """Encode the words that were new."""
+        new, self.index.new = self.index.new, []
+        first = len(self.index) - len(new)
+        # A word that ends with marks after a letter is the word and the marks: most such words are known without them.
+        for a in range(0, len(new), 20_000):
+            words = new[a : a + 20_000]
+            parts, tails = [], []
+            for w in words:
+                core = w.rstrip(_PUNCTUATION)
+                cut = core if core and core != w and 97 <= core[-1] | 32 <= 122 and core[-1] < 128 else w
+                parts.append(cut)
+                tails.append(w[len(cut) :])
+            different = list(dict.fromkeys([*parts, *tails]))
+            number = {w: i for i, w in enumerate(different)}
+            ids, lens = self._ids([w.decode("utf-8") for w in different])
+            starts = np.cumsum(lens) - lens
+            of = np.array([number[w] for w in chain.from_iterable(zip(parts, tails, strict=True))], np.int64)
+            n = lens[of]
+            total = int(n.sum())
+            ids = ids[np.repeat(starts[of] - (np.cumsum(n) - n), n) + np.arange(total)]
+            n = n[::2] + n[1::2]
+            k = first + a
+            while k + len(words) > len(self.starts):
                 self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
             while self.n_ids + total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.starts[n : n + len(new)] = self.n_ids + np.cumsum(lens) - lens
-            self.lens[n : n + len(new)] = lens
-            self.pool[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.starts[k : k + len(words)] = self.n_ids + np.cumsum(n) - n
+            self.lens[k : k + len(words)] = n
+            self.pool[self.n_ids : self.n_ids + total] = ids
             self.n_ids += total
-            self.index.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def _raw(self, text: str | None) -> bytes:
+        """Where the tokenizer lowers letters and no special token can be in the text, they are lowered here."""
+        raw = text.encode("utf-8") if text else b""
+        return raw.lower() if self.lowers and b"<|" not in raw else raw
 
     def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words = [t.encode("utf-8").split() if t else [] for t in texts]
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        flat = list(chain.from_iterable(words))
-        different = set(flat)
-        new = [w for w in different if w not in self.index]
-        if len(self.index) + len(new) > self.limit:
+        if len(self.index) > self.limit:
             self.clear()
-            new = list(different)
-        self._add(new)
-        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), per_text
+        words = [self._raw(t).split() for t in texts]
+        per_text = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        if self.index.new:
+            self._add()
+        return at, per_text
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text; null is empty."""
@@ -84,3 +142,13 @@ def groups_of(texts: list[str | None], most: int = 2 << 20):
             a, size = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder, whose table lasts from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]

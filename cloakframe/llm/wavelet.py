@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, ids_and_texts, prepare
-from .tokens import END_ID, WordEncoder, groups_of
+from .tokens import END_ID, encoder_of, groups_of
 
 MAGIC = b"WVMX1\0\0\0"
 BLOCK = 512
@@ -168,7 +168,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     prepare(docs.sparkSession)
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary is too large for 16 bits")
         for batch in batches:
