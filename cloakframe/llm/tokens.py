@@ -33,7 +33,7 @@ class _Index(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit

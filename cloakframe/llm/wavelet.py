@@ -37,19 +37,18 @@ def build(ids: np.ndarray, doc_ids: list, ends: np.ndarray) -> bytes:
     """The file image of a shard: ids of documents one after another, ends[k] after document k."""
     import zstandard
 
-    ids = ids.astype(np.uint32)
     n, planes = len(ids), max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    ids = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     parts = [np.array([n, len(doc_ids), planes], "<i8").tobytes(), known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.asarray(ends, "<i8").tobytes()]
     for level in range(planes - 1, -1, -1):
-        bit = (ids >> np.uint32(level)) & np.uint32(1)
-        one = bit.astype(bool)
+        one = (ids & ids.dtype.type(1 << level)) != 0
         packed = np.packbits(one, bitorder="little")
         packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
         per = _ones(packed).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
         ranks = np.concatenate([[0], np.cumsum(per)]).astype("<u4")
-        parts += [np.array([n - int(one.sum())], "<i8").tobytes(), ranks.tobytes(), packed.tobytes()]
-        ids = np.concatenate([ids[~one], ids[one]])
+        parts += [np.array([n - int(ranks[-1])], "<i8").tobytes(), ranks.tobytes(), packed.tobytes()]
+        ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
     return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -144,15 +143,15 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, in order."""
-        out, at = np.zeros(self.n, np.uint32), np.arange(self.n, dtype=np.uint32)
-        for p in range(self.planes):
-            bit = np.unpackbits(self.bits[p], count=self.n, bitorder="little")
-            ones = np.cumsum(bit, dtype=np.uint32)
-            b = bit[at]
-            one = ones[at] - b
-            at = np.where(b, np.uint32(self.zeros[p]) + one, at - one)
-            out = out << np.uint32(1) | b
-        return out
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        below = np.zeros(self.n, kind)
+        for p in range(self.planes - 1, -1, -1):  # undo the partings, lowest plane first
+            one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
+            out = np.empty(self.n, kind)
+            out[np.flatnonzero(one)] = below[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
+            out[np.flatnonzero(~one)] = below[: self.zeros[p]]
+            below = out
+        return below.astype(np.uint32)
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
