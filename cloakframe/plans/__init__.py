@@ -1 +1 @@
-
+"""Registered queries over the driver's tables, and SQL that gives the same results."""
