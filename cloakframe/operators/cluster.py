@@ -78,12 +78,31 @@ def _first(values: np.ndarray) -> int:
     return int(np.argmin(np.round(values, 12)))
 
 
-def _rest(space: Space, label: np.ndarray, gens: list, todo: list[int]) -> None:
+class _Clusters:
+    """Generalisations of all clusters side by side."""
+
+    def __init__(self, space: Space, gens: list):
+        self.space = space
+        self.cat, self.lo, self.hi = (np.array([g[k] for g in gens]) for k in range(3))
+
+    def nearest(self, i: int, of: np.ndarray | None = None) -> int:
+        """The cluster nearest to row i, of those given; it widens to take the row."""
+        s = self.space
+        of = np.arange(len(self.lo)) if of is None else of
+        cat = np.stack([t.lca[self.cat[of, j], s.cats[i, j]] for j, t in enumerate(s.trees)], -1) if s.trees else np.zeros((len(of), 0), int)
+        lo, hi = np.minimum(self.lo[of], s.nums[i]), np.maximum(self.hi[of], s.nums[i])
+        k = _first(2 * s.ncp(cat, lo, hi))
+        c = int(of[k])
+        self.cat[c], self.lo[c], self.hi[c] = cat[k], lo[k], hi[k]
+        return c
+
+
+def _rest(space: Space, label: np.ndarray, gens: list, todo: list[int]) -> _Clusters:
     """Rows left over go to the nearest cluster, which widens."""
+    clusters = _Clusters(space, gens)
     for i in todo:
-        best = _first(np.array([space.distance(g, np.array([i]))[0] for g in gens]))
-        label[i] = best
-        gens[best] = space.add(gens[best], i)
+        label[i] = clusters.nearest(i)
+    return clusters
 
 
 def knn(space: Space, k: int, rng) -> np.ndarray:
@@ -134,12 +153,12 @@ def oka(space: Space, k: int, rng) -> np.ndarray:
     gens = [space.start(i) for i in seeds]
     label[seeds] = np.arange(m)
     todo = [i for i in range(n) if label[i] < 0]
-    _rest(space, label, gens, todo)
+    wide = _rest(space, label, gens, todo)
     spare = []
     for c in range(m):  # the rows beyond k that are furthest from the centre leave
         own = np.flatnonzero(label == c)
         if len(own) > k:
-            g = (gens[c][0], space.nums[own].mean(0), space.nums[own].mean(0))
+            g = (wide.cat[c], space.nums[own].mean(0), space.nums[own].mean(0))
             order = own[np.argsort(np.round(space.distance(g, own), 12), kind="stable")]
             label[order[k:]] = -1
             spare += order[k:].tolist()
@@ -151,11 +170,11 @@ def oka(space: Space, k: int, rng) -> np.ndarray:
             g = space.add(g, i)
         gens.append(g)
     size = np.bincount(label[label >= 0], minlength=m)
+    clusters = _Clusters(space, gens)
     for i in sorted(spare):  # short clusters fill first
-        open_ = np.flatnonzero(size < k) if (size < k).any() else np.arange(m)
-        c = int(open_[_first(np.array([space.distance(gens[j], np.array([i]))[0] for j in open_]))])
-        label[i], gens[c] = c, space.add(gens[c], i)
-        size[c] += 1
+        short = np.flatnonzero(size < k)
+        label[i] = clusters.nearest(i, short if len(short) else None)
+        size[label[i]] += 1
     return label
 
 

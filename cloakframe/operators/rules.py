@@ -31,8 +31,8 @@ def sampled(baskets: DataFrame, fraction: float, rid: str = "rid", seed: int = 0
     return baskets.where(F.pmod(X.hash_order(rid, seed=seed), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
-def next_level(frequent: DataFrame, baskets: DataFrame, min_count: int, rid: str = "rid", items: str = "items") -> DataFrame:
-    """The frequent itemsets with one more item: prefix join, subset pruning, counting by an equi-join of items.
+def next_level(frequent: DataFrame, baskets: DataFrame, min_count: float, items: str = "items") -> DataFrame:
+    """The frequent itemsets with one more item: prefix join, subset pruning, and a count over the baskets with the first item.
 
     frequent: items (sorted), freq, all of one size.
     """
@@ -43,8 +43,8 @@ def next_level(frequent: DataFrame, baskets: DataFrame, min_count: int, rid: str
     subsets = made.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.concat(F.slice("c", F.lit(1), i - 1), F.slice("c", i + 1, F.size("c"))))).alias("sub"))
     bad = subsets.join(frequent.select(F.col("items").alias("known")), F.col("sub") == F.col("known"), "left_anti").select(F.col("c").alias("b")).distinct()
     good = made.join(bad, F.col("c") == F.col("b"), "left_anti")
-    long = baskets.select(F.col(rid).alias("__r"), F.explode(F.array_distinct(items)).alias("i"))
-    hits = good.select("c", F.explode("c").alias("w")).join(long, F.col("w") == F.col("i")).groupBy("c", "__r").agg(F.count("*").alias("k")).where(F.col("k") == F.size("c"))
+    each = baskets.select(F.array_distinct(items).alias("have")).select("have", F.explode("have").alias("i"))
+    hits = good.join(each, F.element_at("c", 1) == F.col("i")).where(F.size(F.array_except("c", "have")) == 0)
     return hits.groupBy("c").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count).select(F.col("c").alias("items"), "freq")
 
 
