@@ -3,7 +3,8 @@
 The tokenizer that the queries use drops white space, so a text's ids are those of its
 white-space-delimited words in order. Most words recur; a worker keeps the ids of up to
 `limit` different ones and asks the tokenizer only for new ones. The result equals an
-encode() of the whole text. A worker's table has a fixed bound and starts anew beyond it.
+encode() of the whole text. Beyond the limit a table forgets its rarest words, so a
+worker's memory has a fixed bound.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class _Index(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -46,7 +47,24 @@ class WordEncoder:
     def clear(self) -> None:
         self.index = _Index()
         self.n_ids = 0
-        self.starts, self.lens, self.pool = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
+        self.starts, self.lens, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self.pool = np.zeros(1 << 16, np.uint32)
+
+    def _forget(self) -> None:
+        """Keep the words met most often, half of the limit at most."""
+        n = len(self.index)
+        seen = self.seen[:n]
+        least = 2
+        while np.count_nonzero(seen >= least) > self.limit // 2:
+            least *= 2
+        keep = np.flatnonzero(seen >= least)
+        words, starts, lens = list(self.index), self.starts[keep].astype(np.int64), self.lens[keep].astype(np.int64)
+        ends = np.cumsum(lens)
+        pool = self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(int(lens.sum()))]
+        self.clear()
+        self.index.update(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        self.n_ids, self.pool = len(pool), np.concatenate([pool, np.zeros(1 << 16, np.uint32)])
+        self.starts, self.lens, self.seen = (np.concatenate([x.astype(np.int32), np.zeros(1 << 14, np.int32)]) for x in (ends - lens, lens, np.ones(len(keep))))
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and their numbers. Words of letters alone share one call, as each ends with a closing id."""
@@ -92,7 +110,7 @@ class WordEncoder:
             n = n[::2] + n[1::2]
             k = first + a
             while k + len(words) > len(self.starts):
-                self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+                self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seen))
             while self.n_ids + total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             self.starts[k : k + len(words)] = self.n_ids + np.cumsum(n) - n
@@ -107,18 +125,20 @@ class WordEncoder:
 
     def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.limit:
-            self.clear()
+            self._forget()
         words = [self._raw(t).split() for t in texts]
         per_text = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
         if self.index.new:
             self._add()
+        counts = np.bincount(at)
+        self.seen[: len(counts)] += counts.astype(np.int32)
         return at, per_text
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text; null is empty."""
         at, per_text = self._words(texts)
-        n = self.lens[at]
+        n = self.lens[at].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
@@ -128,7 +148,7 @@ class WordEncoder:
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
         at, per_text = self._words(texts)
-        total = np.concatenate([[0], np.cumsum(self.lens[at])])
+        total = np.concatenate([[0], np.cumsum(self.lens[at], dtype=np.int64)])
         return np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
 
 
@@ -144,11 +164,12 @@ def groups_of(texts: list[str | None], most: int = 2 << 20):
         yield a, len(texts)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
-    """This worker's encoder, whose table lasts from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder_of(path: str, limit: int = 600_000) -> WordEncoder:
+    """This worker's encoder, whose table lasts from task to task. A million words take about 120 MB."""
+    if (path, limit) not in _encoders:
+        _encoders.clear()
+        _encoders[path, limit] = WordEncoder(path, limit)
+    return _encoders[path, limit]

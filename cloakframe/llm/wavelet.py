@@ -159,15 +159,16 @@ SHARDS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("first_doc", p
 READ = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 2_000_000) -> DataFrame:
     """doc_id and the ids with the end id, as little-endian unsigned 16-bit numbers; null text is empty.
 
-    The vocabulary must have at most 65,536 ids.
+    The vocabulary must have at most 65,536 ids. table_words: how many different words a
+    worker remembers.
     """
     prepare(docs.sparkSession)
 
     def run(batches):
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, table_words)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary is too large for 16 bits")
         for batch in batches:
