@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

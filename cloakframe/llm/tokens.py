@@ -46,25 +46,24 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.n_ids = 0
-        self.starts, self.lens, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self.n_ids = self.calls = 0
+        self.starts, self.lens, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.pool = np.zeros(1 << 16, np.uint32)
 
     def _forget(self) -> None:
         """Keep the words met most often, half of the limit at most."""
         n = len(self.index)
-        seen = self.seen[:n]
-        least = 2
+        seen, least = self.seen[:n], 1
         while np.count_nonzero(seen >= least) > self.limit // 2:
             least *= 2
         keep = np.flatnonzero(seen >= least)
-        words, starts, lens = list(self.index), self.starts[keep].astype(np.int64), self.lens[keep].astype(np.int64)
+        words, starts, lens = list(self.index), self.starts[keep], self.lens[keep]
         ends = np.cumsum(lens)
         pool = self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(int(lens.sum()))]
         self.clear()
         self.index.update(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
         self.n_ids, self.pool = len(pool), np.concatenate([pool, np.zeros(1 << 16, np.uint32)])
-        self.starts, self.lens, self.seen = (np.concatenate([x.astype(np.int32), np.zeros(1 << 14, np.int32)]) for x in (ends - lens, lens, np.ones(len(keep))))
+        self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros(1 << 14, np.int64)]) for x in (ends - lens, lens, np.ones(len(keep), np.int64)))
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and their numbers. Words of letters alone share one call, as each ends with a closing id."""
@@ -131,24 +130,28 @@ class WordEncoder:
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
         if self.index.new:
             self._add()
-        counts = np.bincount(at)
-        self.seen[: len(counts)] += counts.astype(np.int32)
+        self.calls += 1
+        if self.calls % 4 == 1:  # enough to tell frequent words from rare ones
+            counts = np.bincount(at)
+            self.seen[: len(counts)] += counts
         return at, per_text
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text; null is empty."""
         at, per_text = self._words(texts)
-        n = self.lens[at].astype(np.int64)
+        n = self.lens.take(at)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
+        where = np.arange(total)
+        where += np.repeat(self.starts.take(at) - (ends - n), n)
+        ids = self.pool.take(where)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
         return ids, np.diff(bounds)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
         at, per_text = self._words(texts)
-        total = np.concatenate([[0], np.cumsum(self.lens[at], dtype=np.int64)])
+        total = np.concatenate([[0], np.cumsum(self.lens.take(at))])
         return np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
 
 
@@ -167,7 +170,7 @@ def groups_of(texts: list[str | None], most: int = 2 << 20):
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_of(path: str, limit: int = 600_000) -> WordEncoder:
+def encoder_of(path: str, limit: int = 1_000_000) -> WordEncoder:
     """This worker's encoder, whose table lasts from task to task. A million words take about 120 MB."""
     if (path, limit) not in _encoders:
         _encoders.clear()
