@@ -106,7 +106,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` bytes; a longer text is a run of its own."""
     n, a = len(offsets) - 1, 0
     while a < n:
@@ -135,7 +135,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2^64, and their inverses."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         inverse = pow(_BASE, -1, 1 << 64)
         made = []
         for b in (_BASE, inverse):

@@ -104,18 +104,19 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "padding")] + [("ids", pa.binary())])
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_from: Column | None = None, block: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_from: Column | None = None, block: int = 4096, with_ids: bool = True, table_words: int = 1_000_000) -> DataFrame:
     """One row per piece, in SCHEMA; ids are little-endian unsigned 32-bit, or null without with_ids.
 
     loss_from: a column with the number of leading tokens of a row that bear no loss (a
     prompt); without it all tokens bear loss. sequence_id is unique, and the same each time
-    for the same files and splits. padding is given on a sequence's last piece, else 0.
+    for the same files and splits. table_words: how many different words a worker
+    remembers. padding is given on a sequence's last piece, else 0.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(0) if loss_from is None else F.coalesce(loss_from, F.lit(0))).cast("long").alias("skip"))
 
     def run(batches):
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, table_words)
         sequence = (TaskContext.get().partitionId()) << 36
         held: list[tuple[int, int, np.ndarray, int]] = []
 

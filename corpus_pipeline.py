@@ -41,8 +41,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, with their ids."""
-    return packing.pack(docs, word_tokenizer())
+    """Pieces of sequences of at most 2048 tokens, with their ids. Workers live on between stages, so their word tables are small here."""
+    return packing.pack(docs, word_tokenizer(), table_words=200_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", pseudonyms), ("packing", packed)]
