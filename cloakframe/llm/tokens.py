@@ -18,7 +18,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 1
 
 
-_PUNCTUATION = b".,;:!?"
+_PUNCTUATION = b".,;:!?#*$%&)]}\""  # without quotes and brackets that contractions and special tokens have
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether the last character is a letter up to U+024F that lower-casing leaves one letter."""
+    if word[-1] < 128:
+        return 97 <= word[-1] | 32 <= 122
+    return 0xC3 <= word[-2] <= 0xC9 and word[-2:].decode("utf-8").lower().isalpha()
 
 
 class _Index(dict):
@@ -67,7 +74,7 @@ class WordEncoder:
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and their numbers. Words of letters alone share one call, as each ends with a closing id."""
-        plain = [w.isalpha() and w.lower().isalpha() for w in words]
+        plain = [w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in words]
         lens = np.zeros(len(words), np.int64)
         at = np.array(plain, bool)
         letters = [w for w, p in zip(words, plain, strict=True) if p]
@@ -91,23 +98,26 @@ class WordEncoder:
         first = len(self.index) - len(new)
         # A word that ends with marks after a letter is the word and the marks: most such words are known without them.
         for a in range(0, len(new), 20_000):
-            words = new[a : a + 20_000]
-            parts, tails = [], []
+            words, k = new[a : a + 20_000], first + a
+            # ~j: part j of those to encode; a word from an earlier turn has its number, and isn't encoded again.
+            of, number = [], {}
             for w in words:
                 core = w.rstrip(_PUNCTUATION)
-                cut = core if core and core != w and 97 <= core[-1] | 32 <= 122 and core[-1] < 128 else w
-                parts.append(cut)
-                tails.append(w[len(cut) :])
-            different = list(dict.fromkeys([*parts, *tails]))
-            number = {w: i for i, w in enumerate(different)}
-            ids, lens = self._ids([w.decode("utf-8") for w in different])
-            starts = np.cumsum(lens) - lens
-            of = np.array([number[w] for w in chain.from_iterable(zip(parts, tails, strict=True))], np.int64)
-            n = lens[of]
+                if core and core != w and _ends_in_letter(core):
+                    at = self.index.get(core, k)
+                    of.append(at if at < k else ~number.setdefault(core, len(number)))
+                    of.append(~number.setdefault(w[len(core) :], len(number)))
+                else:
+                    of.append(~number.setdefault(w, len(number)))
+                    of.append(~number.setdefault(b"", len(number)))
+            ids, lens = self._ids([w.decode("utf-8") for w in number])
+            of = np.array(of, np.int64)
+            fresh, of = of < 0, np.where(of < 0, ~of, of)
+            starts = np.where(fresh, (np.cumsum(lens) - lens + self.n_ids)[np.where(fresh, of, 0)], self.starts[np.where(fresh, 0, of)])
+            n = np.where(fresh, lens[np.where(fresh, of, 0)], self.lens[np.where(fresh, 0, of)])
             total = int(n.sum())
-            ids = ids[np.repeat(starts[of] - (np.cumsum(n) - n), n) + np.arange(total)]
+            ids = np.concatenate([self.pool[: self.n_ids], ids])[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(total)]
             n = n[::2] + n[1::2]
-            k = first + a
             while k + len(words) > len(self.starts):
                 self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seen))
             while self.n_ids + total > len(self.pool):
