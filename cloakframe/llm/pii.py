@@ -206,12 +206,13 @@ def _letters26(s: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.lower(F.substring_index(m, "@", 1))
+    given = F.substring_index(m, "@", 1)
+    local = F.lower(given)  # may be longer
     letters, digits = F.regexp_replace(local, r"[0-9]|[^\p{L}\p{N}]", ""), _digits(local)
     hashed = F.translate(F.rpad(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), letters), 256), F.length(letters), F.lit("x")), "0123456789", "ghijklmnop")
     to = F.when(letters.rlike("^[a-z]{1,22}$"), _letters26(letters, key)).otherwise(hashed)
     number = F.when(F.length(digits).between(1, 30), permute_digits(digits, key, "mail")).otherwise(F.rpad(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), digits), 256), 1, 15), 16, 10), F.length(digits), F.lit("7")))
-    return F.concat(_refill(local, number, to), F.substring(m, F.length(local) + 1, F.length(m)))
+    return F.concat(_refill(local, number, to), F.substring(m, F.length(given) + 1, F.length(m)))
 
 
 def _replaced(text: Column, pattern: str, change) -> Column:
