@@ -15,7 +15,7 @@ of a format stay different, and no table of values is needed: no row meets anoth
 | ssn | area, group and serial of US numbers | the valid numbers |
 | phone | North American plan, or + and 7 to 15 digits | area, exchange and line; or all but two digits |
 | ip | four octets | the 2^32 addresses |
-| date | the calendar, 1900 to 2099 | the days of these 200 years |
+| date | the calendar, 1900 to 2099 | the days of these 200 years; up to the 12th of a month and later ones apart, so that a date with slashes reads in one way before and after |
 | email | its shape | letters and digits of the part before @ |
 
 Invalid candidates stay as they are. Null text stays null, empty text empty. Texts of any
@@ -74,6 +74,13 @@ def permute(x: Column, size: int, key: str, tweak: str) -> Column:
     return walked
 
 
+def permute_days(n: Column, key: str) -> Column:
+    """A keyed permutation of the days from 1900-01-01 (0) to 2099-12-31 that takes days after the 12th of a month to such days."""
+    late = lambda v: F.dayofmonth(F.date_add(F.lit("1900-01-01").cast("date"), v.cast("int"))) > 12
+    once = lambda v: permute(v, 73049, key, "date")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(n.cast("long")), lambda v, _: F.when(late(v) == late(n), v).otherwise(once(v)))
+
+
 def permute_digits(d: Column, key: str, tweak: str) -> Column:
     """A keyed permutation of the strings of as many digits (1 to 30)."""
     n = F.length(d)
@@ -148,7 +155,7 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     day = F.when(iso, F.substring(m, 9, 2).cast("int")).when(month_first, second).otherwise(first)
     at = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
     day_no = F.datediff(at, F.lit("1900-01-01").cast("date"))
-    new = F.date_add(F.lit("1900-01-01").cast("date"), permute(day_no, 73049, key, "date").cast("int"))
+    new = F.date_add(F.lit("1900-01-01").cast("date"), permute_days(day_no, key).cast("int"))
     return at.isNotNull() & (year >= 1900) & (year <= 2099), form(new)
 
 

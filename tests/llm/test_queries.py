@@ -236,6 +236,14 @@ def test_permutations(spark, size, tweak):
     assert tuple(out) == (size, 0, size - 1)
 
 
+def test_dates_stay_apart(spark):
+    """Each day of 200 years, written with slashes: days after the 12th once day first, once month first."""
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.where("dayofmonth(d) > 12").select(F.date_format("d", "MM/dd/yyyy")))
+    out = pii.pseudonymize(texts, "k").agg(F.count("*"), F.count_distinct("text"), F.sum(F.size("pii"))).first()
+    assert out[0] == out[1] == out[2] == 73049 + 73049 - 200 * 12 * 12
+
+
 def test_permuted_digits_and_letters(spark):
     for n in (1, 2, 3):
         out = spark.range(10**n).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), n, "0"), "k", "t").alias("x"))
