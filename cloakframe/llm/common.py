@@ -29,7 +29,7 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         base = spark.conf.get("cloakframe.shared.dir", "")
         if not base:
@@ -50,6 +50,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """The size of a stored table's files, as Spark's plan knows it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing will read again."""
     jvm = spark.sparkContext._jvm

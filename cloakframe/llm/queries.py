@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt_dedup, chat, decontam, edit_counts, licenses, packing, pii, repetition, superminhash, wavelet
-from .common import batch_of, new_path, prepare
+from .common import batch_of, new_path, prepare, stored
 
 #: A demonstration key; a deployment passes its own.
 PII_KEY = "cloakframe-demo"
@@ -62,11 +62,9 @@ def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import stored
-
     tokens = stored(wavelet.tokenized(table(spark, sf_dir, "documents"), word_tokenizer()), "tokens")
     path = new_path(spark, "shards")
-    wavelet.write_shards(tokens, path, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    wavelet.write_shards(tokens, path)
     return wavelet.read_shards(spark, path)
 
 

@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, ids_and_texts, prepare
+from .common import batch_of, ids_and_texts, prepare, table_bytes
 from .tokens import END_ID, encoder_of, groups_of
 
 MAGIC = b"WVMX1\0\0\0"
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
+PARTITION_BYTES = 128 << 20
 
 
 def _ones(packed: np.ndarray) -> np.ndarray:
@@ -183,12 +184,17 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_shards(tokens: DataFrame, path: str, partitions: int, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(tokens: DataFrame, path: str, partitions: int | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
     """Shards of about shard_tokens ids, in ascending doc_id order over all of them, written to path.
 
     tokens: what tokenized() returns, stored, as the range bounds are sampled from it. A
-    document lies in one shard whole, however long.
+    document lies in one shard whole, however long. partitions: without it, the session's
+    number for shuffles, and more where the files would give each over PARTITION_BYTES.
     """
+    if partitions is None:
+        usual = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, usual, -(-table_bytes(tokens) // PARTITION_BYTES))
+
     def run(batches):
         part, shard = TaskContext.get().partitionId(), 0
         docs, ids, ends, n = [], [], [], 0
