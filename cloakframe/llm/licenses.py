@@ -6,9 +6,12 @@ subsequence of them is kept, and the gaps between kept anchors are aligned again
 equal words at their ends are matched. Coverage is the share of the template's words that
 are matched.
 
-The parts are windows around each occurrence of the template word that is rarest in the
-text, so a notice that stands twice is found and long texts cost no more than their
-length. A text is only aligned with templates that its set of words could cover.
+The parts are windows around each occurrence of the template words that are rarest in the
+text, so long texts cost no more than their length. The occurrence is an anchor itself. The
+parts on its two sides first end about where the template does, then where the same word
+stands again, so a notice that stands twice is found however near the copies are; only if
+that covers too little do they reach further. A part may be longer than another only if
+a tenth of the words it takes in are matched. A text is only aligned with templates that its set of words could cover.
 
 Null texts and texts without words have no licences. Nothing crosses rows.
 """
@@ -66,15 +69,15 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs (i, j) with a[i] == b[j], rising in both."""
-    out, todo = [], [(0, len(a), 0, len(b))]
+def align(a: list[str], b: list[str], head: bool = True, tail: bool = True) -> list[tuple[int, int]]:
+    """Pairs (i, j) with a[i] == b[j], rising in both. head, tail: whether both start, or end, at the same place, so that equal words there belong together."""
+    out, todo = [], [(0, len(a), 0, len(b), head, tail)]
     while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+        a0, a1, b0, b1, head, tail = todo.pop()
+        while head and a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             out.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+        while tail and a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
         if a0 == a1 or b0 == b1:
@@ -89,11 +92,69 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         i0, j0 = a0, b0
         for i, j in [*kept, (a1, b1)]:
             if i > i0 and j > j0:
-                todo.append((i0, i, j0, j))
+                todo.append((i0, i, j0, j, head or i0 > a0, tail or i < a1))
             i0, j0 = i + 1, j + 1
     return sorted(out)
 
 
+def _around(words: list[str], t: list[str], p: int, j: int, low: int, high: int) -> tuple[int, int, int]:
+    """Matched words, first word and past the last word of the template when words[p] is its word j and nothing outside low to high is."""
+    left = align(words[low:p], t[:j], head=False)
+    right = align(words[p + 1 : high], t[j + 1 :], tail=False)
+    return 1 + len(left) + len(right), low + left[0][0] if left else p, p + 2 + right[-1][0] if right else p + 1
+
+
+def _places(words: list[str], t: list[str], need: float, own: set[str]) -> list[tuple[int, int, int]]:
+    """(matched words, first word, past the last word) of each place where at least need words of the template are matched, one of own among them."""
+    reach, spread, share = 2 * len(t), 2 + len(t) // 8, Counter(t)
+    spots = {w: [j for j, x in enumerate(t) if x == w] for w in own}
+    at = {w: [] for w in own}
+    order = []
+    for i, w in enumerate(words):
+        if w in own:
+            order.append((i, len(at[w])))
+            at[w].append(i)
+
+    def score(hit):
+        return 10 * hit[0] - hit[2] + hit[1]
+
+    def best(p: int, k: int, start: int, end: int):
+        """The best place that words[p], the k-th of its kind, is matched in."""
+        a, b = max(start, p - reach), min(end, p + 1 + reach)
+        near = Counter(w for w in words[a:b] if w in share)
+        if sum(min(n, share[w]) for w, n in near.items()) < need:
+            return None
+        close, far = [], []
+        same, places = at[words[p]], spots[words[p]]
+        for r, j in enumerate(places):  # words[p] as the template's r-th such word: those of other copies bound it
+            i, m = k - r - 1, k - r + len(places)
+            low, high = max(a, same[i] + 1) if i >= 0 else a, min(b, same[m]) if m < len(same) else b
+            close += [(j, max(low, p - j - spread), min(high, p + len(t) - j + spread)), (j, low, high)]
+            far.append((j, a, b))
+        for tries in (close, far):
+            hits = [h for h in (_around(words, t, p, *x) for x in tries) if h[0] >= need]
+            if hits:
+                return max(hits, key=score)
+        return None
+
+    out, done = [], 0
+    for q, (p, k) in enumerate(order):
+        if p < done or not (hit := best(p, k, done, len(words))):
+            continue
+        # words[p] may stand before the notice by chance, or the place run into the next one: the best around any word in it counts.
+        top, past = hit, hit[2]
+        for x in range(q + 1, len(order)):
+            if order[x][0] >= past or score(top) == 9 * len(t):
+                break
+            if (other := best(*order[x], done, len(words))) and score(other) > score(top):
+                top = other
+        if p < top[1] and (hit := best(p, k, done, top[1])):
+            out.append(hit)
+        out.append(top)
+        done = top[2]
+    return out
+
+
 def matches(words: list[str], templates: dict[str, list[str]], coverage: float) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, past the last word) of each place where a template is covered; of places that overlap, the one with more matched words stays."""
     if not words:
@@ -116,21 +177,13 @@ def matches(words: list[str], templates: dict[str, list[str]], coverage: float)
             gone += share[w]
             if gone > spare:
                 break
-        reach, done = 2 * len(t), 0
-        for p in (i for i, w in enumerate(words) if w in own):
-            if p < done:
-                continue
-            a, b = max(0, p - len(t)), min(len(words), p + reach)
-            pairs = align(words[a:b], t)
-            if len(pairs) >= need:
-                first, past = a + pairs[0][0], a + pairs[-1][0] + 1
-                found.append((len(pairs), name, len(pairs) / len(t), first, past))
-                done = past
-    out = []
+        found += [(n, name, n / len(t), first, past) for n, first, past in _places(words, t, need, own)]
+    out = []  # by first word; none overlap
     for _, name, share, a, b in sorted(found, key=lambda x: (-x[0], x[3], x[1])):
-        if all(b <= c or d <= a for _, _, c, d in out):
-            out.append((name, share, a, b))
-    return sorted(out, key=lambda x: x[2])
+        i = bisect_left(out, a, key=lambda x: x[2])
+        if (i == 0 or out[i - 1][3] <= a) and (i == len(out) or b <= out[i][2]):
+            out.insert(i, (name, share, a, b))
+    return out
 
 
 OUT = "doc_id long, n_words long, licenses array<struct<license:string,coverage:double,first_word:long,past_word:long,start:long,end:long>>"

@@ -177,6 +177,42 @@ def test_alignment():
     assert licenses.matches("the license of the work is under version".split(), {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}, 0.8) == []
 
 
+ALL = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+
+
+@pytest.mark.parametrize("name", ["MIT-notice", "CC-BY-NC-4.0-notice", "MIT", "BSD-2-Clause", "ISC", "MPL-2.0"])
+@pytest.mark.parametrize("gap", [0, 1, 7, 150])
+def test_notices_near_each_other(name, gap):
+    t, words, want = ALL[name], [], []
+    for c in range(5):
+        words += [f"x{c}{i}" for i in range(gap)]
+        want.append((name, 1.0, len(words), len(words) + len(t)))
+        words += t
+    assert licenses.matches(words, ALL, 0.8) == want
+
+
+def test_changed_notices_near_each_other():
+    """Copies with words changed, added and left out, of several licences, one after the other."""
+    rng = random.Random(3)
+    for name in ("MIT", "BSD-2-Clause", "ISC", "Apache-2.0-header", "GPL-3.0-or-later"):
+        words, want = [], []
+        for c in range(30):
+            kind = name if c % 3 else "MIT"
+            start = len(words)
+            for i, w in enumerate(ALL[kind]):
+                words += [[w], [w], [w, f"new{c}{i}"], [f"other{c}{i}"], []][rng.randrange(5) if rng.random() < 0.1 and 0 < i < len(ALL[kind]) - 1 else 0]
+            want.append((kind, start, len(words)))
+        found = licenses.matches(words, ALL, 0.8)
+        assert [f[0] for f in found] == [w[0] for w in want]
+        assert all(abs(f[2] - w[1]) + abs(f[3] - w[2]) <= 0.15 * len(ALL[w[0]]) for f, w in zip(found, want, strict=True))
+
+
+def test_notice_with_words_added_on_the_left():
+    words = "y copyright c 2019 2021 john smith jane doe and the other contributors all rights reserved z".split()
+    t = "copyright by contributors all rights reserved".split()
+    assert licenses.matches(words, {"t": t}, 0.8) == [("t", 5 / 6, 1, 16)]
+
+
 def test_scan_offsets():
     machine = decontam.automaton([(1, "a b c d e f g h i j k"), (2, "Q r")])
     runs, items = decontam.scan(decontam.normalised("x A-b c d e f g h i J k, q R"), machine)
