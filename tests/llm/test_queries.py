@@ -164,6 +164,25 @@ def test_op10(spark, sf):
         assert got[i]["licenses"] == ",".join(names) and got[i]["n_words"] == len(licenses.words_of(t))
 
 
+LINES = {"All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-notice", "Released under the MIT License.": "MIT-notice", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-notice"}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_op10_finds_every_notice_line(spark):
+    """Each line of the tables that is a notice, by its name and in the order of the lines."""
+    d = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    want = {i: ",".join(LINES[x] for x in t.split("\n") if x in LINES) for i, t in docs.items()}
+    assert set(",".join(filter(None, want.values())).split(",")) == set(LINES.values())
+    assert {r["doc_id"]: r["licenses"] for r in queries.op10_license_scan(spark, d).collect()} == want
+
+
+def test_rights_reserved(spark):
+    texts = ["All rights reserved.", "Copyright (c) 2019-2021 John Smith, Jane Doe and others. All rights reserved. All rights reserved.", "all rights", None]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[texts[r["doc_id"]][x["start"] : x["end"]] for x in r["licenses"]] for r in got] == [["All rights reserved"], ["All rights reserved"] * 2, [], []]
+
+
 def test_pipeline(spark, sf, plain):
     d, docs, bench, _ = sf
     kept = {i: docs[i] for i, v in brute.quality(docs).items() if v[6]}
