@@ -48,6 +48,16 @@ def next_level(frequent: DataFrame, baskets: DataFrame, min_count: float, items:
     return hits.groupBy("c").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count).select(F.col("c").alias("items"), "freq")
 
 
+def levelwise(baskets: DataFrame, min_count: float, items: str = "items") -> DataFrame:
+    """items (sorted), freq: all itemsets with at least min_count rows, a level at a time until one is empty."""
+    keep = lambda x: x.localCheckpoint() if not x.sparkSession.sparkContext.getCheckpointDir() else x.checkpoint()
+    out = level = keep(item_counts(baskets, items).where(F.col("n") >= min_count).select(F.array("item").alias("items"), F.col("n").alias("freq")))
+    while not level.isEmpty():
+        level = keep(next_level(level, baskets, min_count, items))
+        out = out.unionByName(level)
+    return out
+
+
 def rules_of(itemsets: DataFrame, n_rows: int, min_confidence: float, quasi: list[str] | None = None) -> DataFrame:
     """All rules A => B of each itemset: every proper subset as A, the rest as B.
 

@@ -148,12 +148,13 @@ def item_histogram(spark, sf):
 
 @query(_ALL + _levels() + " SELECT array_to_string(items, ',') AS items, freq FROM l")
 def frequent_itemsets(spark, sf):
-    found = R.frequent_itemsets(baskets(spark, sf), 0.1)
-    return found.where(F.size("items") <= 3).select(F.array_join("items", ",").alias("items"), "freq")
+    """Itemsets of any size; the SQL has those of up to three items."""
+    return R.frequent_itemsets(baskets(spark, sf), 0.1).select(F.array_join("items", ",").alias("items"), "freq")
 
 
 @query(_ALL + _levels() + " SELECT array_to_string(items, ',') AS items, freq FROM l3")
 def levelwise_itemsets(spark, sf):
+    """The third level alone; levelwise_all has all of them."""
     b = baskets(spark, sf).persist()
     least = 0.1 * b.count()
     level = R.item_counts(b).where(F.col("n") >= least).select(F.array("item").alias("items"), F.col("n").alias("freq"))
@@ -162,13 +163,31 @@ def levelwise_itemsets(spark, sf):
     return level.select(F.array_join("items", ",").alias("items"), "freq")
 
 
+@query()
+def levelwise_all(spark, sf):
+    """Itemsets of any size, level by level until one is empty."""
+    b = baskets(spark, sf).persist()
+    return R.levelwise(b, 0.1 * b.count()).select(F.array_join("items", ",").alias("items"), "freq")
+
+
 _SAMPLE = "WITH x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 < 6)"
 
 
 @query(_SAMPLE + _levels(share=0.06) + " SELECT array_to_string(items, ',') AS items, freq FROM l")
 def sampled_itemsets(spark, sf):
+    """Those of up to three items, as the SQL has no more levels; sampled_itemsets_all has all of them."""
+    return _sampled(spark, sf).where(F.size("items") <= 3).select(F.array_join("items", ",").alias("items"), "freq")
+
+
+@query()
+def sampled_itemsets_all(spark, sf):
+    """Itemsets of any size in the sample."""
+    return _sampled(spark, sf).select(F.array_join("items", ",").alias("items"), "freq")
+
+
+def _sampled(spark, sf) -> DataFrame:
     b = baskets(spark, sf).where(F.col("rid") % 10 < 6)  # the sample is the operator
-    return R.frequent_itemsets(b, 0.1, sample_factor=0.6).where(F.size("items") <= 3).select(F.array_join("items", ",").alias("items"), "freq")
+    return R.frequent_itemsets(b, 0.1, sample_factor=0.6)
 
 
 def _side(items: str) -> str:
@@ -184,7 +203,7 @@ r{name} AS (SELECT md5({_side('a')} || '=>' || {_side('b')}) AS hash, array_to_s
 def mined(spark, sf, years=None, conf: float = 0.3, quasi: list[str] | None = None) -> DataFrame:
     b = baskets(spark, sf, years).persist()
     n = b.count()
-    return R.rules_of(R.frequent_itemsets(b, 0.1).where(F.size("items") <= 3), n, conf, quasi)
+    return R.rules_of(R.frequent_itemsets(b, 0.1), n, conf, quasi)
 
 
 def shown(side: str):

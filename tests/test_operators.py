@@ -41,6 +41,14 @@ def test_itemsets_and_levels(baskets):
         assert {tuple(r["items"]): r["freq"] for r in level.collect()} == {k: v for k, v in want.items() if len(k) == size}
 
 
+def test_levelwise_ends_with_an_empty_level(spark):
+    """Six items that stand together: all 63 itemsets."""
+    b = spark.createDataFrame([(i, [f"{x}=1" for x in "abcdef"]) for i in range(3)] + [(3, ["a=1"]), (4, [])], "rid long, items array<string>")
+    got = {tuple(r["items"]): r["freq"] for r in R.levelwise(b, 3).collect()}
+    assert got == {c: 4 if c == ("a=1",) else 3 for n in range(1, 7) for c in combinations([f"{x}=1" for x in "abcdef"], n)}
+    assert R.levelwise(b, 5).count() == 0
+
+
 def test_rules_have_any_consequent(baskets):
     freq = brute_itemsets(2)
     want = {(a, tuple(sorted(set(c) - set(a)))): (n, freq[a]) for c, n in freq.items() for k in range(1, len(c)) for a in combinations(c, k) if n / freq[a] >= 0.5}

@@ -1,5 +1,8 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
+from collections import Counter
+from datetime import date
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -31,6 +34,48 @@ def test_query(spark, duck, name):
     assert plain(catalog.QUERIES[name](spark, DIR).toPandas()) == plain(duck.sql(catalog.ORACLES[name]).df())
 
 
+def itemsets(rows, least):
+    """Itemsets of any size in plain Python."""
+    counts = Counter(c for b in rows for n in range(1, len(b) + 1) for c in combinations(sorted(b), n))
+    return {",".join(c): k for c, k in counts.items() if k >= least}
+
+
+@pytest.fixture(scope="module")
+def bought(duck):
+    """The item lists of orders."""
+    return dict(duck.sql("SELECT l_orderkey, list(DISTINCT p_type || '=y') FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1").fetchall())
+
+
+@pytest.mark.skipif(not Path(DIR).exists(), reason="no tables")
+def test_itemsets_of_any_size(spark, bought):
+    sample = [b for k, b in bought.items() if k % 10 < 6]
+    want = itemsets(sample, 0.06 * len(sample))
+    assert any(x.count(",") == 3 for x in want)
+    assert dict(map(tuple, catalog.QUERIES["sampled_itemsets_all"](spark, DIR).collect())) == want
+    want = itemsets(bought.values(), 0.1 * len(bought))
+    for name in ("frequent_itemsets", "levelwise_all"):
+        assert dict(map(tuple, catalog.QUERIES[name](spark, DIR).collect())) == want
+
+
+@pytest.fixture(scope="module")
+def bundles(spark, tmp_path_factory):
+    """Tables in which four part types are always bought together."""
+    d = str(tmp_path_factory.mktemp("bundles"))
+    spark.createDataFrame([(o, p) for o in range(20) for p in ([1, 2, 3, 4] if o < 15 else [5])], "l_orderkey long, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(("PROMO A", "B", "C", "D", "E"), 1)], "p_partkey long, p_type string").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(o, date(1993 + 3 * (o % 2), 1, 1)) for o in range(20)], "o_orderkey long, o_orderdate date").write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+def test_rules_from_itemsets_of_any_size(spark, bundles):
+    """Four items give 14 + 4 * 6 + 6 * 2 = 50 rules; all but those without the quasi-identifier have a budget."""
+    assert catalog.QUERIES["frequent_itemsets"](spark, bundles).count() == 16
+    rules = catalog.QUERIES["association_rules"](spark, bundles).collect()
+    assert len(rules) == 50 and max(len(f"{r['a']},{r['b']}".split(",")) for r in rules) == 4
+    assert catalog.QUERIES["rule_budgets"](spark, bundles).count() == 50 - 12
+    assert catalog.QUERIES["rules_compared"](spark, bundles).first()["n_before"] == 50
+
+
 def test_entry_survives_without_text_operators():
     import __spark_entry__
 
