@@ -360,7 +360,7 @@ def _distance():
 
 @query(f"SELECT seed, p_partkey, distance, rank FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6), a.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey <= 5 AND a.p_partkey <> s.p_partkey) WHERE rank <= 9")
 def nearest_neighbours(spark, sf):
-    """The k - 1 rows nearest to each of a few seeds."""
+    """The k - 1 rows nearest to each of the five seeds of the SQL; nearest_neighbours_all answers the whole query set."""
     x = table(spark, sf, "part").crossJoin(F.broadcast(_seeds(spark, sf))).where("p_partkey <> seed").withColumn("distance", F.round(_distance(), 6))
     w = Window.partitionBy("seed").orderBy("distance", "p_partkey")
     return x.withColumn("rank", F.row_number().over(w)).where("rank <= 9").select("seed", "p_partkey", "distance", "rank")
@@ -379,6 +379,58 @@ def furthest_row(spark, sf):
     return x.groupBy("seed").agg(F.max(F.struct("distance", "p_partkey")).alias("b")).select("seed", F.col("b.p_partkey").alias("p_partkey"), F.col("b.distance").alias("distance"))
 
 
+_KIND = ["p_size", "p_type"]
+
+
+def _query_set(spark, sf) -> DataFrame:
+    """The query set of the searches: the parts whose id is divisible by 50."""
+    return table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"), F.col("p_size").alias("s_size"), F.col("p_type").alias("s_type"))
+
+
+def _same_kind():
+    return F.col("k_size").eqNullSafe(F.col("s_size")) & F.col("k_type").eqNullSafe(F.col("s_type"))
+
+
+@query()
+def nearest_neighbours_all(spark, sf):
+    """The k - 1 rows nearest to each row of the query set, of all rows.
+
+    The distance depends on size and type alone, so of rows that agree in both only the
+    first k count, and seeds that agree in both are searched for once; each task keeps the
+    first k per search. One more than k - 1 is kept for the seed itself.
+    """
+    seeds = _query_set(spark, sf)
+    near = Window.partitionBy(*_KIND).orderBy("p_partkey")
+    rows = table(spark, sf, "part").select("p_partkey", *_KIND).withColumn("i", F.row_number().over(near)).where(F.col("i") <= K).drop("i")
+    kinds = seeds.select("s_size", "s_type").distinct()
+    w = Window.partitionBy("s_size", "s_type").orderBy("distance", "p_partkey")
+    first = rows.crossJoin(F.broadcast(kinds)).withColumn("distance", F.round(_distance(), 6)).withColumn("i", F.row_number().over(w)).where(F.col("i") <= K)
+    first = first.select(F.col("s_size").alias("k_size"), F.col("s_type").alias("k_type"), "p_partkey", "distance")
+    each = seeds.join(first, _same_kind()).where("p_partkey <> seed")
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "p_partkey"))
+    return each.withColumn("rank", rank).where(F.col("rank") < K).select("seed", "p_partkey", "distance", "rank")
+
+
+@query()
+def nearest_seed_all(spark, sf):
+    """Each row's nearest row of the query set; of seeds that agree in size and type the first counts."""
+    seeds = _query_set(spark, sf).groupBy("s_size", "s_type").agg(F.min("seed").alias("seed"))
+    rows = table(spark, sf, "part").select("p_partkey", *_KIND)
+    best = rows.select(*_KIND).distinct().crossJoin(F.broadcast(seeds)).withColumn("distance", F.round(_distance(), 6)).groupBy(*_KIND).agg(F.min(F.struct("distance", "seed")).alias("b"))
+    best = best.select(F.col("p_size").alias("k_size"), F.col("p_type").alias("k_type"), "b")
+    return rows.join(best, F.col("k_size").eqNullSafe(F.col("p_size")) & F.col("k_type").eqNullSafe(F.col("p_type"))).select("p_partkey", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"))
+
+
+@query()
+def furthest_row_all(spark, sf):
+    """The row furthest from each row of the query set; of rows that agree in size and type the last counts."""
+    seeds = _query_set(spark, sf)
+    rows = table(spark, sf, "part").groupBy(*_KIND).agg(F.max("p_partkey").alias("p_partkey"))
+    best = rows.crossJoin(F.broadcast(seeds.select("s_size", "s_type").distinct())).withColumn("distance", F.round(_distance(), 6)).groupBy("s_size", "s_type").agg(F.max(F.struct("distance", "p_partkey")).alias("b"))
+    best = best.select(F.col("s_size").alias("k_size"), F.col("s_type").alias("k_type"), "b")
+    return seeds.join(best, _same_kind()).select("seed", F.col("b.p_partkey").alias("p_partkey"), F.col("b.distance").alias("distance"))
+
+
 def _order_parts(spark, sf, depth: int) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rid"), "o_totalprice", "o_orderpriority", "o_orderstatus")
     return P.partition(rows, ["o_totalprice"], ["o_orderpriority"], [P.k_anonymous(K)], depth, keep=lambda x: x.checkpoint() if spark.sparkContext.getCheckpointDir() else x.persist())

@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.plans import catalog
 
@@ -76,6 +77,27 @@ def test_rules_from_itemsets_of_any_size(spark, bundles):
     assert catalog.QUERIES["rules_compared"](spark, bundles).first()["n_before"] == 50
 
 
+@pytest.mark.skipif(not Path(DIR).exists(), reason="no tables")
+@pytest.mark.parametrize("few", [False, True])
+def test_searches_of_the_whole_query_set(spark, tmp_path, few):
+    """Every part whose id is divisible by 50 against all parts; also with many parts of one size and type."""
+    d = DIR
+    if few:
+        d = str(tmp_path)
+        spark.range(1, 801).select(F.col("id").alias("p_partkey"), (F.col("id") % 3).cast("int").alias("p_size"), F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("p_type")).write.parquet(f"{d}/part.parquet")
+    parts = [tuple(r) for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_type").collect()]
+    seeds = [p for p in parts if p[0] % 50 == 0]
+    assert len(seeds) == (16 if few else 4)
+    far = {(s[0], p[0]): round(abs(p[1] - s[1]) / 50 + (p[2] != s[2]), 6) for s in seeds for p in parts}
+    near = {s[0]: sorted((far[s[0], p[0]], p[0]) for p in parts if p[0] != s[0])[:9] for s in seeds}
+    got = catalog.QUERIES["nearest_neighbours_all"](spark, d).select("seed", "p_partkey", "distance", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted((s, p, x, i) for s, v in near.items() for i, (x, p) in enumerate(v, 1))
+    got = catalog.QUERIES["nearest_seed_all"](spark, d).select("p_partkey", "distance", "seed").collect()
+    assert sorted(map(tuple, got)) == sorted((p[0], *min((far[s[0], p[0]], s[0]) for s in seeds)) for p in parts)
+    got = catalog.QUERIES["furthest_row_all"](spark, d).select("seed", "distance", "p_partkey").collect()
+    assert sorted(map(tuple, got)) == sorted((s[0], *max((far[s[0], p[0]], p[0]) for p in parts)) for s in seeds)
+
+
 def test_entry_survives_without_text_operators():
     import __spark_entry__
 
