@@ -431,7 +431,8 @@ def furthest_row_all(spark, sf):
     return seeds.join(best, _same_kind()).select("seed", F.col("b.p_partkey").alias("p_partkey"), F.col("b.distance").alias("distance"))
 
 
-def _order_parts(spark, sf, depth: int) -> DataFrame:
+def _order_parts(spark, sf, depth: int = 64) -> DataFrame:
+    """Orders cut until no valid cut is left, or depth times. Cuts halve values, so 64 are never reached."""
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rid"), "o_totalprice", "o_orderpriority", "o_orderstatus")
     return P.partition(rows, ["o_totalprice"], ["o_orderpriority"], [P.k_anonymous(K)], depth, keep=lambda x: x.checkpoint() if spark.sparkContext.getCheckpointDir() else x.persist())
 
@@ -465,6 +466,19 @@ def mondrian_release(spark, sf):
     return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
+@query()
+def mondrian_finished_rectangles(spark, sf):
+    """Price ranges of orders cut until no valid cut is left; mondrian_rectangles stops after the two rounds of its SQL."""
+    return P.rectangles(_order_parts(spark, sf), ["o_totalprice"])
+
+
+@query()
+def mondrian_finished_release(spark, sf):
+    """The release of orders cut until no valid cut is left; mondrian_release stops after the two rounds of its SQL."""
+    out = P.anonymized(_order_parts(spark, sf), ["o_totalprice"], ["o_orderpriority"], "o_orderstatus")
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
 @query()
 def mondrian_full(spark, sf):
     """Customers cut as far as classes of 10 with three segments allow."""

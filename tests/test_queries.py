@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import date
 from itertools import combinations
 from pathlib import Path
+from statistics import median
 
 import duckdb
 import pandas as pd
@@ -98,6 +99,41 @@ def test_searches_of_the_whole_query_set(spark, tmp_path, few):
     assert sorted(map(tuple, got)) == sorted((s[0], *max((far[s[0], p[0]], p[0]) for p in parts)) for s in seeds)
 
 
+def mondrian(rows, all_rows, k=10, part=""):
+    """Partitions of (id, price, priority, status) rows, cut one at a time until no valid cut is left."""
+    def width(x):
+        prices = [r[1] for r in x]
+        return max(prices) - min(prices), len({r[2] for r in x})
+
+    middle = median(r[1] for r in rows)
+    first = sorted({r[2] for r in rows}, key=lambda c: min(r[0] for r in rows if r[2] == c))
+    right = set(first[len(first) // 2 :])
+    sides = [[r[1] >= middle for r in rows], [r[2] in right for r in rows]]
+    shares = [a / b for a, b in zip(width(rows), width(all_rows), strict=True)]
+    for i in sorted((0, 1), key=lambda i: -shares[i]):
+        if k <= sum(sides[i]) <= len(rows) - k:
+            halves = [[r for r, s in zip(rows, sides[i], strict=True) if s == side] for side in (False, True)]
+            return {**mondrian(halves[0], all_rows, k, part + "L"), **mondrian(halves[1], all_rows, k, part + "R")}
+    return {part: rows}
+
+
+@pytest.mark.skipif(not Path(DIR).exists(), reason="no tables")
+def test_mondrian_until_no_cut_is_left(spark, tmp_path):
+    """The first 200 orders of the table: the finished partitioning's rectangles and release."""
+    d = str(tmp_path)
+    spark.read.parquet(f"{DIR}/orders.parquet").orderBy("o_orderkey").limit(200).write.parquet(f"{d}/orders.parquet")
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("double"), "o_orderpriority", "o_orderstatus").collect()]
+    parts = mondrian(rows, rows)
+    assert len(parts) > 8 and all(len(p) >= 10 for p in parts.values())
+    prices = sorted({r[1] for r in rows})
+    after = dict(zip(prices, [*prices[1:], prices[-1]], strict=True))
+    got = catalog.QUERIES["mondrian_finished_rectangles"](spark, d).collect()
+    assert {r["part"]: (r["o_totalprice_lo"], r["o_totalprice_hi"]) for r in got} == {k: (min(r[1] for r in p), after[max(r[1] for r in p)]) for k, p in parts.items()}
+    got = catalog.QUERIES["mondrian_finished_release"](spark, d).collect()
+    assert {(r["part"], r["o_orderstatus"]): (r["n"], r["o_orderpriority"]) for r in got} == {(k, s): (n, "-".join(sorted({r[2] for r in p}))) for k, p in parts.items() for s, n in Counter(r[3] for r in p).items()}
+    assert all(abs(r["o_totalprice"] - sum(x[1] for x in parts[r["part"]]) / len(parts[r["part"]])) < 0.001 for r in got)
+
+
 def test_entry_survives_without_text_operators():
     import __spark_entry__
 
