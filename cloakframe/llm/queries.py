@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt_dedup, chat, decontam, edit_counts, licenses, packing, pii, repetition, superminhash, wavelet
@@ -44,21 +44,22 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False).drop("ids")
 
 
-def sample_edits(text: str, seed: str):
+def sample_edits(n_chars: Column, seed: str) -> Column:
     """Three edits per document that its id and length fix: (start, characters removed, new text)."""
     new = F.array(*[F.lit(x) for x in ("", " ", "a new phrase ", "x", "\n\nAnother line, longer than the rest.\n", "é")])
 
     def one(i):
         h = F.xxhash64(F.col(seed), F.lit(i))
-        return F.struct(F.pmod(h, F.length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1).alias("start"), F.pmod(F.shiftright(h, 20), F.lit(40)).cast("long").alias("length"), F.element_at(new, (F.pmod(F.shiftright(h, 40), F.lit(6)) + 1).cast("int")).alias("new"))
+        return F.struct(F.pmod(h, n_chars + 1).alias("start"), F.pmod(F.shiftright(h, 20), F.lit(40)).cast("long").alias("length"), F.element_at(new, (F.pmod(F.shiftright(h, 40), F.lit(6)) + 1).cast("int")).alias("new"))
 
     return F.array(*[one(i) for i in range(3)])
 
 
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sample_edits("text", "doc_id").alias("edits"))
-    out = edit_counts.edit_counts(docs, word_tokenizer())
-    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_leaves", "n_leaves_touched", "n_chars_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
+    """Plants and keeps the trees of all documents, then edits each document and updates its tree."""
+    trees = stored(edit_counts.plant(table(spark, sf_dir, "documents"), word_tokenizer()), "trees")
+    out = edit_counts.update_counts(trees.withColumn("edits", sample_edits(edit_counts.n_chars(), "doc_id")), word_tokenizer())
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_leaves", "n_leaves_touched", "n_chars_reencoded", F.sha2(edit_counts.edited_text(), 256).alias("edited_sha256"))
 
 
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ white-space-delimited words in order. Most words recur; a worker keeps the ids o
 `limit` different ones and asks the tokenizer only for new ones. The result equals an
 encode() of the whole text. Beyond the limit a table forgets its rarest words, so a
 worker's memory has a fixed bound.
+
+Whether a tokenizer is of this kind is tried on probe texts when it is loaded. With any
+other one (such as a byte-level one, whose ids hold white space), whole texts are encoded
+and no table is kept.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ def _ends_in_letter(word: bytes) -> bool:
     return 0xC3 <= word[-2] <= 0xC9 and word[-2:].decode("utf-8").lower().isalpha()
 
 
+_PROBES = ("Hello world.  Foo\n\tbar", " lead", "trail \n", "don't we'll it's", "x  <|endoftext|> y", "1 000 2.5", "é ñandú über", "a\x0bb\x0cc\r\nd", "中文 字 , ; !", "snake_case CamelCase", "( ) \" ' a-b", "\U0001F600 end")
+_MARKED = ("word.", "word,", "word;:", "word!?", "word###", "word)]}", 'word"', "word...!!", "né%%", "über&*$")
+
+
 class _Index(dict):
     """Numbers words in the order in which they are first asked for."""
 
@@ -48,7 +56,10 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a run of letters
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.lowers = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.lowers = plain("Ab") == plain("ab")
+        self.by_word = all(plain(t) == [i for w in t.encode("utf-8").split() for i in plain(w.decode("utf-8"))] for t in _PROBES)
+        self.by_mark = all(plain(t) == plain(c := t.encode("utf-8").rstrip(_PUNCTUATION).decode("utf-8")) + plain(t[len(c) :]) for t in _MARKED)
         self.clear()
 
     def clear(self) -> None:
@@ -103,7 +114,7 @@ class WordEncoder:
             of, number = [], {}
             for w in words:
                 core = w.rstrip(_PUNCTUATION)
-                if core and core != w and _ends_in_letter(core):
+                if self.by_mark and core and core != w and _ends_in_letter(core):
                     at = self.index.get(core, k)
                     of.append(at if at < k else ~number.setdefault(core, len(number)))
                     of.append(~number.setdefault(w[len(core) :], len(number)))
@@ -116,12 +127,13 @@ class WordEncoder:
             starts = np.where(fresh, (np.cumsum(lens) - lens + self.n_ids)[np.where(fresh, of, 0)], self.starts[np.where(fresh, 0, of)])
             n = np.where(fresh, lens[np.where(fresh, of, 0)], self.lens[np.where(fresh, 0, of)])
             total = int(n.sum())
-            ids = np.concatenate([self.pool[: self.n_ids], ids])[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(total)]
-            n = n[::2] + n[1::2]
             while k + len(words) > len(self.starts):
                 self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seen))
-            while self.n_ids + total > len(self.pool):
+            while self.n_ids + max(total, len(ids)) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.n_ids : self.n_ids + len(ids)] = ids  # for the next line alone
+            ids = self.pool[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(total)]
+            n = n[::2] + n[1::2]
             self.starts[k : k + len(words)] = self.n_ids + np.cumsum(n) - n
             self.lens[k : k + len(words)] = n
             self.pool[self.n_ids : self.n_ids + total] = ids
@@ -142,12 +154,19 @@ class WordEncoder:
             self._add()
         self.calls += 1
         if self.calls % 4 == 1:  # enough to tell frequent words from rare ones
-            counts = np.bincount(at)
-            self.seen[: len(counts)] += counts
+            if 8 * len(at) < len(self.index):
+                np.add.at(self.seen, at, 1)
+            else:
+                counts = np.bincount(at)
+                self.seen[: len(counts)] += counts
         return at, per_text
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text; null is empty."""
+        if not self.by_word:
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            lens = np.fromiter(map(len, own), np.int64, len(own))
+            return np.fromiter(chain.from_iterable(own), np.uint32, int(lens.sum())), lens
         at, per_text = self._words(texts)
         n = self.lens.take(at)
         ends = np.cumsum(n)
@@ -160,6 +179,8 @@ class WordEncoder:
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
+        if not self.by_word:
+            return self.encode(texts)[1]
         at, per_text = self._words(texts)
         total = np.concatenate([[0], np.cumsum(self.lens.take(at))])
         return np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])

@@ -37,18 +37,55 @@ def test_encoder_equals_the_tokenizer(texts):
     assert enc.counts(texts).tolist() == list(map(len, want))
 
 
-@settings(max_examples=100, deadline=None)
-@given(TEXT, st.lists(st.tuples(st.integers(-2, 90), st.integers(-1, 40), TEXT), max_size=5))
-def test_edits(text, edits):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_encoder_with_a_tokenizer_that_keeps_white_space(name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    enc, plain = WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["Hello  world.\n\tfoo bar", None, "", " x ", "word.### it's"]
+    ids, lens = enc.encode(texts)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not enc.by_word and ids.tolist() == [i for w in want for i in w] and lens.tolist() == enc.counts(texts).tolist() == list(map(len, want))
+    assert WordEncoder(word_tokenizer()).by_word and WordEncoder(word_tokenizer()).by_mark
+
+
+def settled(tree, enc):
+    """The tree after an update; how many characters were encoded for it."""
+    parts = tree.pending()
+    tree.settle(enc.counts(parts).tolist())
+    return sum(map(len, parts))
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.lists(st.lists(st.tuples(st.integers(-2, 90), st.integers(-1, 40), TEXT | st.text("ab \n", min_size=65, max_size=90)), max_size=4), max_size=3))
+def test_edits(text, updates):
     enc = test_edits.__dict__.setdefault("enc", WordEncoder(word_tokenizer()))
     parts = cut(text, 8)
-    tree = CountTree(parts, enc.counts(parts).tolist(), enc.counts, 8)
-    for a, n, new in edits:
-        tree.replace(a, n, new)
-        a, n = min(max(a, 0), len(text)), max(n, 0)
-        text = text[:a] + new + text[a + n :]
-        assert tree.text() == text
+    tree = CountTree.planted(parts, enc.counts(parts or [""]).tolist(), 8)
+    for edits in updates:
+        for a, n, new in edits:
+            tree.replace(a, n, new)
+            a, n = min(max(a, 0), len(text)), max(n, 0)
+            text = text[:a] + new + text[a + n :]
+            assert tree.text() == text
+        settled(tree, enc)
         assert tree.total() == len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
+        fresh = CountTree.planted(tree.leaves, enc.counts(tree.leaves).tolist(), 8)
+        assert (tree.chars, tree.tokens) == (fresh.chars, fresh.tokens)
+
+
+def test_edits_encode_what_they_touch():
+    enc, asked = WordEncoder(word_tokenizer()), []
+    text = " ".join(f"word{i}" for i in range(20_000))
+    parts = cut(text, 64)
+    tree = CountTree.planted(parts, enc.counts(parts).tolist(), 64)
+    for pos in (0, 3, 70_000, 70_010, len(text)):
+        tree.replace(pos, 2, "zz")
+        asked.append(settled(tree, enc))
+    assert max(asked) < 3 * 80 and settled(tree, enc) == 0
+    tree.replace(5, 0, "one edit " * 100)
+    assert settled(tree, enc) < 1100 and tree.total() == len(enc.tokenizer.encode(tree.text(), add_special_tokens=False).ids)
 
 
 @settings(max_examples=200, deadline=None)

@@ -63,7 +63,7 @@ def test_op3(spark, sf, plain):
     d, docs, _, _ = sf
     out = queries.op3_edit_counts(spark, d).collect()
     table = spark.read.parquet(f"{d}/documents.parquet")
-    edits = {r["doc_id"]: r["e"] for r in table.select("doc_id", queries.sample_edits("text", "doc_id").alias("e")).collect()}
+    edits = {r["doc_id"]: r["e"] for r in table.select("doc_id", queries.sample_edits(F.length(F.coalesce("text", F.lit(""))).cast("long"), "doc_id").alias("e")).collect()}
     for r in out:
         t = docs[r["doc_id"]] or ""
         assert r["n_tokens_before"] == len(plain.encode(t, add_special_tokens=False).ids)
@@ -74,6 +74,31 @@ def test_op3(spark, sf, plain):
     assert max(r["n_chars_reencoded"] for r in out if r["n_chars"] > 20_000) < 10_000
 
 
+def test_kept_trees_are_updated_again(spark, plain):
+    """Two updates in a row, on trees that were written and read in between; the second finds what the first left."""
+    texts = {1: "one two three " * 300, 2: None, 3: "", 4: "x" * 3000, None: "no id"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trees = queries.stored(edit_counts.plant(docs, queries.word_tokenizer()), "t")
+    edit = lambda *e: F.expr("array(" + ", ".join(f"named_struct('start', {a}, 'length', {n}, 'new', '{x}')" for a, n, x in e) + ")")
+    for edits in ([(0, 3, "ONE!"), (9**9, 0, " end"), (5, 4, "")], [(2, 1, "a b"), (9**9, 0, "ing")]):
+        trees = queries.stored(edit_counts.update_counts(trees.withColumn("edits", edit(*edits)), queries.word_tokenizer()), "t")
+        for k, t in texts.items():
+            for a, n, x in edits:
+                t = (t or "")[: min(a, len(t or ""))] + x + (t or "")[min(a, len(t or "")) + n :]
+            texts[k] = t
+        for r in trees.collect():
+            t = texts[r["doc_id"]]
+            assert "".join(r["leaves"]) == t and r["n_tokens"] == len(plain.encode(t, add_special_tokens=False).ids) and r["n_chars"] == len(t)
+            assert r["n_chars_reencoded"] < 2000 or r["doc_id"] == 4
+
+
+def test_trees_refuse_tokenizers_that_keep_white_space(spark):
+    import public_tokenizers
+
+    with pytest.raises(Exception, match="keeps white space"):
+        edit_counts.plant(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+
+
 def test_op4(spark, sf, plain):
     d, docs, _, _ = sf
     want, at = {}, 0
@@ -204,7 +229,7 @@ def test_pipeline(spark, sf, plain):
 OPERATORS = {
     "pii": lambda df: pii.pseudonymize(df, "k"),
     "pack": lambda df: packing.pack(df, queries.word_tokenizer()),
-    "edits": lambda df: edit_counts.edit_counts(df.withColumn("edits", F.expr("CASE WHEN doc_id > 3 THEN array(named_struct('start', 3L, 'length', 2L, 'new', 'q'), null) END")), queries.word_tokenizer()),
+    "edits": lambda df: edit_counts.update_counts(edit_counts.plant(df, queries.word_tokenizer()).withColumn("edits", F.expr("CASE WHEN doc_id > 3 THEN array(named_struct('start', 3L, 'length', 2L, 'new', 'q'), null, named_struct('start', null, 'length', null, 'new', null)) END")), queries.word_tokenizer()),
     "near": superminhash.near_duplicates,
     "dedup": bwt_dedup.deduplicate,
     "licenses": licenses.scan_licenses,
