@@ -28,11 +28,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share: the session's spark.checkpoint.dir, or, where it names none and all runs in one process, a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         base = spark.conf.get("cloakframe.shared.dir", "")
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
             spark.conf.set("cloakframe.shared.dir", base)
     return base.rstrip("/")
@@ -47,25 +49,27 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def table_bytes(df: DataFrame) -> int:
-    """The size of a stored table's files, as Spark's plan knows it."""
+    """The size of a table's files, as Spark's plan knows it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing will read again."""
+    """Delete a folder that nothing will read again."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that stored() returned."""
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()[:1]}:
-        drop_path(df.sparkSession, f)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() returned and that no later plan reads."""
+    for t in tables:
+        drop_path(t.sparkSession, t.stored_at)
 
 
 def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators' kernels against plain versions, on random input."""
 
 import random
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,14 @@ from cloakframe.llm.tokens import WordEncoder
 from . import brute
 
 
-@pytest.fixture(scope="module")
-def encoder():
-    return WordEncoder(word_tokenizer(), limit=40)
+@cache
+def an_encoder(limit=10_000):
+    return WordEncoder(word_tokenizer(), limit)
+
+
+@cache
+def a_tokenizer():
+    return Tokenizer.from_file(word_tokenizer())
 
 
 TEXT = st.text(alphabet=st.sampled_from(list("aAbé ñİ́'s.,!?09#%)\"<|>\n\t\x1c\xa0中×")), max_size=80)
@@ -28,8 +34,7 @@ TEXT = st.text(alphabet=st.sampled_from(list("aAbé ñİ́'s.,!?09#%)\"<|>\n\t\x
 @settings(max_examples=150, deadline=None)
 @given(st.lists(TEXT, max_size=6))
 def test_encoder_equals_the_tokenizer(texts):
-    enc = test_encoder_equals_the_tokenizer.__dict__.setdefault("enc", WordEncoder(word_tokenizer(), limit=40))
-    plain = Tokenizer.from_file(word_tokenizer())
+    enc, plain = an_encoder(40), a_tokenizer()
     texts = [*texts, None, "x <|endoftext|> <|ENDOFTEXT|> Y.", "don't we'll 3's", "word it's é İ naïveté", "word.### it's) é%%% İ, naïveté\" ×. word### word"]
     ids, lens = enc.encode(texts)
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -60,7 +65,7 @@ def settled(tree, enc):
 @settings(max_examples=150, deadline=None)
 @given(TEXT, st.lists(st.lists(st.tuples(st.integers(-2, 90), st.integers(-1, 40), TEXT | st.text("ab \n", min_size=65, max_size=90)), max_size=4), max_size=3))
 def test_edits(text, updates):
-    enc = test_edits.__dict__.setdefault("enc", WordEncoder(word_tokenizer()))
+    enc = an_encoder()
     parts = cut(text, 8)
     tree = CountTree.planted(parts, enc.counts(parts or [""]).tolist(), 8)
     for edits in updates:
@@ -149,6 +154,18 @@ def test_superminhash_estimates_and_order():
     assert len(set((few[1] >> np.uint64(56)).tolist())) == 16 and (few[0] == few[2]).all()
 
 
+@pytest.mark.parametrize("share", [0.85, 0.87, 0.9, 0.95])
+def test_recall_of_the_bands(share):
+    """Of 3,000 planted pairs of a similarity, all but those of the stated chance share a bucket: at 0.85, 0.00001."""
+    rng = np.random.default_rng(6)
+    n, pairs = 200, 3000
+    k = int(np.ceil(2 * n * share / (1 + share)))
+    both, rest = rng.integers(0, 1 << 62, (pairs, k)), rng.integers(0, 1 << 62, (pairs, 2, n - k))
+    rows = np.concatenate([np.repeat(both[:, None], 2, 1), rest], 2).reshape(2 * pairs, n).astype(np.uint64)
+    keys = superminhash.band_keys(superminhash.signatures(rows.ravel(), np.full(2 * pairs, n), 100), 20, 5)
+    assert (keys[::2] == keys[1::2]).any(1).sum() >= pairs - 1
+
+
 def test_words_and_buffers():
     texts = ["Hello  world\tfoo\n", None, "", " ", "é b é", "x" * 10]
     data, offsets = common.text_buffers(pa.array(["cut", *texts]).slice(1))

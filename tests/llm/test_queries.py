@@ -1,6 +1,7 @@
 """Each registered query against its brute-force version on the small tables, and its SQL on the driver's."""
 
 import hashlib
+import random
 import re
 from pathlib import Path
 
@@ -117,8 +118,6 @@ def test_op5(spark, sf):
 
 def test_op5_large_buckets(spark, sf):
     """Round 2 by rare prefixes finds what pairs of whole buckets find."""
-    import random
-
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
     docs = {}
@@ -133,6 +132,40 @@ def test_op5_large_buckets(spark, sf):
         assert rows(superminhash.near_duplicates(df, small=small), "n_shingles", "component_id", "kept") == want
 
 
+def test_one_id_with_two_texts(spark):
+    """Links go by the text: documents that share only an id stay apart, in the operator and in the pipeline's stage."""
+    rng = random.Random(1)
+    a, b, c = ("".join(f"{rng.randint(0, 10**6)} " for _ in range(40)) for _ in range(3))
+    data = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (2, c + "x"), (None, a), (None, a), (5, c.upper())]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["component_id"], r["stays"]) for r in superminhash.classified(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 2, False), (4, 2, False), (2, 2, True), (5, 2, False), (None, None, True), (None, None, True)], key=str)
+    left = corpus_pipeline.near_duplicates(spark, df, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, a), (1, b), (2, c + "x"), (None, a), (None, a)], key=str)
+    once = corpus_pipeline.near_duplicates(spark, df.where("doc_id = 4"), "").collect()
+    assert len(once) == 1
+
+
+def test_pairs_of_a_large_group_with_an_outsider(spark):
+    """20,000 classes of one group and two outsiders share an element: 40,001 pairs, not 200 million."""
+    rows = spark.range(20_000).select(F.col("id").alias("cid"), F.lit(100).alias("n"), F.lit(0).alias("grp"), F.lit(100).alias("rest"), F.lit(7).alias("element"))
+    rows = rows.union(spark.createDataFrame([(20_000, 100, 20_000, 100, 7), (20_001, 100, 20_001, 100, 7), (20_002, 50, 20_002, 50, 7), (20_003, 100, 20_003, 100, 8)], "cid long, n int, grp int, rest int, element int"))
+    got = superminhash.cross_pairs(rows, 85)
+    assert got.count() == 40_001 and got.where("a >= b or b < 20000").count() == 0
+    assert got.where("a >= 20000").collect() == [(20_000, 20_001)]
+
+
+def test_near_copies_of_one_text_and_an_outsider(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+    data = [(10 + i, " ".join(base[:50] + [f"q{i}"] + base[51:])) for i in range(1500)] + [(1, " ".join(base[:60] + [f"z{i}" for i in range(40)])), (2, " ".join(base[:48] + ["q1", "q2", "q3"] + base[51:]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(df, salt=50).collect()}
+    sets = brute.shingle_sets({1: data[-2][1], 2: data[-1][1], 10: data[0][1]})
+    close = 100 * len(sets[2] & sets[10]) >= 85 * len(sets[2] | sets[10])
+    assert got[1] == 1 and {got[i] for i in range(10, 1510)} == {2 if close else 10}
+
+
 def test_op6(spark, sf):
     d, docs, bench, _ = sf
     want = brute.leaks(docs, bench)
