@@ -22,13 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows with one id, one. Rows without an id stay.
+    """One document of each group stays, the one with the smallest id; of rows with equal ids and texts, one.
 
-    Texts are near duplicates from a Jaccard similarity of 0.85 on, as in op5, for which the 20 bands of 5 rows are sized; pairs from 0.80 to below 0.85 both stay.
+    Texts are near duplicates from a Jaccard similarity of 0.85 on, as in op5, for which the 20
+    bands of 5 rows are sized; pairs from 0.80 to below 0.85 both stay. Rows with one id and
+    different texts are different documents. Rows without an id, and texts without words, stay.
     """
-    gone = superminhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+    gone = superminhash.classified(docs).where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone")).distinct()
+    keyed = docs.withColumn("__hash", superminhash.text_hash("text"))
+    left = keyed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti")
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "__hash"]).union(left.where("doc_id is null")).drop("__hash")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
