@@ -129,9 +129,12 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document all notices in order, and the one with the most matched words: of equal ones the best covered, then the first."""
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    best = F.array_max(F.transform("licenses", lambda x: F.struct(x["coverage"].alias("coverage"), (-x["first_word"]).alias("at"), x["license"].alias("license"), x["past_word"].alias("past"))))
-    return out.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"), best["license"].alias("license"), best["coverage"].alias("coverage"), (-best["at"]).alias("first_word"), best["past"].alias("past_word"))
+    rank = lambda x: F.struct(x["matched"].alias("matched"), x["coverage"].alias("coverage"), (-x["first_word"]).alias("at"), x["license"].alias("license"), x["past_word"].alias("past"))
+    best = F.array_max(F.transform("licenses", rank))
+    names = F.array_join(F.transform("licenses", lambda x: x["license"]), ",")
+    return out.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), names.alias("licenses"), best["license"].alias("license"), best["matched"].alias("matched"), best["coverage"].alias("coverage"), (-best["at"]).alias("first_word"), best["past"].alias("past_word"))
 
 
 QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_vector_packing, op3_edit_counts, op4_wavelet_shards, op5_superminhash, op6_benchmark_leaks, op7_repeated_passages, op8_repetition_rules, op9_chat_windows, op10_license_scan)}

@@ -120,3 +120,13 @@ def chats(rows):
         loss = "".join(t for _, r, t in own if r == "assistant")
         out[c] = (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
+
+
+def lcs(a, b):
+    """Words of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return row[-1]
