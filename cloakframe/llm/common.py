@@ -77,6 +77,13 @@ def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_prefix(df: DataFrame, wish: str = "__") -> str:
+    """A prefix that none of df's columns has, in any case of letters."""
+    while any(c.lower().startswith(wish.lower()) for c in df.columns):
+        wish += "_"
+    return wish
+
+
 def extended(docs: DataFrame, text_col: str, fields: str, begin) -> DataFrame:
     """docs, each row with more columns made from its text, in one pass and without a join.
 
@@ -93,7 +100,7 @@ def extended(docs: DataFrame, text_col: str, fields: str, begin) -> DataFrame:
             *own, text = batch.columns
             yield pa.RecordBatch.from_arrays([*own, *make(text)], names=names)
 
-    return docs.select("*", F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select("*", F.col(f"`{text_col}`").cast("string").alias(free_prefix(docs) + "text")).mapInArrow(run, schema)
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

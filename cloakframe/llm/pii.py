@@ -16,10 +16,16 @@ of a format stay different, and no table of values is needed: no row meets anoth
 | phone | North American plan, or + and 7 to 15 digits | area, exchange and line; or all but two digits |
 | ip | four octets | the 2^32 addresses |
 | date | the calendar, 1900 to 2099 | the days of these 200 years; up to the 12th of a month and later ones apart, so that a date with slashes reads in one way before and after |
-| email | its shape | letters and digits of the part before @ |
+| email | its shape | the part before @, in lower case: its digits, its letters a to z, and each other letter or number inside its own run of 128 code points |
 
-Invalid candidates stay as they are. Null text stays null, empty text empty. Texts of any
-length are one expression each; columns other than the text are kept.
+Parts that are longer than a network takes are permuted piece by piece, each tweaked by the
+pieces before it; so are the letters beyond a to z. Different names of one shape thus have
+different pseudonyms, in any script and at any length.
+
+Invalid candidates stay as they are. Null text stays null, empty text empty. Repeated rows
+and equal values get equal pseudonyms. Texts of any length are one expression each. Columns
+other than the text are kept, whatever their names; one named like found_col is replaced.
+A walk ends within 64 steps but for a chance under 1e-13; if not, the query fails.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_prefix
+
 ROUNDS = 10
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -62,33 +70,44 @@ def _network(a: Column, b: Column, mod_a: Column, mod_b: Column, key: str, tweak
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def permute(x: Column, size: int, key: str, tweak: str) -> Column:
+def _ended(v: Column, ok: Column) -> Column:
+    """v at the end of a walk."""
+    return F.when(ok, v).otherwise(F.raise_error(F.lit("a permutation's walk didn't end")).cast("long"))
+
+
+def permute(x: Column, size: int, key: str, tweak: str | Column) -> Column:
     """A keyed permutation of the numbers from 0 to size - 1, by cycle walking in a power of ten."""
     low = 10 ** ((len(str(size - 1)) + 1) // 2)
     high = -(-size // low)  # the walk leaves less than one in high
 
     def once(v: Column) -> Column:
-        return F.transform(F.array(_network(F.floor(v / F.lit(low)).cast("long") if size < 1 << 50 else v, F.pmod(v, F.lit(low)), F.lit(high).cast("long"), F.lit(low).cast("long"), key, F.lit(tweak))), lambda s: s["a"] * low + s["b"])[0]
+        return F.transform(F.array(_network(F.floor(v / F.lit(low)).cast("long") if size < 1 << 50 else v, F.pmod(v, F.lit(low)), F.lit(high).cast("long"), F.lit(low).cast("long"), key, _lit(tweak))), lambda s: s["a"] * low + s["b"])[0]
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x.cast("long")), lambda v, _: F.when(v < size, v).otherwise(once(v)))
-    return walked
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x.cast("long")), lambda v, _: F.when(v < size, v).otherwise(once(v)), lambda v: _ended(v, v < size))
 
 
 def permute_days(n: Column, key: str) -> Column:
     """A keyed permutation of the days from 1900-01-01 (0) to 2099-12-31 that takes days after the 12th of a month to such days."""
     late = lambda v: F.dayofmonth(F.date_add(F.lit("1900-01-01").cast("date"), v.cast("int"))) > 12
     once = lambda v: permute(v, 73049, key, "date")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(n.cast("long")), lambda v, _: F.when(late(v) == late(n), v).otherwise(once(v)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(n.cast("long")), lambda v, _: F.when(late(v) == late(n), v).otherwise(once(v)), lambda v: _ended(v, late(v) == late(n)))
+
+
+def in_pieces(s: Column, most: int, f) -> Column:
+    """f(piece, tweak) of each piece of `most` characters, joined; a piece's tweak is what the pieces before it became."""
+    last = F.floor((F.length(s) - 1) / F.lit(most)).cast("int")
+    made = F.aggregate(F.sequence(F.lit(0), last), F.lit(""), lambda done, i: F.concat(done, f(F.substring(s, i * most + 1, F.lit(most)), done)))
+    return F.when(F.length(s) > 0, made).otherwise("")
 
 
-def permute_digits(d: Column, key: str, tweak: str) -> Column:
-    """A keyed permutation of the strings of as many digits (1 to 30)."""
+def permute_digits(d: Column, key: str, tweak: str | Column) -> Column:
+    """A keyed permutation of the strings of as many digits (1 to 36)."""
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
     v = n - u
     a = F.coalesce(F.substring(d, F.lit(1), u).try_cast("long"), F.lit(0).cast("long"))
     b = F.substring(d, u + 1, v).try_cast("long")
-    net = _network(a, b, _power(10, u), _power(10, v), key, F.concat(F.lit(tweak), n.cast("string")))
+    net = _network(a, b, _power(10, u), _power(10, v), key, F.concat(_lit(tweak), n.cast("string")))
     return F.transform(F.array(net), lambda s: F.concat(F.when(u > 0, F.lpad(s["a"].cast("string"), u, F.lit("0"))).otherwise(""), F.lpad(s["b"].cast("string"), v, F.lit("0"))))[0]
 
 
@@ -96,13 +115,14 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _refill(m: Column, digits: Column, letters: Column | None = None) -> Column:
-    """m with its digits (and its letters) replaced in order."""
+def _refill(m: Column, digits: Column, letters: Column | None = None, others: Column | None = None) -> Column:
+    """m with its digits (and its letters a to z, and its other letters) replaced in order."""
     def at(i):
         ch, to = F.substring(m, i, F.lit(1)), F.substring(m, F.lit(1), i)
         put = F.when(ch.rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(to, "[^0-9]", "")), F.lit(1)))
         if letters is not None:
-            put = put.when(ch.rlike(r"[\p{L}\p{N}]"), F.substring(letters, F.length(F.regexp_replace(to, r"[0-9]|[^\p{L}\p{N}]", "")), F.lit(1)))
+            put = put.when(ch.rlike("[a-z]"), F.substring(letters, F.length(F.regexp_replace(to, "[^a-z]", "")), F.lit(1)))
+            put = put.when(ch.rlike(r"[\p{L}\p{N}]"), F.substring(others, F.length(F.regexp_replace(to, _NOT_OTHER, "")), F.lit(1)))
         return put.otherwise(ch)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), at), "")
@@ -201,33 +221,71 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
     return ok, F.transform(F.array(F.concat(head, rest)), lambda p: _refill(m, p))[0]
 
 
-def _letters26(s: Column, key: str) -> Column:
+def _letters26(s: Column, key: str, tweak: str | Column = "") -> Column:
     """A keyed permutation of the strings of as many letters a to z (1 to 24)."""
     n = F.length(s)
     u = F.floor(n / 2).cast("int")
     v = n - u
     number = lambda x: F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: acc * 26 + F.ascii(c) - 97)
     letter = lambda x, w: F.when(w > 0, F.array_join(F.transform(F.sequence(F.lit(1), w), lambda i: F.char(F.pmod(F.floor(x / _power(26, w - i)), F.lit(26)) + 97)), "")).otherwise("")
-    net = _network(number(F.substring(s, F.lit(1), u)), number(F.substring(s, u + 1, v)), _power(26, u), _power(26, v), key, F.concat(F.lit("mail"), n.cast("string")))
+    net = _network(number(F.substring(s, F.lit(1), u)), number(F.substring(s, u + 1, v)), _power(26, u), _power(26, v), key, F.concat(F.lit("mail"), n.cast("string"), _lit(tweak)))
     return F.transform(F.array(net), lambda x: F.concat(letter(x["a"], u), letter(x["b"], v)))[0]
 
 
-def _email(m: Column, key: str) -> Column:
+#: All but letters and numbers beyond a to z and 0 to 9.
+_NOT_OTHER = r"[a-z0-9]|[^\p{L}\p{N}]"
+
+
+def _other_letter(c: Column, key: str, tweak: Column) -> Column:
+    """A keyed permutation of the lower-case letters and numbers of c's run of 128 code points; what else stands there stays."""
+    at = F.ascii(c)  # the code point
+    base = at - at % 128
+    show = lambda v: F.decode(F.unhex(F.lpad(F.hex(base + v), 8, "0")), "UTF-32")
+    fits = lambda x: x.rlike(r"^[\p{L}\p{N}]$") & (F.lower(x) == x)
+    once = lambda v: permute(v, 128, key, F.concat(F.lit("letter"), base.cast("string"), F.lit("|"), tweak))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(128)), once(at % 128), lambda v, _: F.when(fits(show(v)), v).otherwise(once(v)))
+    return F.when(fits(c), show(walked)).otherwise(c)
+
+
+#: An e-mail address is changed in these steps, each a column of its own, as one expression would nest too deeply.
+def _email_parts(m: Column, key: str) -> Column:
     given = F.substring_index(m, "@", 1)
     local = F.lower(given)  # may be longer
-    letters, digits = F.regexp_replace(local, r"[0-9]|[^\p{L}\p{N}]", ""), _digits(local)
-    hashed = F.translate(F.rpad(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), letters), 256), F.length(letters), F.lit("x")), "0123456789", "ghijklmnop")
-    to = F.when(letters.rlike("^[a-z]{1,22}$"), _letters26(letters, key)).otherwise(hashed)
-    number = F.when(F.length(digits).between(1, 30), permute_digits(digits, key, "mail")).otherwise(F.rpad(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), digits), 256), 1, 15), 16, 10), F.length(digits), F.lit("7")))
-    return F.concat(_refill(local, number, to), F.substring(m, F.length(given) + 1, F.length(m)))
+    return F.struct(local.alias("local"), F.regexp_replace(local, "[^a-z]", "").alias("letters"), F.regexp_replace(local, _NOT_OTHER, "").alias("others"), _digits(local).alias("digits"), F.substring(m, F.length(given) + 1, F.length(m)).alias("rest"))
+
+
+def _email_letters(x: Column, key: str) -> Column:
+    return x.withField("letters", in_pieces(x["letters"], 22, lambda s, done: _letters26(s, key, done)))
+
+
+def _email_digits(x: Column, key: str) -> Column:
+    return x.withField("digits", in_pieces(x["digits"], 30, lambda s, done: permute_digits(s, key, F.concat(F.lit("mail"), done))))
+
+
+def _email_others(x: Column, key: str) -> Column:
+    return x.withField("others", in_pieces(x["others"], 1, lambda s, done: _other_letter(s, key, F.concat(done, F.lit("|"), x["letters"]))))
+
+
+def _email_joined(x: Column, key: str) -> Column:
+    return F.struct(F.concat(_refill(x["local"], x["digits"], x["letters"], x["others"]), x["rest"]).alias("new"), F.lit("email").alias("kind"))
+
+
+def _each(values: Column, step, key: str) -> Column:
+    return F.transform(values, lambda x: step(x, key))
+
+
+EMAIL_STEPS = (_email_parts, _email_letters, _email_digits, _email_others, _email_joined)
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _replaced(text: Column, pattern: str, change) -> Column:
-    """struct(text, found): text with each match m replaced by change(m).new, and the kinds, '' for what stays."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    done = F.transform(found, change)
-    joined = lambda d: F.array_join(F.zip_with(parts, d, lambda p, x: F.concat(p, F.coalesce(x["new"], F.lit("")))), "")
-    return F.transform(F.array(done), lambda d: F.struct(joined(d).alias("text"), F.filter(F.transform(d, lambda x: x["kind"]), lambda k: k != "").alias("kinds")))[0]
+def _replaced(text: Column, pattern: str, done: Column) -> Column:
+    """struct(text, kinds): text with its matches replaced by done, an array of struct(new, kind), where the kind is '' for what stays."""
+    parts = F.split(text, pattern, -1)
+    joined = F.array_join(F.zip_with(parts, done, lambda p, x: F.concat(p, F.coalesce(x["new"], F.lit("")))), "")
+    return F.struct(joined.alias("text"), F.filter(F.transform(done, lambda x: x["kind"]), lambda k: k != "").alias("kinds"))
 
 
 def _number(m: Column, key: str) -> Column:
@@ -244,11 +302,16 @@ def _number(m: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii") -> DataFrame:
     """docs with the text replaced, and a column found_col: array of the kinds replaced, in order of e-mails, then numbers."""
     none = F.array().cast("array<string>")
-    text = F.col(text_col)
-    rows = docs.select("*", F.when(text.contains("@"), _replaced(text, EMAIL, lambda m: F.struct(_email(m, key).alias("new"), F.lit("email").alias("kind")))).alias("__mail"))
-    first = F.coalesce(F.col("__mail.text"), text)
-    rows = rows.select("*", first.alias("__first"))
-    rows = rows.select("*", F.when(F.col("__first").rlike(HINT), _replaced(F.col("__first"), NUMBERS, lambda m: _number(m, key))).alias("__number"))
-    kinds = F.concat(F.coalesce(F.col("__mail.kinds"), none), F.coalesce(F.col("__number.kinds"), none))
-    keep = [F.col(f"`{c}`") if c != text_col else F.coalesce(F.col("__number.text"), F.col("__first")).alias(text_col) for c in docs.columns]
+    text, p = F.col(f"`{text_col}`").cast("string"), free_prefix(docs)
+    mail, first, number = (F.col(p + x) for x in ("mail", "first", "number"))
+    rows = docs.select("*", F.when(text.contains("@"), _found(text, EMAIL)).alias(p + "0"))
+    for i, step in enumerate(EMAIL_STEPS):
+        rows = rows.select("*", _each(F.col(f"{p}{i}"), step, key).alias(f"{p}{i + 1}")).drop(f"{p}{i}")
+    done = F.col(f"{p}{len(EMAIL_STEPS)}")
+    rows = rows.select("*", F.when(F.size(done) > 0, _replaced(text, EMAIL, done)).alias(p + "mail")).drop(done)
+    rows = rows.select("*", F.coalesce(mail["text"], text).alias(p + "first"))
+    rows = rows.select("*", F.when(first.rlike(HINT), F.transform(_found(first, NUMBERS), lambda m: _number(m, key))).alias(p + "found"))
+    rows = rows.select("*", F.when(F.size(p + "found") > 0, _replaced(first, NUMBERS, F.col(p + "found"))).alias(p + "number"))
+    kinds = F.concat(F.coalesce(mail["kinds"], none), F.coalesce(number["kinds"], none))
+    keep = [F.col(f"`{c}`") if c != text_col else F.coalesce(number["text"], first).alias(text_col) for c in docs.columns if c != found_col]
     return rows.select(*keep, kinds.alias(found_col))

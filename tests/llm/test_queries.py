@@ -43,6 +43,41 @@ def test_op1(spark, sf):
             assert got[i]["text"] == t and got[i]["n_replaced"] == 0
 
 
+def test_op1_against_plain_networks(spark, sf, tmp_path):
+    """Texts and kinds equal those of a version that walks through the matches in plain Python."""
+    d, docs, _, _ = sf
+    texts = [t for t in docs.values() if t is None or len(t) < 5000]
+    texts += ["IBAN DE89370400440532013000 and GB82 WEST 1234 5698 7654 32, DE89370400440532013001", "1990-02-28 28/02/1990 02/28/1990 28.02.1990 12/11/2001 1990-02-30 1899-01-01", "123-45-6789 666-12-1234 667-01-0001 899-99-9999"]
+    texts += ["4785 3805 9239 1139 4785380592391138 4785-3805-9239-1139", "+49 30 1234567 743-555-3824 (743) 555-3824 +1 743.555.3824 143-555-3824 +1 143-555-3824", "1.2.3.256 1.2.3.4 255.255.255.255", "A.B9@x.org ción.é7@mail.co.uk ünïcödé@x.org 中文@x.org абв12@x.org"]
+    texts += ["a" * 60 + "@x.org " + "7" * 70 + "z@x.org", "é@x.org İx@x.org ß@x.org ²@x.org 𝒜b@x.org", "", " @ @x.org a@b"]
+    data = list(enumerate(texts))
+    got = {r["doc_id"]: (r["text"], list(r["pii"])) for r in pii.pseudonymize(spark.createDataFrame(data, "doc_id long, text string"), "k").collect()}
+    assert got == {i: brute.pseudonyms(t, "k") for i, t in data}
+    if Path("/root/testdata/sf0.001").exists():
+        table = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+        got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in queries.op1_feistel_pseudonyms(spark, "/root/testdata/sf0.001").collect()}
+        want = {i: brute.pseudonyms(t, queries.PII_KEY) for i, t in table.items()}
+        assert got == {i: (t, len(k)) for i, (t, k) in want.items()} and sum(len(k) for _, k in want.values()) > 20
+
+
+def test_different_names_stay_apart(spark):
+    """All names of one letter of several scripts, pairs of them, and names longer than a network takes."""
+    scripts = [[chr(c) for c in range(a, b) if chr(c).isalpha() and chr(c).lower() == chr(c)] for a, b in ((0xDF, 0x100), (0x3AC, 0x3CF), (0x430, 0x450), (0x5D0, 0x5EB), (0x4E00, 0x4E40), (0x30A1, 0x30D0))]
+    names = [c for s in scripts for c in s] + [a + b for s in scripts for a in s[:12] for b in s[:12]] + [f"{a}x{b}" for a in "éüñ" for b in "abcdefgé"]
+    names += ["a" * 30 + x for x in "abcdefgh"] + [x + "a" * 30 for x in "bcdefgh"] + ["1" * 40 + x for x in "0123456789"]
+    out = pii.pseudonymize(spark.createDataFrame([(f"{n}@x.org",) for n in names], "text string"), "k").select("text").collect()
+    made = [r["text"].split("@")[0] for r in out]
+    assert len(set(made)) == len(set(names)) == len(names)
+    assert all(len(m) == len(n) and [c.isascii() for c in m] == [c.isascii() for c in n] for m, n in zip(made, names, strict=True))
+    assert sum(m == n for m, n in zip(made, names, strict=True)) < 0.1 * len(names)
+
+
+def test_pseudonyms_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a@x.org", 1, 2, 3, 4)], "text string, pii int, __mail int, __first int, __NUMBER int")
+    out = pii.pseudonymize(df, "k")
+    assert out.columns == ["text", "__mail", "__first", "__NUMBER", "pii"] and out.first()["pii"] == ["email"]
+
+
 def test_op2(spark, sf, plain):
     d, docs, _, _ = sf
     want, seen, bins = ids_of(plain, docs), {}, {}
