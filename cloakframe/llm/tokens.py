@@ -163,10 +163,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text; null is empty."""
+        return self.encode_with_heads(texts, None)[:2]
+
+    def encode_with_heads(self, texts: list[str | None], heads: list[str | None] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encode(), and how many of each text's ids are those of its head, the text that it begins with. A word in which the head ends counts whole."""
         if not self.by_word:
             own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             lens = np.fromiter(map(len, own), np.int64, len(own))
-            return np.fromiter(chain.from_iterable(own), np.uint32, int(lens.sum())), lens
+            ids = np.fromiter(chain.from_iterable(own), np.uint32, int(lens.sum()))
+            return ids, lens, np.minimum(lens, self.encode(heads)[1]) if heads else np.zeros_like(lens)
         at, per_text = self._words(texts)
         n = self.lens.take(at)
         ends = np.cumsum(n)
@@ -174,8 +179,13 @@ class WordEncoder:
         where = np.arange(total)
         where += np.repeat(self.starts.take(at) - (ends - n), n)
         ids = self.pool.take(where)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        return ids, np.diff(bounds)
+        ends, past = np.concatenate([[0], ends]), np.cumsum(per_text)
+        lens = np.diff(ends[np.concatenate([[0], past])])
+        if not heads:
+            return ids, lens, np.zeros_like(lens)
+        words = np.fromiter((len(h.encode("utf-8").split()) if h else 0 for h in heads), np.int64, len(heads))
+        first = past - per_text
+        return ids, lens, ends[first + np.minimum(words, per_text)] - ends[first]
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""

@@ -121,7 +121,7 @@ def test_wavelet(n):
 def test_packing_limits():
     rng = np.random.default_rng(1)
     for _ in range(60):
-        t = rng.integers(1, 50, rng.integers(1, 60))
+        t = rng.integers(1, rng.choice([50, 200]), rng.integers(1, 60))
         q = np.minimum(t, rng.integers(0, 50, len(t)))
         limits = packing.Limits(64, int(rng.choice([2, 5, 100])), int(rng.choice([20, 64])))
         got = {}
@@ -138,6 +138,31 @@ def test_packing_limits():
             assert at == n
 
 
+def by_size(t, limits):
+    """Bins of items by size alone: the largest that fits, each time."""
+    left, bins = sorted(range(len(t)), key=lambda i: -t[i]), []
+    while left:
+        room, own = limits.tokens, []
+        while (k := next((i for i in left if t[i] <= room), None)) is not None:
+            own.append(k)
+            left.remove(k)
+            room -= t[k]
+        bins.append(own)
+    return bins
+
+
+def test_packing_weighs_all_dimensions():
+    """The pieces that a bin takes depend on their loss, not on their size alone, and the product fills bins with scarce loss better."""
+    rng = np.random.default_rng(5)
+    t = rng.integers(1, 40, 400)
+    q = np.where(rng.random(400) < 0.5, t, t // 4)
+    limits = packing.Limits(100, 50, 70)
+    got = packing.fill(t, q, limits)
+    assert [sorted(i for i, _, n in own if n == t[i]) for own in got[:10]] != [sorted(b) for b in by_size(t, limits)[:10]]
+    full = [(sum(p[2] for p in own), sum(max(0, s + n - max(s, t[i] - q[i])) for i, s, n in own)) for own in got[:-1]]
+    assert all(a == 100 or b == 70 for a, b in full) and sum(a == 100 for a, b in full) > 0.8 * len(full)
+
+
 def test_superminhash_estimates_and_order():
     rng = np.random.default_rng(2)
     for share in (0.2, 0.85):

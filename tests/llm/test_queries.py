@@ -80,8 +80,11 @@ def test_pseudonyms_beside_columns_of_any_name(spark):
 
 def test_op2(spark, sf, plain):
     d, docs, _, _ = sf
-    want, seen, bins = ids_of(plain, docs), {}, {}
+    want, seen, bins, loss = ids_of(plain, docs), {}, {}, {}
+    heads = {i: len(plain.encode(t.split("\n")[0], add_special_tokens=False).ids) if t and "\n" in t else 0 for i, t in docs.items()}
     for r in queries.op2_vector_packing(spark, d).collect():
+        assert r["loss_tokens"] == sum(k >= heads[r["doc_id"]] for k in range(r["start"], r["start"] + r["length"]))
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + r["loss_tokens"]
         assert r["doc_tokens"] == len(want[r["doc_id"]])
         assert r["ids_crc32"] == brute.crc(want[r["doc_id"]][r["start"] : r["start"] + r["length"]])
         seen.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
@@ -92,7 +95,28 @@ def test_op2(spark, sf, plain):
             assert s == at and n > 0
             at += n
         assert at == total if total else at <= 2048
-    assert all(sum(n for _, n in b) in {1 << k for k in range(12)} for b in bins.values())
+    sizes = [sum(n for _, n in b) for b in bins.values()]
+    assert all(n in {1 << k for k in range(12)} or n >= 2048 - 16 for n in sizes) and 0 < sum(heads.values())
+    assert max(loss.values()) <= 1984 and max(map(len, bins.values())) <= 256
+
+
+def test_op2_tiny_texts(spark):
+    """4,096 texts of three tokens: segments bind, and under 1 % is padding."""
+    df = spark.createDataFrame([(i, "ab cd") for i in range(4096)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(df, queries.word_tokenizer(), queries.PACKED).collect()
+    assert sum(r["length"] for r in rows) == 3 * 4096 and sum(r["padding"] for r in rows) < 0.01 * 3 * 4096
+
+
+def test_op2_with_a_tokenizer_that_keeps_white_space(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  world.\n\tfoo bar", None, "", " x " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, got = Tokenizer.from_file(path), {}
+    for r in packing.pack(df, path).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    assert {i: b"".join(x for _, x in sorted(v)) for i, v in got.items()} == {i: np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in enumerate(texts)}
 
 
 def test_op3(spark, sf, plain):
