@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import decontam, packing, pii, repetition, superminhash
-from cloakframe.llm.common import new_path
-from cloakframe.llm.queries import PII_KEY, word_tokenizer
+from cloakframe.llm.common import free_prefix, new_path
+from cloakframe.llm.queries import PACKED, PII_KEY, first_line, word_tokenizer
+
+
+def own(docs: DataFrame) -> list:
+    """The columns that docs has."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go; the verdict is each row's own."""
-    return repetition.annotate(docs).where(repetition.verdicts(prefix="__q_")[1]).select(docs.columns)
+    """Documents that the repetition rules reject go; the verdict is each row's own. Null and empty texts are rejected."""
+    p = free_prefix(docs)
+    return repetition.annotate(docs, prefix=p).where(repetition.verdicts(prefix=p)[1]).select(*own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,27 +34,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bands of 5 rows are sized; pairs from 0.80 to below 0.85 both stay. Rows with one id and
     different texts are different documents. Rows without an id, and texts without words, stay.
     """
-    gone = superminhash.classified(docs).where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone")).distinct()
-    keyed = docs.withColumn("__hash", superminhash.text_hash("text"))
-    left = keyed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id", "__hash"]).union(left.where("doc_id is null")).drop("__hash")
+    p = free_prefix(docs)
+    gone = superminhash.classified(docs).where("not stays").select(F.col("doc_id").alias(p + "id"), F.col("text_hash").alias(p + "gone")).distinct()
+    keyed = docs.withColumn(p + "hash", superminhash.text_hash("text"))
+    left = keyed.join(gone, (F.col("doc_id") == F.col(p + "id")) & (F.col(p + "hash") == F.col(p + "gone")), "left_anti")
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", p + "hash"]).union(left.where("doc_id is null")).select(*own(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.annotate(docs, benchmark).where(F.size("__b_runs") == 0).select(docs.columns)
+    """Documents with a word inside a benchmark window go. Null and empty texts have no words and stay; so does everything if the benchmark is empty."""
+    benchmark, p = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free_prefix(docs)
+    return decontam.annotate(docs, benchmark, prefix=p).where(F.size(p + "runs") == 0).select(*own(docs))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and addresses in texts are replaced by their pseudonyms; n_chars follows."""
-    out = pii.pseudonymize(docs, PII_KEY, found_col="__pii").drop("__pii")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    """Personal numbers, dates and addresses in texts are replaced by their pseudonyms; n_chars follows, where there is such a column. Null texts stay null."""
+    out = pii.pseudonymize(docs, PII_KEY, found_col=free_prefix(docs) + "pii").select(*own(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, with their ids. Workers live on between stages, so their word tables are small here."""
-    return packing.pack(docs, word_tokenizer(), table_words=200_000)
+    """Pieces of sequences of at most 2048 tokens, with their ids; a first line of several bears no loss.
+
+    Null texts are the end id alone; an empty table gives no rows. Workers live on between
+    stages, so their word tables are small here.
+    """
+    return packing.pack(docs, word_tokenizer(), PACKED, prompt=first_line("text"), table_words=200_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", pseudonyms), ("packing", packed)]
