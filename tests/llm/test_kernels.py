@@ -103,19 +103,36 @@ def test_repeats(docs, size):
         assert n == (want if want >= size else 0)
 
 
-@pytest.mark.parametrize("n", [1, 8, 511, 512, 513, 4000])
+@pytest.mark.parametrize("n", [0, 1, 8, 511, 512, 513, 4000])
 def test_wavelet(n):
     rng = np.random.default_rng(n)
     for top in (1, 3, 70_000):
         ids = rng.integers(0, top, n)
         x = wavelet.Shard(wavelet.build(ids, [5, None], np.array([n // 2, n])))
         assert (x.decode() == ids).all() and x.doc_ids == [5, None] and x.ends.tolist() == [n // 2, n]
+        assert (x.access(np.arange(n)) == ids).all()
         for i in range(0, n, max(1, n // 17)):
             s = int(ids[i])
-            assert x.access(i) == s and x.rank(s, i) == (ids[:i] == s).sum()
+            assert x.rank(s, i) == (ids[:i] == s).sum()
             assert x.count(s, i // 2, i) == (ids[i // 2 : i] == s).sum()
-            assert x.select(s, x.rank(s, i)) == i
-        assert x.count(1 << 20) == 0 and x.occurrences(int(ids[0]))[0] == 0
+            assert x.select(s, [x.rank(s, i)]) == [i]
+            assert (np.concatenate(list(x.occurrences(s, 7))) == np.flatnonzero(ids == s)).all()
+            assert (x.counts(s, np.arange(n + 1)) == np.concatenate([[0], np.cumsum(ids == s)])).all()
+        assert x.count(1 << 20) == 0 and list(x.occurrences(1 << 20)) == []
+        for bad in ([n], [-1]):
+            with pytest.raises(IndexError):
+                x.access(bad)
+
+
+def test_wavelet_reads_only_the_frames_it_needs():
+    ids = np.random.default_rng(1).integers(0, 40_000, 3 << 20)
+    image = wavelet.build(ids, [1], np.array([len(ids)]))
+    x = wavelet.Shard(image)
+    frames = sum(len(p) - 1 for p in x.places)
+    assert x.access([1_234_567])[0] == ids[1_234_567] and x.n_frames_read <= 2 * x.planes < frames / 2
+    x = wavelet.Shard(image)
+    assert x.count(77) == (ids == 77).sum() and x.n_frames_read <= 2 * x.planes
+    assert not hasattr(x, "raw") and len(x.frames) == x.n_frames_read
 
 
 def test_packing_limits():

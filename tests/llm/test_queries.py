@@ -168,6 +168,41 @@ def test_op4(spark, sf, plain):
     assert rows(queries.op4_wavelet_shards(spark, d), "start", "n_tokens", "ids_crc32") == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_op4_counts_and_places(spark, sf, name):
+    """Counts and places of ids over all shards, with small shards, and with a tokenizer that keeps white space."""
+    import public_tokenizers
+
+    d, docs, _, _ = sf
+    path, out = public_tokenizers.path(name), queries.new_path(spark, "s")
+    wavelet.write_shards(queries.stored(wavelet.tokenized(spark.read.parquet(f"{d}/documents.parquet"), path), "t"), out, 3, 2000)
+    ids = ids_of(Tokenizer.from_file(path), docs)
+    assert rows(wavelet.read_shards(spark, out), "n_tokens", "ids_crc32", "n_end_ids") == {i: (len(x), brute.crc(x), x.count(1)) for i, x in ids.items()}
+    asked = [1, 269, next(iter(ids.values()))[0], 65_000, 1 << 30]
+    assert {tuple(r) for r in wavelet.count_ids(spark, out, asked).collect()} == {(k, sum(x.count(k) for x in ids.values())) for k in asked}
+    assert {tuple(r) for r in wavelet.find_ids(spark, out, asked).collect()} == {(k, i, p) for k in asked for i, x in ids.items() for p, y in enumerate(x) if y == k}
+
+
+def test_op4_wide_ids(spark):
+    """Ids of over 16 bits, in tokens of four bytes."""
+    ids = np.array([70_000, 1, 70_000, 2**31, 5, 1], "<u4")
+    df = spark.createDataFrame([(1, 4, bytearray(ids[:2].tobytes())), (2, 4, bytearray(ids[2:].tobytes()))], "doc_id long, width int, ids binary")
+    out = queries.new_path(spark, "s")
+    wavelet.write_shards(queries.stored(df, "t"), out, 1)
+    assert rows(wavelet.read_shards(spark, out), "start", "n_tokens", "ids_crc32") == {1: (0, 2, brute.crc(ids[:2])), 2: (2, 4, brute.crc(ids[2:]))}
+    assert {tuple(r) for r in wavelet.find_ids(spark, out, [70_000]).collect()} == {(70_000, 1, 0), (70_000, 2, 0)}
+
+
+def test_op4_edges(spark, edges, nothing, plain):
+    """Nulls, empty, long and repeated texts, rows without an id, and an empty table."""
+    for df in (edges, nothing):
+        out = queries.new_path(spark, "s")
+        wavelet.write_shards(queries.stored(wavelet.tokenized(df, queries.word_tokenizer()), "t"), out, 2, 100)
+        got = sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_shards(spark, out).collect())
+        ids = [(r["doc_id"] or 0, [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in df.select("doc_id", "text").collect()]
+        assert got == sorted((i, len(x), brute.crc(x)) for i, x in ids)
+
+
 def test_op5(spark, sf):
     d, docs, _, _ = sf
     want = brute.groups(docs)
