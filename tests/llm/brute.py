@@ -57,7 +57,7 @@ def leaks(docs, bench):
                 if tuple(w[k : k + len(g)]) == g:
                     hit.update(range(k, k + len(g)))
                     found.add(item)
-        names = ",".join(sorted(map(str, found)))
+        names = ",".join(sorted(str(x) for x in found if x is not None))
         out[i] = (len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
     return out
 

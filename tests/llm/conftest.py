@@ -16,13 +16,14 @@ def sf(tmp_path_factory):
     """A small copy of the tables with the cases that matter: nulls, empty and long texts, copies, leaks, personal data."""
     rng, d = random.Random(5), tmp_path_factory.mktemp("sf")
     bench = [(i, prose(rng, n)) for i, n in enumerate([30, 12, 10, 4, 1])] + [(5, None), (6, "  !! "), (7, prose(rng, 15))]
-    bench.append((8, bench[0][1]))
+    bench += [(8, bench[0][1]), (None, prose(rng, 14)), (None, "zebra quagga okapi"), (10, bench[3][1])]
     base = prose(rng, 120)
     shared = prose(rng, 70)
     texts = [prose(rng, rng.choice([3, 25, 60, 200])) for _ in range(40)]
     texts += [base, base, base + " extra words at the end", base.replace("the", "The", 1), base.upper()]
     texts += [prose(rng, 20) + "\n" + shared + "\n" + prose(rng, 20) for _ in range(6)]
     texts += [prose(rng, 30) + " " + bench[0][1].upper() + " " + prose(rng, 30), bench[1][1], "x " + bench[3][1].replace(" ", "-") + " y"]
+    texts += [prose(rng, 12) + " " + bench[9][1] + " " + prose(rng, 12), "a Zebra, quagga; okapi? b"]
     texts += ["line one is here\n" * 30, "word " * 400, None, "", " \n\t ", "one", "a b c", "# $ % & | < > *", "é" * 300]
     texts += [prose(rng, 40) + " mail bob.7@mail3.example.com card 4785380592391139 call +1 (743) 555-3824 at 10.20.30.40 " + prose(rng, 10)]
     texts += [prose(rng, 20) + "\nReleased under the MIT License.\n" + prose(rng, 20) + "\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", prose(rng, 9000)]

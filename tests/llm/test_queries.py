@@ -272,8 +272,8 @@ def test_op6_blocks_and_offsets(spark, sf):
 
     d, docs, bench, _ = sf
     t, b = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
-    one, many = (decontam.find_leaks(t, b, block_chars=n).collect() for n in (10**6, 40))
-    assert sorted(one, key=lambda r: r["doc_id"]) == sorted(many, key=lambda r: r["doc_id"])
+    one, *more = (sorted(decontam.find_leaks(t, b, block_chars=n, run_chars=m).collect(), key=lambda r: r["doc_id"]) for n, m in ((10**6, 0), (40, 1 << 20), (40, 100)))
+    assert more == [one, one]
     for r in one:
         for run in r["runs"]:
             words = brute.ALNUM.findall(docs[r["doc_id"]][run["start"] : run["end"]])
@@ -282,6 +282,19 @@ def test_op6_blocks_and_offsets(spark, sf):
         decontam.find_leaks(t, b, most_chars=10)
 
 
+def test_op6_edges(spark, edges, nothing):
+    """Nulls, empty, long and repeated texts, rows without an id; empty tables and an empty benchmark."""
+    from cloakframe.llm import decontam
+
+    b = spark.createDataFrame([(1, "same text that is repeated here for all to see"), (None, "row without an id"), (2, None), (3, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["n_words"], sum(x["past"] - x["first"] for x in r["runs"]), tuple(r["items"])) for r in decontam.find_leaks(edges, b).collect()}
+    assert got == {(1, 0, 0, ()), (2, 0, 0, ()), (3, 0, 0, ()), (4, 10, 10, (1,)), (5, 10, 10, (1,)), (None, 5, 4, (None,)), (6, 1, 0, ()), (7, 30_000, 0, ())}
+    assert decontam.find_leaks(edges, b).count() == edges.count() and decontam.find_leaks(nothing, b).count() == 0
+    assert all(r["runs"] == r["items"] == [] for r in decontam.find_leaks(edges, b.where("false")).collect())
+    clash = edges.withColumn("__text", F.lit(1)).withColumn("__b_n_words", F.lit(2))
+    assert decontam.annotate(clash, b, prefix="new_").columns == [*clash.columns, "new_n_words", "new_runs", "new_items"]
+
+
 def test_op7(spark, sf):
     d, docs, _, _ = sf
     want = brute.passages(docs)
