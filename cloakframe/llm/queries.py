@@ -107,25 +107,35 @@ _READ_ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("tur
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """Per conversation, from its windows alone: turns, loss text and size."""
+    """Per conversation, from its windows alone: turns, loss text and size. Windows stream by in order; a digest is all that is kept of a conversation."""
     prepare(windows.sparkSession)
-    rows = windows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "n_repeated", "text", "loss"))).alias("w"))
+    rows = chat.streamed(windows.select("conv_id", "window", "n_repeated", "text", "loss"), "conv_id", "window")
 
     def run(batches):
+        cols, own = [[] for _ in range(6)], None
+
+        def close():
+            for c, v in zip(cols, (own[0], own[1], own[2].hexdigest(), own[3], own[4].hexdigest(), own[5]), strict=True):
+                c.append(v)
+
         for batch in batches:
+            for conv, _, again, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own is None or conv != own[0]:
+                    if own:
+                        close()
+                    own = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, said in chat.parse(text)[again:]:
+                    own[2].update(f"{role}\n{said}\n".encode())
+                    own[1] += 1
+                for x in spans:
+                    said = chat.unescape(text[x["start"] : x["end"]])
+                    own[3] += len(said)
+                    own[4].update(said.encode())
+                own[5] += len(text)
+            yield batch_of(_READ_ARROW, cols)
             cols = [[] for _ in range(6)]
-            for conv, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                turns, loss, size = hashlib.sha256(), [], 0
-                n = 0
-                for w in own:
-                    for role, text in chat.parse(w["text"])[w["n_repeated"] :]:
-                        turns.update(f"{role}\n{text}\n".encode())
-                        n += 1
-                    loss += [chat.unescape(w["text"][x["start"] : x["end"]]) for x in w["loss"]]
-                    size += len(w["text"])
-                joined = "".join(loss)
-                for c, v in zip(cols, (conv, n, turns.hexdigest(), len(joined), hashlib.sha256(joined.encode()).hexdigest(), size), strict=True):
-                    c.append(v)
+        if own:
+            close()
             yield batch_of(_READ_ARROW, cols)
 
     return rows.mapInArrow(run, _READ)

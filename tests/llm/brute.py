@@ -112,12 +112,12 @@ def quality(docs):
 def chats(rows):
     convs = {}
     for c, turn, role, text in rows:
-        convs.setdefault(c, []).append((turn, role or "", text or ""))
+        convs.setdefault(c, []).append((-1 if turn is None else turn, role or "", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
     out = {}
     for c, own in convs.items():
         own.sort()
-        turns = "".join(f"{r}\n{t}\n" for _, r, t in own)
-        loss = "".join(t for _, r, t in own if r == "assistant")
+        turns = "".join(f"{r}\n{t}\n" for _, r, _, t in own)
+        loss = "".join(t for _, r, _, t in own if r == "assistant")
         out[c] = (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
 

@@ -248,18 +248,36 @@ def test_chat_round_trip(turns):
     assert chat.unescape(full[a:b]) == turns[0][1]
 
 
+def planned(tokens, has_system, budget, history):
+    """Windows by prefix sums over the whole list: (window, number, repeated) of each place."""
+    sums, out, at, w = np.concatenate([[0], np.cumsum(tokens)]), [], 0, 0
+    while at < len(tokens):
+        base = tokens[0] if has_system and at else 0
+        back = at
+        while back > has_system and sums[at] - sums[back - 1] <= history and sums[at + 1] - sums[back - 1] + base <= budget:
+            back -= 1
+        past = at + 1
+        while past < len(tokens) and sums[past + 1] - sums[back] + base <= budget:
+            past += 1
+        out += [(w, 0, True)] * bool(has_system and at) + [(w, i, i < at) for i in range(back, past)]
+        at, w = past, w + 1
+    return out
+
+
 def test_chat_windows_hold_the_budget():
     rng = random.Random(4)
     for _ in range(300):
-        tokens = [rng.randint(1, 60) for _ in range(rng.randint(1, 30))]
+        tokens = [rng.randint(1, rng.choice([60, 130])) for _ in range(rng.randint(1, 30))]
         system = rng.random() < 0.5
-        at = 0
-        for back, new, past in chat.plan(tokens, system, 100, 30):
-            assert new == at and past > new and (not system or back >= min(new, 1))
-            used = sum(tokens[back:past]) + (tokens[0] if system and new else 0)
-            assert sum(tokens[back:new]) <= 30 and (used <= 100 or (back == new and past == new + 1))
-            at = past
-        assert at == len(tokens)
+        planner, got = chat.Planner(100, 30), []
+        for i, n in enumerate(tokens):
+            got += planner.add(i, n, system and not i)
+            assert sum(n for _, n, _ in planner.recent) <= 30
+        assert [(w, i, again) for w, i, again, _ in got] == planned(tokens, system, 100, 30) and all(i == t for _, i, _, t in got)
+        assert [i for _, i, again, _ in got if not again] == list(range(len(tokens)))
+        for w in {x[0] for x in got}:
+            own = [(i, again) for v, i, again, _ in got if v == w]
+            assert sum(tokens[i] for i, _ in own) <= 100 or sum(not again for _, again in own) == 1
 
 
 ALL = licenses.templates_of(licenses.TEMPLATES)

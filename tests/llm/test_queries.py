@@ -320,6 +320,20 @@ def test_op9(spark, sf):
     assert got == want
 
 
+def test_op9_edges(spark):
+    """Nulls in every column, repeated rows, one id for all, a very long conversation, columns with clashing names, an empty table."""
+    from cloakframe.llm import chat
+
+    conv = [(None, 0, "user", "a"), (None, None, None, None), (1, 0, "system", "s"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (2, 0, "assistant", ""), (3, 0, "system", "word " * 3000)]
+    conv += [(9, i, ["user", "assistant"][i % 2], f"turn {i} " * (i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("tokens", F.lit("z"))
+    out = queries.stored(chat.format_windows(df, queries.word_tokenizer(), 200, 50), "w")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in queries.read_windows(out).collect()}
+    assert got == brute.chats(conv) and out.where("conv_id = 9").count() > 100
+    assert out.where("n_tokens > 200 and conv_id <> 3").select("n_repeated").distinct().count() <= 1
+    assert chat.format_windows(df.where("false"), queries.word_tokenizer()).count() == 0
+
+
 def test_op10(spark, sf):
     d, docs, _, _ = sf
     got = {r["doc_id"]: r for r in queries.op10_license_scan(spark, d).collect()}
