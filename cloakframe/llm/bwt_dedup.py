@@ -3,7 +3,7 @@
 A byte goes if a string of `min_bytes` (L) bytes that covers it also starts earlier: in a
 document with a smaller id, or earlier in its own. Ids that are equal go by file order;
 documents without an id come first. Null and empty texts have no bytes. Matches never
-cross rows.
+cross rows. Empty tables give no rows; very long texts are blocks of their own.
 
 A transform of all texts at once would need as many rounds as the longest text has bytes.
 So the texts are first cut where equal passages are cut alike:
@@ -17,21 +17,30 @@ So the texts are first cut where equal passages are cut alike:
    are dropped but for the first, whose windows come earlier: all windows of the others
    are repeats. A block asks once for a string, so the most frequent passage costs a
    bucket one row per block.
-3. What is left are different strings with a common anchor. By buckets of anchors their
-   windows that can't be shared are cut off, equal parts kept once, and the collection
-   transform of the rest is built column by column: each round inserts, for every string,
-   the symbol before the suffix placed last, at the rank that the transform so far gives.
-   Columns beyond a size go through a file, which is read and written in sequence.
-   Neighbours in the finished order are compared column by column up to L; runs that
-   agree are the intervals with a common prefix of L, and all but the earliest start are
-   repeats. Anchors with more than `crowd` different strings are no single task's work:
-   their windows meet by 128-bit hashes in an aggregation that Spark can spread.
-4. Each block unites its windows and gives the rest.
+3. What is left are different strings with a common anchor. An anchor with more than `crowd`
+   of them is no single task's work: its strings are cut in two by the place of the anchor
+   in the window. Windows of a part have more bytes in common, and these make a new, longer
+   anchor; equal parts are dropped but for the first, as above. This goes on until no
+   anchor is crowded, at the latest when parts are single windows and all with one anchor
+   are equal.
+4. By buckets of anchors, windows that can't be shared are cut off, equal parts kept once,
+   and the collection transform of the rest is built column by column. Each round inserts,
+   for every string, the symbol before the suffix placed last, at the rank that the
+   transform so far gives, and updates the common prefix with the neighbour before and that
+   of the neighbour behind: one more than the least since the symbol stood there last. Both
+   are sequences that a round reads once for the ranks and once to merge the new entries
+   in, in windows of `window` entries; over `most` bytes they lie in files. Where common
+   prefixes reach L, entries form an interval, and all but its earliest start are repeats.
+5. Each block unites its windows and gives the rest.
+
+Files are the scratch of one task, in Spark's own local folders; no other task reads them,
+and a task that is run again writes them anew.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 import uuid
 
@@ -42,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE64, batch_of, ids_and_texts, mix64, new_path, powers, prepare, stored, text_buffers
+from .common import _BYTE64, batch_of, drop, drop_path, ids_and_texts, mix64, new_path, powers, prepare, stored, table_bytes, text_buffers
 
 PIECE = 32
 BLOCK_BYTES = 4 << 20
@@ -123,99 +132,190 @@ def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return out[0], out[1]
 
 
-class _Column:
-    """An array between rounds: in memory, or beyond a size in a file of its own."""
-
-    def __init__(self, most: int):
-        self.most, self.value, self.file = most, None, None
-
-    def put(self, x: np.ndarray) -> None:
-        if x.nbytes <= self.most:
-            self.value = x
+class _Run:
+    """Numbers that are written in order and read in windows: in memory up to `most` bytes, beyond that in a file."""
+
+    def __init__(self, dtype, most: int, window: int):
+        self.dtype, self.most, self.window = np.dtype(dtype), most, window
+        self.parts, self.size, self.file = [], 0, None
+
+    def append(self, x: np.ndarray) -> None:
+        x = x.astype(self.dtype, copy=False)
+        self.size += len(x)
+        self.parts.append(x)
+        if self.file or self.size * self.dtype.itemsize > self.most:
+            if not self.file:
+                local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+                self.file = tempfile.TemporaryFile(dir=local if os.path.isdir(local) else None)
+            for part in self.parts:
+                part.tofile(self.file)
+            self.parts = []
+
+    def windows(self):
+        if not self.file:
+            x = self.parts[0] if len(self.parts) == 1 else np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
+            self.parts = [x]
+            for a in range(0, len(x), self.window):
+                yield x[a : a + self.window]
             return
-        self.file = self.file or tempfile.TemporaryFile()
-        self.file.seek(0)
-        x.tofile(self.file)
-        self.file.truncate()
         self.file.flush()
-        self.value = None
-        self.dtype = x.dtype
-
-    def get(self) -> np.ndarray:
-        if self.value is not None:
-            return self.value
         self.file.seek(0)
-        return np.fromfile(self.file, self.dtype)
+        for a in range(0, self.size, self.window):
+            yield np.fromfile(self.file, self.dtype, min(self.window, self.size - a))
+
+
+def _least(x: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The least of x[a : z + 1] for each pair, by minima over runs of powers of two."""
+    out = np.empty(len(a), x.dtype)
+    if not len(a):
+        return out
+    level = np.frexp((z - a + 1).astype(float))[1] - 1
+    runs = x
+    for k in range(int(level.max()) + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(runs[a[own]], runs[z[own] - (1 << k) + 1])
+        runs = np.minimum(runs[: -(1 << k)], runs[1 << k :])
+    return out
 
 
-def collection_order(strings: list[bytes], most: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of the strings in order, as string numbers and starts; equal suffixes go by string number.
+class Collection:
+    """The transform of a collection of strings, built a symbol per string and round.
 
-    The transform holds, for each suffix placed so far, the symbol before it (0 at a
-    string's start, else the byte + 1).
+    Entries are the suffixes so far, in order; equal ones go by string number. Per entry: the
+    symbol before it (0 at a string's start), the prefix in common with the entry before (up
+    to `cap`), the string's number and the suffix's length.
     """
-    m = len(strings)
-    lens = np.fromiter(map(len, strings), np.int64, m)
-    width = int(lens.max()) if m else 0
-    columns = np.zeros((m, width + 1), np.uint16)  # symbol before the suffix of each length
-    for i, s in enumerate(strings):
-        columns[i, : len(s)] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint16) + 1
-    used, columns = np.unique(columns, return_inverse=True)  # as few symbols as there are
-    small = np.uint8 if len(used) <= 256 else np.uint16
-    zero = int(used[0] == 0)
-    columns = (columns.reshape(m, width + 1) + (1 - zero)).astype(small)
-    bwt = _Column(most)
-    bwt.put(columns[:, 0].copy())
-    place, live = np.arange(m), np.arange(m)  # of the suffix placed last, for strings that go on
-    for j in range(1, width + 1):
-        old = bwt.get()
-        live_now = lens[live] >= j
-        place, live = place[live_now], live[live_now]
-        order = np.argsort(old, kind="stable")
-        rank = np.empty(len(old), np.int64)
-        rank[order] = np.arange(len(old))
-        new = m + rank[place] - int((old == 0).sum())
-        by = np.argsort(new)
-        at = new[by] - np.arange(len(by))  # where the new ones go among the old
-        bwt.put(np.insert(old, at, columns[live[by], j]))
-        place = new
-    last = bwt.get()
-    step = np.empty(len(last), np.int64)
-    order = np.argsort(last, kind="stable")
-    step[order] = np.arange(len(last))
-    step += m - int((last == 0).sum())
-    sid, start = np.empty(len(last), np.int32), np.empty(len(last), np.int32)
-    at, who = np.arange(m), np.arange(m)
-    for j in range(width + 1):
-        sid[at], start[at] = who, lens[who] - j
-        on = lens[who] > j
-        at, who = step[at[on]], who[on]
-    return sid, start
-
-
-def later_windows(strings: list[bytes], order_of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+
+    def __init__(self, strings: list[bytes], cap: int, most: int = 64 << 20, window: int = 1 << 20):
+        self.m, self.cap, self.most, self.window = len(strings), cap, most, window
+        self.lens = np.fromiter(map(len, strings), np.int64, self.m)
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.ends = np.cumsum(self.lens)
+        used = np.flatnonzero(np.bincount(self.flat, minlength=256))
+        self.code = np.zeros(256, np.int64)
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.kinds = (np.uint8 if len(used) < 256 else np.uint16, np.uint8 if cap < 255 else np.uint16, np.int32, np.int32)
+        self.counts = np.zeros(len(used) + 1, np.int64)
+        everyone = np.arange(self.m)
+        self.runs = self._empty()
+        symbols = self._symbols(everyone, 0)
+        self._add(symbols, np.zeros(self.m), everyone, np.zeros(self.m))
+        place, live = everyone, everyone  # entries placed last, in order, and whose they are
+        for length in range(1, int(self.lens.max(initial=0)) + 1):
+            on = symbols > 0
+            place, live, symbols = self._insert(place[on], live[on], length)
+
+    def _empty(self) -> list[_Run]:
+        return [_Run(k, self.most, self.window) for k in self.kinds]
+
+    def _add(self, *columns: np.ndarray) -> None:
+        for run, x in zip(self.runs, columns, strict=True):
+            run.append(x)
+        self.counts += np.bincount(columns[0], minlength=len(self.counts))
+
+    def _symbols(self, who: np.ndarray, length: int) -> np.ndarray:
+        """The symbols before the suffixes of this length."""
+        out = np.zeros(len(who), np.int64)
+        more = self.lens[who] > length
+        out[more] = self.code[self.flat[self.ends[who[more]] - length - 1]]
+        return out
+
+    def _ranked(self, place: np.ndarray):
+        """Where the suffixes that begin one symbol before each place go, and their common prefixes with the entries before; the same of old entries behind them."""
+        n = len(self.counts)
+        base = self.m + np.cumsum(np.concatenate([[0, 0], self.counts[1:]]))[:n]
+        to, lcp = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        behind, behind_lcp = [], []
+        seen, least, was_new = np.zeros(n, np.int64), np.full(n, self.cap, np.int64), np.zeros(n, bool)
+        s = i = 0
+        for b, c in zip(self.runs[0].windows(), self.runs[1].windows(), strict=True):
+            k = int(np.searchsorted(place, s + len(b)))
+            own = place[i:k] - s
+            is_new = np.zeros(len(b), bool)
+            is_new[own] = True
+            order = np.argsort(b, kind="stable")
+            sym, new = b[order], is_new[order]
+            heads = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
+            after_new = np.concatenate([[False], new[:-1]])
+            after_new[heads] = was_new[sym[heads]]
+            t = np.flatnonzero((new | after_new) & (sym > 0))
+            head = np.searchsorted(heads, t, "right") - 1
+            at, x = order[t], sym[t].astype(np.int64)
+            p = base[x] + seen[x] + t - heads[head]
+            up_to = np.minimum.accumulate(c)
+            first = heads[head] == t
+            low = np.empty(len(t), np.int64)
+            low[~first] = _least(c, order[t[~first] - 1] + 1, at[~first])
+            low[first] = np.minimum(least[x[first]], up_to[at[first]])
+            low = np.where(first & (seen[x] == 0), 0, np.minimum(low + 1, self.cap))
+            fresh = new[t]
+            which = i + np.searchsorted(own, at[fresh])
+            to[which], lcp[which] = p[fresh], low[fresh]
+            behind.append(p[~fresh])
+            behind_lcp.append(low[~fresh])
+            tails = np.concatenate([heads[1:], [len(b)]]) - 1
+            x, last = sym[heads].astype(np.int64), order[tails]
+            from_on = np.concatenate([np.minimum.accumulate(c[::-1])[::-1], [self.cap]])
+            least = np.minimum(least, up_to[-1])
+            least[x], was_new[x] = from_on[last + 1], new[tails]
+            seen[x] += tails - heads + 1
+            s, i = s + len(b), k
+        return to, lcp, np.concatenate(behind), np.concatenate(behind_lcp)
+
+    def _insert(self, place: np.ndarray, live: np.ndarray, length: int):
+        """One round: the suffixes of this length of the strings that have one."""
+        to, lcp, behind, behind_lcp = self._ranked(place)
+        by = np.argsort(to)
+        to, live = to[by], live[by]
+        symbols = self._symbols(live, length)
+        fresh = (symbols, lcp[by], live, np.full(len(to), length))
+        at = to - np.arange(len(to))  # before which old entry
+        by = np.argsort(behind)
+        behind, behind_lcp = behind[by], behind_lcp[by]
+        behind = behind - np.searchsorted(to, behind)
+        old, self.runs = self.runs, self._empty()
+        self.counts += np.bincount(symbols, minlength=len(self.counts))
+        s = i = h = 0
+        for columns in zip(*(r.windows() for r in old), strict=True):
+            e = s + len(columns[0])
+            k = len(at) if e == old[0].size else int(np.searchsorted(at, e))
+            g = int(np.searchsorted(behind, e))
+            columns = list(columns)
+            columns[1] = columns[1].copy()
+            columns[1][behind[h:g] - s] = behind_lcp[h:g]
+            for run, x, y in zip(self.runs, columns, fresh, strict=True):
+                run.append(np.insert(x, at[i:k] - s, y[i:k]) if k > i else x)
+            s, i, h = e, k, g
+        return to, live, symbols
+
+    def entries(self):
+        """(string numbers, starts, common prefixes) of all entries, in windows."""
+        for _, lcp, who, length in zip(*(r.windows() for r in self.runs), strict=True):
+            yield who, self.lens[who] - length, lcp
+
+
+def later_windows(strings: list[bytes], order_of: np.ndarray, size: int, most: int = 64 << 20, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(string number, start) of all windows of `size` bytes that also occur in the strings at an earlier place.
 
     order_of: (n, 2) keys of the strings: a window's place is its string's first key, then
     the second plus its start.
     """
-    sid, start = collection_order(strings)
-    lens = np.fromiter(map(len, strings), np.int64, len(strings))
-    whole = start + size <= lens[sid]
-    sid, start = sid[whole], start[whole].astype(np.int64)
-    if not len(sid):
-        return sid, start
-    base = np.cumsum(lens) - lens
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    p = base[sid] + start
-    near = np.arange(len(p) - 1)
-    for j in range(size):  # neighbours whose common prefix is still as long as the columns seen
-        near = near[flat[p[near] + j] == flat[p[near + 1] + j]]
-    joined = np.zeros(len(p), bool)
-    joined[near + 1] = True
-    interval = np.cumsum(~joined)
+    none = np.zeros(0, np.int64)
+    sids, starts, groups, group, last = [none], [none], [none], 0, None
+    for who, start, lcp in Collection(strings, size, most, window).entries():
+        joined = lcp >= size  # in one interval with the entry before
+        number = group + np.cumsum(~joined)
+        keep = joined.copy()
+        keep[:-1] |= joined[1:]
+        if joined[0] and last and not last[3]:
+            for x, v in zip((sids, starts, groups), last, strict=False):
+                x.append(np.array([v], np.int64))
+        for x, v in zip((sids, starts, groups), (who, start, number), strict=True):
+            x.append(v[keep].astype(np.int64))
+        group, last = int(number[-1]), (who[-1], start[-1], number[-1], keep[-1])
+    sid, start, interval = (np.concatenate(x) for x in (sids, starts, groups))
     k = np.lexsort((order_of[sid, 1] + start, order_of[sid, 0], interval))
-    again = np.concatenate([[False], interval[k][1:] == interval[k][:-1]])
+    again = np.concatenate([[False], interval[k][1:] == interval[k][:-1]])[: len(k)]
     return sid[k][again], start[k][again]
 
 
@@ -274,7 +374,7 @@ _PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("at", "<i8")])
 _PAIR = np.dtype([("h", "<u8"), ("a", "<u8")])
 
 
-def _blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, path: str, name: str, buckets: int) -> DataFrame:
     """The texts in blocks, as a table bucketed by block: joins with answers don't move it."""
     def run(batches):
         held, size, number = [], 0, 0
@@ -299,7 +399,6 @@ def _blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             yield out()
 
     spark = docs.sparkSession
-    name = f"cloakframe_blocks_{uuid.uuid4().hex}"
     made = docs.mapInArrow(run, "block long, ids array<long>, ends array<long>, data binary")
     made.write.format("parquet").bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
@@ -423,15 +522,102 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+BUCKET_BYTES = 32 << 20
+
+
+def _bucket_number(docs: DataFrame) -> int:
+    """The session's number for shuffles, and more where the table's files would give each over BUCKET_BYTES."""
+    size = table_bytes(docs)
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES) if size < 1 << 55 else 1)
+
+
+def halved(payload: bytes, anchor: int, least: int, most: int, size: int) -> list[tuple[int, int, int, int, int, int]]:
+    """The two parts of a string whose windows start from `least` to before `most` bytes before the anchor, by halves of this range.
+
+    (first byte, past the last one, least, most, and the place of the bytes that all windows of the half have in common) of each part that has a window.
+    """
+    out, mid = [], (least + most) // 2
+    for x, y in ((least, mid), (mid, most)):
+        a, b = max(0, anchor - y + 1), min(len(payload), anchor - x + size)
+        if y > x and b - a >= size:
+            out.append((a, b, x, y, anchor - x, anchor - y + 1 + size))
+    return out
+
+
+_STRINGS = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("payload", pa.binary())])
+_STRINGS_DDL = "h long, a long, b long, id long, block long, at long, anchor long, least long, most long, payload binary"
+_REPEATS = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+
+
+def _halves(size: int):
+    """Arrow batches of strings with a crowded anchor, as their halves with longer anchors (h) and fingerprints (a, b)."""
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in _STRINGS]
+            for r in batch.to_pylist():
+                flat = np.frombuffer(r["payload"], np.uint8)
+                for a, b, x, y, p, q in halved(r["payload"], r["anchor"], r["least"], r["most"], size):
+                    lo, hi = np.array([p, a]), np.array([q, b])
+                    f, g = span_hashes(flat, lo, hi)
+                    with np.errstate(over="ignore"):
+                        key = mix64(f[:1] + g[:1] * np.uint64(2 * (x * 256 + y) + 1)).view(np.int64)[0]
+                    for c, v in zip(cols, (int(key), int(f.view(np.int64)[1]), int(g.view(np.int64)[1]), r["id"], r["block"], r["at"] + a, r["anchor"] - a, x, y, r["payload"][a:b]), strict=True):
+                        c.append(v)
+            yield batch_of(_STRINGS, cols)
+
+    return run
+
+
+def _as_runs(size: int):
+    """Arrow batches of (block, at, length) of strings that came earlier, as runs of their windows."""
+    def run(batches):
+        for batch in batches:
+            block, at, length = (batch.column(k).to_numpy() for k in range(3))
+            made = np.zeros(len(at), _RUN)
+            made["lo"], made["hi"] = at, at + length - size
+            yield batch_of(_REPEATS, [block, [x.tobytes() for x in made[:, None]]])
+
+    return run
+
+
+def spread(strings: DataFrame, crowd: int, size: int, scratch: list) -> tuple[DataFrame, list[DataFrame]]:
+    """Strings (_STRINGS_DDL) of which no anchor has more than `crowd`, and the repeats (block, payload) that were found on the way there.
+
+    Strings of one anchor differ; those of a crowded one are halved, and of equal halves the
+    first one stays. scratch: takes the tables that were stored.
+    """
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(stored(df, name))
+        return scratch[-1]
+
+    done, repeats = None, []
+    place = F.struct("id", "block", "at")
+    while True:
+        crowds = keep(strings.groupBy("h").agg(F.count("*").alias("c")).where((F.col("c") > crowd)).select(F.col("h").alias("crowded")), "crowds")
+        if crowds.isEmpty():
+            return strings if done is None else done.unionByName(strings), repeats
+        few = strings.join(crowds, F.col("h") == F.col("crowded"), "left_anti")
+        single = F.col("most") - F.col("least") <= 1
+        many = strings.join(crowds, F.col("h") == F.col("crowded"), "left_semi").where(~single)
+        done = few if done is None else done.unionByName(few)
+        halves = keep(many.select(*_STRINGS.names).mapInArrow(_halves(size), _STRINGS_DDL), "halves")
+        firsts = keep(halves.groupBy("h", "a", "b").agg(F.min(place).alias("p"), F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("fh"), F.col("a").alias("fa"), F.col("b").alias("fb"), "p"), "firsts")
+        told = halves.join(firsts, (F.col("h") == F.col("fh")) & (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left").withColumn("again", F.coalesce(place != F.col("p"), F.lit(False)))
+        told = keep(told.select(*_STRINGS.names, "again"), "halves")
+        repeats.append(told.where("again").select("block", "at", F.length("payload").cast("long").alias("n")).mapInArrow(_as_runs(size), "block long, payload binary"))
+        strings = told.where("not again").drop("again")
+
+
 def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text", crowd: int = 4096, buckets: int | None = None, with_text: bool = False) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with_text, the bytes kept."""
+    """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with_text, the bytes kept, as a stored table."""
     spark = docs.sparkSession
     prepare(spark)
     size = min_bytes
     if size < PIECE + 1:
         raise ValueError(f"min_bytes must be over {PIECE}")
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = _blocks(ids_and_texts(docs, id_col, text_col), new_path(spark, "blocks"), n)
+    n = buckets or _bucket_number(docs)
+    path, name = new_path(spark, "blocks"), f"cloakframe_blocks_{uuid.uuid4().hex}"
+    blocks = _blocks(ids_and_texts(docs, id_col, text_col), path, name, n)
 
     def rows_of(batches, with_answers):
         for batch in batches:
@@ -472,9 +658,10 @@ def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", t
     second = _answers(once.mapInArrow(ask_strings, ask), "answers")
     twice = once.join(second.hint("shuffle_hash").select(F.col("block").alias("k2"), F.col("answers").alias("more")), F.col("block") == F.col("k2"), "left").drop("k2")
     found = stored(twice.mapInArrow(find, "block long, kind int, h long, id long, at long, anchor long, payload binary"), "found")
-    strings = found.where("kind = 1")
-    crowds = stored(strings.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select(F.col("h").alias("crowded")), "crowds")
-    few = strings.join(crowds, F.col("h") == F.col("crowded"), "left_anti").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(n).cast("long")))
+    strings = found.where("kind = 1").select("h", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "id", "block", "at", "anchor", F.lit(0).cast("long").alias("least"), F.lit(size - PIECE + 1).cast("long").alias("most"), "payload")
+    scratch = [first, second, found]
+    strings, repeats = spread(strings, crowd, size, scratch)
+    few = strings.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(n).cast("long")))
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         """The later windows of a bucket's strings, by block."""
@@ -491,34 +678,10 @@ def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", t
             out.append((b, runs.tobytes()))
         return pd.DataFrame(out, columns=["block", "payload"])
 
-    def windows(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("block", pa.int64()), ("at", pa.int64())])
-        for batch in batches:
-            for r in batch.to_pylist():
-                own = np.frombuffer(r["payload"], np.uint8)
-                start = np.arange(len(own) - size + 1)
-                a, b = span_hashes(own, start, start + size)
-                k = len(start)
-                yield batch_of(schema, [a.view(np.int64), b.view(np.int64), [r["id"]] * k, [r["block"]] * k, r["at"] + start])
-
     sorted_out = few.groupBy("bucket").applyInPandas(sort, "block long, payload binary")
-    many = strings.join(crowds, F.col("h") == F.col("crowded"), "left_semi").select("id", "block", "at", "payload").mapInArrow(windows, "a long, b long, id long, block long, at long")
-    many = stored(many, "windows")
-    place = F.struct("id", "block", "at")
-    firsts = stored(many.groupBy("a", "b").agg(F.min(place).alias("p"), F.count("*").alias("c")).where("c > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "p"), "firsts")
-    later = many.join(firsts, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (place != F.col("p"))).groupBy("block").agg(F.collect_list(F.col("at").cast("int")).alias("ats"))
-
-    def as_runs(batches):
-        schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
-        for batch in batches:
-            made = []
-            for ats in batch.column(1).to_pylist():
-                runs = np.zeros(len(ats), _RUN)
-                runs["lo"] = runs["hi"] = ats
-                made.append(runs.tobytes())
-            yield batch_of(schema, [batch.column(0), made])
-
-    gone = found.where("kind = 0").select("block", "payload").union(sorted_out).union(later.mapInArrow(as_runs, "block long, payload binary"))
+    gone = found.where("kind = 0").select("block", "payload").union(sorted_out)
+    for x in repeats:
+        gone = gone.union(x)
     gone = gone.groupBy("block").agg(F.collect_list("payload").alias("runs")).hint("shuffle_hash").select(F.col("block").alias("k3"), "runs")
 
     def finish(batches):
@@ -538,4 +701,8 @@ def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", t
                 kept = [x.data[a:b][~out[a:b]].tobytes() for a, b in zip(x.offsets[:-1], x.offsets[1:], strict=True)]
                 yield batch_of(_OUT, [r["ids"], np.diff(x.offsets), removed, spans, [hashlib.sha256(k).hexdigest() for k in kept], kept if with_text else [None] * len(kept)])
 
-    return blocks.join(gone, F.col("block") == F.col("k3"), "left").drop("k3").mapInArrow(finish, OUT)
+    out = stored(blocks.join(gone, F.col("block") == F.col("k3"), "left").drop("k3").mapInArrow(finish, OUT), "deduplicated")
+    drop(*scratch)
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path)
+    return out

@@ -217,11 +217,34 @@ def test_words_and_buffers():
     assert h[3] == h[5] and len(set(h.tolist())) == len(h) - 1 and per.tolist() == [3, 0, 0, 0, 3, 1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab", max_size=12).map(str.encode), min_size=1, max_size=8), st.sampled_from([0, 1 << 20]))
-def test_collection_order(strings, most):
-    sid, start = bwt_dedup.collection_order(strings, most)
-    assert [strings[i][j:] for i, j in zip(sid, start, strict=True)] == sorted(s[j:] for s in strings for j in range(len(s) + 1))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=12).map(str.encode), min_size=1, max_size=8), st.sampled_from([0, 1 << 20]), st.sampled_from([1, 2, 5, 1000]), st.sampled_from([3, 100]))
+def test_collection(strings, most, window, cap):
+    """Order and common prefixes of all suffixes, in memory and in files, with windows of any size."""
+    made = bwt_dedup.Collection(strings, cap, most, window)
+    got = [(int(i), int(j), int(c)) for x in made.entries() for i, j, c in zip(*x, strict=True)]
+    want = sorted((strings[i][j:], i, j) for i in range(len(strings)) for j in range(len(strings[i]) + 1))
+    assert [(i, j) for i, j, _ in got] == [(i, j) for _, i, j in want]
+
+    def common(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    assert [c for _, _, c in got] == [min(cap, common(x[0], y[0])) for x, y in zip([(b"",)] + want, want, strict=False)]
+    assert (most == 0) == any(r.file for r in made.runs)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=14).map(str.encode), min_size=1, max_size=8), st.sampled_from([1, 3, 1000]), st.sampled_from([2, 3, 5]))
+def test_later_windows(strings, window, size):
+    seen, want = set(), set()
+    for i, x in enumerate(strings):
+        for j in range(len(x) - size + 1):
+            if x[j : j + size] in seen:
+                want.add((i, j))
+            seen.add(x[j : j + size])
+    keys = np.stack([np.arange(len(strings)), np.zeros(len(strings), np.int64)], 1)
+    sid, start = bwt_dedup.later_windows(strings, keys, size, 0, window)
+    assert set(zip(sid.tolist(), start.tolist(), strict=True)) == want and len(sid) == len(want)
 
 
 def test_anchors_cover_each_window_once():
