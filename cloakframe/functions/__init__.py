@@ -192,7 +192,13 @@ def grade(numeric: list[Column], frequencies: list[Column], k: int) -> Column:
 
 
 def hash_order(*columns: str, seed: int = 0) -> Column:
-    return F.xxhash64(*[F.col(c) for c in columns], F.lit(seed))
+    """A text to sort by that mixes the rows, the same on any cluster."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
+
+
+def hash_share(*columns: str, seed: int = 0) -> Column:
+    """A number from 0 to below 1 that the columns' values fix."""
+    return F.conv(F.substring(hash_order(*columns, seed=seed), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def pick(df: DataFrame, n: int, *key: str, seed: int = 0) -> DataFrame:
@@ -200,6 +206,12 @@ def pick(df: DataFrame, n: int, *key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(hash_order(*key, seed=seed), *key).limit(n)
 
 
+def natural_order(text: Column) -> Column:
+    """A key that sorts texts that are numbers by their value, before all others, which go by their characters."""
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("double"))
+    return F.struct(number.isNull().alias("not_number"), number.alias("number"), text.alias("text"))
+
+
 # Full-domain levels of three census attributes.
 AGE_LEVELS = [(25, "[0-25]"), (50, "[26-50]"), (75, "[51-75]"), (100, "[76-100]")]
 

@@ -220,16 +220,19 @@ def _ups(t: Tree) -> np.ndarray:
 METHODS = {"knn": knn, "kmember": kmember, "oka": oka, "gccg": gccg}
 
 
-def anonymize(df: DataFrame, method: str, k: int, numeric: list[str], hierarchies: dict[str, dict[str, list[str]]], rid: str = "rid", block: str | None = None, seed: int = 0) -> DataFrame:
+def anonymize(df: DataFrame, method: str, k: int, numeric: list[str], hierarchies: dict[str, dict[str, list[str]]], rid: str = "rid", block: str | None = None, seed: int = 0, domains: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """rid, block, cluster, size, ncp and the generalised columns: c_lo, c_hi for numbers, c for categories.
 
-    hierarchies: root paths (leaf first) of each category's values.
+    hierarchies: root paths (leaf first) of each category's values. domains: the least and the
+    largest value that a number can have; without it, those that it has.
     """
     if method not in METHODS:
         raise ValueError(f"no method {method}")
     cats = list(hierarchies)
-    ranges = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first() if numeric else ()
-    span = np.array([r or 0.0 for r in ranges], float)
+    known = domains or {}
+    seen = [c for c in numeric if c not in known]
+    ranges = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in seen]).first().asDict() if seen else {}
+    span = np.array([known[c][1] - known[c][0] if c in known else ranges[c] or 0.0 for c in numeric], float)
     trees = [Tree(hierarchies[c]) for c in cats]
     rows = df.select(F.col(rid).cast("long").alias("rid"), (F.col(block).cast("string") if block else F.lit("")).alias("block"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in cats])
 

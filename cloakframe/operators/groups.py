@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe import functions as X
 
+from .keep import kept, running_sum
+
 
 def known(df: DataFrame, qi: list[str]) -> DataFrame:
     return df.dropna(subset=qi)
@@ -18,8 +20,8 @@ def sizes(df: DataFrame, qi: list[str]) -> DataFrame:
 
 
 def numbered(groups: DataFrame, qi: list[str]) -> DataFrame:
-    """gid: the group's place in key order. Groups are a summary; rows never meet here."""
-    return groups.withColumn("gid", F.row_number().over(Window.orderBy(*qi)).cast("long") - 1)
+    """gid: the group's place in key order, from 0."""
+    return running_sum(groups, qi, F.lit(1).cast("long"), "gid").withColumn("gid", F.col("gid") - 1)
 
 
 def build_groups(df: DataFrame, qi: list[str], k: int) -> DataFrame:
@@ -39,11 +41,13 @@ def free_counts(groups: DataFrame, k: int) -> DataFrame:
     return groups.where(F.col("n") > k).select("gid", (F.col("n") - k).alias("free"))
 
 
-def free_tuples(rows: DataFrame, k: int, gid: str = "gid", rid: str = "rid") -> DataFrame:
-    """The first n - k rows of each safe group."""
-    w = Window.partitionBy(gid)
-    x = rows.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(rid)))
-    return x.where(F.col("__i") <= F.col("__n") - k).drop("__n", "__i")
+def free_tuples(rows: DataFrame, k: int, gid: str = "gid", rid: str = "rid", salts: int = 64) -> DataFrame:
+    """The first n - k rows of each safe group: all but the k last. These are found among the k last of each of its
+    `salts` shares, so no task orders a whole group."""
+    last = rows.select(F.col(gid).alias("__g"), F.col(rid).alias("__r")).withColumn("__s", F.pmod(F.xxhash64("__r"), F.lit(salts)))
+    for by in (("__g", "__s"), ("__g",)):
+        last = last.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__r")))).where(F.col("__i") <= k)
+    return rows.join(last.select("__g", "__r"), (F.col(gid) == F.col("__g")) & (F.col(rid) == F.col("__r")), "left_anti")
 
 
 def cavg(groups: DataFrame, k: int) -> DataFrame:
@@ -58,16 +62,21 @@ def match_free(groups: DataFrame, k: int) -> DataFrame:
     dst, src, m: how many rows the unsafe group dst takes from the safe group src. Unsafe
     groups come by size, then gid; a group whose demand can't be met in full takes none.
     """
+    groups = kept(groups.select("gid", "n"))
     need = groups.where(X.is_unsafe(F.col("n"), k)).withColumn("need", k - F.col("n"))
     give = groups.where(F.col("n") > k).withColumn("free", F.col("n") - k)
-    w_need, w_give = Window.orderBy(F.desc("n"), "gid"), Window.orderBy("gid")
-    d = need.select(F.col("gid").alias("dst"), "need", F.sum("need").over(w_need).alias("d_end"))
-    s = give.select(F.col("gid").alias("src"), "free", F.sum("free").over(w_give).alias("s_end"))
-    total = give.agg(F.coalesce(F.sum("free"), F.lit(0)).alias("total"))
-    d = d.crossJoin(F.broadcast(total)).where(F.col("d_end") <= F.col("total")).withColumn("d_start", F.col("d_end") - F.col("need"))
-    s = s.withColumn("s_start", F.col("s_end") - F.col("free"))
-    both = d.join(s, (F.col("d_start") < F.col("s_end")) & (F.col("s_start") < F.col("d_end")))
-    return both.select("dst", "src", (F.least("d_end", "s_end") - F.greatest("d_start", "s_start")).alias("m"))
+    total = give.agg(F.coalesce(F.sum("free"), F.lit(0)).alias("x")).first()["x"]
+    # Intervals on the line of all free rows; those of a side don't overlap, so a stretch of the line meets few of them.
+    stretch = F.lit(4 * k)
+    over = lambda a, b: F.explode(F.sequence(F.floor(a / stretch), F.floor((b - 1) / stretch)))
+    d = running_sum(need, [F.desc("n"), "gid"], F.col("need"), "d_end").where(F.col("d_end") <= total)
+    d = d.select(F.col("gid").alias("dst"), (F.col("d_end") - F.col("need")).alias("d_start"), "d_end").withColumn("d_on", over(F.col("d_start"), F.col("d_end")))
+    s = running_sum(give, ["gid"], F.col("free"), "s_end").select(F.col("gid").alias("src"), (F.col("s_end") - F.col("free")).alias("s_start"), "s_end")
+    last = d.agg(F.coalesce(F.max("d_end"), F.lit(0)).alias("x")).first()["x"]
+    s = s.where(F.col("s_start") < last).withColumn("s_on", over(F.col("s_start"), F.least("s_end", F.lit(last))))
+    first = F.greatest("d_start", "s_start")
+    both = d.join(s, (F.col("d_on") == F.col("s_on")) & (F.col("d_start") < F.col("s_end")) & (F.col("s_start") < F.col("d_end")))
+    return both.where(F.floor(first / stretch) == F.col("d_on")).select("dst", "src", (F.least("d_end", "s_end") - first).alias("m"))
 
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,7 +98,8 @@ def t_closeness(df: DataFrame, group: list[str], sensitive: str, whole_domain: b
     df = df.where(F.col(sensitive).isNotNull())
     local = df.groupBy(*group, F.col(sensitive).alias("__v")).agg(F.count("*").alias("__c"))
     overall = df.groupBy(F.col(sensitive).alias("__w")).agg(F.count("*").alias("__g"))
-    overall = overall.withColumn("__q", F.col("__g") / F.sum("__g").over(Window.partitionBy()))
+    total = overall.agg(F.sum("__g").alias("__all_rows"))
+    overall = overall.crossJoin(F.broadcast(total)).withColumn("__q", F.col("__g") / F.col("__all_rows")).drop("__all_rows")
     sized = local.withColumn("__n", F.sum("__c").over(Window.partitionBy(*group)))
     joined = sized.join(overall, F.col("__v") == F.col("__w")).withColumn("__d", F.abs(F.col("__c") / F.col("__n") - F.col("__q")))
     out = joined.groupBy(*group).agg(F.first("__n").alias("n"), F.max("__d").alias("t"), F.collect_set("__w").alias("__seen"))
@@ -100,22 +110,39 @@ def t_closeness(df: DataFrame, group: list[str], sensitive: str, whole_domain: b
     return out.select(*group, "n", F.round("t", 6).alias("t"))
 
 
-def best_partners(groups: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
+def best_partners(groups: DataFrame, k: int) -> DataFrame:
     """For each unsafe group its best migration with any other group, either way.
 
-    Most risk reduction first, then fewest rows, then gids. `allowed` may use columns i_*
-    (giver) and j_* (receiver). Candidates pair by class sizes: of all groups of a size only
-    the two with the least gids can be best, so the pairs are unsafe groups times sizes.
+    Most risk reduction first, then fewest rows, then gids. What a migration is worth depends
+    on the sizes alone, and is the same for all sizes from 2 k on: of all groups of a size only
+    the two with the least gids can be best. So unsafe groups are paired with sizes, of which
+    there are at most 2 k; two groups each go to all tasks.
     """
-    first = groups.withColumn("__r", F.row_number().over(Window.partitionBy("n").orderBy("gid"))) if allowed is None else groups.withColumn("__r", F.lit(1))
-    other = first.where("__r <= 2").select(F.col("gid").alias("p_gid"), F.col("n").alias("p_n"))
+    sized = groups.select("gid", F.least(F.col("n"), F.lit(2 * k)).cast("long").alias("n"))
+    least = sized.groupBy("n").agg(F.min("gid").alias("p_gid"))
+    second = sized.join(F.broadcast(least.select(F.col("n").alias("l_n"), F.col("p_gid").alias("l_gid"))), (F.col("n") == F.col("l_n")) & (F.col("gid") != F.col("l_gid"))).groupBy("n").agg(F.min("gid").alias("p_gid"))
+    other = least.unionByName(second).select("p_gid", F.col("n").alias("p_n"))
     one = groups.where(X.is_unsafe(F.col("n"), k)).select("gid", "n")
-    pairs = one.join(F.broadcast(other) if allowed is None else other, F.col("gid") != F.col("p_gid"))
+    pairs = one.join(F.broadcast(other), F.col("gid") != F.col("p_gid"))
     out = pairs.select("gid", F.explode(F.array(F.struct(F.col("gid").alias("i_gid"), F.col("n").alias("i_n"), F.col("p_gid").alias("j_gid"), F.col("p_n").alias("j_n")), F.struct(F.col("p_gid").alias("i_gid"), F.col("p_n").alias("i_n"), F.col("gid").alias("j_gid"), F.col("n").alias("j_n")))).alias("x")).select("gid", "x.*")
     m = X.migrant_count(F.col("i_n"), F.col("i_n"), F.col("j_n"), k)
     out = out.withColumn("m", m).where("m > 0")
-    if allowed is not None:
-        out = out.where(allowed)
     out = out.withColumn("reduction", X.risk_reduction(F.col("i_n"), F.col("j_n"), F.col("m"), k)).withColumn("most_useful", X.most_useful(F.col("i_n"), F.col("j_n"), F.col("m"), k))
     best = F.min_by(F.struct("i_gid", "j_gid", "m", "reduction", "most_useful"), F.struct(-F.col("reduction"), F.col("m"), F.col("i_gid"), F.col("j_gid")))
     return out.groupBy("gid").agg(best.alias("b")).select("gid", "b.*")
+
+
+def fewest_hits(asking: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
+    """gid, dst, hits: for each asking gid the target gid with the fewest hits, then the least gid.
+
+    hits: gid, dst, c; pairs without a row have none. A gid's first target without a hit is the
+    first gap in the numbers of its targets with one, so pairs without hits are never made.
+    """
+    numbered_ = kept(running_sum(targets.select(F.col("gid").alias("t_gid")), ["t_gid"], F.lit(1).cast("long"), "t_no"))
+    n = numbered_.count()
+    known = hits.join(numbered_, F.col("dst") == F.col("t_gid")).withColumn("__k", F.row_number().over(Window.partitionBy("gid").orderBy("t_no")))
+    gap = F.coalesce(F.min(F.when(F.col("t_no") > F.col("__k"), F.col("__k"))), F.count("*") + 1)
+    own = known.groupBy(F.col("gid").alias("h_gid")).agg(gap.alias("gap"), F.min(F.struct("c", "dst")).alias("least"))
+    each = asking.select("gid").join(own, F.col("gid") == F.col("h_gid"), "left").withColumn("gap", F.coalesce("gap", F.lit(1)))
+    free = each.where(F.col("gap") <= n).join(numbered_, F.col("gap") == F.col("t_no")).select("gid", F.col("t_gid").alias("dst"), F.lit(0).cast("long").alias("hits"))
+    return free.unionByName(each.where((F.col("gap") > n) & F.col("least").isNotNull()).select("gid", F.col("least.dst").alias("dst"), F.col("least.c").alias("hits")))

@@ -1,96 +1,193 @@
-"""Multidimensional partitioning, all partitions of a depth at a time.
+"""Multidimensional partitioning.
 
-Each round aggregates every active partition once for all columns: spans, split points
-and the validity of both halves. A partition splits on its widest column whose halves are
-both valid. Partitions are independent, so the result equals that of a queue. Rounds are
-written out, as the lineage doubles otherwise.
+A partition splits on its widest column whose halves both pass all tests, until none does.
+Partitions are independent of each other, so the order in which they are taken doesn't
+matter. Those of over `local_rows` rows are split a depth at a time, all of a depth in one
+round: a histogram of values per partition gives spans and exact cuts, and one aggregation
+tests both halves of all columns. Smaller ones are finished by one task each.
+
+Numbers are cut at the median (below it: left); categories at half of their values in order
+of first appearance. The columns to cut on must not be null; rows may repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keep import kept, running_sum
+
+
+@dataclass(frozen=True)
+class Test:
+    """A condition on a partition, as an aggregate and on values at hand (a function from column names to arrays)."""
+
+    column: Callable[[], Column]
+    local: Callable[[Callable[[str], np.ndarray]], bool]
+
+
+def k_anonymous(k: int, any_column: str) -> Test:
+    return Test(lambda: F.count("*") >= k, lambda get: len(get(any_column)) >= k)
+
+
+def l_diverse(sensitive: str, l: int) -> Test:  # noqa: E741
+    return Test(lambda: F.count_distinct(sensitive) >= l, lambda get: len(set(get(sensitive).tolist()) - {None}) >= l)
+
 
-def k_anonymous(k: int) -> Callable[[], Column]:
-    return lambda: F.count("*") >= k
+def value_shares(df: DataFrame, column: str, most: int = 200) -> dict[str, float]:
+    """The share of each value of a column with few values; more than `most` are refused."""
+    rows = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has over {most} values")
+    n = sum(r["count"] for r in rows)
+    return {r["v"]: r["count"] / n for r in sorted(rows)}
 
 
-def l_diverse(sensitive: str, l: int) -> Callable[[], Column]:  # noqa: E741
-    return lambda: F.count_distinct(sensitive) >= l
+def t_close(sensitive: str, shares: dict[str, float], p: float = 0.2) -> Test:
+    """No value that is there has a share that differs by more than p from its share overall."""
+    def column() -> Column:
+        own = lambda v: F.count_if(F.col(sensitive).cast("string") == v)
+        gaps = [F.when(own(v) > 0, F.abs(own(v) / F.count(sensitive) - F.lit(q))).otherwise(0.0) for v, q in shares.items()]
+        return F.greatest(F.lit(0.0), F.lit(0.0), *gaps) <= p
 
+    def local(get) -> bool:
+        values = [str(v) for v in get(sensitive).tolist() if v is not None]
+        return all(abs(values.count(v) / len(values) - q) <= p for v, q in shares.items() if v in values)
 
-def spans(df: DataFrame, part: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Per partition: max - min of numeric, distinct values of categorical columns."""
-    return df.groupBy(part).agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"span_{c}") for c in numeric], *[F.count_distinct(c).cast("double").alias(f"span_{c}") for c in categorical])
+    return Test(column, local)
 
 
-def halves(df: DataFrame, part: str, column: str, is_numeric: bool, order: str = "rid") -> DataFrame:
-    """df with __right: whether the row goes right when its partition is cut on the column.
+def _spans(df: DataFrame, numeric: list[str], categorical: list[str]) -> list[Column]:
+    return [*[(F.max(c) - F.min(c)).cast("double").alias(f"span_{c}") for c in numeric], *[F.count_distinct(c).cast("double").alias(f"span_{c}") for c in categorical]]
 
-    Numbers are cut at the median (below it: left); categories at half of their values in
-    order of first appearance.
-    """
-    if is_numeric:
-        cut = df.groupBy(F.col(part).alias("__p")).agg(F.median(column).alias("__m"))
-        return df.join(cut, F.col(part) == F.col("__p")).withColumn("__right", F.col(column) >= F.col("__m")).drop("__p", "__m")
-    first = df.groupBy(F.col(part).alias("__p"), F.col(column).alias("__v")).agg(F.min(order).alias("__f"))
-    w = Window.partitionBy("__p")
-    first = first.withColumn("__right", F.row_number().over(w.orderBy("__f")) > F.floor(F.count("*").over(w) / 2)).drop("__f")
-    return df.join(first, (F.col(part) == F.col("__p")) & F.col(column).eqNullSafe(F.col("__v"))).drop("__p", "__v")
 
+def _at_ranks(values: DataFrame, part: str, value: str, weight: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per part, the values at ranks (from 0, each from the part's sum of weights) in a table of distinct (part, value)."""
+    run = running_sum(values, [part, value], F.col(weight), "__end")
+    ends = run.groupBy(F.col(part).alias("__whole")).agg(F.min(F.col("__end") - F.col(weight)).alias("__start"), F.max("__end").alias("__stop"))
+    joined = run.join(ends, F.col(part) == F.col("__whole"))
+    first, past, n = F.col("__end") - F.col(weight) - F.col("__start"), F.col("__end") - F.col("__start"), F.col("__stop") - F.col("__start")
+    picked = [F.min(F.when((first <= r(n)) & (r(n) < past), F.col(value))).alias(name) for name, r in ranks.items()]
+    return joined.groupBy(part).agg(*picked)
 
-def partition(df: DataFrame, numeric: list[str], categorical: list[str], valid: list[Callable[[], Column]], depth: int = 64, order: str = "rid", keep: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """df with part: the path of its partition (L and R). keep: materialises a round.
 
-    whole: (rows, key) -> (key, ok), for tests that need more than an aggregate, such as
-    t-closeness.
-    """
+def medians(df: DataFrame, part: str, column: str) -> DataFrame:
+    """part, median: exact, from a histogram in which equal values count together; no task sees a whole partition."""
+    values = df.groupBy(part, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    at = _at_ranks(values, part, "__v", "__n", {"__lo": lambda n: F.floor((n - 1) / 2), "__hi": lambda n: F.floor(n / 2)})
+    return at.select(part, ((F.col("__lo") + F.col("__hi")) / 2).alias("median"))
+
+
+def _sides(active: DataFrame, numeric: list[str], categorical: list[str], order: str) -> DataFrame:
+    """active with right_c for each column: whether the row goes right when its partition is cut there."""
+    out = active
+    for c in numeric:
+        cut = medians(active, "part", c).select(F.col("part").alias("__p"), F.col("median").alias("__m"))
+        out = out.join(cut, F.col("part") == F.col("__p")).withColumn(f"right_{c}", F.col(c) >= F.col("__m")).drop("__p", "__m")
+    for c in categorical:
+        first = kept(active.groupBy(F.col("part").alias("__p"), F.col(c).alias("__v")).agg(F.min(order).alias("__f")))
+        last = _at_ranks(first.withColumn("__one", F.lit(1)), "__p", "__f", "__one", {"__last": lambda n: F.floor(n / 2) - 1})
+        sides = first.join(last.select(F.col("__p").alias("__q"), "__last"), F.col("__p") == F.col("__q")).select("__p", "__v", (F.col("__f") > F.coalesce("__last", F.col("__f") - 1)).alias(f"right_{c}"))
+        out = out.join(sides, (F.col("part") == F.col("__p")) & F.col(c).eqNullSafe(F.col("__v"))).drop("__p", "__v")
+    return out
+
+
+def _round(active: DataFrame, numeric: list[str], categorical: list[str], valid: list[Test], total: dict, order: str) -> DataFrame:
+    """active with __side: L or R of the cut its partition takes, null if it takes none."""
     columns = [*numeric, *categorical]
-    keep = keep or (lambda x: x.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else x.cache())
-    total = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric], *[F.count_distinct(c).cast("double").alias(c) for c in categorical]).first().asDict()
-    out, active = None, df.withColumn("part", F.lit(""))
-    for _ in range(depth):
-        active = keep(active)
+    sided = kept(_sides(active, numeric, categorical, order))
+    each = sided.withColumn("__x", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"right_{c}").alias("right")) for i, c in enumerate(columns)])))
+    ok = F.lit(True)
+    for t in valid:
+        ok = ok & t.column()
+    tested = each.groupBy("part", "__x").agg(ok.alias("ok")).groupBy("part", F.col("__x.i").alias("i")).agg(((F.count("*") == 2) & F.bool_and("ok")).alias("good")).where("good")
+    good = tested.groupBy("part").agg(F.collect_set("i").alias("good")).select(F.col("part").alias("__g"), "good")
+    spans = active.groupBy("part").agg(*_spans(active, numeric, categorical))
+    shares = F.array(*[F.struct((-F.col(f"span_{c}") / F.lit(total[c] or 1.0)).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(columns)])
+    best = F.try_element_at(F.filter(F.array_sort(shares), lambda x: F.array_contains("good", x["i"])), F.lit(1))["i"]
+    choice = spans.join(good, F.col("part") == F.col("__g")).select(F.col("part").alias("__q"), best.alias("__c"))
+    right = F.element_at(F.array(*[F.col(f"right_{c}") for c in columns]), F.col("__c") + 1)
+    side = F.when(F.col("__c").isNotNull(), F.when(right, "R").otherwise("L"))
+    return sided.join(choice, F.col("part") == F.col("__q"), "left").withColumn("__side", side).drop("__q", "__c", *[f"right_{c}" for c in columns])
+
+
+def _finish(data: dict[str, np.ndarray], numeric: list[str], categorical: list[str], valid: list[Test], total: dict, order: str, part: str) -> np.ndarray:
+    """The parts of the rows of one partition, which is cut until no valid cut is left."""
+    out = np.empty(len(data[order]), object)
+    todo = [(part, np.arange(len(out)))]
+    while todo:
+        name, own = todo.pop()
+        options = []
+        for i, c in enumerate([*numeric, *categorical]):
+            x = data[c][own]
+            if c in numeric:
+                x = x.astype(float)
+                span, right = x.max() - x.min(), x >= np.median(x)
+            else:
+                values, at = np.unique(x, return_inverse=True)
+                first = np.full(len(values), data[order][own].max())
+                np.minimum.at(first, at, data[order][own])
+                rank = np.empty(len(values), int)
+                rank[np.argsort(first, kind="stable")] = np.arange(len(values))
+                span, right = float(len(values)), rank[at] >= len(values) // 2
+            options.append((-span / (total[c] or 1.0), i, right))
+        for _, _, right in sorted(options, key=lambda o: o[:2]):
+            halves = own[~right], own[right]
+            if all(len(h) and all(t.local(lambda c, h=h: data[c][h]) for t in valid) for h in halves):
+                todo += [(name + "L", halves[0]), (name + "R", halves[1])]
+                break
+        else:
+            out[own] = name
+    return out
+
+
+def partition(df: DataFrame, numeric: list[str], categorical: list[str], valid: list[Test], order: str = "rid", local_rows: int = 50_000) -> DataFrame:
+    """df with part: the path of its partition (L and R), when no valid cut is left. local_rows: up to so many rows one task finishes a partition."""
+    total = df.agg(*_spans(df, numeric, categorical)).first().asDict()
+    total = {c.removeprefix("span_"): v for c, v in total.items()}
+    schema = df.withColumn("part", F.lit(""))
+    active, done = kept(schema), []
+    small = []
+    while True:
+        sizes = active.groupBy("part").agg(F.count("*").alias("__n")).select(F.col("part").alias("__p"), (F.col("__n") > local_rows).alias("__large"))
+        sized = kept(active.join(sizes, F.col("part") == F.col("__p")).drop("__p"))
+        small.append(sized.where("not __large").drop("__large"))
+        active = sized.where("__large").drop("__large")
         if active.isEmpty():
             break
-        ok = None
-        for i, c in enumerate(columns):
-            side = halves(active, "part", c, c in numeric, order)
-            test = side.groupBy("part", "__right").agg(F.count("*").alias("__c"), *[v().alias(f"__v{j}") for j, v in enumerate(valid)])
-            if whole:
-                extra = whole(side.withColumn("__key", F.concat("part", F.lit("|"), F.col("__right").cast("string"))), "__key").withColumnRenamed("ok", "__w").withColumnRenamed("__key", "__k2")
-                test = test.join(extra, F.concat("part", F.lit("|"), F.col("__right").cast("string")) == F.col("__k2")).drop("__k2")
-            every = F.lit(True)
-            for j in range(len(valid)):
-                every = every & F.col(f"__v{j}")
-            if whole:
-                every = every & F.col("__w")
-            t = test.groupBy("part").agg(((F.count("*") == 2) & F.bool_and(every)).alias("good"))
-            t = t.select(F.col("part").alias(f"__p{i}"), F.col("good").alias(f"good_{c}"))
-            ok = t if ok is None else ok.join(t, F.col("__p0") == F.col(f"__p{i}"))
-        s = spans(active, "part", numeric, categorical)
-        scored = s.join(ok, F.col("part") == F.col("__p0"))
-        options = F.array(*[F.struct((-F.col(f"span_{c}") / F.lit(total[c] or 1.0)).alias("s"), F.lit(i).alias("i"), F.col(f"good_{c}").alias("good"), F.lit(c).alias("c")) for i, c in enumerate(columns)])
-        choice = scored.select(F.col("part").alias("__q"), F.try_element_at(F.filter(F.array_sort(options), lambda x: x["good"]), F.lit(1))["c"].alias("__c"))
-        chosen = active.join(choice, F.col("part") == F.col("__q")).drop("__q")
-        done = chosen.where("__c is null").drop("__c")
-        out = done if out is None else out.unionByName(done)
-        parts = [halves(chosen.where(F.col("__c") == c), "part", c, c in numeric, order) for c in columns]
-        nxt = parts[0]
-        for p in parts[1:]:
-            nxt = nxt.unionByName(p)
-        active = nxt.withColumn("part", F.concat("part", F.when(F.col("__right"), "R").otherwise("L"))).drop("__right", "__c")
-    return active if out is None else out.unionByName(keep(active))
+        cut = kept(_round(active, numeric, categorical, valid, total, order))
+        done.append(cut.where("__side is null").drop("__side"))
+        active = kept(cut.where("__side is not null").withColumn("part", F.concat("part", "__side")).drop("__side"))
+        if active.isEmpty():
+            break
+    names = schema.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        pdf["part"] = _finish({c: pdf[c].to_numpy() for c in names}, numeric, categorical, valid, total, order, pdf["part"].iloc[0])
+        return pdf[names]
+
+    out = small[0]
+    for x in small[1:]:
+        out = out.unionByName(x)
+    out = out.groupBy("part").applyInPandas(run, schema.schema)
+    for x in done:
+        out = out.unionByName(x.select(*names))
+    return out
 
 
 def rectangles(parts: DataFrame, columns: list[str], part: str = "part") -> DataFrame:
     """Bounding boxes: per partition the least value, and the next larger value of all data after the largest."""
     out = None
     for c in columns:
-        nxt = parts.select(F.col(c).alias("__v")).distinct().withColumn("__next", F.coalesce(F.lead("__v").over(Window.orderBy("__v")), F.col("__v")))
+        places = kept(running_sum(parts.select(F.col(c).alias("__v")).distinct(), ["__v"], F.lit(1), "__at"))
+        after = places.select(F.col("__v").alias("__next"), (F.col("__at") - 1).alias("__before"))
+        nxt = places.join(after, F.col("__at") == F.col("__before"), "left").select("__v", F.coalesce("__next", "__v").alias("__next"))
         box = parts.groupBy(part).agg(F.min(c).alias(f"{c}_lo"), F.max(c).alias("__hi")).join(nxt, F.col("__hi") == F.col("__v")).select(F.col(part).alias(f"__{c}"), f"{c}_lo", F.col("__next").alias(f"{c}_hi"))
         out = box if out is None else out.join(box, F.col(out.columns[0]) == F.col(f"__{c}")).drop(f"__{c}")
     return out.withColumnRenamed(out.columns[0], part)

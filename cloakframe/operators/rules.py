@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cloakframe import functions as X
 
+from .keep import kept
+
 MIN_SUPPORT = MIN_CONFIDENCE = 0.5
 
 
@@ -27,34 +29,39 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, items: str = "item
 
 
 def sampled(baskets: DataFrame, fraction: float, rid: str = "rid", seed: int = 0) -> DataFrame:
-    """A share of the baskets, by a hash of the row's id."""
-    return baskets.where(F.pmod(X.hash_order(rid, seed=seed), F.lit(1_000_000)) < int(fraction * 1_000_000))
-
+    """A share of the baskets, by the md5 of the row's id: the same rows on any cluster."""
+    return baskets.where(X.hash_share(rid, seed=seed) < fraction)
 
-def next_level(frequent: DataFrame, baskets: DataFrame, min_count: float, items: str = "items") -> DataFrame:
-    """The frequent itemsets with one more item: prefix join, subset pruning, and a count over the baskets with the first item.
 
-    frequent: items (sorted), freq, all of one size.
-    """
+def candidates(frequent: DataFrame) -> DataFrame:
+    """items: sets with one item more, of which all subsets of one item less are frequent. frequent: items (sorted), all of one size."""
     size = F.size("items")
     a = frequent.select(F.col("items").alias("p"), F.slice("items", F.lit(1), size - 1).alias("head"), F.element_at("items", -1).alias("x"))
     b = frequent.select(F.slice("items", F.lit(1), size - 1).alias("head2"), F.element_at("items", -1).alias("y"))
-    made = a.join(b, (F.col("head") == F.col("head2")) & (F.col("x") < F.col("y"))).select(F.concat("p", F.array("y")).alias("c"))
-    subsets = made.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.concat(F.slice("c", F.lit(1), i - 1), F.slice("c", i + 1, F.size("c"))))).alias("sub"))
-    bad = subsets.join(frequent.select(F.col("items").alias("known")), F.col("sub") == F.col("known"), "left_anti").select(F.col("c").alias("b")).distinct()
-    good = made.join(bad, F.col("c") == F.col("b"), "left_anti")
-    each = baskets.select(F.array_distinct(items).alias("have")).select("have", F.explode("have").alias("i"))
-    hits = good.join(each, F.element_at("c", 1) == F.col("i")).where(F.size(F.array_except("c", "have")) == 0)
-    return hits.groupBy("c").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count).select(F.col("c").alias("items"), "freq")
-
-
-def levelwise(baskets: DataFrame, min_count: float, items: str = "items") -> DataFrame:
-    """items (sorted), freq: all itemsets with at least min_count rows, a level at a time until one is empty."""
-    keep = lambda x: x.localCheckpoint() if not x.sparkSession.sparkContext.getCheckpointDir() else x.checkpoint()
-    out = level = keep(item_counts(baskets, items).where(F.col("n") >= min_count).select(F.array("item").alias("items"), F.col("n").alias("freq")))
-    while not level.isEmpty():
-        level = keep(next_level(level, baskets, min_count, items))
-        out = out.unionByName(level)
+    made = a.join(b, (F.col("head") == F.col("head2")) & (F.col("x") < F.col("y"))).select(F.concat("p", F.array("y")).alias("items"))
+    without = F.transform(F.sequence(F.lit(1), F.size("items")), lambda i: F.concat(F.slice("items", F.lit(1), i - 1), F.slice("items", i + 1, F.size("items"))))
+    known = made.select("items", F.explode(without).alias("sub")).join(frequent.select(F.col("items").alias("known")), F.col("sub") == F.col("known"))
+    return known.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") == F.size("items")).select("items")
+
+
+def levelwise(baskets: DataFrame, min_count: float, items: str = "items", rid: str = "rid") -> DataFrame:
+    """items (sorted), freq: all itemsets with at least min_count rows, a level at a time until one is empty.
+
+    A level's matches are rows (rid, items). The next level's extend them by the later items of
+    their own basket, a join on rid, and only where the set is a candidate; so no item, however
+    frequent, is a key that rows meet on before they are counted.
+    """
+    single = baskets.select(F.col(rid).alias("__r"), F.explode(F.array_distinct(items)).alias("__i"))
+    frequent = kept(single.groupBy("__i").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count).select(F.array("__i").alias("items"), "freq"))
+    single = kept(single.join(frequent.select(F.col("items")[0].alias("__f")), F.col("__i") == F.col("__f"), "left_semi"))
+    out, matches = frequent, single.select(F.col("__r").alias("rid"), F.array("__i").alias("items"))
+    while not frequent.isEmpty():
+        more = candidates(frequent).select(F.col("items").alias("__c"))
+        longer = matches.join(single, (F.col("rid") == F.col("__r")) & (F.col("__i") > F.element_at("items", -1))).select("rid", F.concat("items", F.array("__i")).alias("items"))
+        matches = kept(longer.join(more, F.col("items") == F.col("__c"), "left_semi"))
+        frequent = kept(matches.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count))
+        matches = matches.join(frequent.select(F.col("items").alias("__k")), F.col("items") == F.col("__k"), "left_semi")
+        out = out.unionByName(frequent)
     return out
 
 
@@ -128,13 +135,22 @@ def group_rules(groups: DataFrame, rules: DataFrame) -> DataFrame:
     return g.join(r, F.col("q") == F.col("rq")).select("gid", "hash").distinct()
 
 
-def affected(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
-    """i_gid, j_gid, hash: rules of giver i that hold a value which j has and i hasn't."""
-    gi = groups.select(F.col("gid").alias("gi"), F.col("quasi").alias("qi"))
-    gj = groups.select(F.col("gid").alias("gj"), F.col("quasi").alias("qj"))
-    x = pairs.select("i_gid", "j_gid").distinct().join(gi, F.col("i_gid") == F.col("gi")).join(gj, F.col("j_gid") == F.col("gj"))
-    gained = x.select("i_gid", "j_gid", F.explode(F.array_except("qj", "qi")).alias("q"))
-    r = rules.select("hash", F.explode("quasi").alias("rq"))
-    own = group_rules(groups, rules).select(F.col("gid").alias("og"), F.col("hash").alias("oh"))
-    hits = gained.join(r, F.col("q") == F.col("rq")).select("i_gid", "j_gid", "hash").distinct()
-    return hits.join(own, (F.col("i_gid") == F.col("og")) & (F.col("hash") == F.col("oh")), "left_semi")
+def affected(givers: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """i_gid, j_gid, hash: rules of giver i that hold a value which j has and i hasn't.
+
+    Goes from rules to groups by equal values, so only pairs that a rule joins are ever made.
+    """
+    each = lambda g: g.select("gid", F.explode("quasi").alias("q"))
+    wanted = rules.select(F.col("hash").alias("rh"), F.explode("quasi").alias("rq"))
+    own = group_rules(givers, rules).select(F.col("gid").alias("i_gid"), "hash")
+    missing = own.join(wanted, F.col("hash") == F.col("rh")).select("i_gid", "hash", "rq")
+    has = each(givers).select(F.col("gid").alias("hg"), F.col("q").alias("hq"))
+    missing = missing.join(has, (F.col("i_gid") == F.col("hg")) & (F.col("rq") == F.col("hq")), "left_anti")
+    return missing.join(each(groups), F.col("rq") == F.col("q")).select("i_gid", F.col("gid").alias("j_gid"), "hash").distinct()
+
+
+def first_rules(rules: DataFrame, n: int = 10) -> DataFrame:
+    """The first n rules by hash, with their place: the order of the published reports. A top-k, so no global sort."""
+    cols = rules.columns
+    top = rules.orderBy("hash").limit(n)
+    return top.agg(F.sort_array(F.collect_list(F.struct("hash", *[c for c in cols if c != "hash"]))).alias("__x")).select(F.posexplode("__x").alias("place", "__r")).select((F.col("place") + 1).alias("place"), "__r.*")

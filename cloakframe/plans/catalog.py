@@ -14,6 +14,7 @@ from cloakframe.operators import lattice as L
 from cloakframe.operators import migrate as M
 from cloakframe.operators import mondrian as P
 from cloakframe.operators import rules as R
+from cloakframe.operators.keep import kept
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -127,18 +128,16 @@ def baskets(spark, sf, years: tuple[int, int] | None = None) -> DataFrame:
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("rid")).agg(F.sort_array(F.collect_set(F.concat(F.col("p_type"), F.lit("=y")))).alias("items"))
 
 
-_BASKET = "WITH x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey{w})"
+_BASKET = "WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey{w})"
 _ALL = _BASKET.format(w="")
 _N = "(SELECT count(DISTINCT rid) FROM x)"
 
 
-def _levels(where: str = "", share: float = 0.1, name: str = "") -> str:
-    """Itemsets of one to three items, as CTEs."""
+def _levels(share: float = 0.1, name: str = "") -> str:
+    """Itemsets of any size, as a CTE: each basket's subsets, counted. The text before it begins with WITH RECURSIVE."""
     x, n = f"x{name}", f"(SELECT count(DISTINCT rid) FROM x{name})"
-    return f""", l1{name} AS (SELECT [item] AS items, count(*) AS freq FROM {x} GROUP BY item HAVING count(*) >= {share} * {n}),
-l2{name} AS (SELECT [a.item, b.item] AS items, count(*) AS freq FROM {x} a JOIN {x} b ON a.rid = b.rid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {share} * {n}),
-l3{name} AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS freq FROM {x} a JOIN {x} b ON a.rid = b.rid AND a.item < b.item JOIN {x} c ON a.rid = c.rid AND b.item < c.item GROUP BY a.item, b.item, c.item HAVING count(*) >= {share} * {n}),
-l{name} AS (SELECT * FROM l1{name} UNION ALL SELECT * FROM l2{name} UNION ALL SELECT * FROM l3{name})"""
+    return f""", u{name} AS (SELECT rid, [item] AS items, item AS last FROM {x} UNION ALL SELECT u{name}.rid, list_append(u{name}.items, {x}.item), {x}.item FROM u{name} JOIN {x} ON {x}.rid = u{name}.rid AND {x}.item > u{name}.last),
+l{name} AS (SELECT items, count(*) AS freq FROM u{name} GROUP BY items HAVING count(*) >= {share} * {n})"""
 
 
 @query(f"{_ALL} SELECT item, count(*) AS n FROM x GROUP BY 1")
@@ -148,46 +147,24 @@ def item_histogram(spark, sf):
 
 @query(_ALL + _levels() + " SELECT array_to_string(items, ',') AS items, freq FROM l")
 def frequent_itemsets(spark, sf):
-    """Itemsets of any size; the SQL has those of up to three items."""
+    """Itemsets of any size, by FP-growth."""
     return R.frequent_itemsets(baskets(spark, sf), 0.1).select(F.array_join("items", ",").alias("items"), "freq")
 
 
-@query(_ALL + _levels() + " SELECT array_to_string(items, ',') AS items, freq FROM l3")
+@query(_ALL + _levels() + " SELECT array_to_string(items, ',') AS items, freq FROM l")
 def levelwise_itemsets(spark, sf):
-    """The third level alone; levelwise_all has all of them."""
-    b = baskets(spark, sf).persist()
-    least = 0.1 * b.count()
-    level = R.item_counts(b).where(F.col("n") >= least).select(F.array("item").alias("items"), F.col("n").alias("freq"))
-    for _ in range(2):
-        level = R.next_level(level, b, least)
-    return level.select(F.array_join("items", ",").alias("items"), "freq")
-
-
-@query()
-def levelwise_all(spark, sf):
     """Itemsets of any size, level by level until one is empty."""
-    b = baskets(spark, sf).persist()
+    b = kept(baskets(spark, sf))
     return R.levelwise(b, 0.1 * b.count()).select(F.array_join("items", ",").alias("items"), "freq")
 
 
-_SAMPLE = "WITH x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 < 6)"
+_SAMPLE = "WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE ('0x' || substr(md5(l_orderkey || '|0'), 1, 8))::BIGINT < 0.6 * 4294967296)"
 
 
 @query(_SAMPLE + _levels(share=0.06) + " SELECT array_to_string(items, ',') AS items, freq FROM l")
 def sampled_itemsets(spark, sf):
-    """Those of up to three items, as the SQL has no more levels; sampled_itemsets_all has all of them."""
-    return _sampled(spark, sf).where(F.size("items") <= 3).select(F.array_join("items", ",").alias("items"), "freq")
-
-
-@query()
-def sampled_itemsets_all(spark, sf):
-    """Itemsets of any size in the sample."""
-    return _sampled(spark, sf).select(F.array_join("items", ",").alias("items"), "freq")
-
-
-def _sampled(spark, sf) -> DataFrame:
-    b = baskets(spark, sf).where(F.col("rid") % 10 < 6)  # the sample is the operator
-    return R.frequent_itemsets(b, 0.1, sample_factor=0.6)
+    """Itemsets of any size in a sample, with the support lowered by the sample's share."""
+    return R.frequent_itemsets(R.sampled(baskets(spark, sf), 0.6), 0.1, sample_factor=0.6).select(F.array_join("items", ",").alias("items"), "freq")
 
 
 def _side(items: str) -> str:
@@ -201,7 +178,7 @@ r{name} AS (SELECT md5({_side('a')} || '=>' || {_side('b')}) AS hash, array_to_s
 
 
 def mined(spark, sf, years=None, conf: float = 0.3, quasi: list[str] | None = None) -> DataFrame:
-    b = baskets(spark, sf, years).persist()
+    b = kept(baskets(spark, sf, years))
     n = b.count()
     return R.rules_of(R.frequent_itemsets(b, 0.1), n, conf, quasi)
 
@@ -215,14 +192,28 @@ def association_rules(spark, sf):
     return mined(spark, sf).select("hash", shown("a"), shown("b"), "support", "lhs_support", F.round("support_share", 6).alias("support_share"), F.round("confidence", 6).alias("confidence"))
 
 
-_YEARS = """WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), xa AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON l_orderkey = o_orderkey WHERE y BETWEEN 1990 AND 1994),
-xb AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON l_orderkey = o_orderkey WHERE y BETWEEN 1995 AND 2000)"""
+_YEARS = """WITH RECURSIVE o AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), xa AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON l_orderkey = o_orderkey WHERE y BETWEEN 1990 AND 1997),
+xb AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON l_orderkey = o_orderkey WHERE y BETWEEN 1998 AND 2005)"""
 
 
 @query(_YEARS + _levels(name="a") + _levels(name="b") + _rules("a", 0.45) + _rules("b", 0.45) + """, c AS (SELECT (SELECT count(*) FROM ra) AS n_before, (SELECT count(*) FROM rb) AS n_after, (SELECT count(*) FROM ra WHERE hash NOT IN (SELECT hash FROM rb)) AS n_lost, (SELECT count(*) FROM rb WHERE hash NOT IN (SELECT hash FROM ra)) AS n_new)
 SELECT *, round(coalesce(n_lost / nullif(n_before, 0), 0), 6) AS lost, round(coalesce(n_new / nullif(n_before, 0), 0), 6) AS "new", round(coalesce((n_lost + n_new) / nullif(n_before, 0), 0), 6) AS different FROM c""")
 def rules_compared(spark, sf):
-    return R.compare(mined(spark, sf, (1990, 1994), 0.45), mined(spark, sf, (1995, 2000), 0.45))
+    """The rules of orders up to 1997 and from 1998 on."""
+    return R.compare(mined(spark, sf, (1990, 1997), 0.45), mined(spark, sf, (1998, 2005), 0.45))
+
+
+@query(_ALL + _levels() + _rules() + " SELECT row_number() OVER (ORDER BY hash) AS place, hash, a, b, support FROM r QUALIFY row_number() OVER (ORDER BY hash) <= 10")
+def first_rules(spark, sf):
+    """The first ten rules by hash."""
+    return R.first_rules(mined(spark, sf).select("hash", shown("a"), shown("b"), "support"))
+
+
+@query(_ALL + _levels() + _rules() + f" SELECT count(*) FILTER (NOT (support >= 0.15 * {_N} AND confidence >= 0.4)) AS lost, count(*) FILTER (support >= 0.15 * {_N} AND confidence >= 0.4) AS kept FROM r")
+def rules_surviving(spark, sf):
+    """How many rules hold at a higher support and confidence."""
+    b = baskets(spark, sf)
+    return R.surviving(mined(spark, sf), b.count(), 0.15, 0.4)
 
 
 @query(_ALL + _levels() + _rules() + """, q AS (SELECT *, CAST(support AS DOUBLE) AS s FROM r), w AS (SELECT *, contains(b, 'PROMO') OR contains(b, 'STANDARD') AS in_b, contains(a, 'PROMO') OR contains(a, 'STANDARD') AS in_a, s * (confidence - 0.3) / confidence AS spare FROM q)
@@ -269,9 +260,8 @@ _PAIRS = "p AS (SELECT a.gid AS i_gid, b.gid AS j_gid, a.n AS ni, b.n AS nj FROM
 @query(f"""{_GROUPS}, {_QUASI}, {_RULES3}, {_PAIRS}, gain AS (SELECT i_gid, j_gid, q FROM p JOIN hq ON hq.gid = j_gid WHERE NOT EXISTS (SELECT 1 FROM hq z WHERE z.gid = i_gid AND z.q = hq.q))
 SELECT DISTINCT i_gid, j_gid, rq.hash FROM gain JOIN rq USING (q) WHERE EXISTS (SELECT 1 FROM hq z JOIN rq y ON y.q = z.q WHERE z.gid = i_gid AND y.hash = rq.hash)""")
 def affected_rules(spark, sf):
-    g = customer_groups(spark, sf)
-    pairs = g.where("unsafe").select(F.col("gid").alias("i_gid")).join(g.select(F.col("gid").alias("j_gid")), F.col("i_gid") != F.col("j_gid"))
-    return R.affected(pairs, g, group_rule_table(spark))
+    g = kept(customer_groups(spark, sf))
+    return R.affected(g.where("unsafe"), g, group_rule_table(spark))
 
 
 _SCORED = """both_ways AS (SELECT a.gid, a.gid AS i_gid, b.gid AS j_gid, a.n AS ni, b.n AS nj FROM h a JOIN h b ON a.gid <> b.gid WHERE a.n < 10 UNION ALL SELECT a.gid, b.gid, a.gid, b.n, a.n FROM h a JOIN h b ON a.gid <> b.gid WHERE a.n < 10),
@@ -290,11 +280,9 @@ bad AS (SELECT i_gid, j_gid, count(DISTINCT zero.hash) AS c FROM p JOIN hq ON hq
 SELECT i_gid AS gid, j_gid AS dst, overdrawn FROM (SELECT i_gid, p.j_gid, coalesce(c, 0) AS overdrawn, row_number() OVER (PARTITION BY i_gid ORDER BY coalesce(c, 0), p.j_gid) AS k FROM p LEFT JOIN bad USING (i_gid, j_gid) WHERE nj >= 10) WHERE k = 1""")
 def dispersal_targets(spark, sf):
     """For each unsafe group the safe group with the fewest overdrawn rules."""
-    g, rules = customer_groups(spark, sf), group_rule_table(spark)
-    pairs = g.where("unsafe").select(F.col("gid").alias("i_gid")).join(g.where("safe").select(F.col("gid").alias("j_gid")))
-    hit = R.affected(pairs, g, rules.where("budget <= 0")).groupBy(F.col("i_gid").alias("hi"), F.col("j_gid").alias("hj")).agg(F.count("*").alias("c"))
-    scored = pairs.join(hit, (F.col("i_gid") == F.col("hi")) & (F.col("j_gid") == F.col("hj")), "left").withColumn("overdrawn", F.coalesce("c", F.lit(0).cast("long")))
-    return scored.groupBy(F.col("i_gid").alias("gid")).agg(F.min_by(F.struct("j_gid", "overdrawn"), F.struct("overdrawn", "j_gid")).alias("b")).select("gid", F.col("b.j_gid").alias("dst"), F.col("b.overdrawn").alias("overdrawn"))
+    g, rules = kept(customer_groups(spark, sf)), group_rule_table(spark)
+    hit = R.affected(g.where("unsafe"), g.where("safe"), rules.where("budget <= 0")).groupBy(F.col("i_gid").alias("gid"), F.col("j_gid").alias("dst")).agg(F.count("*").alias("c"))
+    return G.fewest_hits(g.where("unsafe"), g.where("safe"), hit).select("gid", "dst", F.col("hits").alias("overdrawn"))
 
 
 def nations(spark, sf) -> DataFrame:
@@ -350,35 +338,10 @@ def total_ncp(spark, sf):
 _DIST = "abs(a.p_size - s.p_size) / 50.0 + CASE WHEN a.p_type = s.p_type THEN 0 ELSE 1 END"
 
 
-def _seeds(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("seed"), F.col("p_size").alias("s_size"), F.col("p_type").alias("s_type"))
-
-
 def _distance():
     return F.abs(F.col("p_size") - F.col("s_size")) / F.lit(50.0) + F.when(F.col("p_type") == F.col("s_type"), 0.0).otherwise(1.0)
 
 
-@query(f"SELECT seed, p_partkey, distance, rank FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6), a.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey <= 5 AND a.p_partkey <> s.p_partkey) WHERE rank <= 9")
-def nearest_neighbours(spark, sf):
-    """The k - 1 rows nearest to each of the five seeds of the SQL; nearest_neighbours_all answers the whole query set."""
-    x = table(spark, sf, "part").crossJoin(F.broadcast(_seeds(spark, sf))).where("p_partkey <> seed").withColumn("distance", F.round(_distance(), 6))
-    w = Window.partitionBy("seed").orderBy("distance", "p_partkey")
-    return x.withColumn("rank", F.row_number().over(w)).where("rank <= 9").select("seed", "p_partkey", "distance", "rank")
-
-
-@query(f"SELECT p_partkey, seed, distance FROM (SELECT a.p_partkey, s.p_partkey AS seed, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round({_DIST}, 6), s.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey <= 5) WHERE rank = 1")
-def nearest_seed(spark, sf):
-    """Each row's nearest seed; the seeds are a bounded list."""
-    x = table(spark, sf, "part").crossJoin(F.broadcast(_seeds(spark, sf))).withColumn("distance", F.round(_distance(), 6))
-    return x.groupBy("p_partkey").agg(F.min(F.struct("distance", "seed")).alias("b")).select("p_partkey", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"))
-
-
-@query(f"SELECT seed, p_partkey, distance FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6) DESC, a.p_partkey DESC) AS rank FROM part a, part s WHERE s.p_partkey <= 5) WHERE rank = 1")
-def furthest_row(spark, sf):
-    x = table(spark, sf, "part").crossJoin(F.broadcast(_seeds(spark, sf))).withColumn("distance", F.round(_distance(), 6))
-    return x.groupBy("seed").agg(F.max(F.struct("distance", "p_partkey")).alias("b")).select("seed", F.col("b.p_partkey").alias("p_partkey"), F.col("b.distance").alias("distance"))
-
-
 _KIND = ["p_size", "p_type"]
 
 
@@ -391,8 +354,8 @@ def _same_kind():
     return F.col("k_size").eqNullSafe(F.col("s_size")) & F.col("k_type").eqNullSafe(F.col("s_type"))
 
 
-@query()
-def nearest_neighbours_all(spark, sf):
+@query(f"SELECT seed, p_partkey, distance, rank FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6), a.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0 AND a.p_partkey <> s.p_partkey) WHERE rank <= 9")
+def nearest_neighbours(spark, sf):
     """The k - 1 rows nearest to each row of the query set, of all rows.
 
     The distance depends on size and type alone, so of rows that agree in both only the
@@ -411,8 +374,8 @@ def nearest_neighbours_all(spark, sf):
     return each.withColumn("rank", rank).where(F.col("rank") < K).select("seed", "p_partkey", "distance", "rank")
 
 
-@query()
-def nearest_seed_all(spark, sf):
+@query(f"SELECT p_partkey, seed, distance FROM (SELECT a.p_partkey, s.p_partkey AS seed, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round({_DIST}, 6), s.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0) WHERE rank = 1")
+def nearest_seed(spark, sf):
     """Each row's nearest row of the query set; of seeds that agree in size and type the first counts."""
     seeds = _query_set(spark, sf).groupBy("s_size", "s_type").agg(F.min("seed").alias("seed"))
     rows = table(spark, sf, "part").select("p_partkey", *_KIND)
@@ -421,8 +384,8 @@ def nearest_seed_all(spark, sf):
     return rows.join(best, F.col("k_size").eqNullSafe(F.col("p_size")) & F.col("k_type").eqNullSafe(F.col("p_type"))).select("p_partkey", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"))
 
 
-@query()
-def furthest_row_all(spark, sf):
+@query(f"SELECT seed, p_partkey, distance FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6) DESC, a.p_partkey DESC) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0) WHERE rank = 1")
+def furthest_row(spark, sf):
     """The row furthest from each row of the query set; of rows that agree in size and type the last counts."""
     seeds = _query_set(spark, sf)
     rows = table(spark, sf, "part").groupBy(*_KIND).agg(F.max("p_partkey").alias("p_partkey"))
@@ -431,60 +394,78 @@ def furthest_row_all(spark, sf):
     return seeds.join(best, _same_kind()).select("seed", F.col("b.p_partkey").alias("p_partkey"), F.col("b.distance").alias("distance"))
 
 
-def _order_parts(spark, sf, depth: int = 64) -> DataFrame:
-    """Orders cut until no valid cut is left, or depth times. Cuts halve values, so 64 are never reached."""
+def _order_parts(spark, sf) -> DataFrame:
+    """Orders cut until no valid cut is left."""
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rid"), "o_totalprice", "o_orderpriority", "o_orderstatus")
-    return P.partition(rows, ["o_totalprice"], ["o_orderpriority"], [P.k_anonymous(K)], depth, keep=lambda x: x.checkpoint() if spark.sparkContext.getCheckpointDir() else x.persist())
+    return P.partition(rows, ["o_totalprice"], ["o_orderpriority"], [P.k_anonymous(K, "rid")])
 
 
-def _cut(source: str, target: str) -> str:
-    """One round over orders: price spans are shares of the whole range, priority spans shares of all its values."""
-    return f""", {target}s AS (SELECT part, (max(p) - min(p)) / (SELECT max(p) - min(p) FROM x0) AS sp, count(DISTINCT c) / CAST((SELECT count(DISTINCT c) FROM x0) AS DOUBLE) AS sc, median(p) AS m FROM {source} GROUP BY 1),
-{target}f AS (SELECT part, c, row_number() OVER (PARTITION BY part ORDER BY min(rid)) > floor(count(*) OVER (PARTITION BY part) / 2) AS r FROM {source} GROUP BY 1, 2),
-{target}h AS (SELECT {source}.*, sp, sc, p >= m AS rp, {target}f.r AS rc FROM {source} JOIN {target}s USING (part) JOIN {target}f USING (part, c)),
-{target}v AS (SELECT part, count(*) FILTER (rp) >= 10 AND count(*) FILTER (NOT rp) >= 10 AS vp, count(*) FILTER (rc) >= 10 AND count(*) FILTER (NOT rc) >= 10 AS vc FROM {target}h GROUP BY 1),
-{target} AS (SELECT rid, p, c, part || CASE WHEN vp AND (sp >= sc OR NOT vc) THEN CASE WHEN rp THEN 'R' ELSE 'L' END WHEN vc THEN CASE WHEN rc THEN 'R' ELSE 'L' END ELSE '' END AS part FROM {target}h JOIN {target}v USING (part))"""
+def _cut(source: str, target: str, test: str) -> str:
+    """One round over rows (rid, p, c, e, part): spans of p are shares of its whole range, spans of c shares of all its values.
+    test: a condition on a half, of the rows for which {{}} holds."""
+    both = lambda side: f"({test.format(side)}) AND ({test.format('NOT ' + side)})"
+    return f""", {target}s AS MATERIALIZED (SELECT part, (max(p) - min(p)) / (SELECT max(p) - min(p) FROM x0) AS sp, count(DISTINCT c) / CAST((SELECT count(DISTINCT c) FROM x0) AS DOUBLE) AS sc, median(p) AS m FROM {source} GROUP BY 1),
+{target}f AS MATERIALIZED (SELECT part, c, row_number() OVER (PARTITION BY part ORDER BY min(rid)) > floor(count(*) OVER (PARTITION BY part) / 2) AS r FROM {source} GROUP BY 1, 2),
+{target}h AS MATERIALIZED (SELECT {source}.*, sp, sc, p >= m AS rp, {target}f.r AS rc FROM {source} JOIN {target}s USING (part) JOIN {target}f USING (part, c)),
+{target}v AS MATERIALIZED (SELECT part, {both('rp')} AS vp, {both('rc')} AS vc FROM {target}h GROUP BY 1),
+{target} AS MATERIALIZED (SELECT rid, p, c, e, part || CASE WHEN vp AND (sp >= sc OR NOT vc) THEN CASE WHEN rp THEN 'R' ELSE 'L' END WHEN vc THEN CASE WHEN rc THEN 'R' ELSE 'L' END ELSE '' END AS part FROM {target}h JOIN {target}v USING (part))"""
 
 
-_MONDRIAN = "WITH x0 AS (SELECT o_orderkey AS rid, o_totalprice AS p, o_orderpriority AS c, '' AS part FROM orders)" + _cut("x0", "x1") + _cut("x1", "x2")
+#: More rounds than the partitions of a few million rows have; a round in which nothing can be cut changes nothing.
+_ROUNDS = 24
+_LAST = f"x{_ROUNDS}"
 
 
-@query(_MONDRIAN + " SELECT part, count(*) AS n, round(avg(p), 4) AS mean_price, string_agg(DISTINCT c, '-' ORDER BY c) AS priorities FROM x2 GROUP BY 1")
-def mondrian_two_rounds(spark, sf):
-    parts = _order_parts(spark, sf, 2)
-    return parts.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "-").alias("priorities"))
+def _mondrian(rows: str, test: str) -> str:
+    return f"WITH x0 AS MATERIALIZED ({rows})" + "".join(_cut(f"x{i}", f"x{i + 1}", test) for i in range(_ROUNDS))
 
 
-@query(_MONDRIAN + ", nx AS (SELECT p, coalesce(lead(p) OVER (ORDER BY p), p) AS up FROM (SELECT DISTINCT p FROM x0)), b AS (SELECT part, min(p) AS lo, max(p) AS hi FROM x2 GROUP BY 1) SELECT part, lo AS o_totalprice_lo, up AS o_totalprice_hi FROM b JOIN nx ON nx.p = b.hi")
+_ORDER_PARTS = _mondrian("SELECT o_orderkey AS rid, o_totalprice AS p, o_orderpriority AS c, o_orderstatus AS e, '' AS part FROM orders", "count(*) FILTER ({0}) >= 10")
+
+
+@query(_ORDER_PARTS + f" SELECT part, count(*) AS n, round(avg(p), 6) AS mean_price, string_agg(DISTINCT c, '-' ORDER BY c) AS priorities FROM {_LAST} GROUP BY 1")
+def mondrian_parts(spark, sf):
+    """Partitions of orders, cut until no valid cut is left: path, size, mean price and priorities."""
+    parts = _order_parts(spark, sf)
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean_price"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "-").alias("priorities"))
+
+
+@query(_ORDER_PARTS + f", nx AS (SELECT p, coalesce(lead(p) OVER (ORDER BY p), p) AS up FROM (SELECT DISTINCT p FROM x0)), b AS (SELECT part, min(p) AS lo, max(p) AS hi FROM {_LAST} GROUP BY 1) SELECT part, lo AS o_totalprice_lo, up AS o_totalprice_hi FROM b JOIN nx ON nx.p = b.hi")
 def mondrian_rectangles(spark, sf):
-    return P.rectangles(_order_parts(spark, sf, 2), ["o_totalprice"])
+    return P.rectangles(kept(_order_parts(spark, sf)), ["o_totalprice"])
 
 
-@query(_MONDRIAN + ", g AS (SELECT part, round(avg(p), 4) AS price, string_agg(DISTINCT c, '-' ORDER BY c) AS pr FROM x2 GROUP BY 1) SELECT part, o_orderstatus, count(*) AS n, price AS o_totalprice, pr AS o_orderpriority FROM x2 JOIN orders ON rid = o_orderkey JOIN g USING (part) GROUP BY ALL")
+@query(_ORDER_PARTS + f", g AS (SELECT part, round(avg(p), 6) AS price, string_agg(DISTINCT c, '-' ORDER BY c) AS pr FROM {_LAST} GROUP BY 1) SELECT part, e AS o_orderstatus, count(*) AS n, price AS o_totalprice, pr AS o_orderpriority FROM {_LAST} JOIN g USING (part) GROUP BY ALL")
 def mondrian_release(spark, sf):
-    out = P.anonymized(_order_parts(spark, sf, 2), ["o_totalprice"], ["o_orderpriority"], "o_orderstatus")
-    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
+    return P.anonymized(kept(_order_parts(spark, sf)), ["o_totalprice"], ["o_orderpriority"], "o_orderstatus")
 
 
-@query()
-def mondrian_finished_rectangles(spark, sf):
-    """Price ranges of orders cut until no valid cut is left; mondrian_rectangles stops after the two rounds of its SQL."""
-    return P.rectangles(_order_parts(spark, sf), ["o_totalprice"])
+_CUSTOMER_ROWS = "SELECT c_custkey AS rid, c_acctbal AS p, CAST(c_nationkey AS VARCHAR) AS c, c_mktsegment AS e, '' AS part FROM customer"
 
 
-@query()
-def mondrian_finished_release(spark, sf):
-    """The release of orders cut until no valid cut is left; mondrian_release stops after the two rounds of its SQL."""
-    out = P.anonymized(_order_parts(spark, sf), ["o_totalprice"], ["o_orderpriority"], "o_orderstatus")
-    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
+def _customer_parts(spark, sf, *tests: P.Test) -> DataFrame:
+    rows = customers(spark, sf).select(F.col("c_custkey").alias("rid"), "c_acctbal", F.col("c_nationkey").cast("string").alias("nation"), "c_mktsegment")
+    parts = P.partition(rows, ["c_acctbal"], ["nation"], [P.k_anonymous(K, "rid"), *tests])
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count_distinct("c_mktsegment").alias("diversity"))
 
 
-@query()
-def mondrian_full(spark, sf):
+_PARTS_SHOWN = f" SELECT part, count(*) AS n, min(p) AS lo, max(p) AS hi, count(DISTINCT e) AS diversity FROM {_LAST} GROUP BY 1"
+
+
+@query(_mondrian(_CUSTOMER_ROWS, "count(*) FILTER ({0}) >= 10 AND count(DISTINCT e) FILTER ({0}) >= 3") + _PARTS_SHOWN)
+def mondrian_diverse(spark, sf):
     """Customers cut as far as classes of 10 with three segments allow."""
-    rows = customers(spark, sf).select(F.col("c_custkey").alias("rid"), "c_acctbal", F.col("c_nationkey").cast("string").alias("nation"), "c_mktsegment")
-    parts = P.partition(rows, ["c_acctbal"], ["nation"], [P.k_anonymous(K), P.l_diverse("c_mktsegment", 3)], keep=lambda x: x.checkpoint() if spark.sparkContext.getCheckpointDir() else x.persist())
-    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count_distinct("c_mktsegment").alias("diversity"))
+    return _customer_parts(spark, sf, P.l_diverse("c_mktsegment", 3))
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_CLOSE = " AND ".join(f"(count(*) FILTER ({{0}} AND e = '{s}') = 0 OR abs(count(*) FILTER ({{0}} AND e = '{s}') / CAST(count(*) FILTER ({{0}}) AS DOUBLE) - (SELECT count(*) FILTER (e = '{s}') / CAST(count(*) AS DOUBLE) FROM x0)) <= 0.2)" for s in _SEGMENTS)
+
+
+@query(_mondrian(_CUSTOMER_ROWS, f"count(*) FILTER ({{0}}) >= 10 AND {_CLOSE}") + _PARTS_SHOWN)
+def mondrian_close(spark, sf):
+    """Customers cut as far as classes of 10 allow whose segments' shares are within 0.2 of those overall."""
+    return _customer_parts(spark, sf, P.t_close("c_mktsegment", P.value_shares(customers(spark, sf), "c_mktsegment"), 0.2))
 
 
 @query("SELECT event_type, user_id, count(*) AS n, count(DISTINCT value > 50) AS diversity FROM events GROUP BY 1, 2")
@@ -521,11 +502,14 @@ def lattice_best(spark, sf):
     return L.best_node(L.node_counts(rows, levels, K)).select("node", F.round("loss", 6).alias("loss"), "n_suppressed")
 
 
-@query(f"""{_PATHS}, c AS (SELECT c_custkey, r_name, c_mktsegment, count(*) OVER (PARTITION BY r_name, c_mktsegment) AS n FROM customer JOIN t ON c_nationkey = n_nationkey) SELECT c_custkey, CASE WHEN n >= 10 THEN r_name ELSE '*' END AS nation, CASE WHEN n >= 10 THEN c_mktsegment ELSE '*' END AS segment FROM c""")
+@query(_LATTICE + """, best AS (SELECT node FROM z WHERE n_suppressed <= 0.05 * n_rows ORDER BY round(loss, 9), n_suppressed, node LIMIT 1),
+v AS (SELECT c_custkey, CASE node[1] WHEN '0' THEN n_name WHEN '1' THEN r_name ELSE '*' END AS x, CASE node[3] WHEN '0' THEN c_mktsegment ELSE '*' END AS y FROM customer JOIN t ON c_nationkey = n_nationkey, best), w AS (SELECT *, count(*) OVER (PARTITION BY x, y) AS n FROM v)
+SELECT c_custkey, CASE WHEN n >= 10 THEN x ELSE '*' END AS nation, CASE WHEN n >= 10 THEN y ELSE '*' END AS segment FROM w""")
 def lattice_release(spark, sf):
-    """Customers at nation level 1 and segment level 0."""
+    """Customers at the best node."""
     rows, levels = _levels_of_customer(spark, sf)
-    return L.generalize(rows, levels, "1-0", K).select("c_custkey", "nation", "segment")
+    best = L.best_node(L.node_counts(rows, levels, K)).first()["node"]
+    return L.generalize(rows, levels, best, K).select("c_custkey", "nation", "segment")
 
 
 @query("SELECT c_custkey, CASE WHEN a <= 25 THEN '[0-25]' WHEN a <= 50 THEN '[26-50]' WHEN a <= 75 THEN '[51-75]' WHEN a <= 100 THEN '[76-100]' ELSE '[101-)' END AS age FROM (SELECT c_custkey, c_custkey % 110 AS a FROM customer)")
@@ -546,7 +530,7 @@ def numeric_domains(spark, sf):
     return S.numeric_domain(table(spark, sf, "part"), "p_size", "p_retailprice")
 
 
-@query()
+@query("SELECT c_custkey, c_mktsegment FROM customer ORDER BY md5(c_custkey || '|7'), c_custkey LIMIT 100")
 def hash_sample(spark, sf):
     """A sampling operator: 100 customers in hash order."""
     return X.pick(customers(spark, sf).select("c_custkey", "c_mktsegment"), 100, "c_custkey", seed=7)

@@ -27,9 +27,9 @@ def with_rid(df: DataFrame, *order: str) -> DataFrame:
     """A stable row number column rid. With order columns it is a hash-free rank; without, file order within splits."""
     if not order:
         return df.withColumn("rid", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    from cloakframe.operators.keep import running_sum
 
-    return df.withColumn("rid", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    return running_sum(df, list(order), F.lit(1).cast("long"), "rid").withColumn("rid", F.col("rid") - 1)
 
 
 def clean(df: DataFrame, retained: list[str] | None = None) -> DataFrame:
