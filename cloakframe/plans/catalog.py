@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from cloakframe import functions as X
 from cloakframe import sources as S
 from cloakframe import streaming
 from cloakframe.operators import cluster as C
+from cloakframe.operators import evaluate as E
 from cloakframe.operators import groups as G
 from cloakframe.operators import lattice as L
 from cloakframe.operators import migrate as M
@@ -18,7 +21,7 @@ from cloakframe.operators.keep import kept
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-QI, K = ["c_nationkey", "c_mktsegment"], 10
+QI, K = ["c_nationkey", "c_mktsegment", "band"], 10
 
 
 def query(sql: str | None = None):
@@ -40,23 +43,29 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer")
 
 
+def banded(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with a band of their balance; the upper two bands are small, so at any scale some classes are unsafe."""
+    return customers(spark, sf).withColumn("band", F.when(F.col("c_acctbal") >= 9900, 2).when(F.col("c_acctbal") >= 9000, 1).otherwise(0))
+
+
 def customer_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return G.build_groups(customers(spark, sf), QI, K)
+    return G.build_groups(banded(spark, sf), QI, K)
 
 
-_GROUPS = """WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2),
-h AS (SELECT row_number() OVER (ORDER BY c_nationkey, c_mktsegment) - 1 AS gid, * FROM g)"""
+_BANDED = "SELECT *, CASE WHEN c_acctbal >= 9900 THEN 2 WHEN c_acctbal >= 9000 THEN 1 ELSE 0 END AS band FROM customer"
+_GROUPS = f"""WITH g AS (SELECT c_nationkey, c_mktsegment, band, count(*) AS n FROM ({_BANDED}) GROUP BY ALL),
+h AS (SELECT row_number() OVER (ORDER BY c_nationkey, c_mktsegment, band) - 1 AS gid, * FROM g)"""
 _RISK = "CASE WHEN n >= 10 THEN 0 ELSE 20 - n END"
 
 
-@query(f"{_GROUPS} SELECT gid, c_nationkey, c_mktsegment, n, n >= 10 AS safe, n < 10 AS unsafe, n <= 5 AS small, CAST({_RISK} AS BIGINT) AS risk FROM h")
+@query(f"{_GROUPS} SELECT gid, c_nationkey, c_mktsegment, band, n, n >= 10 AS safe, n < 10 AS unsafe, n <= 5 AS small, CAST({_RISK} AS BIGINT) AS risk FROM h")
 def equivalence_classes(spark, sf):
     return customer_groups(spark, sf).drop("quasi")
 
 
 @query(f"{_GROUPS} SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n < 10) AS n_unsafe, round(avg(n) / 10, 6) AS cavg FROM h")
 def cavg(spark, sf):
-    return G.cavg(G.sizes(customers(spark, sf), QI), K)
+    return G.cavg(G.sizes(banded(spark, sf), QI), K)
 
 
 @query("SELECT event_type, user_id, count(*) AS n, count(*) < 10 AS unsafe, count(*) <= 5 AS small FROM events GROUP BY 1, 2")
@@ -70,9 +79,9 @@ def free_counts(spark, sf):
     return G.free_counts(customer_groups(spark, sf), K)
 
 
-@query("SELECT c_custkey, c_nationkey, c_mktsegment FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS i FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment)) WHERE i <= n - 10")
+@query(f"SELECT c_custkey, c_nationkey, c_mktsegment, band FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, band ORDER BY c_custkey) AS i FROM ({_BANDED}) WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment, band)) WHERE i <= n - 10")
 def free_tuples(spark, sf):
-    rows = customers(spark, sf).withColumn("gid", F.struct(*QI))
+    rows = banded(spark, sf).withColumn("gid", F.struct(*QI))
     return G.free_tuples(rows, K, "gid", "c_custkey").select("c_custkey", *QI)
 
 
@@ -246,7 +255,7 @@ def group_rule_table(spark) -> DataFrame:
 
 
 _RULES3 = "rq AS (SELECT * FROM (VALUES ('r1', 'c_mktsegment=BUILDING'), ('r2', 'c_nationkey=3'), ('r2', 'c_mktsegment=MACHINERY'), ('r3', 'c_nationkey=7')) t(hash, q))"
-_QUASI = "hq AS (SELECT gid, unnest(['c_nationkey=' || c_nationkey, 'c_mktsegment=' || c_mktsegment]) AS q FROM h)"
+_QUASI = "hq AS (SELECT gid, unnest(['c_nationkey=' || c_nationkey, 'c_mktsegment=' || c_mktsegment, 'band=' || band]) AS q FROM h)"
 
 
 @query(f"{_GROUPS}, {_QUASI}, {_RULES3} SELECT DISTINCT gid, hash FROM hq JOIN rq USING (q)")
@@ -564,10 +573,10 @@ for _m in C.METHODS:
 def _migrate_query(variant: str):
     def f(spark, sf):
         rules = [(r["budget"], list(r["quasi"])) for r in group_rule_table(spark).collect()]
-        return M.migrate(customers(spark, sf).select("c_custkey", *QI), QI, K, rules, variant, "c_custkey")
+        return M.migrate(banded(spark, sf).select("c_custkey", *QI), QI, K, rules, variant, "c_custkey", block="c_nationkey")
 
     f.__name__ = f"migrate_{variant}"
-    f.__doc__ = f"Customers migrated between classes, variant {variant}."
+    f.__doc__ = f"Customers migrated between the classes of their nation, variant {variant}."
     return query()(f)
 
 
@@ -577,10 +586,82 @@ for _v in M.VARIANTS:
 
 @query()
 def release_report(spark, sf):
-    """What the migration variants leave: classes, unsafe ones, mean class size over k."""
+    """What the migration variants leave: classes, unsafe ones, mean class size over k, and the rules lost and new when the release is mined again."""
+    rows = kept(banded(spark, sf).select("c_custkey", *QI))
     out = None
     for v in M.VARIANTS:
-        sizes = QUERIES[f"migrate_{v}"](spark, sf).where("not suppressed").groupBy("gid").agg(F.count("*").alias("n"))
-        one = G.cavg(sizes, K).select(F.lit(v).alias("variant"), "*")
+        release = kept(QUERIES[f"migrate_{v}"](spark, sf))
+        one = E.evaluate(rows, release.where("not suppressed").select("c_custkey", *QI), QI, K, 0.01, 0.1, "c_custkey").select(F.lit(v).alias("variant"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_KS, _SHARES = (5, 10, 15, 20, 25, 30), (0.2, 0.4, 0.6, 0.8, 1.0)
+_SIZES = "count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n < {k}) AS n_unsafe, round(avg(n) / {k}, 6) AS cavg"
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, {_SIZES.format(k=k)} FROM (SELECT count(*) AS n FROM ({_BANDED}) GROUP BY c_nationkey, c_mktsegment, band)" for k in _KS))
+def sweep_k(spark, sf):
+    """Classes of customers for several k, from one count of their sizes."""
+    return E.sweep_k(G.sizes(banded(spark, sf), QI), _KS)
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS n_qi, {_SIZES.format(k=K)} FROM (SELECT count(*) AS n FROM ({_BANDED}) GROUP BY {', '.join(QI[:i])})" for i in (1, 2, 3)))
+def sweep_qi(spark, sf):
+    """Classes of customers by the first one, two and three quasi-identifiers, from one count."""
+    return E.sweep_qi(G.sizes(banded(spark, sf), QI), QI, K)
+
+
+@query(" UNION ALL ".join(f"SELECT {p} AS share, {_SIZES.format(k=K)} FROM (SELECT count(*) AS n FROM ({_BANDED}) WHERE ('0x' || substr(md5(c_custkey || '|0'), 1, 8))::BIGINT < {p} * 4294967296 GROUP BY c_nationkey, c_mktsegment, band)" for p in _SHARES))
+def sweep_size(spark, sf):
+    """Classes of growing samples of customers, in one pass."""
+    return E.sweep_size(banded(spark, sf), QI, K, _SHARES, "c_custkey")
+
+
+# ---- sources and sinks: written, read back ----
+
+
+def _written(spark, name: str) -> str:
+    return f"{S.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(c_custkey % 90 AS INTEGER) AS age, c_mktsegment AS workclass, n_name AS \"native-country\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
+def census_scan(spark, sf):
+    """A census file, written with unknown values and read back: rows that know all of three columns."""
+    path, names = _written(spark, "census"), ["age", "workclass", "native-country"]
+    rows = customers(spark, sf).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    workclass = F.concat(F.lit(" "), F.when(F.col("c_mktsegment") == "BUILDING", "?").otherwise(F.col("c_mktsegment")))
+    S.write_dataset(rows.select((F.col("c_custkey") % 90).alias("age"), workclass.alias("workclass"), F.col("n_name").alias("native-country"), F.lit("surplus").alias("label")), path, [*names, "label"])
+    return S.clean(S.read_census(spark, path, names), names)
+
+
+@query("WITH t AS (SELECT DISTINCT l_orderkey, l_linestatus || '_0' AS a, l_returnflag || '_1' AS b FROM lineitem) SELECT item, count(*) AS n FROM (SELECT a AS item FROM t UNION ALL SELECT b FROM t) GROUP BY 1")
+def transaction_scan(spark, sf):
+    """Lines of transactions, written and read back: each value with its position, and how often it stands."""
+    path = _written(spark, "transactions")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws(", ", "l_linestatus", "l_returnflag").alias("value")).distinct()
+    lines.select("value").write.text(path)
+    return R.item_counts(S.read_transactions(spark, path))
+
+
+@query(f"{_PATHS} SELECT 'nation' AS attr, n_name AS leaf, n_name || '>' || r_name || '>*' AS path FROM t")
+def hierarchy_scan(spark, sf):
+    """A hierarchy's file, written and read back."""
+    path = _written(spark, "hierarchy")
+    nations(spark, sf).select(F.array_join("path", ";").alias("value")).write.text(path)
+    return S.read_hierarchy(spark, path, "nation").select("attr", "leaf", F.array_join("path", ">").alias("path"))
+
+
+@query(_ALL + _levels() + _rules() + " SELECT hash, support FROM r")
+def rules_file(spark, sf):
+    """Rules, written and read back."""
+    path = _written(spark, "rules")
+    S.write_rules(mined(spark, sf), path)
+    return S.read_rules(spark, path).select("hash", "support")
+
+
+@query("""WITH r AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), b AS (SELECT p_partkey, least(9, greatest(ceil((p_retailprice - lo) / ((hi - lo) / 10)) - 1, 0)) AS i, lo, (hi - lo) / 10 AS w FROM part, r)
+SELECT p_partkey, '(' || round(lo + w * i, 3) || '-' || round(lo + w * (i + 1), 3) || ']' AS p_retailprice FROM b""")
+def price_labels(spark, sf):
+    """Prices as labels of ten bins over their range."""
+    return X.binned(table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("p_retailprice")), ["p_retailprice"], 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,18 @@ NUMERIC = {"age", "fnlwgt", "education-num", "capital-gain", "capital-loss", "ho
 UNKNOWN = "?"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one where all runs in one process and none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("cloakframe.shared.dir", "")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
+        spark.conf.set("cloakframe.shared.dir", base)
+    return base.rstrip("/") + "/cloakframe"
+
+
 def census_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.IntegerType() if c in NUMERIC else T.StringType()) for c in columns])
 
