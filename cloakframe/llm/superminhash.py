@@ -182,20 +182,22 @@ def rare_prefixes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return ranked.select("cid", "n", "grp", known, F.posexplode(F.filter(F.slice("by", F.lit(1), length), lambda x: x["seen"] > 1)).alias("at", "x")).select("cid", "n", "grp", (F.col("known") - F.col("at")).alias("rest"), F.col("x.element").alias("element"))
 
 
-def cross_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(prefixes: DataFrame, percent: int, salt: int = 256) -> DataFrame:
     """a, b: classes of different groups that share an element and could reach the similarity; no pair inside a group is made.
 
     Of an element's classes those of its largest group meet only the others, so the rows made
-    are classes times classes outside the largest group.
+    are classes times classes outside the largest group. An element's classes are dealt to
+    parts of about `salt`, each of which gets those others.
     """
     own = prefixes.groupBy("element", "grp").agg(F.count("*").alias("c"))
-    tops = own.groupBy("element").agg(F.max(F.struct("c", "grp")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select(F.col("element").alias("e"), F.col("top.grp").alias("main"))
-    left = prefixes.join(tops, F.col("element") == F.col("e")).select("element", "cid", "n", "grp", "rest", (F.col("grp") == F.col("main")).alias("in_main"))
-    other = left.where("not in_main").select(F.col("element").alias("k"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("grp").alias("g"), F.col("rest").alias("l"))
+    tops = own.groupBy("element").agg(F.max(F.struct("c", "grp")).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("c")).where("groups > 1")
+    tops = tops.select(F.col("element").alias("e"), F.col("top.grp").alias("main"), F.ceil(F.col("c") / F.lit(salt)).cast("int").alias("parts"))
+    left = prefixes.join(tops, F.col("element") == F.col("e")).select("element", "cid", "n", "grp", "rest", (F.col("grp") == F.col("main")).alias("in_main"), "parts", F.pmod(F.xxhash64("cid", F.lit(2)), "parts").alias("part"))
+    other = left.where("not in_main").select(F.col("element").alias("k"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("grp").alias("g"), F.col("rest").alias("l"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k_part"))
     most, n, m = F.least("rest", "l"), F.col("n"), F.col("m")
     fit = (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100) * most >= F.lit(percent) * (n + m - most))
     once = F.col("in_main") | (F.col("cid") < F.col("b"))
-    return left.join(other, (F.col("element") == F.col("k")) & (F.col("grp") != F.col("g")) & once & fit).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b"))
+    return left.join(other, (F.col("element") == F.col("k")) & (F.col("part") == F.col("k_part")) & (F.col("grp") != F.col("g")) & once & fit).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b"))
 
 
 def classified(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 20, rows: int = 5, small: int = 32, salt: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +247,7 @@ def classified(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int
     few = left.where(F.col("crowd") <= small).join(other, (F.col("bucket") == F.col("k")) & (F.col("cid") < F.col("b")) & (F.col("grp") != F.col("g")) & sizes_fit).select(F.col("cid").alias("a"), "b")
     many = left.where(F.col("crowd") > small).select("cid", "n", "grp").distinct()
     prefixes = stored(rare_prefixes(many, sets, percent), "prefixes")
-    second = few.union(cross_pairs(prefixes, percent)).distinct()
+    second = few.union(cross_pairs(prefixes, percent, salt)).distinct()
     second = stored(second.join(tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
     more = stored(verified(second), "links")
     if not more.isEmpty():
