@@ -204,4 +204,27 @@ FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN longer
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT bad AS kept FROM o
 """
 
-ORACLES = {"op5_superminhash": OP5_SQL, "op6_benchmark_leaks": OP6_SQL, "op8_repetition_rules": OP8_SQL}
+
+
+def _op7_sql(size: int = 100) -> str:
+    """Windows of `size` bytes by doubling: the rank of the first half and that of the second name a window of twice the bytes."""
+    lead = "SELECT d, i, r, lead(r, {}) OVER (PARTITION BY d ORDER BY i) AS s FROM r{}"
+    ranks, n = "", 1
+    while 2 * n <= size:
+        ranks += f"r{2 * n} AS (SELECT d, i, dense_rank() OVER (ORDER BY r, s) AS r FROM ({lead.format(n, n)}) WHERE s IS NOT NULL),\n"
+        n *= 2
+    return f"""
+WITH t AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS d, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS a FROM documents),
+b AS (SELECT d, unnest(a) AS h, generate_subscripts(a, 1) AS i FROM t),
+r1 AS (SELECT d, i, h AS r FROM b),
+{ranks}w AS (SELECT d, i, row_number() OVER (PARTITION BY r, s ORDER BY d, i) > 1 AS again FROM ({lead.format(size - n, n)}) WHERE s IS NOT NULL),
+e AS (SELECT d, i, sum(x) AS x FROM (SELECT d, i, 1 AS x FROM w WHERE again UNION ALL SELECT d, i + {size}, -1 FROM w WHERE again) GROUP BY 1, 2),
+c AS (SELECT b.d, b.i, h, sum(coalesce(x, 0)) OVER (PARTITION BY b.d ORDER BY b.i) > 0 AS gone FROM b LEFT JOIN e ON e.d = b.d AND e.i = b.i),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY d ORDER BY i), false) AS head FROM c),
+o AS (SELECT d, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(h, '' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY 1)
+SELECT doc_id, len(a) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN o USING (d)
+"""
+
+
+ORACLES = {"op7_repeated_passages": _op7_sql(), "op5_superminhash": OP5_SQL, "op6_benchmark_leaks": OP6_SQL, "op8_repetition_rules": OP8_SQL}
