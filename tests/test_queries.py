@@ -142,6 +142,18 @@ def test_mondrian_until_no_cut_is_left(spark, tmp_path):
     assert all(abs(r["o_totalprice"] - sum(x[1] for x in parts[r["part"]]) / len(parts[r["part"]])) < 0.001 for r in got)
 
 
+def test_entry_survives_a_missing_library(monkeypatch):
+    """Without a library that the text operators need, theirs are left out and the others stay."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("cloakframe.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "pyarrow", None)
+    assert set(__spark_entry__.queries()) == set(catalog.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalog.ORACLES)
+
+
 def test_entry_survives_without_text_operators():
     import __spark_entry__
 
