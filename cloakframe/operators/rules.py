@@ -20,12 +20,14 @@ def item_counts(baskets: DataFrame, items: str = "items") -> DataFrame:
     return baskets.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float, items: str = "items", sample_factor: float = 1.0) -> DataFrame:
-    """items (sorted), freq: all itemsets with at least min_support * sample_factor of the rows, by parallel FP-growth."""
+def frequent_itemsets(baskets: DataFrame, min_support: float, items: str = "items", sample_factor: float = 1.0, strict: bool = False) -> DataFrame:
+    """items (sorted), freq: all itemsets with at least min_support * sample_factor of the rows, by parallel FP-growth. strict: more than that."""
     from pyspark.ml.fpm import FPGrowth
 
-    model = FPGrowth(itemsCol="__items", minSupport=min_support * sample_factor, minConfidence=1.0).fit(baskets.select(F.array_distinct(items).alias("__items")))
-    return model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
+    rows = baskets.select(F.array_distinct(items).alias("__items"))
+    model = FPGrowth(itemsCol="__items", minSupport=min_support * sample_factor, minConfidence=1.0).fit(rows)
+    out = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
+    return out.where(F.col("freq") > F.lit(min_support * sample_factor) * rows.count()) if strict else out
 
 
 def sampled(baskets: DataFrame, fraction: float, rid: str = "rid", seed: int = 0) -> DataFrame:

@@ -201,6 +201,18 @@ def association_rules(spark, sf):
     return mined(spark, sf).select("hash", shown("a"), shown("b"), "support", "lhs_support", F.round("support_share", 6).alias("support_share"), F.round("confidence", 6).alias("confidence"))
 
 
+@query(_ALL + _levels() + _rules() + " SELECT hash, support FROM r ORDER BY md5(hash || '|3'), hash LIMIT 5")
+def random_rules(spark, sf):
+    """A sampling operator: five rules in hash order."""
+    return X.pick(mined(spark, sf).select("hash", "support"), 5, "hash", seed=3)
+
+
+@query(_ALL + _levels() + f" SELECT array_to_string(items, ',') AS items, freq FROM l WHERE freq > 0.1 * {_N}")
+def strictly_frequent_itemsets(spark, sf):
+    """Itemsets above the support, not at it."""
+    return R.frequent_itemsets(baskets(spark, sf), 0.1, strict=True).select(F.array_join("items", ",").alias("items"), "freq")
+
+
 _YEARS = """WITH RECURSIVE o AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), xa AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON l_orderkey = o_orderkey WHERE y BETWEEN 1990 AND 1997),
 xb AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON l_orderkey = o_orderkey WHERE y BETWEEN 1998 AND 2005)"""
 

@@ -65,7 +65,7 @@ def read_transactions(spark: SparkSession, path: str, separator: str = ", ", fra
 
 
 def read_hierarchy(spark: SparkSession, path: str, attr: str) -> DataFrame:
-    """attr, leaf, path (from the leaf to the root) of a file with one `leaf;...;*` line per leaf."""
+    """attr, leaf, path (from the leaf to the root) of a file with one `leaf;...;*` line per leaf. Blank lines anywhere are passed over: a file that is read in splits has no first one to stop at."""
     parts = F.transform(F.split("value", ";"), lambda x: F.trim(x))
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.lit(attr).alias("attr"), parts[0].alias("leaf"), parts.alias("path"))
 
@@ -83,6 +83,13 @@ def write_dataset(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*[F.col(f"`{c}`") for c in columns]).write.mode("overwrite").csv(path, header=False)
 
 
+def write_release(df: DataFrame, path: str, columns: list[str], gid: str = "gid", source: str = "src_gid", rid: str = "rid") -> None:
+    """Headerless CSV of a migrated table: by group, its own rows first, then those that came from others. Files follow each other in this order."""
+    came = F.col(gid) != F.col(source)
+    rows = df.repartitionByRange(F.col(gid), came, F.col(rid)).sortWithinPartitions(F.col(gid), came, F.col(rid))
+    rows.select(*[F.col(f"`{c}`") for c in columns]).write.mode("overwrite").csv(path, header=False)
+
+
 def render_range(lo, hi):
     """A generalised number as text: lo-hi, or the number itself."""
     show = lambda x: F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))

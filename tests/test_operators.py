@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe import functions as X
+from cloakframe import sources as S
 from cloakframe.operators import cluster as C
+from cloakframe.operators import evaluate as E
 from cloakframe.operators import groups as G
 from cloakframe.operators import lattice as L
 from cloakframe.operators import migrate as M
@@ -439,3 +442,53 @@ def test_t_closeness_whole_domain(spark):
     part = {r["g"]: r["t"] for r in G.t_closeness(df, ["g"], "v").collect()}
     full = {r["g"]: r["t"] for r in G.t_closeness(df, ["g"], "v", whole_domain=True).collect()}
     assert part == {"g": 0.75, "h": 0.25} and full == {"g": 0.75, "h": 0.25}
+
+
+def test_streamed_windows(spark, tmp_path):
+    """A started stream gives what the batch gives, once the watermark has passed all windows."""
+    from cloakframe import streaming
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", q) for h in range(6) for m in range(0, 60, 7) for q in ("a", "b")[: 1 + (m > 30)]]
+    df = spark.createDataFrame(rows, "t string, q string").select(F.to_timestamp("t").alias("ts"), "q")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    late = spark.createDataFrame([("2024-01-03 00:00:00", "z")], "t string, q string").select(F.to_timestamp("t").alias("ts"), "q")
+    stream = streaming.unsafe_windows(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", ["q"], 5)
+    query = stream.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    late.write.mode("append").parquet(str(tmp_path / "in"))
+    query.processAllAvailable()
+    query.stop()
+    got = {tuple(r) for r in spark.table("windows").collect()}
+    assert got == {tuple(r) for r in streaming.unsafe_windows(df, "ts", ["q"], 5).collect()} and len(got) == 12
+
+
+def test_release_file(spark, tmp_path):
+    """Groups in order, own rows before those that came."""
+    df = spark.createDataFrame([(1, 5, 5, "a"), (2, 5, 4, "b"), (3, 4, 4, "c"), (4, 5, 5, "d"), (5, 4, 5, "e")], "rid long, gid long, src_gid long, v string")
+    S.write_release(df, str(tmp_path / "out"), ["gid", "v"])
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().split()]
+    assert lines == ["4,c", "4,e", "5,a", "5,d", "5,b"]
+
+
+def test_items_that_are_allowed_and_roots(spark):
+    items = F.array(*[F.struct(F.lit(a).alias("attr"), F.lit(v).alias("value")) for a, v in (("age", "*"), ("sex", "F"))])
+    got = spark.range(1).select(X.allows(items, "sex", F.lit("F")).alias("a"), X.allows(items, "sex", F.lit("M")).alias("b"), X.allows(items, "race", F.lit("M")).alias("c"), F.transform(X.without_roots(items), X.item_key).alias("d")).first()
+    assert tuple(got) == (True, False, True, ["sex=F"])
+    sets = spark.createDataFrame([(["age=*"], 4), (["sex=F"], 4), (["x=1"], 4), (["age=*", "sex=F"], 4), (["age=*", "sex=F", "x=1"], 4), (["sex=F", "x=1"], 4), (["age=*", "x=1"], 4)], "items array<string>, freq long")
+    rules = R.rules_of(sets, 8, 0.5).collect()
+    assert sorted((r["a"][0]["attr"], r["b"][0]["attr"]) for r in rules) == [("sex", "x"), ("x", "sex")]
+
+
+def test_natural_order(spark):
+    values = ["10", "9", "x10", "-2", "x9", "2.5", "", "1e3", None]
+    got = [r["v"] for r in spark.createDataFrame([(v,) for v in values], "v string").orderBy(X.natural_order(F.col("v"))).collect()]
+    assert got == ["-2", "2.5", "9", "10", None, "", "1e3", "x10", "x9"]
+
+
+def test_evaluation_of_a_release(spark):
+    """A release that is the table itself loses nothing; one without a value loses the rules with it."""
+    df = spark.createDataFrame([(i, "x" if i % 3 else "y", "p" if i % 3 else "q") for i in range(60)], "rid long, a string, b string")
+    same = E.evaluate(df, df, ["a", "b"], 5, 0.1, 0.5).first()
+    assert (same["n_groups"], same["n_rows"], same["n_unsafe"], same["lost"], same["new"]) == (2, 60, 0, 0.0, 0.0) and same["n_before"] == 4
+    less = E.evaluate(df, df.where("a = 'x'"), ["a", "b"], 5, 0.1, 0.5).first()
+    assert (less["n_rows"], less["n_lost"], less["n_new"]) == (40, 2, 0)
