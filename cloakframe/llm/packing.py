@@ -145,9 +145,9 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str
 
         size = 0
         for batch in batches:
-            docs_, texts, *prompts = (c.to_pylist() for c in batch.columns)
+            docs_, texts, *prompts = batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])
             for a, b in groups_of(texts):
-                ids, lens, skips = encoder.encode_with_heads(texts[a:b], prompts[0][a:b] if prompts else None)
+                ids, lens, skips = encoder.encode_with_heads(texts.slice(a, b - a), prompts[0][a:b] if prompts else None)
                 ends = np.cumsum(lens)
                 for k in range(a, b):
                     own = np.append(ids[ends[k - a] - lens[k - a] : ends[k - a]], np.uint32(END_ID))

@@ -17,6 +17,10 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import text_buffers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 1
@@ -48,6 +52,20 @@ class _Index(dict):
         return n
 
 
+def _own_buffers(column: pa.Array) -> pa.Array:
+    """A string column whose first offset is 0, as kernels that change letters need it; null is empty."""
+    data, offsets = text_buffers(column)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data))
+
+
+def _byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a large_binary column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset).tolist() if len(column) else [0]
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 class WordEncoder:
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
@@ -64,7 +82,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.n_ids = self.calls = 0
+        self.n_ids = 0
         self.starts, self.lens, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.pool = np.zeros(1 << 16, np.uint32)
 
@@ -139,36 +157,36 @@ class WordEncoder:
             self.pool[self.n_ids : self.n_ids + total] = ids
             self.n_ids += total
 
-    def _raw(self, text: str | None) -> bytes:
-        """Where the tokenizer lowers letters and no special token can be in the text, they are lowered here."""
-        raw = text.encode("utf-8") if text else b""
-        return raw.lower() if self.lowers and b"<|" not in raw else raw
+    def _words(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, one text after another, and how many each text has (one, the empty word, where it has none).
 
-    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        Where the tokenizer lowers letters and no special token can be in the text, they are lowered here.
+        """
         if len(self.index) > self.limit:
             self._forget()
-        words = [self._raw(t).split() for t in texts]
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        column = _own_buffers(texts) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()).fill_null("")
+        if self.lowers:
+            special, low = pc.match_substring(column, "<|"), pc.ascii_lower(column)
+            column = pc.if_else(special, column, low) if special.true_count else low
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
+        per_text = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        words = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        here = words.indices.to_numpy()
+        different = _byte_strings(words.dictionary)
+        numbers = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))
         if self.index.new:
             self._add()
-        self.calls += 1
-        if self.calls % 4 == 1:  # enough to tell frequent words from rare ones
-            if 8 * len(at) < len(self.index):
-                np.add.at(self.seen, at, 1)
-            else:
-                counts = np.bincount(at)
-                self.seen[: len(counts)] += counts
-        return at, per_text
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.seen[numbers] += np.bincount(here, minlength=len(numbers))
+        return numbers.take(here), per_text
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text; null is empty."""
         return self.encode_with_heads(texts, None)[:2]
 
-    def encode_with_heads(self, texts: list[str | None], heads: list[str | None] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode_with_heads(self, texts: list[str | None] | pa.Array, heads: list[str | None] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """encode(), and how many of each text's ids are those of its head, the text that it begins with. A word in which the head ends counts whole."""
         if not self.by_word:
-            own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)], add_special_tokens=False)]
             lens = np.fromiter(map(len, own), np.int64, len(own))
             ids = np.fromiter(chain.from_iterable(own), np.uint32, int(lens.sum()))
             return ids, lens, np.minimum(lens, self.encode(heads)[1]) if heads else np.zeros_like(lens)
@@ -187,7 +205,7 @@ class WordEncoder:
         first = past - per_text
         return ids, lens, ends[first + np.minimum(words, per_text)] - ends[first]
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None] | pa.Array) -> np.ndarray:
         """The number of ids of each text."""
         if not self.by_word:
             return self.encode(texts)[1]
@@ -196,16 +214,17 @@ class WordEncoder:
         return np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
 
 
-def groups_of(texts: list[str | None], most: int = 2 << 20):
-    """Runs (start, end) of texts of about `most` characters."""
+def groups_of(texts: list[str | None] | pa.Array, most: int = 2 << 20):
+    """Runs (start, end) of texts of about `most` characters, or bytes of a column."""
+    lens = pc.binary_length(texts.fill_null("")).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(lens):
+        size += n
         if size >= most:
             yield a, i + 1
             a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(lens):
+        yield a, len(lens)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}

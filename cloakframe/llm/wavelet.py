@@ -221,9 +221,9 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         end = np.array([END_ID], f"<u{width}").tobytes()
         for batch in batches:
-            ids_, texts = batch.column(0), batch.column(1).to_pylist()
+            ids_, texts = batch.columns
             for a, b in groups_of(texts):
-                ids, lens = encoder.encode(texts[a:b])
+                ids, lens = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(lens)
                 small = ids.astype(f"<u{width}")
                 yield batch_of(TOKENS, [ids_.slice(a, b - a), [width] * (b - a), [small[e - n : e].tobytes() + end for e, n in zip(ends, lens, strict=True)]])

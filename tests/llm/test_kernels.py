@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from cloakframe.llm import bwt_dedup, chat, common, decontam, licenses, packing, repetition, superminhash, wavelet
 from cloakframe.llm.edit_counts import CountTree, cut
 from cloakframe.llm.queries import word_tokenizer
-from cloakframe.llm.tokens import WordEncoder
+from cloakframe.llm.tokens import WordEncoder, groups_of
 
 from . import brute
 
@@ -40,6 +40,15 @@ def test_encoder_equals_the_tokenizer(texts):
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == [i for w in want for i in w] and lens.tolist() == list(map(len, want))
     assert enc.counts(texts).tolist() == list(map(len, want))
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["É cut", None, *texts], kind).slice(2)
+        ids, lens = enc.encode(column)
+        assert ids.tolist() == [i for w in want for i in w] and lens.tolist() == list(map(len, want))
+        assert [b - a for a, b in groups_of(column, 5)] and sum(b - a for a, b in groups_of(column, 5)) == len(texts)
+    heads = [t[: len(t) // 2] if t else t for t in texts]
+    for text, head, n in zip(texts, heads, enc.encode_with_heads(texts, heads)[2], strict=True):
+        words = (text or "").encode().split()[: len((head or "").encode().split())]
+        assert n == sum(len(plain.encode(w.decode(), add_special_tokens=False).ids) for w in words)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
