@@ -562,16 +562,16 @@ def unsafe_event_windows(spark, sf):
     return streaming.unsafe_windows(table(spark, sf, "events"), "ts", ["event_type"], 5)
 
 
-def _clustered(method: str, spark, sf) -> DataFrame:
+def clustered(method: str, spark, sf, block: str | None = "block") -> DataFrame:
     rows = customers(spark, sf).join(F.broadcast(nations(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
     paths = {r["leaf"]: list(r["path"]) for r in nations(spark, sf).collect()}
     rows = rows.select(F.col("c_custkey").alias("rid"), "c_acctbal", F.col("leaf").alias("nation"), F.concat_ws("/", F.col("path")[1], F.col("c_mktsegment")).alias("block"))
-    return C.anonymize(rows, method, K, ["c_acctbal"], {"nation": paths}, block="block")
+    return C.anonymize(rows, method, K, ["c_acctbal"], {"nation": paths}, block=block)
 
 
 def _cluster_query(method: str):
     def f(spark, sf):
-        return _clustered(method, spark, sf)
+        return clustered(method, spark, sf)
 
     f.__name__ = f"anonymize_{method}"
     f.__doc__ = f"Customers clustered by {method}, in blocks of region and segment."
@@ -582,10 +582,14 @@ for _m in C.METHODS:
     _cluster_query(_m)
 
 
+def migrated(variant: str, spark, sf, block: str | None = "c_nationkey") -> DataFrame:
+    rules = [(r["budget"], list(r["quasi"])) for r in group_rule_table(spark).collect()]
+    return M.migrate(banded(spark, sf).select("c_custkey", *QI), QI, K, rules, variant, "c_custkey", block=block)
+
+
 def _migrate_query(variant: str):
     def f(spark, sf):
-        rules = [(r["budget"], list(r["quasi"])) for r in group_rule_table(spark).collect()]
-        return M.migrate(banded(spark, sf).select("c_custkey", *QI), QI, K, rules, variant, "c_custkey", block="c_nationkey")
+        return migrated(variant, spark, sf)
 
     f.__name__ = f"migrate_{variant}"
     f.__doc__ = f"Customers migrated between the classes of their nation, variant {variant}."
