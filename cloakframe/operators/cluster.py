@@ -38,10 +38,12 @@ class Tree:
                 leaves[self.index[x]] += 1
         inner = np.array([x not in self.paths or len(up[x]) == 1 for x in names])
         self.width = np.where(inner, leaves / max(1, len(self.paths)), 0.0)
-        self.lca = np.zeros((n, n), np.int32)
-        for a in names:
-            for b in names:
-                self.lca[self.index[a], self.index[b]] = self.index[next(x for x in up[a] if x in set(up[b]))]
+        self.level = np.array([len(up[x]) - 1 for x in names])
+        down = np.full((n, int(self.level.max(initial=0)) + 1), -1)  # each node's path from the root
+        for x in names:
+            down[self.index[x], : len(up[x])] = [self.index[y] for y in up[x][::-1]]
+        shared = np.cumprod((down[:, None] == down[None]) & (down[:, None] >= 0), axis=2).sum(2)
+        self.lca = down[np.arange(n)[:, None], shared - 1].astype(np.int32)
         self.depth = max(map(len, self.paths.values())) - 1
 
 
@@ -208,13 +210,8 @@ def gccg(space: Space, k: int, rng) -> np.ndarray:
 
 def _ups(t: Tree) -> np.ndarray:
     """Steps to the lowest common node, the larger of both sides."""
-    at = {x: {y: i for i, y in enumerate(p)} for x, p in ((p[i], p[i:]) for p in t.paths.values() for i in range(len(p)))}
-    out = np.zeros(t.lca.shape)
-    for a in t.names:
-        for b in t.names:
-            node = t.names[t.lca[t.index[a], t.index[b]]]
-            out[t.index[a], t.index[b]] = max(at[a][node], at[b][node])
-    return out
+    at = t.level[t.lca]
+    return np.maximum(t.level[:, None] - at, t.level[None] - at).astype(float)
 
 
 METHODS = {"knn": knn, "kmember": kmember, "oka": oka, "gccg": gccg}

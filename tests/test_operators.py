@@ -171,6 +171,18 @@ def test_clusterers_against_plain_ones(spark, method, seed):
         assert abs(r["ncp"] - penalty([rows[i] for i in got[r["cluster"]]], width)) < 1e-9
 
 
+def test_common_nodes():
+    paths = {**TREE, "11": ["11", "*"], "12": ["12", "a", "b", "*"], "13": ["13", "c", "b", "*"]}
+    t = C.Tree(paths)
+    up = {p[i]: p[i:] for p in paths.values() for i in range(len(p))}
+    steps = C._ups(t)
+    for a in t.names:
+        for b in t.names:
+            node = next(x for x in up[a] if x in up[b])
+            assert t.names[t.lca[t.index[a], t.index[b]]] == node
+            assert steps[t.index[a], t.index[b]] == max(up[a].index(node), up[b].index(node))
+
+
 def test_cluster_blocks(spark):
     df = spark.range(60).select(F.col("id").alias("rid"), (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "1").otherwise("6").alias("q"), (F.col("id") % 3).cast("string").alias("b"))
     out = C.anonymize(df, "oka", 5, ["x"], {"q": TREE}, block="b")
