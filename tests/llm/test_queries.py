@@ -327,6 +327,20 @@ def test_op8(spark, sf):
     assert rows(queries.op8_repetition_rules(spark, d), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == want
 
 
+def test_op8_edges(spark, edges, nothing):
+    """Nulls, empty, long and repeated texts, rows without an id; an empty table; a rule of its own."""
+    from cloakframe.llm import repetition
+
+    got = {(r["doc_id"], r["n_words"], r["word_chars"], r["n_repeat_words"]) for r in repetition.measure(edges).collect()}
+    assert got == {(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 10, 37, 0), (5, 10, 37, 0), (None, 5, 15, 0), (6, 1, 200_000, 0), (7, 30_000, 30_000, 30_000)}
+    assert repetition.measure(edges).count() == edges.count() and repetition.measure(nothing).count() == 0
+    tight = repetition.verdicts(repetition.Rules(max_covered=0.0))[1]
+    rows = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100))), (2, " ".join(f"w{i % 80}" for i in range(100)))], "doc_id long, text string")
+    assert [r["k"] for r in repetition.measure(rows).orderBy("doc_id").select(tight.alias("k")).collect()] == [True, False]
+    clash = edges.withColumn("__q_n_words", F.lit(1)).withColumn("__text", F.lit(2))
+    assert repetition.annotate(clash, prefix="own_").columns[: len(clash.columns)] == clash.columns
+
+
 def test_op9(spark, sf):
     d, _, _, conv = sf
     want = brute.chats([*conv, *queries.ADDED])
