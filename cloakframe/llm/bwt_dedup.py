@@ -111,7 +111,11 @@ def piece_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64-bit hashes of the anchor pieces."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    raw = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data).view(np.uint8)[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (1, 1))
+    raw = np.lib.stride_tricks.as_strided(
+        np.ascontiguousarray(data).view(np.uint8)[: len(data) - 7].view(np.uint8),
+        (len(data) - 7, 8),
+        (1, 1),
+    )
     out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, PIECE, 8):
@@ -294,7 +298,13 @@ class Collection:
             yield who, self.lens[who] - length, lcp
 
 
-def later_windows(strings: list[bytes], order_of: np.ndarray, size: int, most: int = 64 << 20, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def later_windows(
+    strings: list[bytes],
+    order_of: np.ndarray,
+    size: int,
+    most: int = 64 << 20,
+    window: int = 1 << 20,
+) -> tuple[np.ndarray, np.ndarray]:
     """(string number, start) of all windows of `size` bytes that also occur in the strings at an earlier place.
 
     order_of: (n, 2) keys of the strings: a window's place is its string's first key, then
@@ -346,7 +356,13 @@ def narrowed(strings: list[bytes], anchor: np.ndarray, piece: np.ndarray, size:
     return np.where(end - start >= size, start, 0), np.where(end - start >= size, end, 0)
 
 
-def repeated_windows(strings: list[bytes], anchor: np.ndarray, piece: np.ndarray, order_of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(
+    strings: list[bytes],
+    anchor: np.ndarray,
+    piece: np.ndarray,
+    order_of: np.ndarray,
+    size: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """later_windows() of strings that stand in the order of their places: parts that can't repeat are cut off first, and equal parts are sorted once."""
     a, b = narrowed(strings, anchor, piece, size)
     first: dict[bytes, int] = {}
@@ -382,7 +398,10 @@ def _blocks(docs: DataFrame, path: str, name: str, buckets: int) -> DataFrame:
         def out():
             ids = [d for b in held for d in b[0]]
             ends = np.cumsum(np.concatenate([np.diff(b[1]) for b in held]))
-            return batch_of(_BLOCKS, [[TaskContext.get().partitionId() << 32 | number], [ids], [ends.tolist()], [b"".join(b[2].tobytes() for b in held)]])
+            return batch_of(
+                _BLOCKS,
+                [[TaskContext.get().partitionId() << 32 | number], [ids], [ends.tolist()], [b"".join(b[2].tobytes() for b in held)]],
+            )
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -422,7 +441,10 @@ class _Block:
             doc, at, lo, hi = anchored(own, self.offsets[a : b + 1] - base, self.size)
             parts.append((doc + a, at + base, lo + base, hi + base))
             a = b
-        self.doc, self.at, self.lo, self.hi = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((),) * 4))
+        self.doc, self.at, self.lo, self.hi = (
+            np.concatenate(x) if parts else np.zeros(0, np.int64)
+            for x in (zip(*parts, strict=True) if parts else ((),) * 4)
+        )
         self.h = piece_hashes(self.data, self.at)
         self.pieces, self.piece, counts = np.unique(self.h, return_inverse=True, return_counts=True)
         self.often = counts > 1
@@ -516,10 +538,29 @@ def _answers(asked: DataFrame, name: str) -> DataFrame:
     return stored(told.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "bits")).alias("answers")), name)
 
 
-_FOUND = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("payload", pa.binary())])
+_FOUND = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("kind", pa.int32()),
+        ("h", pa.int64()),
+        ("id", pa.int64()),
+        ("at", pa.int64()),
+        ("anchor", pa.int64()),
+        ("payload", pa.binary()),
+    ]
+)
 _RUN = np.dtype([("lo", "<i4"), ("hi", "<i4")])
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_OUT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_bytes", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("n_spans", pa.int64()),
+        ("kept_sha256", pa.string()),
+        ("kept", pa.binary()),
+    ]
+)
 
 
 BUCKET_BYTES = 32 << 20
@@ -544,7 +585,20 @@ def halved(payload: bytes, anchor: int, least: int, most: int, size: int) -> lis
     return out
 
 
-_STRINGS = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("payload", pa.binary())])
+_STRINGS = pa.schema(
+    [
+        ("h", pa.int64()),
+        ("a", pa.int64()),
+        ("b", pa.int64()),
+        ("id", pa.int64()),
+        ("block", pa.int64()),
+        ("at", pa.int64()),
+        ("anchor", pa.int64()),
+        ("least", pa.int64()),
+        ("most", pa.int64()),
+        ("payload", pa.binary()),
+    ]
+)
 _STRINGS_DDL = "h long, a long, b long, id long, block long, at long, anchor long, least long, most long, payload binary"
 _REPEATS = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
 
@@ -561,7 +615,22 @@ def _halves(size: int):
                     f, g = span_hashes(flat, lo, hi)
                     with np.errstate(over="ignore"):
                         key = mix64(f[:1] + g[:1] * np.uint64(2 * (x * 256 + y) + 1)).view(np.int64)[0]
-                    for c, v in zip(cols, (int(key), int(f.view(np.int64)[1]), int(g.view(np.int64)[1]), r["id"], r["block"], r["at"] + a, r["anchor"] - a, x, y, r["payload"][a:b]), strict=True):
+                    for c, v in zip(
+                        cols,
+                        (
+                            int(key),
+                            int(f.view(np.int64)[1]),
+                            int(g.view(np.int64)[1]),
+                            r["id"],
+                            r["block"],
+                            r["at"] + a,
+                            r["anchor"] - a,
+                            x,
+                            y,
+                            r["payload"][a:b],
+                        ),
+                        strict=True,
+                    ):
                         c.append(v)
             yield batch_of(_STRINGS, cols)
 
@@ -593,7 +662,10 @@ def spread(strings: DataFrame, crowd: int, size: int, scratch: list) -> tuple[Da
     done, repeats = None, []
     place = F.struct("id", "block", "at")
     while True:
-        crowds = keep(strings.groupBy("h").agg(F.count("*").alias("c")).where((F.col("c") > crowd)).select(F.col("h").alias("crowded")), "crowds")
+        crowds = keep(
+            strings.groupBy("h").agg(F.count("*").alias("c")).where((F.col("c") > crowd)).select(F.col("h").alias("crowded")),
+            "crowds",
+        )
         if crowds.isEmpty():
             return strings if done is None else done.unionByName(strings), repeats
         few = strings.join(crowds, F.col("h") == F.col("crowded"), "left_anti")
@@ -601,14 +673,38 @@ def spread(strings: DataFrame, crowd: int, size: int, scratch: list) -> tuple[Da
         many = strings.join(crowds, F.col("h") == F.col("crowded"), "left_semi").where(~single)
         done = few if done is None else done.unionByName(few)
         halves = keep(many.select(*_STRINGS.names).mapInArrow(_halves(size), _STRINGS_DDL), "halves")
-        firsts = keep(halves.groupBy("h", "a", "b").agg(F.min(place).alias("p"), F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("fh"), F.col("a").alias("fa"), F.col("b").alias("fb"), "p"), "firsts")
-        told = halves.join(firsts, (F.col("h") == F.col("fh")) & (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left").withColumn("again", F.coalesce(place != F.col("p"), F.lit(False)))
+        firsts = keep(
+            halves.groupBy("h", "a", "b").agg(F.min(place).alias("p"), F.count("*").alias("c")).where("c > 1").select(
+                F.col("h").alias("fh"),
+                F.col("a").alias("fa"),
+                F.col("b").alias("fb"),
+                "p",
+            ),
+            "firsts",
+        )
+        told = halves.join(firsts, (F.col("h") == F.col("fh")) & (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left").withColumn(
+            "again",
+            F.coalesce(place != F.col("p"), F.lit(False)),
+        )
         told = keep(told.select(*_STRINGS.names, "again"), "halves")
-        repeats.append(told.where("again").select("block", "at", F.length("payload").cast("long").alias("n")).mapInArrow(_as_runs(size), "block long, payload binary"))
+        repeats.append(
+            told.where("again").select("block", "at", F.length("payload").cast("long").alias("n")).mapInArrow(
+                _as_runs(size),
+                "block long, payload binary",
+            )
+        )
         strings = told.where("not again").drop("again")
 
 
-def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text", crowd: int = 4096, buckets: int | None = None, with_text: bool = False) -> DataFrame:
+def deduplicate(
+    docs: DataFrame,
+    min_bytes: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    crowd: int = 4096,
+    buckets: int | None = None,
+    with_text: bool = False,
+) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with_text, the bytes kept, as a stored table."""
     spark = docs.sparkSession
     prepare(spark)
@@ -650,15 +746,45 @@ def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", t
             runs["lo"], runs["hi"] = x.lo[~is_first], x.hi[~is_first]
             k = np.flatnonzero(is_first & shared)
             raw = x.data.tobytes()
-            yield batch_of(_FOUND, [[x.block] * (len(k) + 1), [0] + [1] * len(k), [0, *x.h[k].view(np.int64).tolist()], [0, *x.ids[x.doc[k]].tolist()], [0, *x.lo[k].tolist()], [0, *(x.at[k] - x.lo[k]).tolist()], [runs.tobytes(), *(raw[a : b + size] for a, b in zip(x.lo[k], x.hi[k], strict=True))]])
+            yield batch_of(
+                _FOUND,
+                [
+                    [x.block] * (len(k) + 1),
+                    [0] + [1] * len(k),
+                    [0, *x.h[k].view(np.int64).tolist()],
+                    [0, *x.ids[x.doc[k]].tolist()],
+                    [0, *x.lo[k].tolist()],
+                    [0, *(x.at[k] - x.lo[k]).tolist()],
+                    [runs.tobytes(), *(raw[a : b + size] for a, b in zip(x.lo[k], x.hi[k], strict=True))],
+                ],
+            )
 
     ask = "kind int, bucket long, block long, payload binary"
     first = _answers(blocks.mapInArrow(ask_pieces, ask), "answers")
-    once = blocks.join(first.hint("shuffle_hash").select(F.col("block").alias("k1"), "answers"), F.col("block") == F.col("k1"), "left").drop("k1")
+    once = blocks.join(
+        first.hint("shuffle_hash").select(F.col("block").alias("k1"), "answers"),
+        F.col("block") == F.col("k1"),
+        "left",
+    ).drop("k1")
     second = _answers(once.mapInArrow(ask_strings, ask), "answers")
-    twice = once.join(second.hint("shuffle_hash").select(F.col("block").alias("k2"), F.col("answers").alias("more")), F.col("block") == F.col("k2"), "left").drop("k2")
+    twice = once.join(
+        second.hint("shuffle_hash").select(F.col("block").alias("k2"), F.col("answers").alias("more")),
+        F.col("block") == F.col("k2"),
+        "left",
+    ).drop("k2")
     found = stored(twice.mapInArrow(find, "block long, kind int, h long, id long, at long, anchor long, payload binary"), "found")
-    strings = found.where("kind = 1").select("h", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "id", "block", "at", "anchor", F.lit(0).cast("long").alias("least"), F.lit(size - PIECE + 1).cast("long").alias("most"), "payload")
+    strings = found.where("kind = 1").select(
+        "h",
+        F.lit(0).cast("long").alias("a"),
+        F.lit(0).cast("long").alias("b"),
+        "id",
+        "block",
+        "at",
+        "anchor",
+        F.lit(0).cast("long").alias("least"),
+        F.lit(size - PIECE + 1).cast("long").alias("most"),
+        "payload",
+    )
     scratch = [first, second, found]
     strings, repeats = spread(strings, crowd, size, scratch)
     few = strings.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(n).cast("long")))
@@ -682,7 +808,10 @@ def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", t
     gone = found.where("kind = 0").select("block", "payload").union(sorted_out)
     for x in repeats:
         gone = gone.union(x)
-    gone = gone.groupBy("block").agg(F.collect_list("payload").alias("runs")).hint("shuffle_hash").select(F.col("block").alias("k3"), "runs")
+    gone = gone.groupBy("block").agg(F.collect_list("payload").alias("runs")).hint("shuffle_hash").select(
+        F.col("block").alias("k3"),
+        "runs",
+    )
 
     def finish(batches):
         for batch in batches:
@@ -699,7 +828,17 @@ def deduplicate(docs: DataFrame, min_bytes: int = 100, id_col: str = "doc_id", t
                 head[inner] = out[inner]  # a run that begins with a document is that document's own
                 removed, spans = (np.diff(np.concatenate([[0], np.cumsum(v)])[x.offsets]) for v in (out, head))
                 kept = [x.data[a:b][~out[a:b]].tobytes() for a, b in zip(x.offsets[:-1], x.offsets[1:], strict=True)]
-                yield batch_of(_OUT, [r["ids"], np.diff(x.offsets), removed, spans, [hashlib.sha256(k).hexdigest() for k in kept], kept if with_text else [None] * len(kept)])
+                yield batch_of(
+                    _OUT,
+                    [
+                        r["ids"],
+                        np.diff(x.offsets),
+                        removed,
+                        spans,
+                        [hashlib.sha256(k).hexdigest() for k in kept],
+                        kept if with_text else [None] * len(kept),
+                    ],
+                )
 
     out = stored(blocks.join(gone, F.col("block") == F.col("k3"), "left").drop("k3").mapInArrow(finish, OUT), "deduplicated")
     drop(*scratch)

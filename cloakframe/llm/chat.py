@@ -103,7 +103,17 @@ class Planner:
 
 WINDOWS = "conv_id long, window long, n_tokens long, first_turn long, n_repeated long, text string, loss array<struct<start:long,end:long>>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_ARROW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_tokens", pa.int64()), ("first_turn", pa.int64()), ("n_repeated", pa.int64()), ("text", pa.string()), ("loss", pa.list_(_SPAN))])
+_ARROW = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("window", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("first_turn", pa.int64()),
+        ("n_repeated", pa.int64()),
+        ("text", pa.string()),
+        ("loss", pa.list_(_SPAN)),
+    ]
+)
 _KEY = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("hash", pa.string())]
 _COUNTED = pa.schema([*_KEY, ("copies", pa.int64()), ("text", pa.string()), ("tokens", pa.int64())])
 _PLACED = pa.schema([("window", pa.int64()), ("number", pa.int64()), ("repeated", pa.bool_()), *((f"p_{n}", t) for n, t in _KEY)])
@@ -114,12 +124,29 @@ def streamed(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.repartition(F.col(key)).sortWithinPartitions(key, *order)
 
 
-def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024, history: int = 256, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_windows(
+    conversations: DataFrame,
+    tokenizer: str,
+    budget: int = 1024,
+    history: int = 256,
+    id_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per window: its text, loss spans in characters, and how many of its leading turns are repeated."""
     prepare(conversations.sparkSession)
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = conversations.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "role", F.md5("text").alias("hash")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    rows = conversations.select(
+        F.col(f"`{id_col}`").cast("long").alias("conv_id"),
+        F.col(f"`{turn_col}`").cast("long").alias("turn"),
+        text(role_col).alias("role"),
+        text(text_col).alias("text"),
+    )
+    rows = rows.groupBy("conv_id", "turn", "role", F.md5("text").alias("hash")).agg(
+        F.count("*").alias("copies"),
+        F.first("text").alias("text"),
+    )
 
     def count(batches):
         encoder = encoder_of(tokenizer)
@@ -143,11 +170,16 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
             yield batch_of(_PLACED, cols)
 
     numbers = streamed(counted.drop("text"), "conv_id", "turn", "role", "hash")
-    places = numbers.mapInArrow(place, "window long, number long, repeated boolean, p_conv_id long, p_turn long, p_role string, p_hash string")
+    places = numbers.mapInArrow(
+        place,
+        "window long, number long, repeated boolean, p_conv_id long, p_turn long, p_role string, p_hash string",
+    )
     same = F.lit(True)
     for n, _ in _KEY:
         same = same & F.col(n).eqNullSafe(F.col(f"p_{n}"))
-    parts = places.join(counted, same).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("number", "repeated", "role", "text", "tokens"))).alias("turns"))
+    parts = places.join(counted, same).groupBy("conv_id", "window").agg(
+        F.sort_array(F.collect_list(F.struct("number", "repeated", "role", "text", "tokens"))).alias("turns")
+    )
 
     def write(batches):
         for batch in batches:
@@ -161,7 +193,11 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
                     out.append(full)
                     size += len(full)
                 again = sum(t["repeated"] for t in turns)
-                for c, v in zip(cols, (conv, window, sum(t["tokens"] for t in turns), turns[again]["number"], again, "".join(out), loss), strict=True):
+                for c, v in zip(
+                    cols,
+                    (conv, window, sum(t["tokens"] for t in turns), turns[again]["number"], again, "".join(out), loss),
+                    strict=True,
+                ):
                     c.append(v)
             yield batch_of(_ARROW, cols)
 

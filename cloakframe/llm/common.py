@@ -104,7 +104,10 @@ def extended(docs: DataFrame, text_col: str, fields: str, begin) -> DataFrame:
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)],
+        schema=schema,
+    )
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

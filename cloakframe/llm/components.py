@@ -26,7 +26,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark = tuple(now)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(
+            F.col("v").alias("u"),
+            F.col("m").alias("v"),
+        ).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         keep = low.select(F.col("u").alias("k"), "m")
         small = large.join(keep, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

@@ -154,17 +154,41 @@ class Scanner:
         return [pa.array(n_words, pa.int64()), pa.array(out_runs, pa.list_(_RUN)), pa.array(out_items, pa.list_(pa.int64()))]
 
 
-def _scanner(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_chars: int, most_chars: int, run_chars: int) -> Scanner:
+def _scanner(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    item_col: str,
+    item_text_col: str,
+    window: int,
+    block_chars: int,
+    most_chars: int,
+    run_chars: int,
+) -> Scanner:
     spark = docs.sparkSession
     prepare(spark)
     wanted = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
     size = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > most_chars:
         raise ValueError(f"the benchmark has {size} characters; at most {most_chars} can be scanned for")
-    return Scanner(spark.sparkContext.broadcast(_blocks([(r[0], r[1]) for r in wanted.orderBy("i", "t").collect()], block_chars)), window, run_chars)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = 4_000_000, most_chars: int = 200_000_000, run_chars: int = 64 << 20) -> DataFrame:
+    return Scanner(
+        spark.sparkContext.broadcast(_blocks([(r[0], r[1]) for r in wanted.orderBy("i", "t").collect()], block_chars)),
+        window,
+        run_chars,
+    )
+
+
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_chars: int = 4_000_000,
+    most_chars: int = 200_000_000,
+    run_chars: int = 64 << 20,
+) -> DataFrame:
     """Per document: n_words, runs of hit words with their offsets (characters) in the original text, and the items' ids, null last.
 
     A benchmark of more than most_chars characters is refused, as it goes to every worker.
@@ -174,7 +198,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return ids_and_texts(docs, id_col, text_col).mapInArrow(lambda batches: scanner.batches(batches, 1, names), OUT)
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, prefix: str = "__b_", block_chars: int = 4_000_000, most_chars: int = 200_000_000, run_chars: int = 64 << 20) -> DataFrame:
+def annotate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    prefix: str = "__b_",
+    block_chars: int = 4_000_000,
+    most_chars: int = 200_000_000,
+    run_chars: int = 64 << 20,
+) -> DataFrame:
     """docs with n_words, runs and items as further columns, whose names have the prefix and must be new."""
     scanner = _scanner(docs, benchmark, item_col, item_text_col, window, block_chars, most_chars, run_chars)
     fields = T.StructType.fromDDL(OUT).fields[1:]

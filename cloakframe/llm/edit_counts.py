@@ -125,9 +125,17 @@ class CountTree:
     def _recut(self, first: int, last: int, pieces: list[str]) -> None:
         """Pieces take the place of the leaves from first to last, in a tree planted anew; counts of other leaves stay."""
         own, more = [self.tokens[self.size + i] for i in range(len(self.leaves))], len(pieces) - (last - first + 1)
-        grown = self.planted(self.leaves[:first] + pieces + self.leaves[last + 1 :], own[:first] + [0] * len(pieces) + own[last + 1 :], self.leaf)
+        grown = self.planted(
+            self.leaves[:first] + pieces + self.leaves[last + 1 :],
+            own[:first] + [0] * len(pieces) + own[last + 1 :],
+            self.leaf,
+        )
         self.leaves, self.chars, self.tokens, self.size = grown.leaves, grown.chars, grown.tokens, grown.size
-        self.dirty = {i for i in self.dirty if i < first} | set(range(first, first + len(pieces))) | {i + more for i in self.dirty if i > last}
+        self.dirty = {i for i in self.dirty if i < first} | set(range(first, first + len(pieces))) | {
+            i + more
+            for i in self.dirty
+            if i > last
+        }
 
     def pending(self) -> list[str]:
         """The texts of the dirty leaves, in order."""
@@ -195,7 +203,11 @@ def update_counts(trees: DataFrame, tokenizer: str, edits_col: str = "edits", le
     the leaves one after another.
     """
     prepare(trees.sparkSession)
-    edit = lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["new"].cast("string").alias("new"))
+    edit = lambda e: F.struct(
+        e["start"].cast("long").alias("start"),
+        e["length"].cast("long").alias("length"),
+        e["new"].cast("string").alias("new"),
+    )
     rows = trees.select("doc_id", "leaves", "chars", "tokens", F.transform(F.coalesce(F.col(edits_col), F.array()), edit).alias("edits"))
 
     def run(batches):

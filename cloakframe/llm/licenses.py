@@ -52,19 +52,48 @@ TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "Apache-notice": ("Released under the {Apache License}.", "Licensed under the {Apache License}."),
     "Apache-2.0-notice": ("Licensed under the {Apache License, Version 2.0}.", "Licensed under the {Apache License 2.0}."),
     "MPL-2.0-notice": "Licensed under the {Mozilla Public License}, {version 2.0}.",
-    **{f"{n}-{v}.0-notice": f"This work is licensed under the {{GNU {w}General Public License}}, {{version {v}}}." for n, w, vs in (("GPL", "", (1, 2, 3)), ("LGPL", "Lesser ", (2, 3)), ("AGPL", "Affero ", (3,))) for v in vs},
-    **{f"CC-{k}-{v}-notice": f"Licensed under {{CC {k} {v}}}." for v in ("2.0", "3.0", "4.0") for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
-    **{f"CC-{k}-{v}": f"This work is licensed under a {{Creative Commons {n} {v} {area}}} License." for v, area in (("3.0", "Unported"), ("4.0", "International")) for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+    **{
+        f"{n}-{v}.0-notice": f"This work is licensed under the {{GNU {w}General Public License}}, {{version {v}}}."
+        for n, w, vs in (("GPL", "", (1, 2, 3)), ("LGPL", "Lesser ", (2, 3)), ("AGPL", "Affero ", (3,)))
+        for v in vs
+    },
+    **{
+        f"CC-{k}-{v}-notice": f"Licensed under {{CC {k} {v}}}."
+        for v in ("2.0", "3.0", "4.0")
+        for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+    },
+    **{
+        f"CC-{k}-{v}": f"This work is licensed under a {{Creative Commons {n} {v} {area}}} License."
+        for v, area in (("3.0", "Unported"), ("4.0", "International"))
+        for k, n in (
+            ("BY", "Attribution"),
+            ("BY-SA", "Attribution-ShareAlike"),
+            ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    },
     "CC0-1.0-notice": "Released under {CC0 1.0}.",
     "Apache-2.0-header": """Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "BSD-2-Clause": (_BSD, f"{_BSD} {_AS_IS}"),
-    "BSD-3-Clause": (f"{_BSD} 3. {{Neither the name}} of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", f"{_BSD} 3. {{Neither the name}} of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    "BSD-3-Clause": (
+        f"{_BSD} 3. {{Neither the name}} of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        f"{_BSD} 3. {{Neither the name}} of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the {public domain}. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "BSL-1.0": "Distributed under the {Boost Software License, Version 1.0}. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
-    **{f"{n}-{v if '.' in v else v + '.0'}-or-later": _GPL % (w, v) for n, w, vs in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))) for v in vs},
+    **{
+        f"{n}-{v if '.' in v else v + '.0'}-or-later": _GPL % (w, v)
+        for n, w, vs in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",)))
+        for v in vs
+    },
     "MPL-2.0": "This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "all-rights-reserved": "{All rights reserved}.",
 }
@@ -244,11 +273,27 @@ def matches(words: list[str], templates: list[Template], coverage: float) -> lis
 
 
 OUT = "doc_id long, n_words long, licenses array<struct<license:string,matched:long,coverage:double,first_word:long,past_word:long,start:long,end:long>>"
-_HIT = pa.struct([("license", pa.string()), ("matched", pa.int64()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("past_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_HIT = pa.struct(
+    [
+        ("license", pa.string()),
+        ("matched", pa.int64()),
+        ("coverage", pa.float64()),
+        ("first_word", pa.int64()),
+        ("past_word", pa.int64()),
+        ("start", pa.int64()),
+        ("end", pa.int64()),
+    ]
+)
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("licenses", pa.list_(_HIT))])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(
+    docs: DataFrame,
+    templates: dict[str, str | tuple[str, ...]] | None = None,
+    coverage: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per document: its words and the licence notices in it, with offsets in characters."""
     prepare(docs.sparkSession)
     wanted = templates_of(templates or TEMPLATES)
@@ -265,7 +310,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] |
                 elif hits:  # lower-casing changed lengths: map each character
                     spans, back = [], [i for i, c in enumerate(text) for _ in c.lower()]
                     spans = [(back[m.start()], back[m.end() - 1] + 1) for m in _WORD.finditer("".join(c.lower() for c in text))]
-                found.append([{"license": k, "matched": m, "coverage": c, "first_word": a, "past_word": b, "start": spans[a][0], "end": spans[b - 1][1]} for k, m, c, a, b in hits])
+                found.append(
+                    [
+                        {
+                            "license": k,
+                            "matched": m,
+                            "coverage": c,
+                            "first_word": a,
+                            "past_word": b,
+                            "start": spans[a][0],
+                            "end": spans[b - 1][1],
+                        }
+                        for k, m, c, a, b in hits
+                    ]
+                )
             yield batch_of(_ARROW, [batch.column(0), n, found])
 
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, OUT)

@@ -101,10 +101,25 @@ def _pow2_cut(pieces: list[tuple[int, int, int]], most: int) -> list[list[tuple[
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, padding long, ids binary"
-_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "padding")] + [("ids", pa.binary())])
-
-
-def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt: Column | None = None, block: int = 4096, with_ids: bool = True, table_words: int = 1_000_000) -> DataFrame:
+_ARROW = pa.schema(
+    [
+        (n, pa.int64())
+        for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "padding")
+    ] + [("ids", pa.binary())]
+)
+
+
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    limits: Limits = Limits(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    prompt: Column | None = None,
+    block: int = 4096,
+    with_ids: bool = True,
+    table_words: int = 1_000_000,
+) -> DataFrame:
     """One row per piece, in SCHEMA; ids are little-endian unsigned 32-bit, or null without with_ids.
 
     prompt: the text that a row's text begins with and that bears no loss; without it all
@@ -113,7 +128,11 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str
     sequence's last piece, else 0.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if prompt is None else [prompt.cast("string").alias("prompt")]))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *([] if prompt is None else [prompt.cast("string").alias("prompt")]),
+    )
 
     def run(batches):
         encoder = encoder_of(tokenizer, table_words)
@@ -129,7 +148,22 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_col: str
                     doc, ids, skip = held[i]
                     raw = ids[s : s + n].astype("<u4").tobytes()
                     pad = limits.tokens - length if j == len(own) - 1 and length & (length - 1) else 0
-                    for c, v in zip(cols, (doc, s, n, zlib.crc32(raw), len(ids), sequence, offset, n - max(0, min(n, skip - s)), pad, raw if with_ids else None), strict=True):
+                    for c, v in zip(
+                        cols,
+                        (
+                            doc,
+                            s,
+                            n,
+                            zlib.crc32(raw),
+                            len(ids),
+                            sequence,
+                            offset,
+                            n - max(0, min(n, skip - s)),
+                            pad,
+                            raw if with_ids else None,
+                        ),
+                        strict=True,
+                    ):
                         c.append(v)
                     offset += n
                 sequence += 1

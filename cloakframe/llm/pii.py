@@ -60,13 +60,20 @@ def _power(base: int, n: Column) -> Column:
 
 def _noise(key: str, tweak: Column, i: Column, half: Column) -> Column:
     """60 keyed bits."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(
+        F.substring(F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), half.cast("string")), 256), 1, 15),
+        16,
+        10,
+    ).cast("long")
 
 
 def _network(a: Column, b: Column, mod_a: Column, mod_b: Column, key: str, tweak: Column) -> Column:
     """struct(a, b) after the rounds; a is below mod_a, b below mod_b, before and after."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    turn = lambda s, i: F.struct(s["b"].alias("a"), F.pmod(s["a"] + _noise(key, tweak, i, s["b"]), F.when(i % 2 == 0, mod_a).otherwise(mod_b)).alias("b"))
+    turn = lambda s, i: F.struct(
+        s["b"].alias("a"),
+        F.pmod(s["a"] + _noise(key, tweak, i, s["b"]), F.when(i % 2 == 0, mod_a).otherwise(mod_b)).alias("b"),
+    )
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
@@ -81,22 +88,48 @@ def permute(x: Column, size: int, key: str, tweak: str | Column) -> Column:
     high = -(-size // low)  # the walk leaves less than one in high
 
     def once(v: Column) -> Column:
-        return F.transform(F.array(_network(F.floor(v / F.lit(low)).cast("long") if size < 1 << 50 else v, F.pmod(v, F.lit(low)), F.lit(high).cast("long"), F.lit(low).cast("long"), key, _lit(tweak))), lambda s: s["a"] * low + s["b"])[0]
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x.cast("long")), lambda v, _: F.when(v < size, v).otherwise(once(v)), lambda v: _ended(v, v < size))
+        return F.transform(
+            F.array(
+                _network(
+                    F.floor(v / F.lit(low)).cast("long") if size < 1 << 50 else v,
+                    F.pmod(v, F.lit(low)),
+                    F.lit(high).cast("long"),
+                    F.lit(low).cast("long"),
+                    key,
+                    _lit(tweak),
+                )
+            ),
+            lambda s: s["a"] * low + s["b"],
+        )[0]
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)),
+        once(x.cast("long")),
+        lambda v, _: F.when(v < size, v).otherwise(once(v)),
+        lambda v: _ended(v, v < size),
+    )
 
 
 def permute_days(n: Column, key: str) -> Column:
     """A keyed permutation of the days from 1900-01-01 (0) to 2099-12-31 that takes days after the 12th of a month to such days."""
     late = lambda v: F.dayofmonth(F.date_add(F.lit("1900-01-01").cast("date"), v.cast("int"))) > 12
     once = lambda v: permute(v, 73049, key, "date")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(n.cast("long")), lambda v, _: F.when(late(v) == late(n), v).otherwise(once(v)), lambda v: _ended(v, late(v) == late(n)))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)),
+        once(n.cast("long")),
+        lambda v, _: F.when(late(v) == late(n), v).otherwise(once(v)),
+        lambda v: _ended(v, late(v) == late(n)),
+    )
 
 
 def in_pieces(s: Column, most: int, f) -> Column:
     """f(piece, tweak) of each piece of `most` characters, joined; a piece's tweak is what the pieces before it became."""
     last = F.floor((F.length(s) - 1) / F.lit(most)).cast("int")
-    made = F.aggregate(F.sequence(F.lit(0), last), F.lit(""), lambda done, i: F.concat(done, f(F.substring(s, i * most + 1, F.lit(most)), done)))
+    made = F.aggregate(
+        F.sequence(F.lit(0), last),
+        F.lit(""),
+        lambda done, i: F.concat(done, f(F.substring(s, i * most + 1, F.lit(most)), done)),
+    )
     return F.when(F.length(s) > 0, made).otherwise("")
 
 
@@ -108,7 +141,13 @@ def permute_digits(d: Column, key: str, tweak: str | Column) -> Column:
     a = F.coalesce(F.substring(d, F.lit(1), u).try_cast("long"), F.lit(0).cast("long"))
     b = F.substring(d, u + 1, v).try_cast("long")
     net = _network(a, b, _power(10, u), _power(10, v), key, F.concat(_lit(tweak), n.cast("string")))
-    return F.transform(F.array(net), lambda s: F.concat(F.when(u > 0, F.lpad(s["a"].cast("string"), u, F.lit("0"))).otherwise(""), F.lpad(s["b"].cast("string"), v, F.lit("0"))))[0]
+    return F.transform(
+        F.array(net),
+        lambda s: F.concat(
+            F.when(u > 0, F.lpad(s["a"].cast("string"), u, F.lit("0"))).otherwise(""),
+            F.lpad(s["b"].cast("string"), v, F.lit("0")),
+        ),
+    )[0]
 
 
 def _digits(m: Column) -> Column:
@@ -160,7 +199,15 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
     new = _refill(body, permute_digits(digits, key, "iban"))
     check = F.lpad((F.lit(98) - _mod97(F.concat(new, head, F.lit("00")))).cast("string"), F.lit(2), F.lit("0"))
     made = F.concat(head, check, new)
-    spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(made, F.length(F.replace(F.substring(m, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+    spaced = F.array_join(
+        F.transform(
+            F.sequence(F.lit(1), F.length(m)),
+            lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", F.lit(" ")).otherwise(
+                F.substring(made, F.length(F.replace(F.substring(m, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1))
+            ),
+        ),
+        "",
+    )
     ok = (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1) & (F.length(digits) > 0)
     return ok, spaced
 
@@ -169,7 +216,10 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     iso, slash = m.rlike("^[0-9]{4}"), m.rlike("/")
     first, second = F.substring(m, 1, 2).cast("int"), F.substring(m, 4, 2).cast("int")
     month_first = slash & (second > 12)
-    form = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(month_first, F.date_format(d, "MM/dd/yyyy")).when(slash, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+    form = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(
+        month_first,
+        F.date_format(d, "MM/dd/yyyy"),
+    ).when(slash, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
     year = F.when(iso, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4)).cast("int")
     month = F.when(iso, F.substring(m, 6, 2).cast("int")).when(month_first, first).otherwise(second)
     day = F.when(iso, F.substring(m, 9, 2).cast("int")).when(month_first, second).otherwise(first)
@@ -183,7 +233,10 @@ def _ip(m: Column, key: str) -> tuple[Column, Column]:
     part = lambda i: F.element_at(F.split(m, r"\."), i).cast("long")
     x = part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * (1 << 8) + part(4)
     new = permute(x, 1 << 32, key, "ip")
-    dotted = F.transform(F.array(new), lambda v: F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))[0]
+    dotted = F.transform(
+        F.array(new),
+        lambda v: F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]),
+    )[0]
     return (part(1) < 256) & (part(2) < 256) & (part(3) < 256) & (part(4) < 256), dotted
 
 
@@ -195,7 +248,12 @@ def _ssn(m: Column, key: str) -> tuple[Column, Column]:
 
     def show(v):
         a = F.floor(v / F.lit(99 * 9999)).cast("long") + 1
-        return F.format_string("%03d-%02d-%04d", F.when(a >= 666, a + 1).otherwise(a), F.pmod(F.floor(v / F.lit(9999)).cast("long"), F.lit(99)) + 1, F.pmod(v, F.lit(9999)) + 1)
+        return F.format_string(
+            "%03d-%02d-%04d",
+            F.when(a >= 666, a + 1).otherwise(a),
+            F.pmod(F.floor(v / F.lit(9999)).cast("long"), F.lit(99)) + 1,
+            F.pmod(v, F.lit(9999)) + 1,
+        )
 
     return ok, F.transform(F.array(new), show)[0]
 
@@ -214,9 +272,19 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
     area, exchange, line = (F.substring(own, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
     north = plan & (area >= 200) & (exchange >= 200)
     new = permute(((area - 200) * 800 + exchange - 200) * 10000 + line, 800 * 800 * 10000, key, "phone")
-    shown = F.transform(F.array(new), lambda v: F.format_string("%03d%03d%04d", F.floor(v / F.lit(8_000_000)).cast("long") + 200, F.pmod(F.floor(v / F.lit(10000)).cast("long"), F.lit(800)) + 200, F.pmod(v, F.lit(10000))))[0]
+    shown = F.transform(
+        F.array(new),
+        lambda v: F.format_string(
+            "%03d%03d%04d",
+            F.floor(v / F.lit(8_000_000)).cast("long") + 200,
+            F.pmod(F.floor(v / F.lit(10000)).cast("long"), F.lit(800)) + 200,
+            F.pmod(v, F.lit(10000)),
+        ),
+    )[0]
     head = F.when(north, F.left(d, F.length(d) - 10)).when(plan, F.left(d, F.length(d) - 10)).otherwise(F.left(d, F.lit(2)))
-    rest = F.when(north, shown).when(plan, permute_digits(own, key, "phone1")).otherwise(permute_digits(F.substring(d, F.lit(3), F.length(d)), key, "phone2"))
+    rest = F.when(north, shown).when(plan, permute_digits(own, key, "phone1")).otherwise(
+        permute_digits(F.substring(d, F.lit(3), F.length(d)), key, "phone2")
+    )
     ok = plan & (north | m.startswith("+")) | ~plan & F.length(d).between(7, 15)
     return ok, F.transform(F.array(F.concat(head, rest)), lambda p: _refill(m, p))[0]
 
@@ -226,9 +294,23 @@ def _letters26(s: Column, key: str, tweak: str | Column = "") -> Column:
     n = F.length(s)
     u = F.floor(n / 2).cast("int")
     v = n - u
-    number = lambda x: F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: acc * 26 + F.ascii(c) - 97)
-    letter = lambda x, w: F.when(w > 0, F.array_join(F.transform(F.sequence(F.lit(1), w), lambda i: F.char(F.pmod(F.floor(x / _power(26, w - i)), F.lit(26)) + 97)), "")).otherwise("")
-    net = _network(number(F.substring(s, F.lit(1), u)), number(F.substring(s, u + 1, v)), _power(26, u), _power(26, v), key, F.concat(F.lit("mail"), n.cast("string"), _lit(tweak)))
+    number = lambda x: F.aggregate(
+        F.filter(F.split(x, ""), lambda c: c != ""),
+        F.lit(0).cast("long"),
+        lambda acc, c: acc * 26 + F.ascii(c) - 97,
+    )
+    letter = lambda x, w: F.when(
+        w > 0,
+        F.array_join(F.transform(F.sequence(F.lit(1), w), lambda i: F.char(F.pmod(F.floor(x / _power(26, w - i)), F.lit(26)) + 97)), ""),
+    ).otherwise("")
+    net = _network(
+        number(F.substring(s, F.lit(1), u)),
+        number(F.substring(s, u + 1, v)),
+        _power(26, u),
+        _power(26, v),
+        key,
+        F.concat(F.lit("mail"), n.cast("string"), _lit(tweak)),
+    )
     return F.transform(F.array(net), lambda x: F.concat(letter(x["a"], u), letter(x["b"], v)))[0]
 
 
@@ -251,7 +333,13 @@ def _other_letter(c: Column, key: str, tweak: Column) -> Column:
 def _email_parts(m: Column, key: str) -> Column:
     given = F.substring_index(m, "@", 1)
     local = F.lower(given)  # may be longer
-    return F.struct(local.alias("local"), F.regexp_replace(local, "[^a-z]", "").alias("letters"), F.regexp_replace(local, _NOT_OTHER, "").alias("others"), _digits(local).alias("digits"), F.substring(m, F.length(given) + 1, F.length(m)).alias("rest"))
+    return F.struct(
+        local.alias("local"),
+        F.regexp_replace(local, "[^a-z]", "").alias("letters"),
+        F.regexp_replace(local, _NOT_OTHER, "").alias("others"),
+        _digits(local).alias("digits"),
+        F.substring(m, F.length(given) + 1, F.length(m)).alias("rest"),
+    )
 
 
 def _email_letters(x: Column, key: str) -> Column:
@@ -267,7 +355,10 @@ def _email_others(x: Column, key: str) -> Column:
 
 
 def _email_joined(x: Column, key: str) -> Column:
-    return F.struct(F.concat(_refill(x["local"], x["digits"], x["letters"], x["others"]), x["rest"]).alias("new"), F.lit("email").alias("kind"))
+    return F.struct(
+        F.concat(_refill(x["local"], x["digits"], x["letters"], x["others"]), x["rest"]).alias("new"),
+        F.lit("email").alias("kind"),
+    )
 
 
 def _each(values: Column, step, key: str) -> Column:
@@ -289,7 +380,14 @@ def _replaced(text: Column, pattern: str, done: Column) -> Column:
 
 
 def _number(m: Column, key: str) -> Column:
-    kinds = {"iban": (IBAN, _iban), "date": (DATE, _date), "ip": (IP, _ip), "ssn": (SSN, _ssn), "card": (CARD, _card), "phone": (PHONE, _phone)}
+    kinds = {
+        "iban": (IBAN, _iban),
+        "date": (DATE, _date),
+        "ip": (IP, _ip),
+        "ssn": (SSN, _ssn),
+        "card": (CARD, _card),
+        "phone": (PHONE, _phone),
+    }
     out = None
     for kind, (pattern, f) in kinds.items():
         ok, new = f(m, key)

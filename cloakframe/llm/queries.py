@@ -61,7 +61,11 @@ def sample_edits(n_chars: Column, seed: str) -> Column:
 
     def one(i):
         h = F.xxhash64(F.col(seed), F.lit(i))
-        return F.struct(F.pmod(h, n_chars + 1).alias("start"), F.pmod(F.shiftright(h, 20), F.lit(40)).cast("long").alias("length"), F.element_at(new, (F.pmod(F.shiftright(h, 40), F.lit(6)) + 1).cast("int")).alias("new"))
+        return F.struct(
+            F.pmod(h, n_chars + 1).alias("start"),
+            F.pmod(F.shiftright(h, 20), F.lit(40)).cast("long").alias("length"),
+            F.element_at(new, (F.pmod(F.shiftright(h, 40), F.lit(6)) + 1).cast("int")).alias("new"),
+        )
 
     return F.array(*[one(i) for i in range(3)])
 
@@ -70,7 +74,16 @@ def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plants and keeps the trees of all documents, then edits each document and updates its tree."""
     trees = stored(edit_counts.plant(table(spark, sf_dir, "documents"), word_tokenizer()), "trees")
     out = edit_counts.update_counts(trees.withColumn("edits", sample_edits(edit_counts.n_chars(), "doc_id")), word_tokenizer())
-    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_leaves", "n_leaves_touched", "n_chars_reencoded", F.sha2(edit_counts.edited_text(), 256).alias("edited_sha256"))
+    return out.select(
+        "doc_id",
+        "n_tokens_before",
+        "n_tokens",
+        "n_chars",
+        "n_leaves",
+        "n_leaves_touched",
+        "n_chars_reencoded",
+        F.sha2(edit_counts.edited_text(), 256).alias("edited_sha256"),
+    )
 
 
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,22 +101,53 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["past"] - r["first"])
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.size("runs") > 0).alias("contaminated"),
+    )
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt_dedup.deduplicate(table(spark, sf_dir, "documents"), min_bytes=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return bwt_dedup.deduplicate(table(spark, sf_dir, "documents"), min_bytes=100).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        "kept_sha256",
+    )
 
 
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed, kept = repetition.verdicts()
-    return repetition.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
+    return repetition.measure(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        kept.alias("kept"),
+    )
 
 
 #: The conversation that the query adds to the table's own.
 ADDED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-_READ_ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_READ_ARROW = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("n_turns", pa.int64()),
+        ("turns_sha256", pa.string()),
+        ("loss_chars", pa.int64()),
+        ("loss_sha256", pa.string()),
+        ("formatted_chars", pa.int64()),
+    ]
+)
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -142,7 +186,12 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    convs = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    convs = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        "role",
+        "text",
+    )
     rows = convs.union(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string"))
     path = new_path(spark, "windows")
     chat.format_windows(rows, word_tokenizer()).write.option("compression", "zstd").parquet(path)
@@ -152,13 +201,43 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document all notices in order, and the one with the most matched words: of equal ones the best covered, then the first."""
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    rank = lambda x: F.struct(x["matched"].alias("matched"), x["coverage"].alias("coverage"), (-x["first_word"]).alias("at"), x["license"].alias("license"), x["past_word"].alias("past"))
+    rank = lambda x: F.struct(
+        x["matched"].alias("matched"),
+        x["coverage"].alias("coverage"),
+        (-x["first_word"]).alias("at"),
+        x["license"].alias("license"),
+        x["past_word"].alias("past"),
+    )
     best = F.array_max(F.transform("licenses", rank))
     names = F.array_join(F.transform("licenses", lambda x: x["license"]), ",")
-    return out.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), names.alias("licenses"), best["license"].alias("license"), best["matched"].alias("matched"), best["coverage"].alias("coverage"), (-best["at"]).alias("first_word"), best["past"].alias("past_word"))
-
-
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_vector_packing, op3_edit_counts, op4_wavelet_shards, op5_superminhash, op6_benchmark_leaks, op7_repeated_passages, op8_repetition_rules, op9_chat_windows, op10_license_scan)}
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        names.alias("licenses"),
+        best["license"].alias("license"),
+        best["matched"].alias("matched"),
+        best["coverage"].alias("coverage"),
+        (-best["at"]).alias("first_word"),
+        best["past"].alias("past_word"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_feistel_pseudonyms,
+        op2_vector_packing,
+        op3_edit_counts,
+        op4_wavelet_shards,
+        op5_superminhash,
+        op6_benchmark_leaks,
+        op7_repeated_passages,
+        op8_repetition_rules,
+        op9_chat_windows,
+        op10_license_scan,
+    )
+}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -227,4 +306,9 @@ FROM t LEFT JOIN o USING (d)
 """
 
 
-ORACLES = {"op7_repeated_passages": _op7_sql(), "op5_superminhash": OP5_SQL, "op6_benchmark_leaks": OP6_SQL, "op8_repetition_rules": OP8_SQL}
+ORACLES = {
+    "op7_repeated_passages": _op7_sql(),
+    "op5_superminhash": OP5_SQL,
+    "op6_benchmark_leaks": OP6_SQL,
+    "op8_repetition_rules": OP8_SQL,
+}

@@ -36,7 +36,20 @@ def _ends_in_letter(word: bytes) -> bool:
     return 0xC3 <= word[-2] <= 0xC9 and word[-2:].decode("utf-8").lower().isalpha()
 
 
-_PROBES = ("Hello world.  Foo\n\tbar", " lead", "trail \n", "don't we'll it's", "x  <|endoftext|> y", "1 000 2.5", "é ñandú über", "a\x0bb\x0cc\r\nd", "中文 字 , ; !", "snake_case CamelCase", "( ) \" ' a-b", "\U0001F600 end")
+_PROBES = (
+    "Hello world.  Foo\n\tbar",
+    " lead",
+    "trail \n",
+    "don't we'll it's",
+    "x  <|endoftext|> y",
+    "1 000 2.5",
+    "é ñandú über",
+    "a\x0bb\x0cc\r\nd",
+    "中文 字 , ; !",
+    "snake_case CamelCase",
+    "( ) \" ' a-b",
+    "\U0001F600 end",
+)
 _MARKED = ("word.", "word,", "word;:", "word!?", "word###", "word)]}", 'word"', "word...!!", "né%%", "über&*$")
 
 
@@ -77,7 +90,10 @@ class WordEncoder:
         plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.lowers = plain("Ab") == plain("ab")
         self.by_word = all(plain(t) == [i for w in t.encode("utf-8").split() for i in plain(w.decode("utf-8"))] for t in _PROBES)
-        self.by_mark = all(plain(t) == plain(c := t.encode("utf-8").rstrip(_PUNCTUATION).decode("utf-8")) + plain(t[len(c) :]) for t in _MARKED)
+        self.by_mark = all(
+            plain(t) == plain(c := t.encode("utf-8").rstrip(_PUNCTUATION).decode("utf-8")) + plain(t[len(c) :])
+            for t in _MARKED
+        )
         self.clear()
 
     def clear(self) -> None:
@@ -99,7 +115,10 @@ class WordEncoder:
         self.clear()
         self.index.update(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
         self.n_ids, self.pool = len(pool), np.concatenate([pool, np.zeros(1 << 16, np.uint32)])
-        self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros(1 << 14, np.int64)]) for x in (ends - lens, lens, np.ones(len(keep), np.int64)))
+        self.starts, self.lens, self.seen = (
+            np.concatenate([x, np.zeros(1 << 14, np.int64)])
+            for x in (ends - lens, lens, np.ones(len(keep), np.int64))
+        )
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and their numbers. Words of letters alone share one call, as each ends with a closing id."""
@@ -107,7 +126,10 @@ class WordEncoder:
         lens = np.zeros(len(words), np.int64)
         at = np.array(plain, bool)
         letters = [w for w, p in zip(words, plain, strict=True) if p]
-        joined = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.uint32) if letters else np.zeros(0, np.uint32)
+        joined = np.array(
+            self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids,
+            np.uint32,
+        ) if letters else np.zeros(0, np.uint32)
         ends = np.flatnonzero(self.closes[joined]) + 1
         if len(ends) != len(letters) or len(ends) and ends[-1] != len(joined):
             at[:], letters, joined, ends = False, [], joined[:0], ends[:0]
@@ -183,10 +205,20 @@ class WordEncoder:
         """All ids in one array, and the number of ids of each text; null is empty."""
         return self.encode_with_heads(texts, None)[:2]
 
-    def encode_with_heads(self, texts: list[str | None] | pa.Array, heads: list[str | None] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode_with_heads(
+        self,
+        texts: list[str | None] | pa.Array,
+        heads: list[str | None] | None,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """encode(), and how many of each text's ids are those of its head, the text that it begins with. A word in which the head ends counts whole."""
         if not self.by_word:
-            own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)], add_special_tokens=False)]
+            own = [
+                e.ids
+                for e in self.tokenizer.encode_batch_fast(
+                    [t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)],
+                    add_special_tokens=False,
+                )
+            ]
             lens = np.fromiter(map(len, own), np.int64, len(own))
             ids = np.fromiter(chain.from_iterable(own), np.uint32, int(lens.sum()))
             return ids, lens, np.minimum(lens, self.encode(heads)[1]) if heads else np.zeros_like(lens)

@@ -49,7 +49,12 @@ def build(ids: np.ndarray, doc_ids: list, ends: np.ndarray) -> bytes:
     ids = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [np.array([n, len(doc_ids), planes], "<i8").tobytes(), known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.asarray(ends, "<i8").tobytes()]
+    parts = [
+        np.array([n, len(doc_ids), planes], "<i8").tobytes(),
+        known.tobytes(),
+        np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
+        np.asarray(ends, "<i8").tobytes(),
+    ]
     frames = []
     for level in range(planes - 1, -1, -1):
         one = (ids & ids.dtype.type(1 << level)) != 0
@@ -116,7 +121,12 @@ class Shard:
 
     def _bits(self, plane: int) -> np.ndarray:
         """All bytes of a plane; they aren't kept."""
-        return np.concatenate([np.frombuffer(self._unpack(self.image[a:b]), np.uint8) for a, b in zip(self.places[plane], self.places[plane][1:], strict=False)])
+        return np.concatenate(
+            [
+                np.frombuffer(self._unpack(self.image[a:b]), np.uint8)
+                for a, b in zip(self.places[plane], self.places[plane][1:], strict=False)
+            ]
+        )
 
     def _ranked(self, plane: int, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
@@ -207,8 +217,27 @@ class Shard:
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-SHARDS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-READ = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_end_ids", pa.int64())])
+SHARDS = pa.schema(
+    [
+        ("part", pa.int64()),
+        ("shard", pa.int64()),
+        ("first_doc", pa.int64()),
+        ("n_docs", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("payload", pa.binary()),
+    ]
+)
+READ = pa.schema(
+    [
+        ("part", pa.int64()),
+        ("shard", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("local_start", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("ids_crc32", pa.int64()),
+        ("n_end_ids", pa.int64()),
+    ]
+)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 2_000_000) -> DataFrame:
@@ -226,7 +255,10 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 ids, lens = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(lens)
                 small = ids.astype(f"<u{width}")
-                yield batch_of(TOKENS, [ids_.slice(a, b - a), [width] * (b - a), [small[e - n : e].tobytes() + end for e, n in zip(ends, lens, strict=True)]])
+                yield batch_of(
+                    TOKENS,
+                    [ids_.slice(a, b - a), [width] * (b - a), [small[e - n : e].tobytes() + end for e, n in zip(ends, lens, strict=True)]],
+                )
 
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, width int, ids binary")
 
@@ -264,7 +296,10 @@ def write_shards(tokens: DataFrame, path: str, partitions: int | None = None, sh
             yield out()
 
     dealt = tokens.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    dealt.mapInArrow(run, "part long, shard long, first_doc long, n_docs long, n_tokens long, payload binary").write.option("compression", "uncompressed").parquet(path)
+    dealt.mapInArrow(
+        run,
+        "part long, shard long, first_doc long, n_docs long, n_tokens long, payload binary",
+    ).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -284,16 +319,44 @@ def read_shards(spark, path: str) -> DataFrame:
                 ids = x.decode().astype("<u4")
                 starts = np.concatenate([[0], x.ends[:-1]]).astype(np.int64)
                 last = np.diff(x.counts(END_ID, np.concatenate([[0], x.ends])))
-                yield batch_of(READ, [[part] * len(starts), [shard] * len(starts), x.doc_ids, starts, x.ends - starts, [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, x.ends, strict=True)], last])
-
-    read = shards.select("part", "shard", "payload").mapInArrow(run, "part long, shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long, n_end_ids long")
+                yield batch_of(
+                    READ,
+                    [
+                        [part] * len(starts),
+                        [shard] * len(starts),
+                        x.doc_ids,
+                        starts,
+                        x.ends - starts,
+                        [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, x.ends, strict=True)],
+                        last,
+                    ],
+                )
+
+    read = shards.select("part", "shard", "payload").mapInArrow(
+        run,
+        "part long, shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long, n_end_ids long",
+    )
     counts = shards.select("part", "shard", "n_tokens")
     parts = counts.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before_part"))
-    inside = counts.select("part", "shard", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("before_shard"))
-    bases = inside.join(before, "part").select(F.col("part").alias("b_part"), F.col("shard").alias("b_shard"), (F.col("before_part") + F.col("before_shard")).alias("base"))
+    inside = counts.select(
+        "part",
+        "shard",
+        (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("before_shard"),
+    )
+    bases = inside.join(before, "part").select(
+        F.col("part").alias("b_part"),
+        F.col("shard").alias("b_shard"),
+        (F.col("before_part") + F.col("before_shard")).alias("base"),
+    )
     on = (F.col("part") == F.col("b_part")) & (F.col("shard") == F.col("b_shard"))
-    return read.join(bases, on).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids")
+    return read.join(bases, on).select(
+        "doc_id",
+        (F.col("base") + F.col("local_start")).alias("start"),
+        "n_tokens",
+        "ids_crc32",
+        "n_end_ids",
+    )
 
 
 def count_ids(spark, path: str, ids: list[int]) -> DataFrame:
@@ -308,8 +371,14 @@ def count_ids(spark, path: str, ids: list[int]) -> DataFrame:
                 yield batch_of(schema, [ids, [x.count(i) for i in ids]])
 
     wanted = spark.createDataFrame([(i,) for i in ids], "wanted long").distinct()
-    found = spark.read.parquet(path).select("payload").mapInArrow(run, "id long, n long").groupBy("id").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    return wanted.join(found, F.col("wanted") == F.col("id"), "left").select(F.col("wanted").alias("id"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    found = spark.read.parquet(path).select("payload").mapInArrow(run, "id long, n long").groupBy("id").agg(
+        F.max("n").alias("most"),
+        F.sum("n").alias("n"),
+    )
+    return wanted.join(found, F.col("wanted") == F.col("id"), "left").select(
+        F.col("wanted").alias("id"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+    )
 
 
 def find_ids(spark, path: str, ids: list[int]) -> DataFrame:
