@@ -25,13 +25,18 @@ def binned(df: DataFrame, columns: list[str], bins: int = 10, compat: bool = Fal
 
     compat: as pandas does, the least value is outside all bins unless it is 0, and the edge 0 becomes -0.1.
     """
-    ranges = df.agg(*[f(F.col(f"`{c}`")).cast("double").alias(f"__{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))])
+    ranges = df.agg(
+        *[f(F.col(f"`{c}`")).cast("double").alias(f"__{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]
+    )
     out = df.crossJoin(F.broadcast(ranges))
     for i, c in enumerate(columns):
         lo, hi, x = F.col(f"__lo_{i}"), F.col(f"__hi_{i}"), F.col(f"`{c}`")
         label = bin_label(bin_index(x, lo, hi, bins), lo, hi, bins)
         if compat:
-            label = F.when((x == lo) & (lo != 0), F.lit("nan")).when(lo == 0, F.regexp_replace(label, r"^\(0\.0-", "(-0.1-")).otherwise(label)
+            label = F.when((x == lo) & (lo != 0), F.lit("nan")).when(
+                lo == 0,
+                F.regexp_replace(label, r"^\(0\.0-", "(-0.1-"),
+            ).otherwise(label)
         out = out.withColumn(c, label)
     return out.drop(*ranges.columns)
 
@@ -58,7 +63,14 @@ def rule_hash(a: Column, b: Column) -> Column:
     return F.md5(F.concat(side(a), F.lit("=>"), side(b)))
 
 
-def rule_budget(support: Column, confidence: Column, b_has_quasi: Column, min_conf: float, min_support: float | Column = 0.5, exact: bool = False) -> Column:
+def rule_budget(
+    support: Column,
+    confidence: Column,
+    b_has_quasi: Column,
+    min_conf: float,
+    min_support: float | Column = 0.5,
+    exact: bool = False,
+) -> Column:
     """How many migrations a rule survives. Literal: the published expression. exact: the losses until confidence or support falls short."""
     s, c, cm = support.cast("double"), confidence, F.lit(min_conf)
     spare = s * (c - cm) / c
@@ -94,7 +106,15 @@ def range_bounds(text: Column) -> Column:
     """struct(open, lo, hi, close) of a range such as (-0.1-2523.6], [0-25] or 30-39; signs are kept."""
     pattern = r"^([\[(]?)(-?[0-9.]+)-(-?[0-9.]+)([\])]?)$"
     part = lambda i: F.regexp_extract(text, pattern, i)
-    return F.when(text.rlike(pattern), F.struct(F.when(part(1) == "", "[").otherwise(part(1)).alias("open"), part(2).cast("double").alias("lo"), part(3).cast("double").alias("hi"), F.when(part(4) == "", "]").otherwise(part(4)).alias("close")))
+    return F.when(
+        text.rlike(pattern),
+        F.struct(
+            F.when(part(1) == "", "[").otherwise(part(1)).alias("open"),
+            part(2).cast("double").alias("lo"),
+            part(3).cast("double").alias("hi"),
+            F.when(part(4) == "", "]").otherwise(part(4)).alias("close"),
+        ),
+    )
 
 
 def in_range(x: Column, bounds: Column) -> Column:
@@ -108,7 +128,10 @@ def supports(items: Column, row: dict[str, Column], paths: dict[str, Column] | N
     def one(x):
         ok = F.lit(False)
         for attr, value in row.items():
-            match = (x["value"] == value.cast("string")) | F.coalesce(in_range(value.try_cast("double"), range_bounds(x["value"])), F.lit(False))
+            match = (x["value"] == value.cast("string")) | F.coalesce(
+                in_range(value.try_cast("double"), range_bounds(x["value"])),
+                F.lit(False),
+            )
             if paths and attr in paths:
                 match = match | F.array_contains(paths[attr], x["value"])
             ok = ok | (x["attr"] == attr) & match
@@ -144,7 +167,10 @@ def risk_after(n: Column, k: int) -> Column:
 def migrant_count(ni: Column, oi: Column, nj: Column, k: int) -> Column:
     """Rows to move from group i (n, origin rows left) to group j."""
     i_safe, j_safe = ni >= k, nj >= k
-    return F.when(i_safe & ~j_safe, F.least(F.lit(k) - nj, ni - k, oi)).when(~i_safe & ~j_safe, F.least(ni, F.lit(k) - nj)).when(~i_safe & j_safe, ni).otherwise(F.lit(0)).cast("long")
+    return F.when(i_safe & ~j_safe, F.least(F.lit(k) - nj, ni - k, oi)).when(
+        ~i_safe & ~j_safe,
+        F.least(ni, F.lit(k) - nj),
+    ).when(~i_safe & j_safe, ni).otherwise(F.lit(0)).cast("long")
 
 
 def risk_reduction(ni: Column, nj: Column, m: Column, k: int) -> Column:

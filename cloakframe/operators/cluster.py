@@ -65,7 +65,10 @@ class Space:
 
     def joined(self, g, rows: np.ndarray):
         """The generalisation of g with each of the rows."""
-        cat = np.stack([t.lca[g[0][j], self.cats[rows, j]] for j, t in enumerate(self.trees)], -1) if self.trees else np.zeros((len(rows), 0), int)
+        cat = np.stack(
+            [t.lca[g[0][j], self.cats[rows, j]] for j, t in enumerate(self.trees)],
+            -1,
+        ) if self.trees else np.zeros((len(rows), 0), int)
         return cat, np.minimum(g[1], self.nums[rows]), np.maximum(g[2], self.nums[rows])
 
     def add(self, g, i: int):
@@ -91,7 +94,10 @@ class _Clusters:
         """The cluster nearest to row i, of those given; it widens to take the row."""
         s = self.space
         of = np.arange(len(self.lo)) if of is None else of
-        cat = np.stack([t.lca[self.cat[of, j], s.cats[i, j]] for j, t in enumerate(s.trees)], -1) if s.trees else np.zeros((len(of), 0), int)
+        cat = np.stack(
+            [t.lca[self.cat[of, j], s.cats[i, j]] for j, t in enumerate(s.trees)],
+            -1,
+        ) if s.trees else np.zeros((len(of), 0), int)
         lo, hi = np.minimum(self.lo[of], s.nums[i]), np.maximum(self.hi[of], s.nums[i])
         k = _first(2 * s.ncp(cat, lo, hi))
         c = int(of[k])
@@ -217,7 +223,17 @@ def _ups(t: Tree) -> np.ndarray:
 METHODS = {"knn": knn, "kmember": kmember, "oka": oka, "gccg": gccg}
 
 
-def anonymize(df: DataFrame, method: str, k: int, numeric: list[str], hierarchies: dict[str, dict[str, list[str]]], rid: str = "rid", block: str | None = None, seed: int = 0, domains: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def anonymize(
+    df: DataFrame,
+    method: str,
+    k: int,
+    numeric: list[str],
+    hierarchies: dict[str, dict[str, list[str]]],
+    rid: str = "rid",
+    block: str | None = None,
+    seed: int = 0,
+    domains: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
     """rid, block, cluster, size, ncp and the generalised columns: c_lo, c_hi for numbers, c for categories.
 
     hierarchies: root paths (leaf first) of each category's values. domains: the least and the
@@ -231,11 +247,19 @@ def anonymize(df: DataFrame, method: str, k: int, numeric: list[str], hierarchie
     ranges = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in seen]).first().asDict() if seen else {}
     span = np.array([known[c][1] - known[c][0] if c in known else ranges[c] or 0.0 for c in numeric], float)
     trees = [Tree(hierarchies[c]) for c in cats]
-    rows = df.select(F.col(rid).cast("long").alias("rid"), (F.col(block).cast("string") if block else F.lit("")).alias("block"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in cats])
+    rows = df.select(
+        F.col(rid).cast("long").alias("rid"),
+        (F.col(block).cast("string") if block else F.lit("")).alias("block"),
+        *[F.col(c).cast("double").alias(c) for c in numeric],
+        *[F.col(c).cast("string").alias(c) for c in cats],
+    )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid").reset_index(drop=True)
-        code = np.stack([pdf[c].map(t.index).to_numpy(int) for c, t in zip(cats, trees, strict=True)], 1) if cats else np.zeros((len(pdf), 0), int)
+        code = np.stack(
+            [pdf[c].map(t.index).to_numpy(int) for c, t in zip(cats, trees, strict=True)],
+            1,
+        ) if cats else np.zeros((len(pdf), 0), int)
         space = Space(code, pdf[numeric].to_numpy(float), trees, span)
         label = METHODS[method](space, k, np.random.default_rng(seed))
         out = pd.DataFrame({"rid": pdf["rid"], "block": pdf["block"], "cluster": label})

@@ -9,7 +9,15 @@ from . import groups as G
 from . import rules as R
 
 
-def evaluate(before: DataFrame, after: DataFrame, columns: list[str], k: int, min_support: float, min_confidence: float, rid: str = "rid") -> DataFrame:
+def evaluate(
+    before: DataFrame,
+    after: DataFrame,
+    columns: list[str],
+    k: int,
+    min_support: float,
+    min_confidence: float,
+    rid: str = "rid",
+) -> DataFrame:
     """One row: classes, rows, unsafe classes and mean class size over k of the release; and rules mined from both tables, compared."""
     def mined(df: DataFrame) -> DataFrame:
         return R.rules_of(R.frequent_itemsets(R.transactions(df, columns, rid), min_support), df.count(), min_confidence)
@@ -33,7 +41,9 @@ def sweep_k(sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 def sweep_qi(sizes: DataFrame, qi: list[str], k: int) -> DataFrame:
     """n_qi, n_groups, n_rows, n_unsafe, cavg for the first one, two, ... quasi-identifiers, from classes by all of them."""
-    parts = F.array(*[F.struct(F.lit(i).alias("n_qi"), F.array(*[F.col(c).cast("string") for c in qi[:i]]).alias("key")) for i in range(1, len(qi) + 1)])
+    parts = F.array(
+        *[F.struct(F.lit(i).alias("n_qi"), F.array(*[F.col(c).cast("string") for c in qi[:i]]).alias("key")) for i in range(1, len(qi) + 1)]
+    )
     each = sizes.select("n", F.explode(parts).alias("x")).groupBy("x.n_qi", "x.key").agg(F.sum("n").alias("n"))
     return _with_cavg(each.groupBy("n_qi").agg(*_measures(F.lit(k))), F.lit(k))
 
@@ -42,6 +52,10 @@ def sweep_size(df: DataFrame, qi: list[str], k: int, shares: tuple[float, ...],
     """share, n_groups, n_rows, n_unsafe, cavg for samples of these shares, each inside the next, in one pass over the rows."""
     from cloakframe import functions as X
 
-    counts = df.dropna(subset=qi).withColumn("__u", X.hash_share(rid, seed=seed)).groupBy(*qi).agg(*[F.count_if(F.col("__u") < p).alias(f"__n{i}") for i, p in enumerate(shares)])
-    each = counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("share"), F.col(f"__n{i}").alias("n")) for i, p in enumerate(shares)])).alias("x")).select("x.*").where("n > 0")
+    counts = df.dropna(subset=qi).withColumn("__u", X.hash_share(rid, seed=seed)).groupBy(*qi).agg(
+        *[F.count_if(F.col("__u") < p).alias(f"__n{i}") for i, p in enumerate(shares)]
+    )
+    each = counts.select(
+        F.explode(F.array(*[F.struct(F.lit(p).alias("share"), F.col(f"__n{i}").alias("n")) for i, p in enumerate(shares)])).alias("x")
+    ).select("x.*").where("n > 0")
     return _with_cavg(each.groupBy("share").agg(*_measures(F.lit(k))), F.lit(k))

@@ -29,12 +29,24 @@ def build_groups(df: DataFrame, qi: list[str], k: int) -> DataFrame:
     n = F.col("n")
     out = numbered(sizes(df, qi), qi)
     quasi = F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in qi])
-    return out.select("gid", *qi, "n", X.is_safe(n, k).alias("safe"), X.is_unsafe(n, k).alias("unsafe"), X.is_small(n, k).alias("small"), X.group_risk(n, k).alias("risk"), quasi.alias("quasi"))
+    return out.select(
+        "gid",
+        *qi,
+        "n",
+        X.is_safe(n, k).alias("safe"),
+        X.is_unsafe(n, k).alias("unsafe"),
+        X.is_small(n, k).alias("small"),
+        X.group_risk(n, k).alias("risk"),
+        quasi.alias("quasi"),
+    )
 
 
 def assigned(df: DataFrame, groups: DataFrame, qi: list[str]) -> DataFrame:
     """df's rows with their gid."""
-    return df.join(groups.select("gid", *[F.col(c).alias(f"__{c}") for c in qi]), [F.col(c) == F.col(f"__{c}") for c in qi]).drop(*[f"__{c}" for c in qi])
+    return df.join(
+        groups.select("gid", *[F.col(c).alias(f"__{c}") for c in qi]),
+        [F.col(c) == F.col(f"__{c}") for c in qi],
+    ).drop(*[f"__{c}" for c in qi])
 
 
 def free_counts(groups: DataFrame, k: int) -> DataFrame:
@@ -53,7 +65,12 @@ def free_tuples(rows: DataFrame, k: int, gid: str = "gid", rid: str = "rid", sal
 def cavg(groups: DataFrame, k: int) -> DataFrame:
     """One row: groups, rows, unsafe groups, the mean size of groups that aren't empty over k."""
     full = F.when(F.col("n") > 0, F.col("n"))
-    return groups.agg(F.count(full).alias("n_groups"), F.sum("n").alias("n_rows"), F.count_if(X.is_unsafe(F.col("n"), k)).alias("n_unsafe"), F.round(F.avg(full) / k, 6).alias("cavg"))
+    return groups.agg(
+        F.count(full).alias("n_groups"),
+        F.sum("n").alias("n_rows"),
+        F.count_if(X.is_unsafe(F.col("n"), k)).alias("n_unsafe"),
+        F.round(F.avg(full) / k, 6).alias("cavg"),
+    )
 
 
 def match_free(groups: DataFrame, k: int) -> DataFrame:
@@ -70,8 +87,15 @@ def match_free(groups: DataFrame, k: int) -> DataFrame:
     stretch = F.lit(4 * k)
     over = lambda a, b: F.explode(F.sequence(F.floor(a / stretch), F.floor((b - 1) / stretch)))
     d = running_sum(need, [F.desc("n"), "gid"], F.col("need"), "d_end").where(F.col("d_end") <= total)
-    d = d.select(F.col("gid").alias("dst"), (F.col("d_end") - F.col("need")).alias("d_start"), "d_end").withColumn("d_on", over(F.col("d_start"), F.col("d_end")))
-    s = running_sum(give, ["gid"], F.col("free"), "s_end").select(F.col("gid").alias("src"), (F.col("s_end") - F.col("free")).alias("s_start"), "s_end")
+    d = d.select(F.col("gid").alias("dst"), (F.col("d_end") - F.col("need")).alias("d_start"), "d_end").withColumn(
+        "d_on",
+        over(F.col("d_start"), F.col("d_end")),
+    )
+    s = running_sum(give, ["gid"], F.col("free"), "s_end").select(
+        F.col("gid").alias("src"),
+        (F.col("s_end") - F.col("free")).alias("s_start"),
+        "s_end",
+    )
     last = d.agg(F.coalesce(F.max("d_end"), F.lit(0)).alias("x")).first()["x"]
     s = s.where(F.col("s_start") < last).withColumn("s_on", over(F.col("s_start"), F.least("s_end", F.lit(last))))
     first = F.greatest("d_start", "s_start")
@@ -120,15 +144,32 @@ def best_partners(groups: DataFrame, k: int) -> DataFrame:
     """
     sized = groups.select("gid", F.least(F.col("n"), F.lit(2 * k)).cast("long").alias("n"))
     least = sized.groupBy("n").agg(F.min("gid").alias("p_gid"))
-    second = sized.join(F.broadcast(least.select(F.col("n").alias("l_n"), F.col("p_gid").alias("l_gid"))), (F.col("n") == F.col("l_n")) & (F.col("gid") != F.col("l_gid"))).groupBy("n").agg(F.min("gid").alias("p_gid"))
+    second = sized.join(
+        F.broadcast(least.select(F.col("n").alias("l_n"), F.col("p_gid").alias("l_gid"))),
+        (F.col("n") == F.col("l_n")) & (F.col("gid") != F.col("l_gid")),
+    ).groupBy("n").agg(F.min("gid").alias("p_gid"))
     other = least.unionByName(second).select("p_gid", F.col("n").alias("p_n"))
     one = groups.where(X.is_unsafe(F.col("n"), k)).select("gid", "n")
     pairs = one.join(F.broadcast(other), F.col("gid") != F.col("p_gid"))
-    out = pairs.select("gid", F.explode(F.array(F.struct(F.col("gid").alias("i_gid"), F.col("n").alias("i_n"), F.col("p_gid").alias("j_gid"), F.col("p_n").alias("j_n")), F.struct(F.col("p_gid").alias("i_gid"), F.col("p_n").alias("i_n"), F.col("gid").alias("j_gid"), F.col("n").alias("j_n")))).alias("x")).select("gid", "x.*")
+    out = pairs.select(
+        "gid",
+        F.explode(
+            F.array(
+                F.struct(F.col("gid").alias("i_gid"), F.col("n").alias("i_n"), F.col("p_gid").alias("j_gid"), F.col("p_n").alias("j_n")),
+                F.struct(F.col("p_gid").alias("i_gid"), F.col("p_n").alias("i_n"), F.col("gid").alias("j_gid"), F.col("n").alias("j_n")),
+            )
+        ).alias("x"),
+    ).select("gid", "x.*")
     m = X.migrant_count(F.col("i_n"), F.col("i_n"), F.col("j_n"), k)
     out = out.withColumn("m", m).where("m > 0")
-    out = out.withColumn("reduction", X.risk_reduction(F.col("i_n"), F.col("j_n"), F.col("m"), k)).withColumn("most_useful", X.most_useful(F.col("i_n"), F.col("j_n"), F.col("m"), k))
-    best = F.min_by(F.struct("i_gid", "j_gid", "m", "reduction", "most_useful"), F.struct(-F.col("reduction"), F.col("m"), F.col("i_gid"), F.col("j_gid")))
+    out = out.withColumn("reduction", X.risk_reduction(F.col("i_n"), F.col("j_n"), F.col("m"), k)).withColumn(
+        "most_useful",
+        X.most_useful(F.col("i_n"), F.col("j_n"), F.col("m"), k),
+    )
+    best = F.min_by(
+        F.struct("i_gid", "j_gid", "m", "reduction", "most_useful"),
+        F.struct(-F.col("reduction"), F.col("m"), F.col("i_gid"), F.col("j_gid")),
+    )
     return out.groupBy("gid").agg(best.alias("b")).select("gid", "b.*")
 
 
@@ -140,9 +181,22 @@ def fewest_hits(asking: DataFrame, targets: DataFrame, hits: DataFrame) -> DataF
     """
     numbered_ = kept(running_sum(targets.select(F.col("gid").alias("t_gid")), ["t_gid"], F.lit(1).cast("long"), "t_no"))
     n = numbered_.count()
-    known = hits.join(numbered_, F.col("dst") == F.col("t_gid")).withColumn("__k", F.row_number().over(Window.partitionBy("gid").orderBy("t_no")))
+    known = hits.join(numbered_, F.col("dst") == F.col("t_gid")).withColumn(
+        "__k",
+        F.row_number().over(Window.partitionBy("gid").orderBy("t_no")),
+    )
     gap = F.coalesce(F.min(F.when(F.col("t_no") > F.col("__k"), F.col("__k"))), F.count("*") + 1)
     own = known.groupBy(F.col("gid").alias("h_gid")).agg(gap.alias("gap"), F.min(F.struct("c", "dst")).alias("least"))
     each = asking.select("gid").join(own, F.col("gid") == F.col("h_gid"), "left").withColumn("gap", F.coalesce("gap", F.lit(1)))
-    free = each.where(F.col("gap") <= n).join(numbered_, F.col("gap") == F.col("t_no")).select("gid", F.col("t_gid").alias("dst"), F.lit(0).cast("long").alias("hits"))
-    return free.unionByName(each.where((F.col("gap") > n) & F.col("least").isNotNull()).select("gid", F.col("least.dst").alias("dst"), F.col("least.c").alias("hits")))
+    free = each.where(F.col("gap") <= n).join(numbered_, F.col("gap") == F.col("t_no")).select(
+        "gid",
+        F.col("t_gid").alias("dst"),
+        F.lit(0).cast("long").alias("hits"),
+    )
+    return free.unionByName(
+        each.where((F.col("gap") > n) & F.col("least").isNotNull()).select(
+            "gid",
+            F.col("least.dst").alias("dst"),
+            F.col("least.c").alias("hits"),
+        )
+    )

@@ -18,6 +18,12 @@ def running_sum(df: DataFrame, order: list[str | Column], weight: Column, name:
     sum of the ranges before it. The one window over the whole has a row per range.
     """
     dealt = kept(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).withColumn("__w", weight))
-    totals = dealt.groupBy("__range").agg(F.sum("__w").alias("__t")).select(F.col("__range").alias("__of"), (F.sum("__t").over(Window.orderBy("__range")) - F.col("__t")).alias("__before"))
+    totals = dealt.groupBy("__range").agg(F.sum("__w").alias("__t")).select(
+        F.col("__range").alias("__of"),
+        (F.sum("__t").over(Window.orderBy("__range")) - F.col("__t")).alias("__before"),
+    )
     inside = F.sum("__w").over(Window.partitionBy("__range").orderBy(*order))
-    return dealt.withColumn(name, inside).join(F.broadcast(totals), F.col("__range") == F.col("__of")).withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__of", "__before", "__w")
+    return dealt.withColumn(name, inside).join(
+        F.broadcast(totals),
+        F.col("__range") == F.col("__of"),
+    ).withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__of", "__before", "__w")

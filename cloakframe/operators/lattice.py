@@ -17,11 +17,26 @@ from pyspark.sql import functions as F
 def node_counts(df: DataFrame, levels: dict[str, list[Column]], k: int) -> DataFrame:
     """node, loss, n_classes, n_suppressed, n_rows for each combination of levels; levels[c][0] is the value itself."""
     cols = list(levels)
-    fine = df.groupBy(*[g.cast("string").alias(f"{c}_{i}") for c, f in levels.items() for i, g in enumerate(f)]).agg(F.count("*").alias("__n"))
+    fine = df.groupBy(
+        *[g.cast("string").alias(f"{c}_{i}") for c, f in levels.items() for i, g in enumerate(f)]
+    ).agg(F.count("*").alias("__n"))
     nodes = list(product(*[range(len(levels[c])) for c in cols]))
-    rows = F.array(*[F.struct(F.lit("-".join(map(str, node))).alias("node"), F.lit(round(sum(l / max(1, len(levels[c]) - 1) for l, c in zip(node, cols, strict=True)) / len(cols), 9)).alias("loss"), F.array(*[F.col(f"{c}_{l}") for l, c in zip(node, cols, strict=True)]).alias("key")) for node in nodes])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit("-".join(map(str, node))).alias("node"),
+                F.lit(round(sum(l / max(1, len(levels[c]) - 1) for l, c in zip(node, cols, strict=True)) / len(cols), 9)).alias("loss"),
+                F.array(*[F.col(f"{c}_{l}") for l, c in zip(node, cols, strict=True)]).alias("key"),
+            )
+            for node in nodes
+        ]
+    )
     each = fine.select(F.explode(rows).alias("x"), "__n").groupBy("x.node", "x.loss", "x.key").agg(F.sum("__n").alias("n"))
-    return each.groupBy("node", "loss").agg(F.count("*").alias("n_classes"), F.coalesce(F.sum(F.when(F.col("n") < k, F.col("n"))), F.lit(0)).cast("long").alias("n_suppressed"), F.sum("n").alias("n_rows"))
+    return each.groupBy("node", "loss").agg(
+        F.count("*").alias("n_classes"),
+        F.coalesce(F.sum(F.when(F.col("n") < k, F.col("n"))), F.lit(0)).cast("long").alias("n_suppressed"),
+        F.sum("n").alias("n_rows"),
+    )
 
 
 def best_node(counts: DataFrame, max_suppressed: float = 0.05) -> DataFrame:
@@ -35,4 +50,6 @@ def generalize(df: DataFrame, levels: dict[str, list[Column]], node: str, k: int
     at = dict(zip(levels, map(int, node.split("-")), strict=True))
     out = df.withColumns({f"__g_{c}": levels[c][i].cast("string") for c, i in at.items()})
     out = out.withColumn("__n", F.count("*").over(Window.partitionBy(*[f"__g_{c}" for c in at])))
-    return out.withColumns({c: F.when(F.col("__n") >= k, F.col(f"__g_{c}")).otherwise("*") for c in at}).drop("__n", *[f"__g_{c}" for c in at])
+    return out.withColumns(
+        {c: F.when(F.col("__n") >= k, F.col(f"__g_{c}")).otherwise("*") for c in at}
+    ).drop("__n", *[f"__g_{c}" for c in at])

@@ -66,7 +66,11 @@ class _Board:
     def score(self, i: np.ndarray, j: np.ndarray):
         """Rows to move, risk reduction, whether the policies allow it, and whether all risk goes, per pair."""
         k, ni, nj = self.k, self.n[i], self.n[j]
-        m = np.where((ni >= k) & (nj < k), np.minimum(np.minimum(k - nj, ni - k), self.own[i]), np.where((ni < k) & (nj < k), np.minimum(ni, k - nj), np.where((ni < k) & (nj >= k), ni, 0)))
+        m = np.where(
+            (ni >= k) & (nj < k),
+            np.minimum(np.minimum(k - nj, ni - k), self.own[i]),
+            np.where((ni < k) & (nj < k), np.minimum(ni, k - nj), np.where((ni < k) & (nj >= k), ni, 0)),
+        )
         m = np.minimum(m, self.own[i])
         before = _risk(ni, k, False) + _risk(nj, k, False)
         gain = before - _risk(ni - m, k, True) - _risk(nj + m, k, True)
@@ -218,7 +222,14 @@ def _run(board: _Board, variant: str, seed: int) -> None:
             stuck += board.disperse(s, [x for x in safe if x != s])
 
 
-def plan_moves(summary: DataFrame, k: int, rules: list[tuple[float, list[str]]] | None = None, variant: str = "m3ar", block: str | None = None, seed: int = 0) -> DataFrame:
+def plan_moves(
+    summary: DataFrame,
+    k: int,
+    rules: list[tuple[float, list[str]]] | None = None,
+    variant: str = "m3ar",
+    block: str | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """src, first, last, dst: rows first to last of group src end in group dst.
 
     summary: gid, n, quasi (attr=value texts), and the block column if given. rules: budget and
@@ -233,7 +244,13 @@ def plan_moves(summary: DataFrame, k: int, rules: list[tuple[float, list[str]]]
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gid").reset_index(drop=True)
         share = pdf["n"].sum() / max(1, total)
-        board = _Board(pdf["gid"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), [list(q) for q in pdf["quasi"]], [(np.floor(b * share), q) for b, q in rules], k)
+        board = _Board(
+            pdf["gid"].to_numpy(np.int64),
+            pdf["n"].to_numpy(np.int64),
+            [list(q) for q in pdf["quasi"]],
+            [(np.floor(b * share), q) for b, q in rules],
+            k,
+        )
         _run(board, variant, seed)
         out = [(board.gid[i], a, b, board.gid[j]) for j, own in enumerate(board.got) for i, a, b in own]
         return pd.DataFrame(out, columns=["src", "first", "last", "dst"])
@@ -241,7 +258,16 @@ def plan_moves(summary: DataFrame, k: int, rules: list[tuple[float, list[str]]]
     return rows.groupBy("block").applyInPandas(run, "src long, first long, last long, dst long")
 
 
-def migrate(df: DataFrame, qi: list[str], k: int, rules: list[tuple[float, list[str]]] | None = None, variant: str = "m3ar", rid: str = "rid", block: str | None = None, seed: int = 0) -> DataFrame:
+def migrate(
+    df: DataFrame,
+    qi: list[str],
+    k: int,
+    rules: list[tuple[float, list[str]]] | None = None,
+    variant: str = "m3ar",
+    rid: str = "rid",
+    block: str | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """df with src_gid and gid, and the quasi-identifiers of the group each row ends in.
 
     Groups that stay below k (no safe group in their block) have suppressed = true and null
@@ -257,5 +283,8 @@ def migrate(df: DataFrame, qi: list[str], k: int, rules: list[tuple[float, list[
     moved = moved.withColumn("gid", F.coalesce("dst", "src_gid")).drop("src", "first", "last", "dst", "__i")
     final = moved.groupBy(F.col("gid").alias("f_gid")).agg(F.count("*").alias("size"))
     target = summary.select(F.col("gid").alias("t_gid"), *[F.col(c).alias(f"__{c}") for c in qi])
-    out = moved.drop(*qi).join(target, F.col("gid") == F.col("t_gid")).join(final, F.col("gid") == F.col("f_gid")).withColumn("suppressed", F.col("size") < k)
+    out = moved.drop(*qi).join(target, F.col("gid") == F.col("t_gid")).join(final, F.col("gid") == F.col("f_gid")).withColumn(
+        "suppressed",
+        F.col("size") < k,
+    )
     return out.withColumns({c: F.when(~F.col("suppressed"), F.col(f"__{c}")) for c in qi}).drop("t_gid", "f_gid", *[f"__{c}" for c in qi])

@@ -63,13 +63,19 @@ def t_close(sensitive: str, shares: dict[str, float], p: float = 0.2) -> Test:
 
 
 def _spans(df: DataFrame, numeric: list[str], categorical: list[str]) -> list[Column]:
-    return [*[(F.max(c) - F.min(c)).cast("double").alias(f"span_{c}") for c in numeric], *[F.count_distinct(c).cast("double").alias(f"span_{c}") for c in categorical]]
+    return [
+        *[(F.max(c) - F.min(c)).cast("double").alias(f"span_{c}") for c in numeric],
+        *[F.count_distinct(c).cast("double").alias(f"span_{c}") for c in categorical],
+    ]
 
 
 def _at_ranks(values: DataFrame, part: str, value: str, weight: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Per part, the values at ranks (from 0, each from the part's sum of weights) in a table of distinct (part, value)."""
     run = running_sum(values, [part, value], F.col(weight), "__end")
-    ends = run.groupBy(F.col(part).alias("__whole")).agg(F.min(F.col("__end") - F.col(weight)).alias("__start"), F.max("__end").alias("__stop"))
+    ends = run.groupBy(F.col(part).alias("__whole")).agg(
+        F.min(F.col("__end") - F.col(weight)).alias("__start"),
+        F.max("__end").alias("__stop"),
+    )
     joined = run.join(ends, F.col(part) == F.col("__whole"))
     first, past, n = F.col("__end") - F.col(weight) - F.col("__start"), F.col("__end") - F.col("__start"), F.col("__stop") - F.col("__start")
     picked = [F.min(F.when((first <= r(n)) & (r(n) < past), F.col(value))).alias(name) for name, r in ranks.items()]
@@ -92,7 +98,11 @@ def _sides(active: DataFrame, numeric: list[str], categorical: list[str], order:
     for c in categorical:
         first = kept(active.groupBy(F.col("part").alias("__p"), F.col(c).alias("__v")).agg(F.min(order).alias("__f")))
         last = _at_ranks(first.withColumn("__one", F.lit(1)), "__p", "__f", "__one", {"__last": lambda n: F.floor(n / 2) - 1})
-        sides = first.join(last.select(F.col("__p").alias("__q"), "__last"), F.col("__p") == F.col("__q")).select("__p", "__v", (F.col("__f") > F.coalesce("__last", F.col("__f") - 1)).alias(f"right_{c}"))
+        sides = first.join(last.select(F.col("__p").alias("__q"), "__last"), F.col("__p") == F.col("__q")).select(
+            "__p",
+            "__v",
+            (F.col("__f") > F.coalesce("__last", F.col("__f") - 1)).alias(f"right_{c}"),
+        )
         out = out.join(sides, (F.col("part") == F.col("__p")) & F.col(c).eqNullSafe(F.col("__v"))).drop("__p", "__v")
     return out
 
@@ -101,22 +111,41 @@ def _round(active: DataFrame, numeric: list[str], categorical: list[str], valid:
     """active with __side: L or R of the cut its partition takes, null if it takes none."""
     columns = [*numeric, *categorical]
     sided = kept(_sides(active, numeric, categorical, order))
-    each = sided.withColumn("__x", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"right_{c}").alias("right")) for i, c in enumerate(columns)])))
+    each = sided.withColumn(
+        "__x",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"right_{c}").alias("right")) for i, c in enumerate(columns)])),
+    )
     ok = F.lit(True)
     for t in valid:
         ok = ok & t.column()
-    tested = each.groupBy("part", "__x").agg(ok.alias("ok")).groupBy("part", F.col("__x.i").alias("i")).agg(((F.count("*") == 2) & F.bool_and("ok")).alias("good")).where("good")
+    tested = each.groupBy("part", "__x").agg(ok.alias("ok")).groupBy("part", F.col("__x.i").alias("i")).agg(
+        ((F.count("*") == 2) & F.bool_and("ok")).alias("good")
+    ).where("good")
     good = tested.groupBy("part").agg(F.collect_set("i").alias("good")).select(F.col("part").alias("__g"), "good")
     spans = active.groupBy("part").agg(*_spans(active, numeric, categorical))
-    shares = F.array(*[F.struct((-F.col(f"span_{c}") / F.lit(total[c] or 1.0)).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(columns)])
+    shares = F.array(
+        *[F.struct((-F.col(f"span_{c}") / F.lit(total[c] or 1.0)).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(columns)]
+    )
     best = F.try_element_at(F.filter(F.array_sort(shares), lambda x: F.array_contains("good", x["i"])), F.lit(1))["i"]
     choice = spans.join(good, F.col("part") == F.col("__g")).select(F.col("part").alias("__q"), best.alias("__c"))
     right = F.element_at(F.array(*[F.col(f"right_{c}") for c in columns]), F.col("__c") + 1)
     side = F.when(F.col("__c").isNotNull(), F.when(right, "R").otherwise("L"))
-    return sided.join(choice, F.col("part") == F.col("__q"), "left").withColumn("__side", side).drop("__q", "__c", *[f"right_{c}" for c in columns])
-
-
-def _finish(data: dict[str, np.ndarray], numeric: list[str], categorical: list[str], valid: list[Test], total: dict, order: str, part: str) -> np.ndarray:
+    return sided.join(choice, F.col("part") == F.col("__q"), "left").withColumn("__side", side).drop(
+        "__q",
+        "__c",
+        *[f"right_{c}" for c in columns],
+    )
+
+
+def _finish(
+    data: dict[str, np.ndarray],
+    numeric: list[str],
+    categorical: list[str],
+    valid: list[Test],
+    total: dict,
+    order: str,
+    part: str,
+) -> np.ndarray:
     """The parts of the rows of one partition, which is cut until no valid cut is left."""
     out = np.empty(len(data[order]), object)
     todo = [(part, np.arange(len(out)))]
@@ -146,7 +175,14 @@ def _finish(data: dict[str, np.ndarray], numeric: list[str], categorical: list[s
     return out
 
 
-def partition(df: DataFrame, numeric: list[str], categorical: list[str], valid: list[Test], order: str = "rid", local_rows: int = 50_000) -> DataFrame:
+def partition(
+    df: DataFrame,
+    numeric: list[str],
+    categorical: list[str],
+    valid: list[Test],
+    order: str = "rid",
+    local_rows: int = 50_000,
+) -> DataFrame:
     """df with part: the path of its partition (L and R), when no valid cut is left. local_rows: up to so many rows one task finishes a partition."""
     total = df.agg(*_spans(df, numeric, categorical)).first().asDict()
     total = {c.removeprefix("span_"): v for c, v in total.items()}
@@ -154,7 +190,10 @@ def partition(df: DataFrame, numeric: list[str], categorical: list[str], valid:
     active, done = kept(schema), []
     small = []
     while True:
-        sizes = active.groupBy("part").agg(F.count("*").alias("__n")).select(F.col("part").alias("__p"), (F.col("__n") > local_rows).alias("__large"))
+        sizes = active.groupBy("part").agg(F.count("*").alias("__n")).select(
+            F.col("part").alias("__p"),
+            (F.col("__n") > local_rows).alias("__large"),
+        )
         sized = kept(active.join(sizes, F.col("part") == F.col("__p")).drop("__p"))
         small.append(sized.where("not __large").drop("__large"))
         active = sized.where("__large").drop("__large")
@@ -188,13 +227,20 @@ def rectangles(parts: DataFrame, columns: list[str], part: str = "part") -> Data
         places = kept(running_sum(parts.select(F.col(c).alias("__v")).distinct(), ["__v"], F.lit(1), "__at"))
         after = places.select(F.col("__v").alias("__next"), (F.col("__at") - 1).alias("__before"))
         nxt = places.join(after, F.col("__at") == F.col("__before"), "left").select("__v", F.coalesce("__next", "__v").alias("__next"))
-        box = parts.groupBy(part).agg(F.min(c).alias(f"{c}_lo"), F.max(c).alias("__hi")).join(nxt, F.col("__hi") == F.col("__v")).select(F.col(part).alias(f"__{c}"), f"{c}_lo", F.col("__next").alias(f"{c}_hi"))
+        box = parts.groupBy(part).agg(F.min(c).alias(f"{c}_lo"), F.max(c).alias("__hi")).join(nxt, F.col("__hi") == F.col("__v")).select(
+            F.col(part).alias(f"__{c}"),
+            f"{c}_lo",
+            F.col("__next").alias(f"{c}_hi"),
+        )
         out = box if out is None else out.join(box, F.col(out.columns[0]) == F.col(f"__{c}")).drop(f"__{c}")
     return out.withColumnRenamed(out.columns[0], part)
 
 
 def anonymized(parts: DataFrame, numeric: list[str], categorical: list[str], sensitive: str, part: str = "part") -> DataFrame:
     """Per partition and sensitive value: generalised columns and the count."""
-    general = parts.groupBy(F.col(part).alias("__p")).agg(*[F.round(F.avg(c), 6).alias(c) for c in numeric], *[F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), "-").alias(c) for c in categorical])
+    general = parts.groupBy(F.col(part).alias("__p")).agg(
+        *[F.round(F.avg(c), 6).alias(c) for c in numeric],
+        *[F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), "-").alias(c) for c in categorical],
+    )
     counts = parts.groupBy(part, sensitive).agg(F.count("*").alias("n"))
     return counts.join(general, F.col(part) == F.col("__p")).drop("__p")

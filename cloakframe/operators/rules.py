@@ -20,7 +20,13 @@ def item_counts(baskets: DataFrame, items: str = "items") -> DataFrame:
     return baskets.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float, items: str = "items", sample_factor: float = 1.0, strict: bool = False) -> DataFrame:
+def frequent_itemsets(
+    baskets: DataFrame,
+    min_support: float,
+    items: str = "items",
+    sample_factor: float = 1.0,
+    strict: bool = False,
+) -> DataFrame:
     """items (sorted), freq: all itemsets with at least min_support * sample_factor of the rows, by parallel FP-growth. strict: more than that."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -41,8 +47,14 @@ def candidates(frequent: DataFrame) -> DataFrame:
     a = frequent.select(F.col("items").alias("p"), F.slice("items", F.lit(1), size - 1).alias("head"), F.element_at("items", -1).alias("x"))
     b = frequent.select(F.slice("items", F.lit(1), size - 1).alias("head2"), F.element_at("items", -1).alias("y"))
     made = a.join(b, (F.col("head") == F.col("head2")) & (F.col("x") < F.col("y"))).select(F.concat("p", F.array("y")).alias("items"))
-    without = F.transform(F.sequence(F.lit(1), F.size("items")), lambda i: F.concat(F.slice("items", F.lit(1), i - 1), F.slice("items", i + 1, F.size("items"))))
-    known = made.select("items", F.explode(without).alias("sub")).join(frequent.select(F.col("items").alias("known")), F.col("sub") == F.col("known"))
+    without = F.transform(
+        F.sequence(F.lit(1), F.size("items")),
+        lambda i: F.concat(F.slice("items", F.lit(1), i - 1), F.slice("items", i + 1, F.size("items"))),
+    )
+    known = made.select("items", F.explode(without).alias("sub")).join(
+        frequent.select(F.col("items").alias("known")),
+        F.col("sub") == F.col("known"),
+    )
     return known.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") == F.size("items")).select("items")
 
 
@@ -54,12 +66,20 @@ def levelwise(baskets: DataFrame, min_count: float, items: str = "items", rid: s
     frequent, is a key that rows meet on before they are counted.
     """
     single = baskets.select(F.col(rid).alias("__r"), F.explode(F.array_distinct(items)).alias("__i"))
-    frequent = kept(single.groupBy("__i").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count).select(F.array("__i").alias("items"), "freq"))
+    frequent = kept(
+        single.groupBy("__i").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count).select(
+            F.array("__i").alias("items"),
+            "freq",
+        )
+    )
     single = kept(single.join(frequent.select(F.col("items")[0].alias("__f")), F.col("__i") == F.col("__f"), "left_semi"))
     out, matches = frequent, single.select(F.col("__r").alias("rid"), F.array("__i").alias("items"))
     while not frequent.isEmpty():
         more = candidates(frequent).select(F.col("items").alias("__c"))
-        longer = matches.join(single, (F.col("rid") == F.col("__r")) & (F.col("__i") > F.element_at("items", -1))).select("rid", F.concat("items", F.array("__i")).alias("items"))
+        longer = matches.join(single, (F.col("rid") == F.col("__r")) & (F.col("__i") > F.element_at("items", -1))).select(
+            "rid",
+            F.concat("items", F.array("__i")).alias("items"),
+        )
         matches = kept(longer.join(more, F.col("items") == F.col("__c"), "left_semi"))
         frequent = kept(matches.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_count))
         matches = matches.join(frequent.select(F.col("items").alias("__k")), F.col("items") == F.col("__k"), "left_semi")
@@ -77,20 +97,47 @@ def rules_of(itemsets: DataFrame, n_rows: int, min_confidence: float, quasi: lis
     n = F.size("items")
     masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 2)
     split = itemsets.where(n >= 2).select("items", "freq", F.explode(masks).alias("mask"))
-    split = split.select("items", "freq", F.filter("items", lambda x, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1).alias("a"))
+    split = split.select(
+        "items",
+        "freq",
+        F.filter("items", lambda x, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1).alias("a"),
+    )
     split = split.withColumn("b", F.array_except("items", "a"))
     lhs = itemsets.select(F.col("items").alias("l_items"), F.col("freq").alias("lhs_support"))
-    out = split.join(lhs, F.col("a") == F.col("l_items")).withColumn("confidence", F.col("freq") / F.col("lhs_support")).where(F.col("confidence") >= min_confidence)
-    decode = lambda s: F.transform(s, lambda x: F.struct(F.substring_index(x, "=", 1).alias("attr"), F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, F.length(x)).alias("value")))
-    out = out.withColumn("ai", X.without_roots(decode(F.col("a")))).withColumn("bi", X.without_roots(decode(F.col("b")))).where((F.size("ai") > 0) & (F.size("bi") > 0))
+    out = split.join(lhs, F.col("a") == F.col("l_items")).withColumn(
+        "confidence",
+        F.col("freq") / F.col("lhs_support"),
+    ).where(F.col("confidence") >= min_confidence)
+    decode = lambda s: F.transform(
+        s,
+        lambda x: F.struct(
+            F.substring_index(x, "=", 1).alias("attr"),
+            F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, F.length(x)).alias("value"),
+        ),
+    )
+    out = out.withColumn("ai", X.without_roots(decode(F.col("a")))).withColumn(
+        "bi",
+        X.without_roots(decode(F.col("b"))),
+    ).where((F.size("ai") > 0) & (F.size("bi") > 0))
     out = out.withColumn("hash", X.rule_hash(F.col("ai"), F.col("bi")))
     first = F.min_by(F.struct("ai", "bi", "freq", "lhs_support", "confidence"), F.struct(F.size("items"), F.col("items"), F.col("a")))
-    out = out.groupBy("hash").agg(first.alias("r")).select("hash", F.col("r.ai").alias("a"), F.col("r.bi").alias("b"), F.col("r.freq").alias("support"), F.col("r.lhs_support").alias("lhs_support"), (F.col("r.freq") / F.lit(n_rows)).alias("support_share"), F.col("r.confidence").alias("confidence"))
+    out = out.groupBy("hash").agg(first.alias("r")).select(
+        "hash",
+        F.col("r.ai").alias("a"),
+        F.col("r.bi").alias("b"),
+        F.col("r.freq").alias("support"),
+        F.col("r.lhs_support").alias("lhs_support"),
+        (F.col("r.freq") / F.lit(n_rows)).alias("support_share"),
+        F.col("r.confidence").alias("confidence"),
+    )
     return out.withColumn("quasi", X.quasi_of(F.concat("a", "b"), quasi or []))
 
 
 def with_budget(rules: DataFrame, min_confidence: float, quasi: list[str], min_support: float = 0.5, exact: bool = False) -> DataFrame:
-    return rules.withColumn("budget", X.rule_budget(F.col("support"), F.col("confidence"), X.contains_quasi(F.col("b"), quasi), min_confidence, min_support, exact))
+    return rules.withColumn(
+        "budget",
+        X.rule_budget(F.col("support"), F.col("confidence"), X.contains_quasi(F.col("b"), quasi), min_confidence, min_support, exact),
+    )
 
 
 def care_rules(rules: DataFrame, min_confidence: float, quasi: list[str], min_support: float = 0.5, exact: bool = False) -> DataFrame:
@@ -110,18 +157,41 @@ def recount(df: DataFrame, rules: list[dict], paths: dict | None = None) -> Data
     for r in rules:
         mine = {c: row[c] for c, _ in [*r["a"], *r["b"]]}
         a, b = X.supports(lit(r["a"]), mine, paths), X.supports(lit(r["b"]), mine, paths)
-        aggs.append(F.struct(F.lit(r["name"]).alias("rule"), F.count_if(a & b).alias("support"), F.count_if(a).alias("lhs_support"), F.count("*").alias("__n")))
+        aggs.append(
+            F.struct(
+                F.lit(r["name"]).alias("rule"),
+                F.count_if(a & b).alias("support"),
+                F.count_if(a).alias("lhs_support"),
+                F.count("*").alias("__n"),
+            )
+        )
     out = df.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
     safe = lambda p, q: F.coalesce(F.try_divide(p, q), F.lit(0.0))
-    return out.select("rule", "support", "lhs_support", F.round(safe(F.col("support"), F.col("__n")), 6).alias("support_share"), F.round(safe(F.col("support"), F.col("lhs_support")), 6).alias("confidence"))
+    return out.select(
+        "rule",
+        "support",
+        "lhs_support",
+        F.round(safe(F.col("support"), F.col("__n")), 6).alias("support_share"),
+        F.round(safe(F.col("support"), F.col("lhs_support")), 6).alias("confidence"),
+    )
 
 
 def compare(before: DataFrame, after: DataFrame, key: str = "hash") -> DataFrame:
     """One row: rules before and after, lost, new and different as shares of the rules before."""
     p, q = before.select(key).distinct().withColumn("__p", F.lit(1)), after.select(F.col(key).alias("__k")).distinct().withColumn("__q", F.lit(1))
-    x = p.join(q, F.col(key) == F.col("__k"), "full").agg(F.count("__p").alias("n_before"), F.count("__q").alias("n_after"), F.count_if(F.col("__q").isNull()).alias("n_lost"), F.count_if(F.col("__p").isNull()).alias("n_new"))
+    x = p.join(q, F.col(key) == F.col("__k"), "full").agg(
+        F.count("__p").alias("n_before"),
+        F.count("__q").alias("n_after"),
+        F.count_if(F.col("__q").isNull()).alias("n_lost"),
+        F.count_if(F.col("__p").isNull()).alias("n_new"),
+    )
     share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("n_before")), F.lit(0.0)), 6)
-    return x.select("*", share("n_lost").alias("lost"), share("n_new").alias("new"), F.round(F.coalesce(F.try_divide(F.col("n_lost") + F.col("n_new"), F.col("n_before")), F.lit(0.0)), 6).alias("different"))
+    return x.select(
+        "*",
+        share("n_lost").alias("lost"),
+        share("n_new").alias("new"),
+        F.round(F.coalesce(F.try_divide(F.col("n_lost") + F.col("n_new"), F.col("n_before")), F.lit(0.0)), 6).alias("different"),
+    )
 
 
 def surviving(rules: DataFrame, n_rows: int, min_support: float, min_confidence: float) -> DataFrame:
@@ -155,4 +225,9 @@ def first_rules(rules: DataFrame, n: int = 10) -> DataFrame:
     """The first n rules by hash, with their place: the order of the published reports. A top-k, so no global sort."""
     cols = rules.columns
     top = rules.orderBy("hash").limit(n)
-    return top.agg(F.sort_array(F.collect_list(F.struct("hash", *[c for c in cols if c != "hash"]))).alias("__x")).select(F.posexplode("__x").alias("place", "__r")).select((F.col("place") + 1).alias("place"), "__r.*")
+    return top.agg(F.sort_array(
+        F.collect_list(F.struct("hash", *[c for c in cols if c != "hash"]))
+    ).alias("__x")).select(F.posexplode("__x").alias("place", "__r")).select(
+        (F.col("place") + 1).alias("place"),
+        "__r.*",
+    )

@@ -58,12 +58,16 @@ h AS (SELECT row_number() OVER (ORDER BY c_nationkey, c_mktsegment, band) - 1 AS
 _RISK = "CASE WHEN n >= 10 THEN 0 ELSE 20 - n END"
 
 
-@query(f"{_GROUPS} SELECT gid, c_nationkey, c_mktsegment, band, n, n >= 10 AS safe, n < 10 AS unsafe, n <= 5 AS small, CAST({_RISK} AS BIGINT) AS risk FROM h")
+@query(
+    f"{_GROUPS} SELECT gid, c_nationkey, c_mktsegment, band, n, n >= 10 AS safe, n < 10 AS unsafe, n <= 5 AS small, CAST({_RISK} AS BIGINT) AS risk FROM h"
+)
 def equivalence_classes(spark, sf):
     return customer_groups(spark, sf).drop("quasi")
 
 
-@query(f"{_GROUPS} SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n < 10) AS n_unsafe, round(avg(n) / 10, 6) AS cavg FROM h")
+@query(
+    f"{_GROUPS} SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n < 10) AS n_unsafe, round(avg(n) / 10, 6) AS cavg FROM h"
+)
 def cavg(spark, sf):
     return G.cavg(G.sizes(banded(spark, sf), QI), K)
 
@@ -71,7 +75,13 @@ def cavg(spark, sf):
 @query("SELECT event_type, user_id, count(*) AS n, count(*) < 10 AS unsafe, count(*) <= 5 AS small FROM events GROUP BY 1, 2")
 def event_classes(spark, sf):
     n = F.col("n")
-    return G.sizes(table(spark, sf, "events"), ["event_type", "user_id"]).select("event_type", "user_id", "n", X.is_unsafe(n, 10).alias("unsafe"), X.is_small(n, 10).alias("small"))
+    return G.sizes(table(spark, sf, "events"), ["event_type", "user_id"]).select(
+        "event_type",
+        "user_id",
+        "n",
+        X.is_unsafe(n, 10).alias("unsafe"),
+        X.is_small(n, 10).alias("small"),
+    )
 
 
 @query(f"{_GROUPS} SELECT gid, n - 10 AS free FROM h WHERE n > 10")
@@ -79,7 +89,9 @@ def free_counts(spark, sf):
     return G.free_counts(customer_groups(spark, sf), K)
 
 
-@query(f"SELECT c_custkey, c_nationkey, c_mktsegment, band FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, band ORDER BY c_custkey) AS i FROM ({_BANDED}) WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment, band)) WHERE i <= n - 10")
+@query(
+    f"SELECT c_custkey, c_nationkey, c_mktsegment, band FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, band ORDER BY c_custkey) AS i FROM ({_BANDED}) WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment, band)) WHERE i <= n - 10"
+)
 def free_tuples(spark, sf):
     rows = banded(spark, sf).withColumn("gid", F.struct(*QI))
     return G.free_tuples(rows, K, "gid", "c_custkey").select("c_custkey", *QI)
@@ -103,7 +115,9 @@ def value_frequencies(spark, sf):
     return G.frequencies(table(spark, sf, "part"), ["p_brand", "p_type"]).select("attr", "value", "n", F.round("share", 6).alias("share"))
 
 
-@query("""SELECT p_partkey, round(p_size / 10.0 + (count(*) OVER (PARTITION BY p_brand) + count(*) OVER (PARTITION BY p_type)) / CAST(count(*) OVER () AS DOUBLE), 6) AS grade FROM part""")
+@query(
+    """SELECT p_partkey, round(p_size / 10.0 + (count(*) OVER (PARTITION BY p_brand) + count(*) OVER (PARTITION BY p_type)) / CAST(count(*) OVER () AS DOUBLE), 6) AS grade FROM part"""
+)
 def tuple_grades(spark, sf):
     part = table(spark, sf, "part")
     n = part.count()
@@ -115,7 +129,10 @@ def tuple_grades(spark, sf):
 
 @query("SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def unknown_filter(spark, sf):
-    marked = customers(spark, sf).withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", " ? ").otherwise(F.col("c_mktsegment")))
+    marked = customers(spark, sf).withColumn(
+        "c_mktsegment",
+        F.when(F.col("c_mktsegment") == "BUILDING", " ? ").otherwise(F.col("c_mktsegment")),
+    )
     return S.clean(S.unknown_to_null(marked, "c_mktsegment"), ["c_custkey", "c_mktsegment", "c_nationkey"])
 
 
@@ -124,7 +141,9 @@ SELECT CAST(least(9, greatest(ceil((p_retailprice - lo) / ((hi - lo) / 10)) - 1,
 def price_bins(spark, sf):
     part = table(spark, sf, "part")
     ends = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
-    return part.crossJoin(F.broadcast(ends)).groupBy(X.bin_index(F.col("p_retailprice"), F.col("lo"), F.col("hi"), 10).alias("bin")).agg(F.count("*").alias("n"))
+    return part.crossJoin(F.broadcast(ends)).groupBy(
+        X.bin_index(F.col("p_retailprice"), F.col("lo"), F.col("hi"), 10).alias("bin")
+    ).agg(F.count("*").alias("n"))
 
 
 def baskets(spark, sf, years: tuple[int, int] | None = None) -> DataFrame:
@@ -134,7 +153,9 @@ def baskets(spark, sf, years: tuple[int, int] | None = None) -> DataFrame:
     if years:
         orders = table(spark, sf, "orders").where(F.year("o_orderdate").between(*years)).select("o_orderkey")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("rid")).agg(F.sort_array(F.collect_set(F.concat(F.col("p_type"), F.lit("=y")))).alias("items"))
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("rid")).agg(
+        F.sort_array(F.collect_set(F.concat(F.col("p_type"), F.lit("=y")))).alias("items")
+    )
 
 
 _BASKET = "WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y' AS item FROM lineitem JOIN part ON l_partkey = p_partkey{w})"
@@ -173,7 +194,10 @@ _SAMPLE = "WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS rid, p_type || '=y
 @query(_SAMPLE + _levels(share=0.06) + " SELECT array_to_string(items, ',') AS items, freq FROM l")
 def sampled_itemsets(spark, sf):
     """Itemsets of any size in a sample, with the support lowered by the sample's share."""
-    return R.frequent_itemsets(R.sampled(baskets(spark, sf), 0.6), 0.1, sample_factor=0.6).select(F.array_join("items", ",").alias("items"), "freq")
+    return R.frequent_itemsets(R.sampled(baskets(spark, sf), 0.6), 0.1, sample_factor=0.6).select(
+        F.array_join("items", ",").alias("items"),
+        "freq",
+    )
 
 
 def _side(items: str) -> str:
@@ -196,9 +220,19 @@ def shown(side: str):
     return F.array_join(F.transform(F.array_sort(side), X.item_key), ",").alias(side)
 
 
-@query(_ALL + _levels() + _rules() + f" SELECT hash, a, b, support, lhs_support, round(support / CAST({_N} AS DOUBLE), 6) AS support_share, round(confidence, 6) AS confidence FROM r")
+@query(
+    _ALL + _levels() + _rules() + f" SELECT hash, a, b, support, lhs_support, round(support / CAST({_N} AS DOUBLE), 6) AS support_share, round(confidence, 6) AS confidence FROM r"
+)
 def association_rules(spark, sf):
-    return mined(spark, sf).select("hash", shown("a"), shown("b"), "support", "lhs_support", F.round("support_share", 6).alias("support_share"), F.round("confidence", 6).alias("confidence"))
+    return mined(spark, sf).select(
+        "hash",
+        shown("a"),
+        shown("b"),
+        "support",
+        "lhs_support",
+        F.round("support_share", 6).alias("support_share"),
+        F.round("confidence", 6).alias("confidence"),
+    )
 
 
 @query(_ALL + _levels() + _rules() + " SELECT hash, support FROM r ORDER BY md5(hash || '|3'), hash LIMIT 5")
@@ -224,13 +258,17 @@ def rules_compared(spark, sf):
     return R.compare(mined(spark, sf, (1990, 1997), 0.45), mined(spark, sf, (1998, 2005), 0.45))
 
 
-@query(_ALL + _levels() + _rules() + " SELECT row_number() OVER (ORDER BY hash) AS place, hash, a, b, support FROM r QUALIFY row_number() OVER (ORDER BY hash) <= 10")
+@query(
+    _ALL + _levels() + _rules() + " SELECT row_number() OVER (ORDER BY hash) AS place, hash, a, b, support FROM r QUALIFY row_number() OVER (ORDER BY hash) <= 10"
+)
 def first_rules(spark, sf):
     """The first ten rules by hash."""
     return R.first_rules(mined(spark, sf).select("hash", shown("a"), shown("b"), "support"))
 
 
-@query(_ALL + _levels() + _rules() + f" SELECT count(*) FILTER (NOT (support >= 0.15 * {_N} AND confidence >= 0.4)) AS lost, count(*) FILTER (support >= 0.15 * {_N} AND confidence >= 0.4) AS kept FROM r")
+@query(
+    _ALL + _levels() + _rules() + f" SELECT count(*) FILTER (NOT (support >= 0.15 * {_N} AND confidence >= 0.4)) AS lost, count(*) FILTER (support >= 0.15 * {_N} AND confidence >= 0.4) AS kept FROM r"
+)
 def rules_surviving(spark, sf):
     """How many rules hold at a higher support and confidence."""
     b = baskets(spark, sf)
@@ -256,13 +294,21 @@ def _quasi_types(spark, sf) -> list[str]:
 UNION ALL SELECT 'cheap_done', count(*) FILTER (o_totalprice > 1000 AND o_totalprice <= 100000 AND o_orderstatus = 'F'), count(*) FILTER (o_totalprice > 1000 AND o_totalprice <= 100000), round(count(*) FILTER (o_totalprice > 1000 AND o_totalprice <= 100000 AND o_orderstatus = 'F') / count(*), 6), round(coalesce(count(*) FILTER (o_totalprice > 1000 AND o_totalprice <= 100000 AND o_orderstatus = 'F') / nullif(count(*) FILTER (o_totalprice > 1000 AND o_totalprice <= 100000), 0), 0), 6) FROM orders
 UNION ALL SELECT 'none', 0, 0, 0, 0""")
 def rule_recount(spark, sf):
-    rules = [{"name": "urgent_open", "a": [("o_orderpriority", "1-URGENT")], "b": [("o_orderstatus", "O")]}, {"name": "cheap_done", "a": [("o_totalprice", "(1000-100000]")], "b": [("o_orderstatus", "F")]}, {"name": "none", "a": [("o_orderstatus", "?")], "b": [("o_orderpriority", "1-URGENT")]}]
+    rules = [
+        {"name": "urgent_open", "a": [("o_orderpriority", "1-URGENT")], "b": [("o_orderstatus", "O")]},
+        {"name": "cheap_done", "a": [("o_totalprice", "(1000-100000]")], "b": [("o_orderstatus", "F")]},
+        {"name": "none", "a": [("o_orderstatus", "?")], "b": [("o_orderpriority", "1-URGENT")]},
+    ]
     return R.recount(table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice"), rules)
 
 
 def group_rule_table(spark) -> DataFrame:
     """Three demonstration rules over the customers' quasi-identifiers."""
-    rows = [("r1", 2.0, ["c_mktsegment=BUILDING"]), ("r2", 0.0, ["c_nationkey=3", "c_mktsegment=MACHINERY"]), ("r3", 5.0, ["c_nationkey=7"])]
+    rows = [
+        ("r1", 2.0, ["c_mktsegment=BUILDING"]),
+        ("r2", 0.0, ["c_nationkey=3", "c_mktsegment=MACHINERY"]),
+        ("r3", 5.0, ["c_nationkey=7"]),
+    ]
     return spark.createDataFrame(rows, "hash string, budget double, quasi array<string>")
 
 
@@ -302,29 +348,46 @@ SELECT i_gid AS gid, j_gid AS dst, overdrawn FROM (SELECT i_gid, p.j_gid, coales
 def dispersal_targets(spark, sf):
     """For each unsafe group the safe group with the fewest overdrawn rules."""
     g, rules = kept(customer_groups(spark, sf)), group_rule_table(spark)
-    hit = R.affected(g.where("unsafe"), g.where("safe"), rules.where("budget <= 0")).groupBy(F.col("i_gid").alias("gid"), F.col("j_gid").alias("dst")).agg(F.count("*").alias("c"))
+    hit = R.affected(g.where("unsafe"), g.where("safe"), rules.where("budget <= 0")).groupBy(
+        F.col("i_gid").alias("gid"),
+        F.col("j_gid").alias("dst"),
+    ).agg(F.count("*").alias("c"))
     return G.fewest_hits(g.where("unsafe"), g.where("safe"), hit).select("gid", "dst", F.col("hits").alias("overdrawn"))
 
 
 def nations(spark, sf) -> DataFrame:
     """The hierarchy nation, region, *."""
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("nation").alias("attr"), F.col("n_name").alias("leaf"), F.array("n_name", "r_name", F.lit("*")).alias("path"), "n_nationkey")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.lit("nation").alias("attr"),
+        F.col("n_name").alias("leaf"),
+        F.array("n_name", "r_name", F.lit("*")).alias("path"),
+        "n_nationkey",
+    )
 
 
 _PATHS = "WITH t AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query(f"{_PATHS} SELECT n_name AS value, 2 AS level, 1 AS leaves FROM t UNION ALL SELECT r_name, 1, count(*) FROM t GROUP BY 1 UNION ALL SELECT '*', 0, count(*) FROM t")
+@query(
+    f"{_PATHS} SELECT n_name AS value, 2 AS level, 1 AS leaves FROM t UNION ALL SELECT r_name, 1, count(*) FROM t GROUP BY 1 UNION ALL SELECT '*', 0, count(*) FROM t"
+)
 def hierarchy_nodes(spark, sf):
     return X.nodes(nations(spark, sf)).select("value", F.col("level").cast("int").alias("level"), "leaves")
 
 
-@query(f"{_PATHS} SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name = b.n_name THEN a.n_name WHEN a.r_name = b.r_name THEN a.r_name ELSE '*' END AS lca, round(CASE WHEN a.n_name = b.n_name THEN 0 WHEN a.r_name = b.r_name THEN 0.5 ELSE 1 END, 6) AS distance FROM t a, t b")
+@query(
+    f"{_PATHS} SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name = b.n_name THEN a.n_name WHEN a.r_name = b.r_name THEN a.r_name ELSE '*' END AS lca, round(CASE WHEN a.n_name = b.n_name THEN 0 WHEN a.r_name = b.r_name THEN 0.5 ELSE 1 END, 6) AS distance FROM t a, t b"
+)
 def lca_distances(spark, sf):
     h = nations(spark, sf).select(F.col("leaf").alias("a"), F.col("path").alias("p"))
     o = nations(spark, sf).select(F.col("leaf").alias("b"), F.col("path").alias("q"))
-    return h.crossJoin(F.broadcast(o)).select("a", "b", X.lca(F.col("p"), F.col("q")).alias("lca"), F.round(X.depth_distance(F.col("p"), F.col("q"), 2), 6).alias("distance"))
+    return h.crossJoin(F.broadcast(o)).select(
+        "a",
+        "b",
+        X.lca(F.col("p"), F.col("q")).alias("lca"),
+        F.round(X.depth_distance(F.col("p"), F.col("q"), 2), 6).alias("distance"),
+    )
 
 
 _NCP = f"""{_PATHS}, d AS (SELECT max(c_acctbal) - min(c_acctbal) AS r, (SELECT count(*) FROM nation) AS leaves FROM customer),
@@ -341,14 +404,27 @@ def class_ncp(spark, sf):
     nodes = X.nodes(h).select(F.col("value").alias("v"), "level", "leaves")
     dom = c.agg((F.max("c_acctbal") - F.min("c_acctbal")).alias("r"))
     total = h.agg(F.count("*").alias("total"))
-    rows = c.join(F.broadcast(h.select(F.col("n_nationkey").alias("k"), F.col("path")[1].alias("r_name"))), F.col("c_nationkey") == F.col("k"))
+    rows = c.join(
+        F.broadcast(h.select(F.col("n_nationkey").alias("k"), F.col("path")[1].alias("r_name"))),
+        F.col("c_nationkey") == F.col("k"),
+    )
     cls = rows.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n"), (F.max("c_acctbal") - F.min("c_acctbal")).alias("w"))
     each = rows.select("r_name", "c_mktsegment", "c_nationkey").distinct()
     size = each.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("nations"))
-    anc = each.join(F.broadcast(up), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "c_mktsegment", "node").agg(F.count("*").alias("hits"))
-    lca = anc.join(size, ["r_name", "c_mktsegment"]).where("hits = nations").join(F.broadcast(nodes), F.col("node") == F.col("v")).groupBy("r_name", "c_mktsegment").agg(F.max_by("leaves", "level").alias("leaves"))
+    anc = each.join(
+        F.broadcast(up),
+        F.col("c_nationkey") == F.col("n_nationkey"),
+    ).groupBy("r_name", "c_mktsegment", "node").agg(F.count("*").alias("hits"))
+    lca = anc.join(size, ["r_name", "c_mktsegment"]).where("hits = nations").join(F.broadcast(nodes), F.col("node") == F.col("v")).groupBy("r_name", "c_mktsegment").agg(
+        F.max_by("leaves", "level").alias("leaves")
+    )
     out = cls.join(lca, ["r_name", "c_mktsegment"]).crossJoin(F.broadcast(dom)).crossJoin(F.broadcast(total))
-    return out.select("r_name", "c_mktsegment", "n", F.round(F.col("w") / F.col("r") + X.width(F.col("leaves"), F.col("total")), 6).alias("ncp"))
+    return out.select(
+        "r_name",
+        "c_mktsegment",
+        "n",
+        F.round(F.col("w") / F.col("r") + X.width(F.col("leaves"), F.col("total")), 6).alias("ncp"),
+    )
 
 
 @query(f"{_NCP} SELECT round(100.0 * sum(n * ncp) / sum(n) / 2, 4) AS ncp FROM v")
@@ -368,14 +444,20 @@ _KIND = ["p_size", "p_type"]
 
 def _query_set(spark, sf) -> DataFrame:
     """The query set of the searches: the parts whose id is divisible by 50."""
-    return table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"), F.col("p_size").alias("s_size"), F.col("p_type").alias("s_type"))
+    return table(spark, sf, "part").where("p_partkey % 50 = 0").select(
+        F.col("p_partkey").alias("seed"),
+        F.col("p_size").alias("s_size"),
+        F.col("p_type").alias("s_type"),
+    )
 
 
 def _same_kind():
     return F.col("k_size").eqNullSafe(F.col("s_size")) & F.col("k_type").eqNullSafe(F.col("s_type"))
 
 
-@query(f"SELECT seed, p_partkey, distance, rank FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6), a.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0 AND a.p_partkey <> s.p_partkey) WHERE rank <= 9")
+@query(
+    f"SELECT seed, p_partkey, distance, rank FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6), a.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0 AND a.p_partkey <> s.p_partkey) WHERE rank <= 9"
+)
 def nearest_neighbours(spark, sf):
     """The k - 1 rows nearest to each row of the query set, of all rows.
 
@@ -395,22 +477,36 @@ def nearest_neighbours(spark, sf):
     return each.withColumn("rank", rank).where(F.col("rank") < K).select("seed", "p_partkey", "distance", "rank")
 
 
-@query(f"SELECT p_partkey, seed, distance FROM (SELECT a.p_partkey, s.p_partkey AS seed, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round({_DIST}, 6), s.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0) WHERE rank = 1")
+@query(
+    f"SELECT p_partkey, seed, distance FROM (SELECT a.p_partkey, s.p_partkey AS seed, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round({_DIST}, 6), s.p_partkey) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0) WHERE rank = 1"
+)
 def nearest_seed(spark, sf):
     """Each row's nearest row of the query set; of seeds that agree in size and type the first counts."""
     seeds = _query_set(spark, sf).groupBy("s_size", "s_type").agg(F.min("seed").alias("seed"))
     rows = table(spark, sf, "part").select("p_partkey", *_KIND)
-    best = rows.select(*_KIND).distinct().crossJoin(F.broadcast(seeds)).withColumn("distance", F.round(_distance(), 6)).groupBy(*_KIND).agg(F.min(F.struct("distance", "seed")).alias("b"))
+    best = rows.select(*_KIND).distinct().crossJoin(F.broadcast(seeds)).withColumn("distance", F.round(_distance(), 6)).groupBy(*_KIND).agg(
+        F.min(F.struct("distance", "seed")).alias("b")
+    )
     best = best.select(F.col("p_size").alias("k_size"), F.col("p_type").alias("k_type"), "b")
-    return rows.join(best, F.col("k_size").eqNullSafe(F.col("p_size")) & F.col("k_type").eqNullSafe(F.col("p_type"))).select("p_partkey", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"))
+    return rows.join(best, F.col("k_size").eqNullSafe(F.col("p_size")) & F.col("k_type").eqNullSafe(F.col("p_type"))).select(
+        "p_partkey",
+        F.col("b.seed").alias("seed"),
+        F.col("b.distance").alias("distance"),
+    )
 
 
-@query(f"SELECT seed, p_partkey, distance FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6) DESC, a.p_partkey DESC) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0) WHERE rank = 1")
+@query(
+    f"SELECT seed, p_partkey, distance FROM (SELECT s.p_partkey AS seed, a.p_partkey, round({_DIST}, 6) AS distance, row_number() OVER (PARTITION BY s.p_partkey ORDER BY round({_DIST}, 6) DESC, a.p_partkey DESC) AS rank FROM part a, part s WHERE s.p_partkey % 50 = 0) WHERE rank = 1"
+)
 def furthest_row(spark, sf):
     """The row furthest from each row of the query set; of rows that agree in size and type the last counts."""
     seeds = _query_set(spark, sf)
     rows = table(spark, sf, "part").groupBy(*_KIND).agg(F.max("p_partkey").alias("p_partkey"))
-    best = rows.crossJoin(F.broadcast(seeds.select("s_size", "s_type").distinct())).withColumn("distance", F.round(_distance(), 6)).groupBy("s_size", "s_type").agg(F.max(F.struct("distance", "p_partkey")).alias("b"))
+    best = rows.crossJoin(F.broadcast(
+        seeds.select("s_size", "s_type").distinct()
+    )).withColumn("distance", F.round(_distance(), 6)).groupBy("s_size", "s_type").agg(
+        F.max(F.struct("distance", "p_partkey")).alias("b")
+    )
     best = best.select(F.col("s_size").alias("k_size"), F.col("s_type").alias("k_type"), "b")
     return seeds.join(best, _same_kind()).select("seed", F.col("b.p_partkey").alias("p_partkey"), F.col("b.distance").alias("distance"))
 
@@ -441,22 +537,35 @@ def _mondrian(rows: str, test: str) -> str:
     return f"WITH x0 AS MATERIALIZED ({rows})" + "".join(_cut(f"x{i}", f"x{i + 1}", test) for i in range(_ROUNDS))
 
 
-_ORDER_PARTS = _mondrian("SELECT o_orderkey AS rid, o_totalprice AS p, o_orderpriority AS c, o_orderstatus AS e, '' AS part FROM orders", "count(*) FILTER ({0}) >= 10")
+_ORDER_PARTS = _mondrian(
+    "SELECT o_orderkey AS rid, o_totalprice AS p, o_orderpriority AS c, o_orderstatus AS e, '' AS part FROM orders",
+    "count(*) FILTER ({0}) >= 10",
+)
 
 
-@query(_ORDER_PARTS + f" SELECT part, count(*) AS n, round(avg(p), 6) AS mean_price, string_agg(DISTINCT c, '-' ORDER BY c) AS priorities FROM {_LAST} GROUP BY 1")
+@query(
+    _ORDER_PARTS + f" SELECT part, count(*) AS n, round(avg(p), 6) AS mean_price, string_agg(DISTINCT c, '-' ORDER BY c) AS priorities FROM {_LAST} GROUP BY 1"
+)
 def mondrian_parts(spark, sf):
     """Partitions of orders, cut until no valid cut is left: path, size, mean price and priorities."""
     parts = _order_parts(spark, sf)
-    return parts.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean_price"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "-").alias("priorities"))
+    return parts.groupBy("part").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("o_totalprice"), 6).alias("mean_price"),
+        F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "-").alias("priorities"),
+    )
 
 
-@query(_ORDER_PARTS + f", nx AS (SELECT p, coalesce(lead(p) OVER (ORDER BY p), p) AS up FROM (SELECT DISTINCT p FROM x0)), b AS (SELECT part, min(p) AS lo, max(p) AS hi FROM {_LAST} GROUP BY 1) SELECT part, lo AS o_totalprice_lo, up AS o_totalprice_hi FROM b JOIN nx ON nx.p = b.hi")
+@query(
+    _ORDER_PARTS + f", nx AS (SELECT p, coalesce(lead(p) OVER (ORDER BY p), p) AS up FROM (SELECT DISTINCT p FROM x0)), b AS (SELECT part, min(p) AS lo, max(p) AS hi FROM {_LAST} GROUP BY 1) SELECT part, lo AS o_totalprice_lo, up AS o_totalprice_hi FROM b JOIN nx ON nx.p = b.hi"
+)
 def mondrian_rectangles(spark, sf):
     return P.rectangles(kept(_order_parts(spark, sf)), ["o_totalprice"])
 
 
-@query(_ORDER_PARTS + f", g AS (SELECT part, round(avg(p), 6) AS price, string_agg(DISTINCT c, '-' ORDER BY c) AS pr FROM {_LAST} GROUP BY 1) SELECT part, e AS o_orderstatus, count(*) AS n, price AS o_totalprice, pr AS o_orderpriority FROM {_LAST} JOIN g USING (part) GROUP BY ALL")
+@query(
+    _ORDER_PARTS + f", g AS (SELECT part, round(avg(p), 6) AS price, string_agg(DISTINCT c, '-' ORDER BY c) AS pr FROM {_LAST} GROUP BY 1) SELECT part, e AS o_orderstatus, count(*) AS n, price AS o_totalprice, pr AS o_orderpriority FROM {_LAST} JOIN g USING (part) GROUP BY ALL"
+)
 def mondrian_release(spark, sf):
     return P.anonymized(kept(_order_parts(spark, sf)), ["o_totalprice"], ["o_orderpriority"], "o_orderstatus")
 
@@ -465,9 +574,19 @@ _CUSTOMER_ROWS = "SELECT c_custkey AS rid, c_acctbal AS p, CAST(c_nationkey AS V
 
 
 def _customer_parts(spark, sf, *tests: P.Test) -> DataFrame:
-    rows = customers(spark, sf).select(F.col("c_custkey").alias("rid"), "c_acctbal", F.col("c_nationkey").cast("string").alias("nation"), "c_mktsegment")
+    rows = customers(spark, sf).select(
+        F.col("c_custkey").alias("rid"),
+        "c_acctbal",
+        F.col("c_nationkey").cast("string").alias("nation"),
+        "c_mktsegment",
+    )
     parts = P.partition(rows, ["c_acctbal"], ["nation"], [P.k_anonymous(K, "rid"), *tests])
-    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count_distinct("c_mktsegment").alias("diversity"))
+    return parts.groupBy("part").agg(
+        F.count("*").alias("n"),
+        F.min("c_acctbal").alias("lo"),
+        F.max("c_acctbal").alias("hi"),
+        F.count_distinct("c_mktsegment").alias("diversity"),
+    )
 
 
 _PARTS_SHOWN = f" SELECT part, count(*) AS n, min(p) AS lo, max(p) AS hi, count(DISTINCT e) AS diversity FROM {_LAST} GROUP BY 1"
@@ -480,7 +599,10 @@ def mondrian_diverse(spark, sf):
 
 
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-_CLOSE = " AND ".join(f"(count(*) FILTER ({{0}} AND e = '{s}') = 0 OR abs(count(*) FILTER ({{0}} AND e = '{s}') / CAST(count(*) FILTER ({{0}}) AS DOUBLE) - (SELECT count(*) FILTER (e = '{s}') / CAST(count(*) AS DOUBLE) FROM x0)) <= 0.2)" for s in _SEGMENTS)
+_CLOSE = " AND ".join(
+    f"(count(*) FILTER ({{0}} AND e = '{s}') = 0 OR abs(count(*) FILTER ({{0}} AND e = '{s}') / CAST(count(*) FILTER ({{0}}) AS DOUBLE) - (SELECT count(*) FILTER (e = '{s}') / CAST(count(*) AS DOUBLE) FROM x0)) <= 0.2)"
+    for s in _SEGMENTS
+)
 
 
 @query(_mondrian(_CUSTOMER_ROWS, f"count(*) FILTER ({{0}}) >= 10 AND {_CLOSE}") + _PARTS_SHOWN)
@@ -503,7 +625,10 @@ def t_closeness(spark, sf):
 def _levels_of_customer(spark, sf) -> tuple[DataFrame, dict]:
     h = nations(spark, sf).select(F.col("n_nationkey").alias("k"), "path")
     rows = customers(spark, sf).join(F.broadcast(h), F.col("c_nationkey") == F.col("k"))
-    return rows, {"nation": [X.level_of(F.col("path"), i) for i in range(3)], "segment": [F.col("c_mktsegment"), X.star(F.col("c_mktsegment"))]}
+    return rows, {
+        "nation": [X.level_of(F.col("path"), i) for i in range(3)],
+        "segment": [F.col("c_mktsegment"), X.star(F.col("c_mktsegment"))],
+    }
 
 
 _LATTICE = f"""{_PATHS}, c AS (SELECT n_name AS v0, r_name AS v1, '*' AS v2, c_mktsegment AS s0, '*' AS s1 FROM customer JOIN t ON c_nationkey = n_nationkey),
@@ -517,7 +642,9 @@ def lattice_nodes(spark, sf):
     return L.node_counts(rows, levels, K).withColumn("loss", F.round("loss", 6))
 
 
-@query(_LATTICE + " SELECT node, round(loss, 6) AS loss, n_suppressed FROM z WHERE n_suppressed <= 0.05 * n_rows ORDER BY loss, n_suppressed, node LIMIT 1")
+@query(
+    _LATTICE + " SELECT node, round(loss, 6) AS loss, n_suppressed FROM z WHERE n_suppressed <= 0.05 * n_rows ORDER BY loss, n_suppressed, node LIMIT 1"
+)
 def lattice_best(spark, sf):
     rows, levels = _levels_of_customer(spark, sf)
     return L.best_node(L.node_counts(rows, levels, K)).select("node", F.round("loss", 6).alias("loss"), "n_suppressed")
@@ -533,7 +660,9 @@ def lattice_release(spark, sf):
     return L.generalize(rows, levels, best, K).select("c_custkey", "nation", "segment")
 
 
-@query("SELECT c_custkey, CASE WHEN a <= 25 THEN '[0-25]' WHEN a <= 50 THEN '[26-50]' WHEN a <= 75 THEN '[51-75]' WHEN a <= 100 THEN '[76-100]' ELSE '[101-)' END AS age FROM (SELECT c_custkey, c_custkey % 110 AS a FROM customer)")
+@query(
+    "SELECT c_custkey, CASE WHEN a <= 25 THEN '[0-25]' WHEN a <= 50 THEN '[26-50]' WHEN a <= 75 THEN '[51-75]' WHEN a <= 100 THEN '[76-100]' ELSE '[101-)' END AS age FROM (SELECT c_custkey, c_custkey % 110 AS a FROM customer)"
+)
 def age_levels(spark, sf):
     return customers(spark, sf).select("c_custkey", X.generalize_age(F.col("c_custkey") % 110).alias("age"))
 
@@ -542,11 +671,21 @@ def age_levels(spark, sf):
 SELECT u.o_custkey, o.o_orderpriority, o.o_orderstatus, codes FROM u JOIN orders o ON o.o_orderkey = u.k JOIN c ON c.o_custkey = u.o_custkey""")
 def users_with_conditions(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    codes = orders.select("o_custkey", "o_orderkey").join(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey")).select("o_custkey", "p_type")
-    return S.users_with_conditions(orders, codes, "o_custkey", "o_orderkey", "p_type").select("o_custkey", "o_orderpriority", "o_orderstatus", F.array_join("codes", ",").alias("codes"))
-
-
-@query("SELECT 'p_size' AS attr, CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi, CAST(max(p_size) - min(p_size) AS DOUBLE) AS range, count(DISTINCT p_size) AS n_values FROM part UNION ALL SELECT 'p_retailprice', min(p_retailprice), max(p_retailprice), max(p_retailprice) - min(p_retailprice), count(DISTINCT p_retailprice) FROM part")
+    codes = orders.select("o_custkey", "o_orderkey").join(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(
+        table(spark, sf, "part").select("p_partkey", "p_type"),
+        F.col("p_partkey") == F.col("l_partkey"),
+    ).select("o_custkey", "p_type")
+    return S.users_with_conditions(orders, codes, "o_custkey", "o_orderkey", "p_type").select(
+        "o_custkey",
+        "o_orderpriority",
+        "o_orderstatus",
+        F.array_join("codes", ",").alias("codes"),
+    )
+
+
+@query(
+    "SELECT 'p_size' AS attr, CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi, CAST(max(p_size) - min(p_size) AS DOUBLE) AS range, count(DISTINCT p_size) AS n_values FROM part UNION ALL SELECT 'p_retailprice', min(p_retailprice), max(p_retailprice), max(p_retailprice) - min(p_retailprice), count(DISTINCT p_retailprice) FROM part"
+)
 def numeric_domains(spark, sf):
     return S.numeric_domain(table(spark, sf, "part"), "p_size", "p_retailprice")
 
@@ -565,7 +704,12 @@ def unsafe_event_windows(spark, sf):
 def clustered(method: str, spark, sf, block: str | None = "block") -> DataFrame:
     rows = customers(spark, sf).join(F.broadcast(nations(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
     paths = {r["leaf"]: list(r["path"]) for r in nations(spark, sf).collect()}
-    rows = rows.select(F.col("c_custkey").alias("rid"), "c_acctbal", F.col("leaf").alias("nation"), F.concat_ws("/", F.col("path")[1], F.col("c_mktsegment")).alias("block"))
+    rows = rows.select(
+        F.col("c_custkey").alias("rid"),
+        "c_acctbal",
+        F.col("leaf").alias("nation"),
+        F.concat_ws("/", F.col("path")[1], F.col("c_mktsegment")).alias("block"),
+    )
     return C.anonymize(rows, method, K, ["c_acctbal"], {"nation": paths}, block=block)
 
 
@@ -607,7 +751,15 @@ def release_report(spark, sf):
     out = None
     for v in M.VARIANTS:
         release = kept(QUERIES[f"migrate_{v}"](spark, sf))
-        one = E.evaluate(rows, release.where("not suppressed").select("c_custkey", *QI), QI, K, 0.01, 0.1, "c_custkey").select(F.lit(v).alias("variant"), "*")
+        one = E.evaluate(
+            rows,
+            release.where("not suppressed").select("c_custkey", *QI),
+            QI,
+            K,
+            0.01,
+            0.1,
+            "c_custkey",
+        ).select(F.lit(v).alias("variant"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -616,19 +768,34 @@ _KS, _SHARES = (5, 10, 15, 20, 25, 30), (0.2, 0.4, 0.6, 0.8, 1.0)
 _SIZES = "count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n < {k}) AS n_unsafe, round(avg(n) / {k}, 6) AS cavg"
 
 
-@query(" UNION ALL ".join(f"SELECT {k} AS k, {_SIZES.format(k=k)} FROM (SELECT count(*) AS n FROM ({_BANDED}) GROUP BY c_nationkey, c_mktsegment, band)" for k in _KS))
+@query(
+    " UNION ALL ".join(
+        f"SELECT {k} AS k, {_SIZES.format(k=k)} FROM (SELECT count(*) AS n FROM ({_BANDED}) GROUP BY c_nationkey, c_mktsegment, band)"
+        for k in _KS
+    )
+)
 def sweep_k(spark, sf):
     """Classes of customers for several k, from one count of their sizes."""
     return E.sweep_k(G.sizes(banded(spark, sf), QI), _KS)
 
 
-@query(" UNION ALL ".join(f"SELECT {i} AS n_qi, {_SIZES.format(k=K)} FROM (SELECT count(*) AS n FROM ({_BANDED}) GROUP BY {', '.join(QI[:i])})" for i in (1, 2, 3)))
+@query(
+    " UNION ALL ".join(
+        f"SELECT {i} AS n_qi, {_SIZES.format(k=K)} FROM (SELECT count(*) AS n FROM ({_BANDED}) GROUP BY {', '.join(QI[:i])})"
+        for i in (1, 2, 3)
+    )
+)
 def sweep_qi(spark, sf):
     """Classes of customers by the first one, two and three quasi-identifiers, from one count."""
     return E.sweep_qi(G.sizes(banded(spark, sf), QI), QI, K)
 
 
-@query(" UNION ALL ".join(f"SELECT {p} AS share, {_SIZES.format(k=K)} FROM (SELECT count(*) AS n FROM ({_BANDED}) WHERE ('0x' || substr(md5(c_custkey || '|0'), 1, 8))::BIGINT < {p} * 4294967296 GROUP BY c_nationkey, c_mktsegment, band)" for p in _SHARES))
+@query(
+    " UNION ALL ".join(
+        f"SELECT {p} AS share, {_SIZES.format(k=K)} FROM (SELECT count(*) AS n FROM ({_BANDED}) WHERE ('0x' || substr(md5(c_custkey || '|0'), 1, 8))::BIGINT < {p} * 4294967296 GROUP BY c_nationkey, c_mktsegment, band)"
+        for p in _SHARES
+    )
+)
 def sweep_size(spark, sf):
     """Classes of growing samples of customers, in one pass."""
     return E.sweep_size(banded(spark, sf), QI, K, _SHARES, "c_custkey")
@@ -641,17 +808,30 @@ def _written(spark, name: str) -> str:
     return f"{S.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT CAST(c_custkey % 90 AS INTEGER) AS age, c_mktsegment AS workclass, n_name AS \"native-country\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
+@query(
+    "SELECT CAST(c_custkey % 90 AS INTEGER) AS age, c_mktsegment AS workclass, n_name AS \"native-country\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'"
+)
 def census_scan(spark, sf):
     """A census file, written with unknown values and read back: rows that know all of three columns."""
     path, names = _written(spark, "census"), ["age", "workclass", "native-country"]
     rows = customers(spark, sf).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     workclass = F.concat(F.lit(" "), F.when(F.col("c_mktsegment") == "BUILDING", "?").otherwise(F.col("c_mktsegment")))
-    S.write_dataset(rows.select((F.col("c_custkey") % 90).alias("age"), workclass.alias("workclass"), F.col("n_name").alias("native-country"), F.lit("surplus").alias("label")), path, [*names, "label"])
+    S.write_dataset(
+        rows.select(
+            (F.col("c_custkey") % 90).alias("age"),
+            workclass.alias("workclass"),
+            F.col("n_name").alias("native-country"),
+            F.lit("surplus").alias("label"),
+        ),
+        path,
+        [*names, "label"],
+    )
     return S.clean(S.read_census(spark, path, names), names)
 
 
-@query("WITH t AS (SELECT DISTINCT l_orderkey, l_linestatus || '_0' AS a, l_returnflag || '_1' AS b FROM lineitem) SELECT item, count(*) AS n FROM (SELECT a AS item FROM t UNION ALL SELECT b FROM t) GROUP BY 1")
+@query(
+    "WITH t AS (SELECT DISTINCT l_orderkey, l_linestatus || '_0' AS a, l_returnflag || '_1' AS b FROM lineitem) SELECT item, count(*) AS n FROM (SELECT a AS item FROM t UNION ALL SELECT b FROM t) GROUP BY 1"
+)
 def transaction_scan(spark, sf):
     """Lines of transactions, written and read back: each value with its position, and how often it stands."""
     path = _written(spark, "transactions")
@@ -680,4 +860,8 @@ def rules_file(spark, sf):
 SELECT p_partkey, '(' || round(lo + w * i, 3) || '-' || round(lo + w * (i + 1), 3) || ']' AS p_retailprice FROM b""")
 def price_labels(spark, sf):
     """Prices as labels of ten bins over their range."""
-    return X.binned(table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("p_retailprice")), ["p_retailprice"], 10)
+    return X.binned(
+        table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("p_retailprice")),
+        ["p_retailprice"],
+        10,
+    )

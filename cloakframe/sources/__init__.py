@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The census file's column names, in file order, and those that are kept.
-CENSUS_COLUMNS = ["age", "workclass", "fnlwgt", "education", "education-num", "marital-status", "occupation", "relationship", "race", "sex", "capital-gain", "capital-loss", "hours-per-week", "native-country"]
+CENSUS_COLUMNS = [
+    "age",
+    "workclass",
+    "fnlwgt",
+    "education",
+    "education-num",
+    "marital-status",
+    "occupation",
+    "relationship",
+    "race",
+    "sex",
+    "capital-gain",
+    "capital-loss",
+    "hours-per-week",
+    "native-country",
+]
 RETAINED_COLUMNS = ["age", "sex", "marital-status", "native-country", "race", "education", "hours-per-week", "capital-gain", "workclass"]
 QUASI_ATTRIBUTES = RETAINED_COLUMNS[:6]
 NUMERIC = {"age", "fnlwgt", "education-num", "capital-gain", "capital-loss", "hours-per-week"}
@@ -34,7 +49,12 @@ def census_schema(columns: list[str]) -> T.StructType:
 
 def read_census(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Headerless CSV; the token ? is null, spaces around values go, surplus fields are ignored."""
-    return spark.read.schema(census_schema(columns or CENSUS_COLUMNS)).csv(path, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue=UNKNOWN)
+    return spark.read.schema(census_schema(columns or CENSUS_COLUMNS)).csv(
+        path,
+        ignoreLeadingWhiteSpace=True,
+        ignoreTrailingWhiteSpace=True,
+        nullValue=UNKNOWN,
+    )
 
 
 def with_rid(df: DataFrame, *order: str) -> DataFrame:
@@ -67,7 +87,11 @@ def read_transactions(spark: SparkSession, path: str, separator: str = ", ", fra
 def read_hierarchy(spark: SparkSession, path: str, attr: str) -> DataFrame:
     """attr, leaf, path (from the leaf to the root) of a file with one `leaf;...;*` line per leaf. Blank lines anywhere are passed over: a file that is read in splits has no first one to stop at."""
     parts = F.transform(F.split("value", ";"), lambda x: F.trim(x))
-    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.lit(attr).alias("attr"), parts[0].alias("leaf"), parts.alias("path"))
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
+        F.lit(attr).alias("attr"),
+        parts[0].alias("leaf"),
+        parts.alias("path"),
+    )
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
@@ -98,7 +122,16 @@ def render_range(lo, hi):
 
 def numeric_domain(df: DataFrame, *columns: str) -> DataFrame:
     """attr, lo, hi, range, n_values per numeric column, in one pass."""
-    aggs = [F.struct(F.lit(c).alias("attr"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), (F.max(c) - F.min(c)).cast("double").alias("range"), F.count_distinct(c).alias("n_values")) for c in columns]
+    aggs = [
+        F.struct(
+            F.lit(c).alias("attr"),
+            F.min(c).cast("double").alias("lo"),
+            F.max(c).cast("double").alias("hi"),
+            (F.max(c) - F.min(c)).cast("double").alias("range"),
+            F.count_distinct(c).alias("n_values"),
+        )
+        for c in columns
+    ]
     return df.agg(F.array(*aggs).alias("x")).select(F.inline("x"))
 
 

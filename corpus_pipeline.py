@@ -35,7 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     different texts are different documents. Rows without an id, and texts without words, stay.
     """
     p = free_prefix(docs)
-    gone = superminhash.classified(docs).where("not stays").select(F.col("doc_id").alias(p + "id"), F.col("text_hash").alias(p + "gone")).distinct()
+    gone = superminhash.classified(docs).where("not stays").select(
+        F.col("doc_id").alias(p + "id"),
+        F.col("text_hash").alias(p + "gone"),
+    ).distinct()
     keyed = docs.withColumn(p + "hash", superminhash.text_hash("text"))
     left = keyed.join(gone, (F.col("doc_id") == F.col(p + "id")) & (F.col(p + "hash") == F.col(p + "gone")), "left_anti")
     return left.where("doc_id is not null").dropDuplicates(["doc_id", p + "hash"]).union(left.where("doc_id is null")).select(*own(docs))
@@ -62,7 +65,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, word_tokenizer(), PACKED, prompt=first_line("text"), table_words=200_000)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", pseudonyms), ("packing", packed)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("pii", pseudonyms),
+    ("packing", packed),
+]
 
 #: Encoding and packing can't be expressed in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
