@@ -107,7 +107,8 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """attr, value, n, share of each column's values, in one pass over the rows."""
     each = df.select(F.explode(F.array(*[X.item(c, F.col(c)) for c in columns])).alias("x")).select("x.*").where("value is not null")
     counts = each.groupBy("attr", "value").agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("attr")))
+    totals = counts.groupBy(F.col("attr").alias("__a")).agg(F.sum("n").alias("__t"))  # a row per column
+    return counts.join(F.broadcast(totals), F.col("attr") == F.col("__a")).withColumn("share", F.col("n") / F.col("__t")).drop("__a", "__t")
 
 
 def diversity(df: DataFrame, group: list[str], sensitive: str) -> DataFrame:

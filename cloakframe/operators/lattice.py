@@ -8,7 +8,9 @@ least node id.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +47,9 @@ def best_node(counts: DataFrame, max_suppressed: float = 0.05) -> DataFrame:
 
 def generalize(df: DataFrame, levels: dict[str, list[Column]], node: str, k: int) -> DataFrame:
     """df at a node; rows of classes below k get * in all these columns."""
-    from pyspark.sql import Window
-
     at = dict(zip(levels, map(int, node.split("-")), strict=True))
     out = df.withColumns({f"__g_{c}": levels[c][i].cast("string") for c, i in at.items()})
-    out = out.withColumn("__n", F.count("*").over(Window.partitionBy(*[f"__g_{c}" for c in at])))
-    return out.withColumns(
-        {c: F.when(F.col("__n") >= k, F.col(f"__g_{c}")).otherwise("*") for c in at}
-    ).drop("__n", *[f"__g_{c}" for c in at])
+    sizes = out.groupBy(*[F.col(f"__g_{c}").alias(f"__k_{c}") for c in at]).agg(F.count("*").alias("__n"))
+    same = reduce(and_, [F.col(f"__g_{c}").eqNullSafe(F.col(f"__k_{c}")) for c in at])
+    out = out.join(sizes, same).withColumns({c: F.when(F.col("__n") >= k, F.col(f"__g_{c}")).otherwise("*") for c in at})
+    return out.drop("__n", *[f"__{x}_{c}" for c in at for x in "gk"])

@@ -26,10 +26,11 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import groups as G
+from .keep import kept, running_sum
 
 VARIANTS = ("m3ar", "big_small", "free_first")
 
@@ -271,14 +272,17 @@ def migrate(
     """df with src_gid and gid, and the quasi-identifiers of the group each row ends in.
 
     Groups that stay below k (no safe group in their block) have suppressed = true and null
-    quasi-identifiers. block: one of the quasi-identifiers.
+    quasi-identifiers. block: one of the quasi-identifiers. rid must differ from row to row.
+    A row's number in its group is its place among all rows less its group's, so that no task
+    orders a group.
     """
-    summary = G.build_groups(df, qi, k)
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        summary = summary.checkpoint()
+    summary = kept(G.build_groups(df, qi, k))
     moves = plan_moves(summary, k, rules, variant, block, seed)
     rows = G.assigned(G.known(df, qi), summary, qi).withColumnRenamed("gid", "src_gid")
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy("src_gid").orderBy(rid)))
+    one = F.lit(1).cast("long")
+    starts = running_sum(summary.select(F.col("gid").alias("s_gid"), F.col("n").alias("s_n")), ["s_gid"], F.col("s_n"), "s_end")
+    rows = running_sum(rows, ["src_gid", rid], one, "__i").join(starts, F.col("src_gid") == F.col("s_gid"))
+    rows = rows.withColumn("__i", F.col("__i") - (F.col("s_end") - F.col("s_n"))).drop("s_gid", "s_n", "s_end")
     moved = rows.join(moves, (F.col("src_gid") == F.col("src")) & F.col("__i").between(F.col("first"), F.col("last")), "left")
     moved = moved.withColumn("gid", F.coalesce("dst", "src_gid")).drop("src", "first", "last", "dst", "__i")
     final = moved.groupBy(F.col("gid").alias("f_gid")).agg(F.count("*").alias("size"))
