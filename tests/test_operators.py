@@ -321,14 +321,14 @@ def plain_migration(groups, k, rules, variant, seed):
 
 
 @pytest.mark.parametrize("variant", M.VARIANTS)
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_migration_against_a_plain_one(spark, variant, seed):
     """Which group each row ends in, with groups of all sizes and tight budgets."""
     rng = random.Random(seed)
     rows, rid, k = [], 0, 5
     for a in range(9):
         for b in range(4):
-            for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 4, 5, 6, 8] if seed else [1, 2, 3])):
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 4, 5, 6, 8] if seed else [1, 2, 3, 6])):
                 rows.append((rid, f"{a}", f"{b}"))
                 rid += 1
     rng.shuffle(rows)
@@ -348,7 +348,7 @@ def test_migration_without_a_safe_group(spark):
     assert out.where("not suppressed").count() == 0 and out.count() == 4
 
 
-@pytest.mark.parametrize("local_rows", [10**6, 60, 0])
+@pytest.mark.parametrize("local_rows", [60, 0])
 def test_mondrian_invariants(spark, local_rows):
     """Rounds over all partitions and tasks that finish one give the same parts."""
     df = people(spark)
